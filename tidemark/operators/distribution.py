@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import EPSILON, kolmogorov_p, psi_of
 from tidemark.operators.sampling import bounded_sample, null_split
-from tidemark.plans.ordered import chunk_by_value, null_safe_join, quantiles, running
+from tidemark.plans.ordered import chunk_by_value, null_safe_join, quantiles, running, with_reference
 
 
 def ks_stat(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
@@ -27,25 +27,20 @@ def ks_stat(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week",
     A window with no reference rows, or with no value, reports (0, 1, false).
     """
     by = list(by)
-    sizes = df.groupBy(*by, week).agg(F.count(value).alias("_size"))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, week, value).agg(F.count(F.lit(1)).alias("_n"))
-    data = chunk_by_value(counts, value, chunks)
+    # A group of nulls keeps its row with a count of 0, so every window stays visible and one scan is enough.
+    counts = df.groupBy(*by, week, value).agg(F.count(value).alias("_n"))
     is_ref = F.col(week) == 0
-    data = running(data, by, [value], {"_ref_upto": ("sum", F.when(is_ref, F.col("_n")).otherwise(0))}, ties=True)
-    data = running(data, [*by, week], [value], {"_cur_upto": ("sum", F.col("_n"))}, ties=True)
-    # Reference rows at exactly this value, so that the CDF just below it is known as well.
-    here = Window.partitionBy(*by, "_chunk", value)
-    ref_here = F.sum(F.when(is_ref, F.col("_n")).otherwise(0)).over(here)
-    at = data.df.withColumn("_ref_here", ref_here).filter(~is_ref)
-    totals = sizes.groupBy(*by).agg(F.sum(F.when(is_ref, F.col("_size")).otherwise(0)).alias("n_ref"))
-    per_week = sizes.filter(~is_ref).withColumnRenamed("_size", "n_curr")
-    known = null_safe_join(null_safe_join(at, per_week, [*by, week]), totals, by)
-    f_cur, f_ref = F.col("_cur_upto") / F.col("n_curr"), F.col("_ref_upto") / F.col("n_ref")
-    below = F.abs((F.col("_cur_upto") - F.col("_n")) / F.col("n_curr")
-                  - (F.col("_ref_upto") - F.col("_ref_here")) / F.col("n_ref"))
-    gaps = (known.filter("n_ref > 0").groupBy(*by, week)
-            .agg(F.max(F.greatest(F.abs(f_cur - f_ref), below)).alias("_d")))
-    out = null_safe_join(null_safe_join(per_week, totals, by), gaps, [*by, week], "left")
+    data = chunk_by_value(counts.withColumn("_is_ref", is_ref).withColumn("_ref_n", F.when(is_ref, F.col("_n")).otherwise(0)), value, chunks)
+    # Window rows come before reference rows of the same value: this sum is the count strictly below.
+    data = running(data, by, [value, "_is_ref"], {"_ref_below": ("sum", F.col("_ref_n"))})
+    data = running(data, by, [value], {"_ref_upto": ("sum", F.col("_ref_n"))}, ties=True, totals=True)
+    data = running(data, [*by, week], [value], {"_cur_upto": ("sum", F.col("_n"))}, totals=True)
+    n_ref, n_curr = F.col("_ref_upto_total"), F.col("_cur_upto_total")
+    share = lambda a, b: F.try_divide(a.cast("double"), b)
+    at = F.abs(share(F.col("_cur_upto"), n_curr) - share(F.col("_ref_upto"), n_ref))
+    below = F.abs(share(F.col("_cur_upto") - F.col("_n"), n_curr) - share(F.col("_ref_below"), n_ref))
+    out = data.df.filter(~F.col("_is_ref")).groupBy(*by, week).agg(
+        F.max(F.when(F.col("_n") > 0, F.greatest(at, below))).alias("_d"), F.max(n_ref).alias("n_ref"), F.max(n_curr).alias("n_curr"))
     stat = F.coalesce(F.col("_d"), F.lit(0.0))
     p = F.when(F.col("_d").isNull(), 1.0).otherwise(kolmogorov_p(stat, F.col("n_ref"), F.col("n_curr")))
     return (out.select(*by, week, stat.alias("statistic"), p.alias("p_value"), "n_ref", "n_curr")
@@ -100,15 +95,14 @@ def reference_edges(df: DataFrame, by: Sequence[str] = ("feature",), week: str =
 
 def _bin_counts(df: DataFrame, edges: DataFrame, by: Sequence[str], week: str, value: str, buckets: int) -> DataFrame:
     """Counts per bin as one array column; edges have one short row per feature."""
-    rows = null_safe_join(df.filter(F.col(value).isNotNull()), F.broadcast(edges), by)
+    rows = null_safe_join(df.select(*by, week, value), F.broadcast(edges), by, "left")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    bin_no = F.size(F.filter(inner, lambda e: e <= F.col(value)))
+    bin_no = F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e <= F.col(value))))
     counted = rows.select(*by, week, F.size("edges").alias("_e"), bin_no.alias("_bin")).groupBy(*by, week).agg(
-        F.count(F.lit(1)).alias("n"), F.max("_e").alias("n_edges"),
-        *[F.count_if(F.col("_bin") == i).alias(f"_b{i}") for i in range(buckets)])
+        F.count("_bin").alias("n"), F.max("_e").alias("n_edges"),
+        F.expr("array(" + ", ".join(f"count_if(_bin = {i})" for i in range(buckets)) + ")").alias("_cells"))
     used = F.greatest(F.col("n_edges") - 1, F.lit(0))
-    return counted.select(*by, week, "n", "n_edges",
-                          F.slice(F.array(*[f"_b{i}" for i in range(buckets)]), 1, used).alias("counts"))
+    return counted.select(*by, week, "n", "n_edges", F.slice("_cells", F.lit(1), used).alias("counts"))
 
 
 def psi_cells(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
@@ -117,11 +111,8 @@ def psi_cells(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week
     by = list(by)
     edges = reference_edges(df, by, week, value, buckets, chunks)
     counts = _bin_counts(df, edges, by, week, value, buckets)
-    ref = counts.filter(F.col(week) == 0).select(*by, F.col("n").alias("n_ref"), F.col("counts").alias("ref_counts"))
-    cur = counts.filter(F.col(week) > 0).select(*by, week, F.col("n").alias("n_curr"), "n_edges",
-                                                F.col("counts").alias("curr_counts"))
-    windows = df.filter(F.col(week) > 0).select(*by, week).distinct()
-    return null_safe_join(null_safe_join(windows, cur, [*by, week], "left"), ref, by, "left")
+    out = with_reference(counts, by, week, {"n": "n_ref", "counts": "ref_counts"})
+    return out.withColumnsRenamed({"n": "n_curr", "counts": "curr_counts"})
 
 
 def psi(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
@@ -182,33 +173,31 @@ def _joint_histogram(df: DataFrame, by: list[str], week: str, value: str, bins:
     carries at most features x windows x bins rows. The bin is guessed by division and then settled by
     comparing with the explicit edges lo + i * step.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    spans = rows.groupBy(*by, week).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
-    ref = spans.filter(F.col(week) == 0).select(*by, F.col("lo").alias("_rlo"), F.col("hi").alias("_rhi"), F.col("n").alias("n_ref"))
-    joint = null_safe_join(spans.filter(F.col(week) > 0), ref, by).select(
-        *by, F.col(week).alias("_against"), F.least("lo", "_rlo").alias("lo"), F.greatest("hi", "_rhi").alias("hi"),
-        F.col("n").alias("n_curr"), "n_ref")
+    spans = df.groupBy(*by, week).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n_curr"))
+    joint = with_reference(spans, by, week, {"lo": "_rlo", "hi": "_rhi", "n_curr": "n_ref"})
+    joint = joint.select(*by, F.col(week).alias("_against"), F.least("lo", "_rlo").alias("lo"), F.greatest("hi", "_rhi").alias("hi"),
+                         "n_curr", F.coalesce("n_ref", F.lit(0)).alias("n_ref"))
     joint = joint.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(bins))
-    spec = joint.groupBy(*by).agg(F.collect_list(F.struct("_against", "lo", "hi", "step")).alias("_spec"))
-    placed = null_safe_join(rows, F.broadcast(spec), by)
+    facts = ("lo", "hi", "step", "n_curr", "n_ref")
+    spec = joint.groupBy(*by).agg(F.collect_list(F.struct("_against", *facts)).alias("_spec"))
+    placed = null_safe_join(df.select(*by, week, value), F.broadcast(spec), by)
     wanted = F.when(F.col(week) == 0, F.col("_spec")).otherwise(
         F.filter("_spec", lambda s: s["_against"] == F.col(week)))
     placed = placed.select(*by, F.col(value).alias("_v"), (F.col(week) == 0).alias("_is_ref"), F.explode(wanted).alias("_s"))
     edge = lambda i: F.col("_s.lo") + i * F.col("_s.step")
-    guess = F.when(F.col("_s.step") > 0, F.floor((F.col("_v") - F.col("_s.lo")) / F.nullif("_s.step", F.lit(0.0)))).otherwise(F.lit(0)).cast("int")
-    placed = placed.withColumn("_g", guess)
+    guess = F.floor(F.try_divide(F.col("_v") - F.col("_s.lo"), F.col("_s.step"))).cast("int")
+    placed = placed.withColumn("_g", F.coalesce(guess, F.when(F.col("_v").isNotNull(), 0)))
     moved = F.col("_g") - F.when(F.col("_v") < edge(F.col("_g")), 1).otherwise(0) \
         + F.when(F.col("_v") >= edge(F.col("_g") + 1), 1).otherwise(0)
-    bin_no = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.when(F.col("_v") >= F.col("_s.hi"), F.lit(bins - 1)).otherwise(moved)))
-    counts = placed.groupBy(*by, F.col("_s._against").alias("_against"), "_is_ref", bin_no.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    sides = counts.groupBy(*by, "_against").agg(*[
-        F.coalesce(F.sum(F.when((F.col("_is_ref") == r) & (F.col("_bin") == i), F.col("_c"))), F.lit(0)).alias(f"_{t}{i}")
-        for r, t in ((True, "r"), (False, "c")) for i in range(bins)])
-    arrays = sides.select(*by, "_against", F.array(*[f"_r{i}" for i in range(bins)]).alias("ref_counts"),
-                          F.array(*[f"_c{i}" for i in range(bins)]).alias("curr_counts"))
-    every = df.filter(F.col(week) > 0).select(*by, F.col(week).alias("_against")).distinct()
-    out = null_safe_join(null_safe_join(every, joint, [*by, "_against"], "left"), arrays, [*by, "_against"], "left")
-    return out.withColumnRenamed("_against", week)
+    top = F.when(F.col("_v") >= F.col("_s.hi"), F.lit(bins - 1)).otherwise(moved)
+    bin_no = F.when(F.col("_v").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(bins - 1), top)))
+    counts = placed.groupBy(*by, F.col("_s._against").alias("_against"), "_is_ref", bin_no.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.max(f"_s.{f}").alias(f) for f in facts])
+    # The conditional sums are given as text: forty column objects would cost more than the query.
+    cells = {side: ", ".join(f"coalesce(sum(_c) FILTER (WHERE {test} AND _bin = {i}), 0)" for i in range(bins))
+             for side, test in (("ref_counts", "_is_ref"), ("curr_counts", "NOT _is_ref"))}
+    return counts.groupBy(*by, F.col("_against").alias(week)).agg(
+        *[F.max(f).alias(f) for f in facts], *[F.expr(f"array({text})").alias(side) for side, text in cells.items()])
 
 
 def _total(arr: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.numeric import psi_of
 from tidemark.operators.distribution import ks_stat, psi
 from tidemark.operators.sampling import POISSON_CDF
-from tidemark.plans.ordered import CHUNK, chunk_by_value, null_safe_join, running
+from tidemark.plans.ordered import CHUNK, chunk_by_value, null_safe_join, running, with_reference
 
 
 def auc(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score", chunks: int | None = None,
@@ -105,10 +105,10 @@ def prequential_auc(df: DataFrame, key: str, week: str = "week", label: str = "l
     """AUC of each window against week 0: drift when the drop clears the floor and n_sigma errors."""
     by = list(by)
     each = auc(df, [*by, week], label, score, chunks)
-    ref = each.filter(F.col(week) == 0).select(*by, F.col("auc").alias("reference_auc"))
-    cur = each.filter(F.col(week) > 0).select(*by, week, F.col("auc").alias("current_auc"), F.col("n_pos").alias("n_positives"))
+    cur = with_reference(each, by, week, {"auc": "reference_auc"}).select(
+        *by, week, "reference_auc", F.col("auc").alias("current_auc"), F.col("n_pos").alias("n_positives"))
     se = bootstrap_auc_se(df.filter(F.col(week) > 0), [*by, week], key, label, score, n_boot, seed, chunks)
-    both = null_safe_join(null_safe_join(cur, ref, by), se, [*by, week])
+    both = null_safe_join(cur, se, [*by, week])
     drop = F.col("reference_auc") - F.col("current_auc")
     clear = F.when(F.col("auc_se") > 0, F.col("auc_drop") > n_sigma * F.col("auc_se")).otherwise(F.col("auc_drop") > min_drop)
     return (both.withColumn("auc_drop", drop).withColumn("drift_detected", (F.col("auc_drop") > min_drop) & clear)

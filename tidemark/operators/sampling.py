@@ -105,4 +105,5 @@ POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98
 
 def poisson_weight(key: Column, bag: int | Column, seed: int) -> Column:
     u = uniform(key, "bag", bag, seed)
-    return sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in POISSON_CDF), F.lit(0)).cast("int")
+    cdf = F.array(*[F.lit(c) for c in POISSON_CDF])
+    return F.size(F.filter(cdf, lambda c: c <= u))

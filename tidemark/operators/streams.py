@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.numeric import hoeffding_bound, normal_cut
 from tidemark.operators.sampling import hash_rank
 from tidemark.plans.checkpoints import stable
-from tidemark.plans.ordered import CHUNK, Chunked, chunk_by_value, null_safe_join, previous, row_index, running
+from tidemark.plans.ordered import CHUNK, Chunked, chunk_by_value, null_safe_join, previous, row_index, running, with_reference
 
 
 def error_stream(df: DataFrame, label: str, score: str, mode: str = "balanced", threshold: float = 0.5,
@@ -167,9 +167,8 @@ def _z_columns(df: DataFrame, delta: float) -> DataFrame:
 def two_sample_z(df: DataFrame, by: Sequence[str], week: str = "week", value: str = "value", delta: float = 0.002) -> DataFrame:
     """Welch z of every window against week 0; fewer than two rows on a side stays quiet."""
     stats = df.groupBy(*by, week).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
-    ref = stats.filter(F.col(week) == 0).select(*by, F.col("n").alias("n1"), F.col("mean").alias("mean1"), F.col("var").alias("var1"))
-    cur = stats.filter(F.col(week) > 0).select(*by, week, F.col("n").alias("n2"), F.col("mean").alias("mean2"), F.col("var").alias("var2"))
-    both = null_safe_join(cur, ref, list(by), "left").fillna(0, ["n1"])
+    both = with_reference(stats, by, week, {"n": "n1", "mean": "mean1", "var": "var1"}).fillna(0, ["n1"])
+    both = both.withColumnsRenamed({"n": "n2", "mean": "mean2", "var": "var2"})
     return _z_columns(both, delta).select(*by, week, "estimation", "z_score", "z_threshold", "drift_detected", "warning_detected")
 
 

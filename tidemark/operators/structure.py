@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.numeric import EPSILON
 from tidemark.operators.distribution import benjamini_hochberg, feature_signal_summary, js_distance, ks_stat, ks_test, psi_null
 from tidemark.operators.windows import to_long
+from tidemark.plans.ordered import with_reference
 
 SPREAD_FLOOR = 1e-8
 
@@ -141,9 +142,8 @@ def attribution_drift(attributions: DataFrame, week: str = "week", alpha: float
     tested = ks_stat(attributions, ["feature"], week, "attribution", alpha, chunks).drop("drift")
     judged = benjamini_hochberg(tested, [week], alpha=alpha)
     size = attributions.groupBy("feature", week).agg(F.avg(F.abs("attribution")).alias("_m"))
-    ref = size.filter(F.col(week) == 0).select("feature", F.col("_m").alias("ref_importance"))
-    cur = size.filter(F.col(week) > 0).select("feature", week, F.col("_m").alias("curr_importance"))
-    out = judged.join(cur, ["feature", week]).join(F.broadcast(ref), "feature")
+    size = with_reference(size.withColumnRenamed("_m", "curr_importance"), ["feature"], week, {"curr_importance": "ref_importance"})
+    out = judged.join(size, ["feature", week])
     return (out.withColumn("importance_shift", F.col("curr_importance") - F.col("ref_importance"))
             .withColumn("drift", F.col("rejected") & (F.col("statistic") >= min_effect)))
 
@@ -192,9 +192,7 @@ def cluster_drift(assigned: DataFrame, cols: Sequence[str], k: int, week: str =
     stats = assigned.groupBy(week).agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("distance").alias("mean_dist"), F.array(*[F.count_if(F.col("cluster") == i) for i in range(k)]).alias("counts"),
         F.array(*[F.avg(F.get("sqdev", F.lit(i))) for i in range(len(cols))]).alias("dev"))
-    ref = stats.filter(F.col(week) == 0).select(F.col("n_rows").alias("ref_n_rows"), F.col("mean_dist").alias("ref_mean_dist"),
-                                                F.col("counts").alias("ref_counts"), F.col("dev").alias("_rdev"))
-    both = stats.filter(F.col(week) > 0).crossJoin(F.broadcast(ref))
+    both = with_reference(stats, [], week, {"n_rows": "ref_n_rows", "mean_dist": "ref_mean_dist", "counts": "ref_counts", "dev": "_rdev"})
     share = lambda c, n: F.when(c == 0, F.lit(EPSILON)).otherwise(c / n)
     moved = _sum(F.zip_with("counts", "ref_counts", lambda c, r: (share(c, F.col("n_rows")) - share(r, F.col("ref_n_rows")))
                             * F.ln(share(c, F.col("n_rows")) / share(r, F.col("ref_n_rows")))))
@@ -242,8 +240,7 @@ def reconstruction_drift(errors: DataFrame, cols: Sequence[str], week: str = "we
     """z of each window's mean RMSE against the reference's mean and deviation; KS on the errors is reported only."""
     stats = errors.groupBy(week).agg(F.avg("rmse").alias("_m"), F.stddev_pop("rmse").alias("_s"),
                                      F.array(*[F.avg(F.get("sqerr", F.lit(i))) for i in range(len(cols))]).alias("_e"))
-    ref = stats.filter(F.col(week) == 0).select(F.col("_m").alias("ref_rmse_mean"), F.col("_s").alias("_rs"), F.col("_e").alias("_re"))
-    both = stats.filter(F.col(week) > 0).crossJoin(F.broadcast(ref))
+    both = with_reference(stats, [], week, {"_m": "ref_rmse_mean", "_s": "_rs", "_e": "_re"})
     names = F.array(*[F.lit(c) for c in cols])
     shifts = F.transform(F.arrays_zip(names.alias("f"), F.col("_re").alias("r"), F.col("_e").alias("c")),
                          lambda z: F.struct((z["c"] - z["r"]).alias("shift"), z["f"].alias("feature"), z["r"].alias("ref_mse"), z["c"].alias("curr_mse")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 DAY = 86_400
 
@@ -63,19 +63,22 @@ def time_bounds(df: DataFrame, ts: str, ref_days: float, window_days: float) ->
 def assign_week(df: DataFrame, ts: str, ref_days: float, window_days: float, name: str = "week") -> DataFrame:
     """0 for the reference, then 1, 2, ... over the non-empty half-open windows.
 
-    Window numbers come from the distinct windows only (one row per window), never from a scan of the rows.
+    The start and the list of non-empty windows (one number per window) are found first, by two passes over the time
+    column; the assignment itself is then a projection, which no later branch of a plan has to repeat as a join.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    start = df.agg(F.min(micros).alias("_start"))
-    ref = F.lit(int(ref_days * DAY * 1_000_000))
-    width = F.lit(int(window_days * DAY * 1_000_000))
-    since = micros - F.col("_start") - ref
-    raw = F.when(since < 0, F.lit(0)).otherwise(F.floor(since / width) + 1).cast("long")
-    placed = df.crossJoin(F.broadcast(start)).withColumn("_raw", raw).drop("_start")
-    numbers = (placed.filter("_raw > 0").select("_raw").distinct()
-               .withColumn(name, F.dense_rank().over(Window.orderBy("_raw")).cast("long")))
-    return (placed.join(F.broadcast(numbers), "_raw", "left")
-            .withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long"))).drop("_raw"))
+    start = df.agg(F.min(micros)).first()[0]
+    if start is None:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    since = micros - F.lit(start + int(ref_days * DAY * 1_000_000))
+    raw = F.floor(since / F.lit(int(window_days * DAY * 1_000_000))).cast("long")
+    found = sorted(r[0] for r in df.filter(since >= 0).select(raw.alias("w")).distinct().collect())
+    number = F.lit(None).cast("long")
+    if found == list(range(len(found))):
+        number = raw + 1
+    elif found:
+        number = F.array_position(F.lit(found), raw)
+    return df.withColumn(name, F.when(since < 0, F.lit(0)).otherwise(number).cast("long"))
 
 
 def cumulative_window(df: DataFrame, week: int, name: str = "week") -> DataFrame:

@@ -28,6 +28,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def with_reference(stats: DataFrame, by: Sequence[str], week: str, cols: dict[str, str]) -> DataFrame:
+    """Puts the week-0 values of ``cols`` (column -> new name) beside every later week.
+
+    For tables of one row per (group, week): a window over the group's weeks, so the statistics under it are computed
+    once, where a self join would compute them twice.
+    """
+    ref = F.max(F.when(F.col(week) == 0, F.struct(*cols))).over(Window.partitionBy(*by))
+    out = stats.withColumn("_ref", ref).filter(F.col(week) > 0)
+    return out.select("*", *[F.col(f"_ref.{c}").alias(n) for c, n in cols.items()]).drop("_ref")
+
+
 class Chunked:
     """Rows with a ``_chunk`` column that is a monotone function of the order key."""
 
@@ -77,31 +88,34 @@ def _merge(kind: str, carried: Column, local: Column) -> Column:
 
 
 def running(data: Chunked, by: Sequence[str], order: Sequence[str | Column],
-            aggs: dict[str, tuple[str, Column]], ties: bool = False) -> Chunked:
+            aggs: dict[str, tuple[str, Column]], ties: bool = False, totals: bool = False) -> Chunked:
     """Inclusive running aggregates within ``by`` in ``order``.
 
     ``aggs`` maps an output name to (``sum`` | ``count`` | ``min`` | ``max``, column). With ``ties`` the frame is
     by value, so rows with an equal single order column share one result; such rows share a chunk.
-    A running sum over no non-null value is 0.
+    A running sum over no non-null value is 0. ``totals`` adds ``<name>_total``, the aggregate of the whole group.
     """
     by = list(by)
     call = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     groups = [*by, CHUNK] if data.many else by
     window = Window.partitionBy(*groups).orderBy(*order)
     window = (window.rangeBetween if ties else window.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
-    local = data.df.select("*", *[call[kind](col).over(window).alias(f"_l_{name}") for name, (kind, col) in aggs.items()])
+    whole = Window.partitionBy(*by)
     if not data.many:
-        out = local.select("*", *[
-            (F.coalesce(F.col(f"_l_{n}"), F.lit(0)) if kind == "sum" else F.col(f"_l_{n}")).alias(n)
-            for n, (kind, _) in aggs.items()])
-        return data.with_df(out.drop(*[f"_l_{n}" for n in aggs]))
-    before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        zero = {"sum": lambda c: F.coalesce(c, F.lit(0))}
+        cells = [zero.get(kind, lambda c: c)(call[kind](col).over(window)).alias(n) for n, (kind, col) in aggs.items()]
+        if totals:
+            cells += [zero.get(kind, lambda c: c)(call[kind](col).over(whole)).alias(f"{n}_total") for n, (kind, col) in aggs.items()]
+        return data.with_df(data.df.select("*", *cells))
+    local = data.df.select("*", *[call[kind](col).over(window).alias(f"_l_{name}") for name, (kind, col) in aggs.items()])
+    before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     merge_over = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    totals = (data.df.groupBy(*by, CHUNK)
-              .agg(*[call[kind](col).alias(f"_t_{name}") for name, (kind, col) in aggs.items()])
-              .select(*by, CHUNK, *[merge_over[kind](f"_t_{n}").over(before).alias(f"_c_{n}")
-                                    for n, (kind, _) in aggs.items()]))
-    joined = null_safe_join(local, totals, [*by, CHUNK], "left")
+    ends = [merge_over[kind](f"_t_{n}").over(whole).alias(f"{n}_total") for n, (kind, _) in aggs.items()] if totals else []
+    parts = (data.df.groupBy(*by, CHUNK)
+             .agg(*[call[kind](col).alias(f"_t_{name}") for name, (kind, col) in aggs.items()])
+             .select(*by, CHUNK, *ends, *[merge_over[kind](f"_t_{n}").over(before).alias(f"_c_{n}")
+                                          for n, (kind, _) in aggs.items()]))
+    joined = null_safe_join(local, parts, [*by, CHUNK], "left")
     out = joined.select("*", *[_merge(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n)
                                for n, (kind, _) in aggs.items()])
     return data.with_df(out.drop(*[f"_l_{n}" for n in aggs], *[f"_c_{n}" for n in aggs]))
@@ -142,10 +156,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     data = chunk_by_value(counts, value, chunks)
-    data = running(data, by, [value], {"_upto": ("sum", F.col("_n"))})
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    placed = null_safe_join(data.df, totals, by, "inner")
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("h"))
+    placed = running(data, by, [value], {"_upto": ("sum", F.col("_n"))}, totals=True).df
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_upto_total") - 1)).alias("h"))
                        for i, p in enumerate(probs)])
     first, end = F.col("_upto") - F.col("_n"), F.col("_upto")
     hits = F.filter(wanted, lambda w: (F.ceil(w["h"]) >= first) & (F.floor(w["h"]) < end))

@@ -22,6 +22,7 @@ def local_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
     settings = {
         **DEFAULTS,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("TIDEMARK_DRIVER_MEMORY", "12g"),
         "spark.sql.shuffle.partitions": str(cores if str(cores).isdigit() else 8),
         **conf,

@@ -1,0 +1,12 @@
+"""Registered queries over the given tables."""
+
+from tidemark.workload import distribution_queries, encoder_queries, listing_queries, stream_queries  # noqa: F401
+from tidemark.workload.base import QUERIES, SQL
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(SQL)
