@@ -124,5 +124,5 @@ def random_action_control(summary: DataFrame, lattice: DataFrame, weeks: DataFra
     log = grid.join(acts, ["policy", "sample", "week"], "left").fillna("none", ["action"])
     runs = summarise_rewards(score_actions(log, lattice, ("policy", "sample")), ("policy", "sample"))
     both = runs.select("policy", F.col("mean_auc").alias("_r")).join(F.broadcast(budgets.select("policy", "mean_auc")), "policy")
-    return both.groupBy("policy").agg(F.avg((F.col("mean_auc") >= F.col("_r")).cast("double")).alias("random_control_pct"),
+    return both.groupBy("policy").agg(F.avg((F.round("mean_auc", 9) >= F.round("_r", 9)).cast("double")).alias("random_control_pct"),
                                       F.avg("_r").alias("random_control_mean_auc"), F.count(F.lit(1)).alias("n_samples"))

@@ -52,8 +52,8 @@ def _(spark, d):
     return rounded(transactions(spark, d).select("id", E.log_distance("dist1", "dist2").alias("log_dist")), "log_dist")
 
 
-@query("date_parts", f"""WITH {TX}, p AS (SELECT id, t, TIMESTAMP '2017-11-30' + to_seconds(t) AS at FROM tx)
-SELECT id, t // 86400 AS days, hour(at)::INT AS hour, (isodow(at) - 1)::VARCHAR || '_' || hour(at)::VARCHAR AS weekday_hour FROM p""")
+@query("date_parts", f"""WITH {TX}, p AS (SELECT id, t, TIMESTAMP '2017-11-30' + to_seconds(t) AS moment FROM tx)
+SELECT id, t // 86400 AS days, hour(moment)::INT AS hour, (isodow(moment) - 1)::VARCHAR || '_' || hour(moment)::VARCHAR AS weekday_hour FROM p""")
 def _(spark, d):
     out = E.date_parts(transactions(spark, d), "t")
     return out.select("id", F.col("_days").alias("days"), F.col("_hour").alias("hour"), F.col("_weekday__hour").alias("weekday_hour"))
@@ -84,12 +84,13 @@ def _(spark, d):
 
 @query("group_aggregate_encode", f"""WITH {TX}, k AS (SELECT *, coalesce(email, 'nan') || '__' || coalesce(product, 'nan') || '__' || (entity % 300) AS pair FROM tx),
  g AS (SELECT pair, max(amount) AS a, avg(amount) AS b, var_samp(amount) AS c FROM k WHERE week = 0 GROUP BY pair), o AS (SELECT max(amount) AS a, avg(amount) AS b, var_samp(amount) AS c FROM k WHERE week = 0)
-SELECT id, {R('coalesce(g.a, o.a)', '_max_amount_pair', 4)}, {R('coalesce(g.b, o.b)', '_mean_amount_pair', 4)}, {R('coalesce(g.c, o.c)', '_var_amount_pair', 2)} FROM k LEFT JOIN g USING (pair), o WHERE week > 0""")
+SELECT id, {R('coalesce(g.a, o.a)', '_max_amount_pair', 4)}, {R('coalesce(g.b, o.b)', '_mean_amount_pair', 4)}, {R('coalesce(g.c, o.c) / 1e6', '_var_amount_pair', 4)} FROM k LEFT JOIN g USING (pair), o WHERE week > 0""")
 def _(spark, d):
     k = transactions(spark, d).withColumn("pair", F.concat_ws("__", E.combine_keys("email", "product"), (F.col("entity") % 300).cast("string")))
     state = E.fit_group_aggregates(k.filter("week = 0"), "pair", "amount")
     out = E.group_aggregate_encode(k.filter("week > 0"), state, "pair", "amount")
-    return rounded(rounded(out.select("id", "_max_amount_pair", "_mean_amount_pair", "_var_amount_pair"), "_max_amount_pair", "_mean_amount_pair", digits=4), "_var_amount_pair", digits=2)
+    out = out.select("id", "_max_amount_pair", "_mean_amount_pair", (F.col("_var_amount_pair") / 1e6).alias("_var_amount_pair"))
+    return rounded(out, "_max_amount_pair", "_mean_amount_pair", "_var_amount_pair", digits=4)
 
 
 @query("frequency_encode", f"""WITH {TX}, n AS (SELECT count(*)::DOUBLE AS n FROM tx WHERE week = 0), a AS (SELECT c2, count(*) AS k FROM tx WHERE week = 0 GROUP BY c2), b AS (SELECT email, count(*) AS k FROM tx WHERE week = 0 GROUP BY email)

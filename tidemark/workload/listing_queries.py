@@ -8,7 +8,9 @@ from tidemark.operators import corpus as C, listings as L
 from tidemark.sources.tables import load
 from tidemark.workload.base import query
 
-NOW = F.lit("2024-06-01 00:00:00")
+def now():
+    """The time of the change, fixed so that SQL can repeat it."""
+    return F.lit("2024-06-01 00:00:00")
 
 
 def raw_listings(spark, d):
@@ -130,26 +132,26 @@ FOLD = """, fo AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pid DES
   coalesce(nw.posted, st.posted) AS posted, nw.scraped_at, nw.match_score, nw.reasoning, nw.skill_overlap, nw.gaps, nw.recommended, coalesce(st.created_at, '2024-06-01 00:00:00') AS created_at, '2024-06-01 00:00:00' AS updated_at, st.deleted_at
   FROM nw LEFT JOIN st USING (id)""")
 def _(spark, d):
-    return L.upsert_matches(stored(spark, d), scored(spark, d), NOW, "pid")
+    return L.upsert_matches(stored(spark, d), scored(spark, d), now(), "pid")
 
 
 @query("upsert_listings", f"""WITH {ST} {FOLD} SELECT nw.id, nw.title, CASE WHEN st.id IS NULL OR length(nw.description) > length(st.description) THEN nw.description ELSE st.description END AS description,
   CASE WHEN st.id IS NULL THEN nw.first_posted ELSE st.posted END AS posted, coalesce(st.match_score, 0) AS match_score, coalesce(st.reasoning, '') AS reasoning, coalesce(st.recommended, false) AS recommended, coalesce(st.created_at, '2024-06-01 00:00:00') AS created_at, st.deleted_at FROM nw LEFT JOIN st USING (id)""")
 def _(spark, d):
-    out = L.upsert_listings(stored(spark, d), listings(spark, d), NOW, "pid")
+    out = L.upsert_listings(stored(spark, d), listings(spark, d), now(), "pid")
     return out.select("id", "title", "description", "posted", "match_score", "reasoning", "recommended", "created_at", "deleted_at")
 
 
 @query("soft_delete", f"WITH {ST} SELECT id, CASE WHEN match_score < 20 THEN '2024-06-01 00:00:00' ELSE deleted_at END AS deleted_at, CASE WHEN match_score < 20 THEN '2024-06-01 00:00:00' ELSE updated_at END AS updated_at FROM st")
 def _(spark, d):
     jobs = stored(spark, d)
-    return L.soft_delete(jobs, jobs.filter("match_score < 20"), NOW).select("id", "deleted_at", "updated_at")
+    return L.soft_delete(jobs, jobs.filter("match_score < 20"), now()).select("id", "deleted_at", "updated_at")
 
 
 @query("update_description", f"WITH {ST} SELECT id, CASE WHEN match_score < 20 THEN 'new text' ELSE description END AS description, CASE WHEN match_score < 20 THEN '2024-06-01 00:00:00' ELSE updated_at END AS updated_at FROM st")
 def _(spark, d):
     jobs = stored(spark, d)
-    return L.update_description(jobs, jobs.filter("match_score < 20").select("id", F.lit("new text").alias("description")), NOW).select("id", "description", "updated_at")
+    return L.update_description(jobs, jobs.filter("match_score < 20").select("id", F.lit("new text").alias("description")), now()).select("id", "description", "updated_at")
 
 
 @query("record_applications", f"""WITH {AP}, rec AS (SELECT id AS job_pk, CASE pid % 5 WHEN 0 THEN 'submitted' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'dry_run' ELSE 'assisted' END AS status, 'r' || pid AS message, '2024-06-01' AS applied_at, pid FROM li),
