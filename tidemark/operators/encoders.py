@@ -14,7 +14,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.plans.checkpoints import stable
-from tidemark.plans.ordered import CHUNK, chunk_by_value, null_safe_join, previous, row_index
+from tidemark.plans.ordered import chunk_by_value, null_safe_join, plain, previous, row_index
 from tidemark.plans.sizing import broadcast_if_small
 
 UNSEEN, MISSING = -1, -2
@@ -52,8 +52,8 @@ def sequence_features(df: DataFrame, entity: str, order: str, key: str, amount:
         data = data.with_df(stable(data.df))
     data = row_index(data, [entity], [order, key], "_pos")
     change = F.abs(F.try_divide(F.col(amount), F.col("_pa")) - 1)
-    return (data.df.withColumn(names[0], F.col(order) - F.col("_pt")).withColumn(names[1], change)
-            .withColumn(names[2], F.col("_pos") - 1).drop("_pt", "_pa", "_pos", CHUNK))
+    return plain(data.df.withColumn(names[0], F.col(order) - F.col("_pt")).withColumn(names[1], change)
+            .withColumn(names[2], F.col("_pos") - 1).drop("_pt", "_pa", "_pos"))
 
 
 def log_distance(first: str, second: str) -> Column:

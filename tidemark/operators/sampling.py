@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.plans.ordered import CHUNK, Chunked, chunk_by_hash, chunk_by_value, null_safe_join, row_index
+from tidemark.plans.ordered import Chunked, chunk_by_hash, chunk_by_value, null_safe_join, plain, row_index
 
 
 def digest(key: str | Sequence[str], seed: int) -> Column:
@@ -30,41 +30,41 @@ def _ranked(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str
 def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str] = (),
               name: str = "rank", chunks: int | None = None) -> DataFrame:
     """1-based rank of each row's digest within ``by``."""
-    return _ranked(df, key, seed, by, chunks).df.withColumnRenamed("_rank", name).drop("_digest", CHUNK)
+    return plain(_ranked(df, key, seed, by, chunks).df.withColumnRenamed("_rank", name).drop("_digest"))
 
 
 def bounded_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int,
                    by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """``n`` rows per group without replacement (all rows when the group is smaller)."""
-    return _ranked(df, key, seed, by, chunks).df.filter(F.col("_rank") <= n).drop("_rank", "_digest", CHUNK)
+    return plain(_ranked(df, key, seed, by, chunks).df.filter(F.col("_rank") <= n).drop("_rank", "_digest"))
 
 
 def null_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed: int,
                by: Sequence[str] = (), floor: int = 50, chunks: int | None = None) -> DataFrame:
     """Random two-way split: ``part`` is 'small' for max(int(n * fraction), floor) rows, else 'big'."""
-    ranked = _ranked(df, key, seed, by, chunks).df
+    ranked = plain(_ranked(df, key, seed, by, chunks).df)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.greatest(F.floor(F.col("_n") * F.lit(fraction)), F.lit(floor))
     return (null_safe_join(ranked, sizes, list(by), "inner")
             .withColumn("part", F.when(F.col("_rank") <= cut, "small").otherwise("big"))
-            .drop("_rank", "_digest", "_n", CHUNK))
+            .drop("_rank", "_digest", "_n"))
 
 
 def shuffle_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed: int,
                   chunks: int | None = None) -> DataFrame:
     """Train/eval by shuffled position: the first int(n * fraction) ranks train."""
-    ranked = _ranked(df, key, seed, (), chunks).df
+    ranked = plain(_ranked(df, key, seed, (), chunks).df)
     sizes = df.agg(F.count(F.lit(1)).alias("_n"))
     return (ranked.crossJoin(F.broadcast(sizes))
             .withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(fraction)), "train").otherwise("eval"))
-            .drop("_rank", "_digest", "_n", CHUNK))
+            .drop("_rank", "_digest", "_n"))
 
 
 def stratified_folds(df: DataFrame, label: str, k: int, key: str | Sequence[str], seed: int,
                      chunks: int | None = None) -> DataFrame:
     """Fold 0..k-1 with every label spread evenly."""
-    ranked = _ranked(df, key, seed, [label], chunks).df
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_digest", CHUNK)
+    ranked = plain(_ranked(df, key, seed, [label], chunks).df)
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_digest")
 
 
 def temporal_split(df: DataFrame, order: str, key: str, label: str, fraction: float = 0.8,
@@ -76,17 +76,17 @@ def temporal_split(df: DataFrame, order: str, key: str, label: str, fraction: fl
     """
     data = row_index(chunk_by_value(df, order, chunks), [], [order, key], "_pos")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    timed = data.df.drop(CHUNK).crossJoin(F.broadcast(total)).withColumn(
+    timed = plain(data.df).crossJoin(F.broadcast(total)).withColumn(
         "_late", F.col("_pos") > F.floor(F.col("_n") * F.lit(fraction))).drop("_pos", "_n")
     kinds = timed.agg(F.count_distinct(F.when(~F.col("_late"), F.col(label))).alias("_early_kinds"),
                       F.count_distinct(F.when(F.col("_late"), F.col(label))).alias("_late_kinds"))
-    ranked = _ranked(timed, key, seed, [label], chunks).df
+    ranked = plain(_ranked(timed, key, seed, [label], chunks).df)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     both = null_safe_join(ranked, sizes, [label], "inner").crossJoin(F.broadcast(kinds))
     usable = (F.col("_early_kinds") >= 2) & (F.col("_late_kinds") >= 2)
     strat_late = F.col("_rank") > F.floor(F.col("_n") * F.lit(fraction))
     return (both.withColumn("is_valid", F.when(usable, F.col("_late")).otherwise(strat_late))
-            .drop("_rank", "_digest", "_n", "_late", "_early_kinds", "_late_kinds", CHUNK))
+            .drop("_rank", "_digest", "_n", "_late", "_early_kinds", "_late_kinds"))
 
 
 def bootstrap_bags(df: DataFrame, n_bags: int, key: str, seed: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.numeric import hoeffding_bound, normal_cut
 from tidemark.operators.sampling import hash_rank
 from tidemark.plans.checkpoints import stable
-from tidemark.plans.ordered import CHUNK, Chunked, chunk_by_value, null_safe_join, previous, row_index, running, with_reference
+from tidemark.plans.ordered import Chunked, chunk_by_value, null_safe_join, plain, previous, row_index, running, with_reference
 
 
 def error_stream(df: DataFrame, label: str, score: str, mode: str = "balanced", threshold: float = 0.5,
@@ -56,9 +56,9 @@ def ddm_rows(df: DataFrame, by: Sequence[str], order: str = "seq", err: str = "e
     ps = F.col("p") + F.col("s")
     drift = ready & (ps > F.col("_best.p") + drift_level * F.col("_best.s"))
     warn = ready & ~drift & (ps > F.col("_best.p") + warning_level * F.col("_best.s"))
-    return (data.df.withColumn("p_min", F.col("_best.p")).withColumn("s_min", F.col("_best.s"))
+    return plain(data.df.withColumn("p_min", F.col("_best.p")).withColumn("s_min", F.col("_best.s"))
             .withColumn("drift", F.coalesce(drift, F.lit(False))).withColumn("warning", F.coalesce(warn, F.lit(False)))
-            .drop("_sum", "_best", CHUNK))
+            .drop("_sum", "_best"))
 
 
 def ddm(df: DataFrame, by: Sequence[str], week: str = "week", order: str = "seq", err: str = "err",
@@ -94,9 +94,9 @@ def eddm_rows(df: DataFrame, by: Sequence[str], order: str = "seq", err: str = "
     errors = running(_steady(errors), by, [order], {"max_metric": ("max", F.col("metric"))})
     ready = (F.col("k") >= min_errors) & (F.col("max_metric") > 0)
     drift = ready & (F.col("metric") < beta_drift * F.col("max_metric"))
-    return (errors.df.withColumn("drift", drift)
+    return plain(errors.df.withColumn("drift", drift)
             .withColumn("warning", ready & ~drift & (F.col("metric") < beta_warning * F.col("max_metric")))
-            .drop("_s1", "_s2", "_prev", CHUNK))
+            .drop("_s1", "_s2", "_prev"))
 
 
 def eddm(df: DataFrame, by: Sequence[str], week: str = "week", order: str = "seq", err: str = "err",
@@ -135,8 +135,8 @@ def hddm_rows(df: DataFrame, by: Sequence[str], order: str = "seq", err: str = "
     def over(conf: float) -> Column:
         return rise > hoeffding_bound(n_min, conf) + hoeffding_bound(F.col("n"), conf)
 
-    return (data.df.withColumn("mean_min", F.col("_best.mean")).withColumn("drift", over(drift_confidence))
-            .withColumn("warning", ~F.col("drift") & over(warning_confidence)).drop("_sum", "_x", "_best", CHUNK))
+    return plain(data.df.withColumn("mean_min", F.col("_best.mean")).withColumn("drift", over(drift_confidence))
+            .withColumn("warning", ~F.col("drift") & over(warning_confidence)).drop("_sum", "_x", "_best"))
 
 
 def hddm(df: DataFrame, by: Sequence[str], week: str = "week", order: str = "seq", err: str = "err",

@@ -79,6 +79,31 @@ def chunk_by_hash(df: DataFrame, digest: str, chunks: int | None = None) -> Chun
     return Chunked(df.withColumn(CHUNK, F.lit(0)), False)
 
 
+KEY = "_key_"
+
+
+def _join_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Non-null stand-ins for nullable group columns.
+
+    The scan's window and the join with the chunk totals then hash the same plain columns, so the rows are
+    shuffled once; a null-safe join would hash other expressions and shuffle them again.
+    """
+    names = []
+    for c in by:
+        if not df.schema[c].nullable:
+            names.append(c)
+            continue
+        names.append(KEY + c)
+        if KEY + c not in df.columns:
+            df = df.withColumn(KEY + c, F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")))
+    return df, names
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Without the columns that ordered scans add for themselves."""
+    return df.drop(*[c for c in df.columns if c == CHUNK or c.startswith(KEY)])
+
+
 def _merge(kind: str, carried: Column, local: Column) -> Column:
     if kind in ("sum", "count"):
         return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
@@ -97,47 +122,45 @@ def running(data: Chunked, by: Sequence[str], order: Sequence[str | Column],
     """
     by = list(by)
     call = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    groups = [*by, CHUNK] if data.many else by
-    window = Window.partitionBy(*groups).orderBy(*order)
+    base, keys = _join_keys(data.df, by) if data.many else (data.df, by)
+    whole = Window.partitionBy(*keys)
+    window = (Window.partitionBy(*keys, CHUNK) if data.many else whole).orderBy(*order)
     window = (window.rangeBetween if ties else window.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
     if not data.many:
         zero = {"sum": lambda c: F.coalesce(c, F.lit(0))}
         cells = [zero.get(kind, lambda c: c)(call[kind](col).over(window)).alias(n) for n, (kind, col) in aggs.items()]
         if totals:
             cells += [zero.get(kind, lambda c: c)(call[kind](col).over(whole)).alias(f"{n}_total") for n, (kind, col) in aggs.items()]
-        return data.with_df(data.df.select("*", *cells))
-    local = data.df.select("*", *[call[kind](col).over(window).alias(f"_l_{name}") for name, (kind, col) in aggs.items()])
+        return data.with_df(base.select("*", *cells))
+    local = base.select("*", *[call[kind](col).over(window).alias(f"_l_{name}") for name, (kind, col) in aggs.items()])
     before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     merge_over = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     ends = [merge_over[kind](f"_t_{n}").over(whole).alias(f"{n}_total") for n, (kind, _) in aggs.items()] if totals else []
-    parts = (data.df.groupBy(*by, CHUNK)
+    parts = (base.groupBy(*keys, CHUNK)
              .agg(*[call[kind](col).alias(f"_t_{name}") for name, (kind, col) in aggs.items()])
-             .select(*by, CHUNK, *ends, *[merge_over[kind](f"_t_{n}").over(before).alias(f"_c_{n}")
-                                          for n, (kind, _) in aggs.items()]))
-    joined = null_safe_join(local, parts, [*by, CHUNK], "left")
-    out = joined.select("*", *[_merge(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n)
-                               for n, (kind, _) in aggs.items()])
-    return data.with_df(out.drop(*[f"_l_{n}" for n in aggs], *[f"_c_{n}" for n in aggs]))
+             .select(*keys, CHUNK, *ends, *[merge_over[kind](f"_t_{n}").over(before).alias(f"_c_{n}")
+                                            for n, (kind, _) in aggs.items()]))
+    joined = local.join(parts, [*keys, CHUNK], "left")
+    keep = [c for c in base.columns] + [f"{n}_total" for n in aggs if totals]
+    return data.with_df(joined.select(*keep, *[_merge(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n)
+                                               for n, (kind, _) in aggs.items()]))
 
 
 def previous(data: Chunked, by: Sequence[str], order: Sequence[str | Column], cols: dict[str, str]) -> Chunked:
     """The value of ``cols[name]`` on the preceding row of the group (null on the first row)."""
     by = list(by)
-    groups = [*by, CHUNK] if data.many else by
-    window = Window.partitionBy(*groups).orderBy(*order)
-    out = data.df.select("*", *[F.lag(c).over(window).alias(n) for n, c in cols.items()])
+    base, keys = _join_keys(data.df, by) if data.many else (data.df, by)
+    window = Window.partitionBy(*keys, *([CHUNK] if data.many else [])).orderBy(*order)
+    out = base.select("*", *[F.lag(c).over(window).alias(n) for n, c in cols.items()])
     if not data.many:
         return data.with_df(out)
-    row = F.row_number().over(window)
     last = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    tail = (data.df.groupBy(*by, CHUNK)
+    tail = (base.groupBy(*keys, CHUNK)
             .agg(*[F.max_by(F.struct(F.col(c).alias("v")), last).alias(f"_t_{n}") for n, c in cols.items()]))
-    earlier = Window.partitionBy(*by).orderBy(CHUNK)
-    tail = tail.select(*by, CHUNK, *[F.lag(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in cols])
-    joined = null_safe_join(out.withColumn("_row", row), tail, [*by, CHUNK], "left")
-    keep = [c for c in data.df.columns]
-    return data.with_df(joined.select(*keep, *[
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK)
+    tail = tail.select(*keys, CHUNK, *[F.lag(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in cols])
+    joined = out.withColumn("_row", F.row_number().over(window)).join(tail, [*keys, CHUNK], "left")
+    return data.with_df(joined.select(*base.columns, *[
         F.when(F.col("_row") == 1, F.col(f"_c_{n}.v")).otherwise(F.col(n)).alias(n) for n in cols]))
 
 
