@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import EPSILON, kolmogorov_p, psi_of
 from tidemark.operators.sampling import bounded_sample, null_split
-from tidemark.plans.ordered import chunk_by_value, null_safe_join, quantiles, running, with_reference
+from tidemark.plans.ordered import Pass, chunk_by_value, null_safe_join, quantiles, running_all, with_reference
 
 
 def ks_stat(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
@@ -30,11 +30,12 @@ def ks_stat(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week",
     # A group of nulls keeps its row with a count of 0, so every window stays visible and one scan is enough.
     counts = df.groupBy(*by, week, value).agg(F.count(value).alias("_n"))
     is_ref = F.col(week) == 0
-    data = chunk_by_value(counts.withColumn("_is_ref", is_ref).withColumn("_ref_n", F.when(is_ref, F.col("_n")).otherwise(0)), value, chunks)
+    data = chunk_by_value(counts.withColumn("_is_ref", is_ref).withColumn("_ref_n", F.when(is_ref, F.col("_n")).otherwise(0)), value, chunks, df)
     # Window rows come before reference rows of the same value: this sum is the count strictly below.
-    data = running(data, by, [value, "_is_ref"], {"_ref_below": ("sum", F.col("_ref_n"))})
-    data = running(data, by, [value], {"_ref_upto": ("sum", F.col("_ref_n"))}, ties=True, totals=True)
-    data = running(data, [*by, week], [value], {"_cur_upto": ("sum", F.col("_n"))}, totals=True)
+    data = running_all(data, [
+        Pass(by, [value, "_is_ref"], {"_ref_below": ("sum", F.col("_ref_n"))}),
+        Pass(by, [value], {"_ref_upto": ("sum", F.col("_ref_n"))}, ties=True, totals=True),
+        Pass([*by, week], [value], {"_cur_upto": ("sum", F.col("_n"))}, totals=True)])
     n_ref, n_curr = F.col("_ref_upto_total"), F.col("_cur_upto_total")
     share = lambda a, b: F.try_divide(a.cast("double"), b)
     at = F.abs(share(F.col("_cur_upto"), n_curr) - share(F.col("_ref_upto"), n_ref))

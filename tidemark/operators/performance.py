@@ -22,7 +22,7 @@ def auc(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "sc
     """
     by = list(by)
     counts = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    data = running(chunk_by_value(counts, score, chunks), by, [score], {"_upto": ("sum", F.col("_neg"))})
+    data = running(chunk_by_value(counts, score, chunks, df), by, [score], {"_upto": ("sum", F.col("_neg"))})
     wins = F.col("_pos") * (F.col("_upto") - F.col("_neg") + F.col("_neg") / 2)
     out = data.df.groupBy(*by).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"), F.sum(wins).alias("_wins"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")

@@ -9,14 +9,16 @@ plain window: the two forms give the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.plans.sizing import chunk_count
+from tidemark.plans.sizing import UNKNOWN, chunk_count, input_bytes
 
 CHUNK = "_chunk"
+SAMPLE_BYTES = 4 << 30  # above this, chunk edges are read from a sample
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -50,17 +52,22 @@ class Chunked:
         return Chunked(df, self.many)
 
 
-def chunk_by_value(df: DataFrame, key: str, chunks: int | None = None) -> Chunked:
+def chunk_by_value(df: DataFrame, key: str, chunks: int | None = None, source: DataFrame | None = None) -> Chunked:
     """Cut at approximate quantiles of the numeric column ``key``; equal keys share a chunk.
 
+    ``source`` is where the quantiles are read when ``df`` is an aggregate of it: a scan of one column instead of the
+    whole aggregation. Large inputs are sampled for it.
+
     The edges are computed once and then are constants of the plan, so every branch and every retried task
     sees the same chunks. Their accuracy only affects balance, never results.
     """
     count = chunk_count(df) if chunks is None else chunks
     if count > 1:
         probs = [i / count for i in range(1, count)]
-        edges = sorted(set(df.select(F.col(key).cast("double").alias("v"))
-                           .approxQuantile("v", probs, 1.0 / (4 * count))))
+        column = (df if source is None else source).select(F.col(key).cast("double").alias("v"))
+        if SAMPLE_BYTES < input_bytes(column) < UNKNOWN:
+            column = column.sample(0.05, seed=1)
+        edges = sorted(set(column.approxQuantile("v", probs, 1.0 / (4 * count))))
         if edges:
             splits = [float("-inf"), *edges, float("inf")]
             keyed = df.withColumn("_order_key", F.col(key).cast("double"))
@@ -112,38 +119,73 @@ def _merge(kind: str, carried: Column, local: Column) -> Column:
     return F.greatest(carried, local)
 
 
-def running(data: Chunked, by: Sequence[str], order: Sequence[str | Column],
-            aggs: dict[str, tuple[str, Column]], ties: bool = False, totals: bool = False) -> Chunked:
-    """Inclusive running aggregates within ``by`` in ``order``.
+@dataclass(frozen=True)
+class Pass:
+    """One ordered scan: running ``aggs`` within ``by`` in ``order``.
 
-    ``aggs`` maps an output name to (``sum`` | ``count`` | ``min`` | ``max``, column). With ``ties`` the frame is
-    by value, so rows with an equal single order column share one result; such rows share a chunk.
-    A running sum over no non-null value is 0. ``totals`` adds ``<name>_total``, the aggregate of the whole group.
+    ``aggs`` maps an output name to (``sum`` | ``count`` | ``min`` | ``max``, column). With ``ties`` the frame is by
+    value, so rows with an equal single order column share one result; such rows share a chunk. ``totals`` adds
+    ``<name>_total``, the aggregate of the whole group. A running sum over no non-null value is 0.
+    """
+
+    by: Sequence[str]
+    order: Sequence[str | Column]
+    aggs: dict[str, tuple[str, Column]]
+    ties: bool = False
+    totals: bool = False
+
+
+CALLS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+MERGE_OVER = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def _frame(p: Pass, keys: Sequence[str], many: bool):
+    window = Window.partitionBy(*keys, *([CHUNK] if many else [])).orderBy(*p.order)
+    return (window.rangeBetween if p.ties else window.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
+
+
+def _zero(kind: str, col: Column) -> Column:
+    return F.coalesce(col, F.lit(0)) if kind == "sum" else col
+
+
+def running_all(data: Chunked, passes: Sequence[Pass]) -> Chunked:
+    """Several inclusive running scans over the same rows.
+
+    The chunk totals of every pass come straight from the input, so no pass repeats the windows of another.
     """
-    by = list(by)
-    call = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    base, keys = _join_keys(data.df, by) if data.many else (data.df, by)
-    whole = Window.partitionBy(*keys)
-    window = (Window.partitionBy(*keys, CHUNK) if data.many else whole).orderBy(*order)
-    window = (window.rangeBetween if ties else window.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
     if not data.many:
-        zero = {"sum": lambda c: F.coalesce(c, F.lit(0))}
-        cells = [zero.get(kind, lambda c: c)(call[kind](col).over(window)).alias(n) for n, (kind, col) in aggs.items()]
-        if totals:
-            cells += [zero.get(kind, lambda c: c)(call[kind](col).over(whole)).alias(f"{n}_total") for n, (kind, col) in aggs.items()]
-        return data.with_df(base.select("*", *cells))
-    local = base.select("*", *[call[kind](col).over(window).alias(f"_l_{name}") for name, (kind, col) in aggs.items()])
-    before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    merge_over = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    ends = [merge_over[kind](f"_t_{n}").over(whole).alias(f"{n}_total") for n, (kind, _) in aggs.items()] if totals else []
-    parts = (base.groupBy(*keys, CHUNK)
-             .agg(*[call[kind](col).alias(f"_t_{name}") for name, (kind, col) in aggs.items()])
-             .select(*keys, CHUNK, *ends, *[merge_over[kind](f"_t_{n}").over(before).alias(f"_c_{n}")
-                                            for n, (kind, _) in aggs.items()]))
-    joined = local.join(parts, [*keys, CHUNK], "left")
-    keep = [c for c in base.columns] + [f"{n}_total" for n in aggs if totals]
-    return data.with_df(joined.select(*keep, *[_merge(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n)
-                                               for n, (kind, _) in aggs.items()]))
+        out = data.df
+        for p in passes:
+            window, whole = _frame(p, p.by, False), Window.partitionBy(*p.by)
+            cells = [_zero(kind, CALLS[kind](col).over(window)).alias(n) for n, (kind, col) in p.aggs.items()]
+            if p.totals:
+                cells += [_zero(kind, CALLS[kind](col).over(whole)).alias(f"{n}_total") for n, (kind, col) in p.aggs.items()]
+            out = out.select("*", *cells)
+        return data.with_df(out)
+    base, keys = data.df, []
+    for p in passes:
+        base, names = _join_keys(base, p.by)
+        keys.append(names)
+    out = base
+    for p, names in zip(passes, keys):
+        window = _frame(p, names, True)
+        out = out.select("*", *[CALLS[kind](col).over(window).alias(f"_l_{n}") for n, (kind, col) in p.aggs.items()])
+    for p, names in zip(passes, keys):
+        whole = Window.partitionBy(*names)
+        before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        ends = [MERGE_OVER[kind](f"_t_{n}").over(whole).alias(f"{n}_total") for n, (kind, _) in p.aggs.items()] if p.totals else []
+        parts = (base.groupBy(*names, CHUNK).agg(*[CALLS[kind](col).alias(f"_t_{n}") for n, (kind, col) in p.aggs.items()])
+                 .select(*names, CHUNK, *ends, *[MERGE_OVER[kind](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (kind, _) in p.aggs.items()]))
+        out = out.join(parts, [*names, CHUNK], "left")
+    cells = [c for p in passes for n, (kind, _) in p.aggs.items() for c in
+             [_merge(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n), *([F.col(f"{n}_total")] if p.totals else [])]]
+    return data.with_df(out.select(*base.columns, *cells))
+
+
+def running(data: Chunked, by: Sequence[str], order: Sequence[str | Column], aggs: dict[str, tuple[str, Column]],
+            ties: bool = False, totals: bool = False) -> Chunked:
+    """One ordered scan; see ``Pass``."""
+    return running_all(data, [Pass(list(by), order, aggs, ties, totals)])
 
 
 def previous(data: Chunked, by: Sequence[str], order: Sequence[str | Column], cols: dict[str, str]) -> Chunked:
@@ -178,7 +220,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     """
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    data = chunk_by_value(counts, value, chunks)
+    data = chunk_by_value(counts, value, chunks, df)
     placed = running(data, by, [value], {"_upto": ("sum", F.col("_n"))}, totals=True).df
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_upto_total") - 1)).alias("h"))
                        for i, p in enumerate(probs)])
