@@ -97,9 +97,11 @@ def reference_edges(df: DataFrame, by: Sequence[str] = ("feature",), week: str =
 def _bin_counts(df: DataFrame, edges: DataFrame, by: Sequence[str], week: str, value: str, buckets: int) -> DataFrame:
     """Counts per bin as one array column; edges have one short row per feature."""
     rows = null_safe_join(df.select(*by, week, value), F.broadcast(edges), by, "left")
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    bin_no = F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e <= F.col(value))))
-    counted = rows.select(*by, week, F.size("edges").alias("_e"), bin_no.alias("_bin")).groupBy(*by, week).agg(
+    # Plain comparisons stay in generated code; a lambda over the array would not.
+    above = " + ".join(f"if({i} <= _e - 2 AND _v >= get(edges, {i}), 1, 0)" for i in range(1, buckets)) or "0"
+    bin_no = F.expr(f"if(_v IS NULL, NULL, {above})")
+    rows = rows.withColumn("_e", F.size("edges")).withColumn("_v", F.col(value))
+    counted = rows.select(*by, week, "_e", bin_no.alias("_bin")).groupBy(*by, week).agg(
         F.count("_bin").alias("n"), F.max("_e").alias("n_edges"),
         F.expr("array(" + ", ".join(f"count_if(_bin = {i})" for i in range(buckets)) + ")").alias("_cells"))
     used = F.greatest(F.col("n_edges") - 1, F.lit(0))
@@ -170,35 +172,32 @@ def psi_null(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week"
 def _joint_histogram(df: DataFrame, by: list[str], week: str, value: str, bins: int) -> DataFrame:
     """Equal-width counts over the joint range of the reference and each window.
 
-    A reference row is placed in the bins of every window, but is counted in the map task, so the shuffle
-    carries at most features x windows x bins rows. The bin is guessed by division and then settled by
-    comparing with the explicit edges lo + i * step.
+    Windows inside the reference range share one set of edges, so a reference row is binned once per distinct range,
+    not once per window, and is counted in the map task: the shuffle carries features x windows x bins rows. The bin
+    is guessed by division and then settled by comparing with the explicit edges lo + i * step.
     """
-    spans = df.groupBy(*by, week).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n_curr"))
-    joint = with_reference(spans, by, week, {"lo": "_rlo", "hi": "_rhi", "n_curr": "n_ref"})
-    joint = joint.select(*by, F.col(week).alias("_against"), F.least("lo", "_rlo").alias("lo"), F.greatest("hi", "_rhi").alias("hi"),
-                         "n_curr", F.coalesce("n_ref", F.lit(0)).alias("n_ref"))
-    joint = joint.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(bins))
-    facts = ("lo", "hi", "step", "n_curr", "n_ref")
-    spec = joint.groupBy(*by).agg(F.collect_list(F.struct("_against", *facts)).alias("_spec"))
+    spans = df.groupBy(*by, week).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    joint = with_reference(spans, by, week, {"lo": "_rlo", "hi": "_rhi"})
+    joint = joint.select(*by, F.col(week).alias("_w"), F.least("lo", "_rlo").alias("lo"), F.greatest("hi", "_rhi").alias("hi"))
+    spec = joint.groupBy(*by).agg(F.collect_list(F.struct("_w", F.struct("lo", "hi").alias("s"))).alias("_spec"))
+    spec = spec.select(*by, F.map_from_entries("_spec").alias("_own"), F.array_distinct(F.transform("_spec", lambda x: x["s"])).alias("_ranges"))
     placed = null_safe_join(df.select(*by, week, value), F.broadcast(spec), by)
-    wanted = F.when(F.col(week) == 0, F.col("_spec")).otherwise(
-        F.filter("_spec", lambda s: s["_against"] == F.col(week)))
-    placed = placed.select(*by, F.col(value).alias("_v"), (F.col(week) == 0).alias("_is_ref"), F.explode(wanted).alias("_s"))
-    edge = lambda i: F.col("_s.lo") + i * F.col("_s.step")
-    guess = F.floor(F.try_divide(F.col("_v") - F.col("_s.lo"), F.col("_s.step"))).cast("int")
-    placed = placed.withColumn("_g", F.coalesce(guess, F.when(F.col("_v").isNotNull(), 0)))
-    moved = F.col("_g") - F.when(F.col("_v") < edge(F.col("_g")), 1).otherwise(0) \
-        + F.when(F.col("_v") >= edge(F.col("_g") + 1), 1).otherwise(0)
-    top = F.when(F.col("_v") >= F.col("_s.hi"), F.lit(bins - 1)).otherwise(moved)
-    bin_no = F.when(F.col("_v").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(bins - 1), top)))
-    counts = placed.groupBy(*by, F.col("_s._against").alias("_against"), "_is_ref", bin_no.alias("_bin")).agg(
-        F.count(F.lit(1)).alias("_c"), *[F.max(f"_s.{f}").alias(f) for f in facts])
-    # The conditional sums are given as text: forty column objects would cost more than the query.
-    cells = {side: ", ".join(f"coalesce(sum(_c) FILTER (WHERE {test} AND _bin = {i}), 0)" for i in range(bins))
-             for side, test in (("ref_counts", "_is_ref"), ("curr_counts", "NOT _is_ref"))}
-    return counts.groupBy(*by, F.col("_against").alias(week)).agg(
-        *[F.max(f).alias(f) for f in facts], *[F.expr(f"array({text})").alias(side) for side, text in cells.items()])
+    wanted = F.when(F.col(week) == 0, F.col("_ranges")).otherwise(F.array(F.try_element_at("_own", F.col(week))))
+    placed = placed.select(*by, week, F.col(value).alias("_v"), F.explode(wanted).alias("_s")).select(*by, week, "_v", "_s.lo", "_s.hi")
+    placed = placed.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(bins))
+    placed = placed.withColumn("_g", F.expr("coalesce(int(floor(try_divide(_v - lo, step))), if(_v IS NULL, NULL, 0))"))
+    settled = f"""CASE WHEN _v IS NULL THEN NULL WHEN _v >= hi THEN {bins - 1}
+        ELSE greatest(0, least({bins - 1}, _g - if(_v < lo + _g * step, 1, 0) + if(_v >= lo + (_g + 1) * step, 1, 0))) END"""
+    counts = placed.groupBy(*by, week, "lo", "hi", F.expr(settled).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    # The conditional sums are given as text: so many column objects would cost more than the query.
+    cells = ", ".join(f"coalesce(sum(_c) FILTER (WHERE _bin = {i}), 0)" for i in range(bins))
+    sides = counts.groupBy(*by, week, "lo", "hi").agg(
+        F.expr(f"array({cells})").alias("curr_counts"), F.coalesce(F.sum(F.when(F.col("_bin").isNotNull(), F.col("_c"))), F.lit(0)).alias("n_curr"))
+    same = Window.partitionBy(*by, "lo", "hi")
+    ref = F.max(F.when(F.col(week) == 0, F.struct("n_curr", "curr_counts"))).over(same)
+    out = sides.withColumn("_ref", ref).filter(F.col(week) > 0)
+    return out.select(*by, week, "lo", "hi", ((F.col("hi") - F.col("lo")) / F.lit(bins)).alias("step"), "n_curr", "curr_counts",
+                      F.coalesce("_ref.n_curr", F.lit(0)).alias("n_ref"), F.col("_ref.curr_counts").alias("ref_counts"))
 
 
 def _total(arr: Column) -> Column:
