@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,42 +44,61 @@ def psi_from_counts(windows: DataFrame, reference: DataFrame) -> DataFrame:
     return both.withColumn("psi", F.when(usable, psi_of(F.col("ref_counts"), F.slice("counts", F.lit(1), used), F.col("n_ref"), F.col("n"))).otherwise(0.0)).drop("ref_counts", "n_ref")
 
 
-STATE = "n bigint, total double, p_min double, s_min double, ps_min double, k bigint, s1 double, s2 double, top double, since bigint, n_best bigint, total_best double"
-START = (0, 0.0, 0.0, 0.0, math.inf, 0, 0.0, 0.0, 0.0, -1, 0, 0.0)
+STATE = "n bigint, total double, p_min double, s_min double, ps_min double, k bigint, s1 double, s2 double, top double, last_error bigint, n_best bigint, total_best double"
+START = (0, 0.0, 0.0, 0.0, math.inf, 0, 0.0, 0.0, 0.0, 0, 0, 0.0)
 DETECTIONS = "method string, version bigint, seq bigint, detector string, drift boolean, warning boolean, value double, threshold double"
 
 
-def _step(s: list, x: float, cfg: dict) -> list[tuple]:
-    """Advance the three trackers by one error value; returns (detector, drift, warning, value, threshold)."""
-    n, total, p_min, s_min, ps_min, k, s1, s2, top, since, n_best, total_best = s
-    n, total, out = n + 1, total + x, []
+def _since(better: np.ndarray) -> np.ndarray:
+    """Index of the latest true position so far, -1 before the first."""
+    return np.maximum.accumulate(np.where(better, np.arange(len(better)), -1))
+
+
+def advance(state: tuple, x: np.ndarray, cfg: dict) -> tuple[tuple, list[tuple]]:
+    """Continue the three trackers over one ordered batch of errors.
+
+    Returns the new state and, per detector, (name, positions, drift, warning, value, threshold) arrays.
+    """
+    n0, total0, p_min, s_min, ps_min, k0, s1, s2, top, last_error, n_best, total_best = state
+    n = n0 + np.arange(1, len(x) + 1)
+    total = total0 + np.cumsum(x)
     p = total / n
-    dev = math.sqrt(max(0.0, p * (1 - p)) / n)
-    if n >= cfg["min_instances"]:
-        if p + dev < ps_min:
-            p_min, s_min, ps_min = p, dev, p + dev
-        hi, lo = p_min + cfg["drift_level"] * s_min, p_min + cfg["warning_level"] * s_min
-        out.append(("ddm", p + dev > hi, lo < p + dev <= hi, p + dev, hi))
-    if int(x) == 1:
-        if since >= 0:
-            gap = float(since + 1)
-            k, s1, s2 = k + 1, s1 + gap, s2 + gap * gap
-            metric = s1 / k + 2 * math.sqrt(max(0.0, s2 / k - (s1 / k) ** 2))
-            top = max(top, metric)
-            if k >= cfg["min_errors"] and top > 0:
-                out.append(("eddm", metric < cfg["beta_drift"] * top, cfg["beta_drift"] * top <= metric < cfg["beta_warning"] * top, metric, cfg["beta_drift"] * top))
-        since = 0
-    elif since >= 0:
-        since += 1
-    bound = lambda m, c: math.sqrt(math.log(2.0 / c) / (2.0 * m))
+    dev = np.sqrt(np.maximum(0.0, p * (1 - p)) / n)
+    found = []
+    # Error rate against its best level.
+    ready = n >= cfg["min_instances"]
+    level = np.where(ready, p + dev, np.inf)
+    lowest = np.minimum.accumulate(np.r_[ps_min, level])
+    at = _since(level < lowest[:-1])
+    pm, sm = np.where(at >= 0, p[at], p_min), np.where(at >= 0, dev[at], s_min)
+    hi, lo = pm + cfg["drift_level"] * sm, pm + cfg["warning_level"] * sm
+    drift = ready & (level > hi)
+    found.append(("ddm", np.arange(len(x)), drift, ready & ~drift & (level > lo), p + dev, hi))
+    # Distance between errors against its largest value.
+    hits = np.flatnonzero(x.astype(int) == 1)
+    places = np.r_[last_error, n[hits]] if last_error else n[hits]
+    gaps, where = np.diff(places).astype(float), hits if last_error else hits[1:]
+    k = k0 + np.arange(1, len(gaps) + 1)
+    sum1, sum2 = s1 + np.cumsum(gaps), s2 + np.cumsum(gaps * gaps)
+    metric = sum1 / k + 2 * np.sqrt(np.maximum(0.0, sum2 / k - (sum1 / k) ** 2))
+    best = np.maximum.accumulate(np.r_[top, metric])[1:]
+    usable = (k >= cfg["min_errors"]) & (best > 0)
+    drift = usable & (metric < cfg["beta_drift"] * best)
+    found.append(("eddm", where, drift, usable & ~drift & (metric < cfg["beta_warning"] * best), metric, cfg["beta_drift"] * best))
+    # Mean against the best prefix, by Hoeffding bounds.
+    bound = lambda m, c: np.sqrt(math.log(2.0 / c) / (2.0 * np.maximum(m, 1)))
     dc, wc = cfg["drift_confidence"], cfg["warning_confidence"]
-    if n_best == 0 or p + bound(n, dc) <= total_best / n_best + bound(n_best, dc):
-        n_best, total_best = n, total
-    rise = p - total_best / n_best
-    hi = bound(n_best, dc) + bound(n, dc)
-    out.append(("hddm", rise > hi, hi >= rise > bound(n_best, wc) + bound(n, wc), rise, hi))
-    s[:] = [n, total, p_min, s_min, ps_min, k, s1, s2, top, since, n_best, total_best]
-    return out
+    reach = p + bound(n, dc)
+    first = total_best / n_best + bound(n_best, dc) if n_best else np.inf
+    at = _since(reach <= np.minimum.accumulate(np.r_[first, reach])[:-1])
+    nb, tb = np.where(at >= 0, n[at], n_best), np.where(at >= 0, total[at], total_best)
+    rise, hi = p - tb / np.maximum(nb, 1), bound(nb, dc) + bound(n, dc)
+    drift = rise > hi
+    found.append(("hddm", np.arange(len(x)), drift, ~drift & (rise > bound(nb, wc) + bound(n, wc)), rise, hi))
+    tail = (int(k[-1]), float(sum1[-1]), float(sum2[-1]), float(best[-1])) if len(gaps) else (k0, s1, s2, top)
+    new = (int(n[-1]), float(total[-1]), float(pm[-1]), float(sm[-1]), float(lowest[-1]), *tail,
+           int(places[-1]) if len(places) else last_error, int(nb[-1]), float(tb[-1]))
+    return new, found
 
 
 DEFAULTS = {"min_instances": 30, "warning_level": 2.0, "drift_level": 3.0, "beta_drift": 0.90, "beta_warning": 0.95, "min_errors": 10,
@@ -88,21 +108,23 @@ DEFAULTS = {"min_instances": 30, "warning_level": 2.0, "drift_level": 3.0, "beta
 def stream_detectors(stream: DataFrame, **over: float) -> DataFrame:
     """DDM, EDDM and HDDM as keyed state over (method, version, seq, err).
 
-    A new model version is a new key, so its trackers start afresh. Rows of a micro-batch are taken in ``seq`` order;
-    only rows that raise a warning or an alarm are emitted. The state is twelve numbers per key.
+    A new model version is a new key, so its trackers start afresh. Rows of a micro-batch are taken in ``seq`` order and
+    advanced as arrays; only rows that raise a warning or an alarm are emitted. The state is twelve numbers per key.
+    A key's share of one micro-batch is sorted in memory: bound it with the source's ``maxFilesPerTrigger`` or the like;
+    for a backlog use the batch operators, which split a stream over many tasks.
     """
     cfg = {**DEFAULTS, **over}
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = list(state.get) if state.exists else list(START)
-        rows = []
         data = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
-        for seq, err in zip(data["seq"], data["err"]):
-            for name, drift, warn, value, cut in _step(s, min(1.0, max(0.0, float(err))), cfg):
-                if drift or warn:
-                    rows.append((key[0], key[1], seq, name, bool(drift), bool(warn), value, cut))
-        state.update(tuple(s))
-        yield pd.DataFrame(rows, columns=["method", "version", "seq", "detector", "drift", "warning", "value", "threshold"])
+        seq, x = data["seq"].to_numpy(), np.clip(data["err"].to_numpy(dtype=float), 0.0, 1.0)
+        new, found = advance(tuple(state.get) if state.exists else START, x, cfg)
+        state.update(new)
+        for name, where, drift, warn, value, cut in found:
+            show = drift | warn
+            if show.any():
+                yield pd.DataFrame({"method": key[0], "version": key[1], "seq": seq[where[show]], "detector": name, "drift": drift[show],
+                                    "warning": warn[show], "value": value[show], "threshold": cut[show]})
 
     return stream.groupBy("method", "version").applyInPandasWithState(update, DETECTIONS, STATE, "append", GroupStateTimeout.NoTimeout)
 
