@@ -128,6 +128,13 @@ def test_bootstrap_error(spark):
     assert P.bootstrap_auc_se(spark.createDataFrame(pdf.head(40)), [], "seq", n_boot=5).first()["auc_se"] == 0.0
 
 
+def test_bootstrap_error_with_a_heavy_score(spark):
+    pdf = scored(spark, "degraded", 2000)
+    pdf.loc[pdf.seq % 3 == 0, "score"] = 0.3
+    se = [P.bootstrap_auc_se(spark.createDataFrame(pdf), [], "seq", n_boot=25, chunks=k).first()["auc_se"] for k in (1, 8)]
+    assert se[0] == pytest.approx(se[1], abs=1e-12) and se[0] > 0
+
+
 def test_prequential(spark):
     good, bad = scored(spark, "good"), scored(spark, "degraded")
     rows = lambda k: spark.createDataFrame(pd.concat([good.assign(week=0), k.assign(week=1, seq=k.seq + 10**6)]))

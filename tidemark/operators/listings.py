@@ -8,8 +8,11 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.plans.ordered import chunk_by_value, plain, row_index
 from tidemark.plans.sizing import broadcast_if_small
 
+GROUP_LIMIT = 1000  # the planner's own bound for limiting groups before the shuffle
+
 # Fixed values of the listing tables.
 APPLIED = ("submitted", "assisted", "manual")
 NOT_STORED = ("skipped", "failed", "dry_run")
@@ -69,7 +72,10 @@ def dedupe_listings(df: DataFrame, order: str, limit: int | None = None) -> Data
     unique = first_rows(df, ["portal", "job_id"], [order])
     if limit is None:
         return unique
-    # A rank filter: every task keeps at most ``limit`` rows per portal before the shuffle.
+    if limit > GROUP_LIMIT:
+        ranked = row_index(chunk_by_value(unique, order), ["portal"], [order], "_n")
+        return plain(ranked.df.filter(F.col("_n") <= limit).drop("_n"))
+    # A rank filter this small is applied before the shuffle too: a task passes on at most ``limit`` rows per portal.
     w = Window.partitionBy("portal").orderBy(order)
     return unique.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 

@@ -29,6 +29,9 @@ def auc(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "sc
     return out.withColumn(name, F.when(pairs > 0, F.col("_wins") / F.nullif(pairs, F.lit(0.0))).otherwise(0.5)).drop("_wins")
 
 
+SLOTS = 64
+
+
 def _copies(keys: np.ndarray, replicate: int, seed: int) -> np.ndarray:
     """Poisson(1) copies of each row in a replicate, from a mixed 64-bit hash of (row, replicate, seed)."""
     with np.errstate(over="ignore"):
@@ -45,12 +48,16 @@ def bootstrap_auc(df: DataFrame, by: Sequence[str], key: str, label: str = "labe
 
     A row's copies depend on its key and the replicate only, so two models scored on the same rows are
     resampled together. Each score chunk yields one row per replicate (its weights and its concordant
-    pairs); chunks are then combined by a prefix sum. No row is copied.
+    pairs); chunks are then combined by a prefix sum. No row is copied. A score that fills whole chunks by itself is
+    spread over ``SLOTS`` groups, as the weights of tied rows only need to be added.
     """
     by = list(by)
     rows = df.select(*by, F.xxhash64(F.col(key)).alias("_key"), F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
     data = chunk_by_value(rows, "_s", chunks)
-    keep = [*by, CHUNK]
+    tied = F.col("_s").isin(*data.heavy) if data.heavy else F.lit(False)
+    slot = F.when(F.col("_tail") == 0, F.pmod("_key", F.lit(SLOTS)).cast("int")).otherwise(0)
+    data = data.with_df(data.df.withColumn("_tail", F.when(tied, 0).otherwise(1)).withColumn("_slot", slot))
+    keep = [*by, CHUNK, "_tail", "_slot"]
     types = dict(data.df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", replicate int, pos double, neg double, wins double"
 
@@ -68,8 +75,11 @@ def bootstrap_auc(df: DataFrame, by: Sequence[str], key: str, label: str = "labe
         return pd.DataFrame({**head, "replicate": np.arange(n_boot, dtype=np.int32), "pos": out[:, 0], "neg": out[:, 1], "wins": out[:, 2]})
 
     parts = data.df.groupBy(*keep).applyInPandas(chunk_stats, schema)
-    before = Window.partitionBy(*by, "replicate").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    total = parts.withColumn("_before", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    # A heavy score is the lower edge of its chunk, hence before the chunk's other rows.
+    joined = parts.groupBy(*by, CHUNK, "_tail", "replicate").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"))
+    joined = joined.withColumn("wins", F.when(F.col("_tail") == 0, F.col("pos") * F.col("neg") / 2).otherwise(F.col("wins")))
+    before = Window.partitionBy(*by, "replicate").orderBy(CHUNK, "_tail").rowsBetween(Window.unboundedPreceding, -1)
+    total = joined.withColumn("_before", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
     out = total.groupBy(*by, "replicate").agg(
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum(F.col("wins") + F.col("pos") * F.col("_before")).alias("_w"))
     return out.filter((F.col("_p") > 0) & (F.col("_n") > 0)).select(*by, "replicate", (F.col("_w") / (F.col("_p") * F.col("_n"))).alias("auc"))

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; outside a cluster (tests) make a temporary one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; outside a cluster (tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
+    if folder is not None:
+        return folder
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp")
-    context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage so later branches read the same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    Later branches and retried tasks then read the same rows, and the size of the table is known exactly, so that a
+    broadcast can be decided on it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ plain window: the two forms give the same rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -44,12 +45,13 @@ def with_reference(stats: DataFrame, by: Sequence[str], week: str, cols: dict[st
 class Chunked:
     """Rows with a ``_chunk`` column that is a monotone function of the order key."""
 
-    def __init__(self, df: DataFrame, many: bool):
+    def __init__(self, df: DataFrame, many: bool, heavy: Sequence[float] = ()):
         self.df = df
         self.many = many
+        self.heavy = tuple(heavy)  # keys that alone fill more than one chunk
 
     def with_df(self, df: DataFrame) -> "Chunked":
-        return Chunked(df, self.many)
+        return Chunked(df, self.many, self.heavy)
 
 
 def chunk_by_value(df: DataFrame, key: str, chunks: int | None = None, source: DataFrame | None = None) -> Chunked:
@@ -67,13 +69,15 @@ def chunk_by_value(df: DataFrame, key: str, chunks: int | None = None, source: D
         column = (df if source is None else source).select(F.col(key).cast("double").alias("v"))
         if SAMPLE_BYTES < input_bytes(column) < UNKNOWN:
             column = column.sample(0.05, seed=1)
-        edges = sorted(set(column.approxQuantile("v", probs, 1.0 / (4 * count))))
+        found = column.approxQuantile("v", probs, 1.0 / (4 * count))
+        edges = sorted(set(found))
+        heavy = [v for v, times in Counter(found).items() if times > 1]
         if edges:
             splits = [float("-inf"), *edges, float("inf")]
             keyed = df.withColumn("_order_key", F.col(key).cast("double"))
             cut = Bucketizer(splits=splits, inputCol="_order_key", outputCol="_bucket",
                              handleInvalid="keep").transform(keyed)
-            return Chunked(cut.withColumn(CHUNK, F.col("_bucket").cast("int")).drop("_bucket", "_order_key"), True)
+            return Chunked(cut.withColumn(CHUNK, F.col("_bucket").cast("int")).drop("_bucket", "_order_key"), True, heavy)
     return Chunked(df.withColumn(CHUNK, F.lit(0)), False)
 
 
