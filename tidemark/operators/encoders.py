@@ -14,7 +14,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.plans.checkpoints import stable
-from tidemark.plans.ordered import chunk_by_value, null_safe_join, plain, previous, row_index
+from tidemark.plans.ordered import attach_row, chunk_by_value, null_safe_join, plain, previous, row_index
 from tidemark.plans.sizing import broadcast_if_small
 
 UNSEEN, MISSING = -1, -2
@@ -111,7 +111,7 @@ def group_aggregate_encode(df: DataFrame, state: DataFrame, key: str, col: str,
     known = state.filter(F.col("_group").isNotNull()).select(*by, F.col("_group").alias(key), *[F.col(a).alias(f"_k_{a}") for a in names])
     overall = state.filter(F.col("_group").isNull()).select(*by, *[F.col(a).alias(f"_o_{a}") for a in names])
     both = null_safe_join(df, broadcast_if_small(known), [*by, key], "left")
-    both = null_safe_join(both, F.broadcast(overall), list(by), "left") if by else both.crossJoin(F.broadcast(overall))
+    both = null_safe_join(both, F.broadcast(overall), list(by), "left") if by else attach_row(both, overall)
     out = both.select(*df.columns, *[F.coalesce(f"_k_{a}", f"_o_{a}", F.lit(0.0)).alias(n) for a, n in names.items()])
     return out
 

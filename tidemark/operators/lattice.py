@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.operators.performance import auc, f1_at
-from tidemark.plans.ordered import null_safe_join
+from tidemark.plans.ordered import null_safe_join, with_each
 
 # Fixed values of the adaptation setting.
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -120,7 +120,7 @@ def random_action_control(summary: DataFrame, lattice: DataFrame, weeks: DataFra
     budgets = summary.select("policy", (F.col("full_retrains") + F.col("partial_updates")).alias("n_retrains"), "full_retrains", "mean_auc")
     drawn = random_retrains(budgets, weeks, n_samples, seed).join(F.broadcast(budgets.select("policy", "full_retrains")), "policy")
     acts = drawn.select("policy", "sample", "week", F.when(F.col("position") <= F.col("full_retrains"), "full").otherwise("partial").alias("action"))
-    grid = drawn.select("policy", "sample").distinct().crossJoin(F.broadcast(weeks.select("week")))
+    grid = with_each(drawn.select("policy", "sample").distinct(), weeks.select("week"))
     log = grid.join(acts, ["policy", "sample", "week"], "left").fillna("none", ["action"])
     runs = summarise_rewards(score_actions(log, lattice, ("policy", "sample")), ("policy", "sample"))
     both = runs.select("policy", F.col("mean_auc").alias("_r")).join(F.broadcast(budgets.select("policy", "mean_auc")), "policy")

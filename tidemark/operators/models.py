@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.operators.performance import evaluate, tune_threshold
 from tidemark.operators.sampling import hash_rank, stratified_folds, temporal_split
 from tidemark.operators.structure import Scale, fit_scale
-from tidemark.plans.ordered import null_safe_join
+from tidemark.plans.ordered import attach_row, null_safe_join
 from tidemark.sources.tables import exists
 
 
@@ -34,7 +34,7 @@ def balance_weights(df: DataFrame, label: str) -> DataFrame:
     """Weight rows so that both classes weigh the same in total."""
     n = df.agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
     weight = F.when(F.col(label) == 1, (F.col("_p") + F.col("_q")) / (2 * F.greatest("_p", F.lit(1)))).otherwise((F.col("_p") + F.col("_q")) / (2 * F.greatest("_q", F.lit(1))))
-    return df.crossJoin(F.broadcast(n)).withColumn("_weight", weight).drop("_p", "_q")
+    return attach_row(df, n).withColumn("_weight", weight).drop("_p", "_q")
 
 
 @dataclass
@@ -89,7 +89,7 @@ def train_mlp(df: DataFrame, cols: Sequence[str], label: str, key: str, hidden:
     """Perceptron on standardised inputs. It takes no weights, so the classes are balanced by hash-ranked sampling."""
     scale = fit_scale(df, cols)
     small = df.agg(F.least(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).alias("_m"))
-    even = hash_rank(df, key, seed, [label], "_rank").crossJoin(F.broadcast(small)).filter((F.col("_rank") <= F.col("_m")) | (F.col("_m") == 0))
+    even = attach_row(hash_rank(df, key, seed, [label], "_rank"), small).filter((F.col("_rank") <= F.col("_m")) | (F.col("_m") == 0))
     ready = standardised(even, scale).select("features", F.col(label).cast("double").alias("_y"))
     model = MultilayerPerceptronClassifier(layers=[len(cols), *hidden, 2], labelCol="_y", seed=seed, maxIter=max_iter, blockSize=128).fit(ready)
     return Classifier(model, list(cols), scale=scale)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.operators.performance import auc, f1_at
-from tidemark.plans.ordered import null_safe_join
+from tidemark.plans.ordered import null_safe_join, with_each
 
 
 def missing_versions(wanted: DataFrame, versions: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def adopt(triggers: DataFrame) -> DataFrame:
 
 def version_in_force(adoptions: DataFrame, weeks: DataFrame, methods: DataFrame) -> DataFrame:
     """(method, week, version): the last adoption strictly before the week, else the baseline 0."""
-    grid = methods.select("method").crossJoin(F.broadcast(weeks.select("week")))
+    grid = with_each(methods.select("method"), weeks.select("week"))
     marks = adoptions.select("method", F.col("week"), F.col("to_version").alias("_to"))
     w = Window.partitionBy("method").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
     both = grid.join(marks, ["method", "week"], "left")
@@ -114,7 +114,7 @@ def random_control(evaluated: DataFrame, matrix: DataFrame, weeks: DataFrame, n_
     digits, as equal policies may add their weeks in another order.
     """
     drawn = random_retrains(evaluated, weeks, n_samples, seed)
-    grid = (drawn.select("policy", "sample").distinct().crossJoin(F.broadcast(weeks.select("week"))))
+    grid = with_each(drawn.select("policy", "sample").distinct(), weeks.select("week"))
     forced = policy_from_retrains(drawn, grid, ("policy", "sample"))
     scores = evaluate_policies(forced, matrix, ("policy", "sample")).select("policy", "sample", F.col("mean_auc").alias("_r"))
     both = evaluated.select("policy", "mean_auc").join(scores.filter(F.col("_r").isNotNull()), "policy", "left")
@@ -134,7 +134,7 @@ def agreement_jaccard(flags: DataFrame, flag: str = "confirmed_flag") -> DataFra
     both = (hits.withColumnRenamed("method", "method_a").join(hits.withColumnRenamed("method", "method_b"), "week")
             .groupBy("method_a", "method_b").agg(F.count(F.lit(1)).alias("_i")))
     # Method pairs: a dozen names squared.
-    pairs = a.crossJoin(F.broadcast(b)).join(both, ["method_a", "method_b"], "left").fillna(0, ["_i"])
+    pairs = with_each(a, b).join(both, ["method_a", "method_b"], "left").fillna(0, ["_i"])
     union = F.col("_a") + F.col("_b") - F.col("_i")
     j = F.when(F.col("method_a") == F.col("method_b"), 1.0).otherwise(F.try_divide(F.col("_i").cast("double"), union))
     return pairs.select("method_a", "method_b", j.alias("jaccard"))

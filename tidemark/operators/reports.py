@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import normal_cut
+from tidemark.plans.ordered import attach_row, with_each
 
 VOTE_METHODS = ("ks_stats", "psi", "kl_divergence", "shap")
 
@@ -113,7 +114,7 @@ def feature_method_grid(votes: DataFrame, flags: DataFrame, week: int, methods:
     """Features by methods at ``week``: a vote method shows the feature's own drift, another its confirmed flag."""
     own = votes.filter(F.col("week") == week)
     shared = flags.filter((F.col("week") == week) & ~F.col("method").isin(*VOTE_METHODS)).select("method", F.col("confirmed_flag").alias("drift"))
-    rows = own.select("feature", "method", "drift").unionByName(own.select("feature").distinct().crossJoin(F.broadcast(shared)))
+    rows = own.select("feature", "method", "drift").unionByName(with_each(own.select("feature").distinct(), shared))
     return rows.groupBy("feature").agg(*[F.coalesce(F.max(F.when(F.col("method") == m, F.col("drift").cast("int"))), F.lit(0)).alias(m) for m in methods])
 
 
@@ -168,7 +169,7 @@ def feature_agreement_cosine(implicated: DataFrame, methods: DataFrame) -> DataF
     left = counts.select("feature", F.col("method").alias("method_a"), F.col("n").alias("_x"))
     right = counts.select("feature", F.col("method").alias("method_b"), F.col("n").alias("_y"))
     dots = left.join(right, "feature").groupBy("method_a", "method_b").agg(F.sum(F.col("_x") * F.col("_y")).alias("_dot"))
-    pairs = a.crossJoin(F.broadcast(b)).join(dots, ["method_a", "method_b"], "left")
+    pairs = with_each(a, b).join(dots, ["method_a", "method_b"], "left")
     cos = F.coalesce(F.try_divide(F.coalesce("_dot", F.lit(0.0)), F.col("_na") * F.col("_nb")), F.lit(0.0))
     return pairs.select("method_a", "method_b", cos.alias("cosine"))
 
@@ -208,7 +209,7 @@ def prettify(df: DataFrame, col: str, display: DataFrame) -> DataFrame:
     entry = F.struct((-F.length("feature")).alias("l"), F.col("feature").alias("f"), F.col("label").alias("d"))
     one = display.agg(F.array_sort(F.collect_list(entry)).alias("_m"))
     mark = lambda i: F.concat(F.lit("\ue000"), i.cast("string"), F.lit("\ue001"))
-    both = df.crossJoin(F.broadcast(one))
+    both = attach_row(df, one)
     index = F.transform("_m", lambda e, i: F.struct(e["f"].alias("f"), e["d"].alias("d"), mark(i).alias("k")))
     both = both.withColumn("_i", index)
     swap: Column = F.aggregate("_i", F.col(col), lambda acc, e: F.replace(acc, e["f"], e["k"]))

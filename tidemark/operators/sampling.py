@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.plans.ordered import Chunked, chunk_by_hash, chunk_by_value, null_safe_join, plain, row_index
+from tidemark.plans.ordered import Chunked, attach_row, chunk_by_hash, chunk_by_value, null_safe_join, plain, row_index
 
 
 def digest(key: str | Sequence[str], seed: int) -> Column:
@@ -55,7 +55,7 @@ def shuffle_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed
     """Train/eval by shuffled position: the first int(n * fraction) ranks train."""
     ranked = plain(_ranked(df, key, seed, (), chunks).df)
     sizes = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.crossJoin(F.broadcast(sizes))
+    return (attach_row(ranked, sizes)
             .withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(fraction)), "train").otherwise("eval"))
             .drop("_rank", "_digest", "_n"))
 
@@ -76,13 +76,13 @@ def temporal_split(df: DataFrame, order: str, key: str, label: str, fraction: fl
     """
     data = row_index(chunk_by_value(df, order, chunks), [], [order, key], "_pos")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    timed = plain(data.df).crossJoin(F.broadcast(total)).withColumn(
+    timed = attach_row(plain(data.df), total).withColumn(
         "_late", F.col("_pos") > F.floor(F.col("_n") * F.lit(fraction))).drop("_pos", "_n")
     kinds = timed.agg(F.count_distinct(F.when(~F.col("_late"), F.col(label))).alias("_early_kinds"),
                       F.count_distinct(F.when(F.col("_late"), F.col(label))).alias("_late_kinds"))
     ranked = plain(_ranked(timed, key, seed, [label], chunks).df)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    both = null_safe_join(ranked, sizes, [label], "inner").crossJoin(F.broadcast(kinds))
+    both = attach_row(null_safe_join(ranked, sizes, [label], "inner"), kinds)
     usable = (F.col("_early_kinds") >= 2) & (F.col("_late_kinds") >= 2)
     strat_late = F.col("_rank") > F.floor(F.col("_n") * F.lit(fraction))
     return (both.withColumn("is_valid", F.when(usable, F.col("_late")).otherwise(strat_late))

@@ -10,6 +10,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.operators.sampling import bootstrap_bags
+from tidemark.plans.ordered import attach_row
 
 
 def bagged_importance(df: DataFrame, cols: Sequence[str], key: str, fit: Callable[[DataFrame, str, int], Sequence[float]],
@@ -132,7 +133,7 @@ def selection_report(diagnostics: DataFrame, rho: DataFrame, chosen: Sequence[st
     inside = rho.filter(F.col("feature_a").isin(*chosen) & F.col("feature_b").isin(*chosen) & (F.col("feature_a") != F.col("feature_b")))
     top = inside.agg(F.coalesce(F.max("rho"), F.lit(0.0)).alias("max_pairwise_rho"))
     gone = diagnostics.agg(F.count_if(~F.col("monitorable")).alias("n_unmonitorable"))
-    return top.crossJoin(gone).crossJoin(stability).select("stability", "max_pairwise_rho", "n_unmonitorable", F.lit(len(chosen)).alias("n_selected"), F.lit(len(rejected)).alias("n_rejected"))
+    return attach_row(attach_row(top, gone), stability).select("stability", "max_pairwise_rho", "n_unmonitorable", F.lit(len(chosen)).alias("n_selected"), F.lit(len(rejected)).alias("n_rejected"))
 
 
 def select_features(df: DataFrame, cols: Sequence[str], key: str, fit: Callable[[DataFrame, str, int], Sequence[float]], top_k: int = 10,

@@ -227,8 +227,7 @@ def combine_flags(results: DataFrame, weeks: DataFrame, methods: Sequence[str],
 
     ``results`` is (week, method, raw_flag); the grid of weeks and methods is small by nature.
     """
-    names = weeks.sparkSession.createDataFrame([(m,) for m in methods], "method string")
-    grid = weeks.select("week").distinct().crossJoin(F.broadcast(names))
+    grid = weeks.select("week").distinct().withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
     filled = grid.join(results.select("week", "method", "raw_flag"), ["week", "method"], "left").fillna(False, ["raw_flag"])
     return confirm(filled, k, n, reset=reset)
 

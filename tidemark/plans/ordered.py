@@ -22,11 +22,22 @@ CHUNK = "_chunk"
 SAMPLE_BYTES = 4 << 30  # above this, chunk edges are read from a sample
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Puts the columns of a one-row aggregate beside every row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+
+
+def with_each(df: DataFrame, small: DataFrame) -> DataFrame:
+    """Repeats each row of a result table for every row of ``small`` (weeks or method names: a few dozen rows)."""
+    listed = small.agg(F.collect_list(F.struct(*small.columns)).alias("_each"))
+    return attach_row(df, listed).withColumn("_each", F.explode("_each")).select(*df.columns, "_each.*")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on ``keys`` where null equals null; the key columns of ``left`` are kept."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    if not keys:
-        return left.crossJoin(renamed)
+    if not keys:  # one group: the right side is a single row
+        return attach_row(left, renamed)
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 

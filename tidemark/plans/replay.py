@@ -189,7 +189,7 @@ def weekly_replay(raw: DataFrame, encoder: FrozenEncoder, cfg: ReplayConfig) ->
     flag_table = spark.createDataFrame(flags, "week long, method string, model_version long, raw_flag boolean, confirmed_flag boolean, value double, threshold double, names array<string>")
     trigger_table = spark.createDataFrame(triggers, "method string, week long, model_version long, shared_with array<string>, newly_trained boolean, reason string")
     week_table = spark.createDataFrame([(w,) for w in weeks], "week long")
-    grid = spark.createDataFrame([(m,) for m in cfg.methods], "policy string").crossJoin(week_table)
+    grid = week_table.withColumn("policy", F.explode(F.array(*[F.lit(m) for m in cfg.methods]))).select("policy", "week")
     in_force = V.policy_from_retrains(trigger_table.select(F.col("method").alias("policy"), "week"), grid).unionByName(V.reference_policies(week_table))
     policies = V.evaluate_policies(in_force, performance)
     return Replay(monitored, flag_table, trigger_table, V.adopt(trigger_table), performance, policies,

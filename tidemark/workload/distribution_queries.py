@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import distribution as D, sampling as S, windows as W
+from tidemark.plans.ordered import attach_row
 from tidemark.sources.tables import load
 from tidemark.workload.base import DAY_US, EV, LONG, ORD, R, events, feature_long, orders, query, rounded
 
@@ -66,8 +67,8 @@ FROM g, ev GROUP BY g.upto""")
 def _(spark, d):
     ev = events(spark, d).select("week")
     weeks = [r[0] for r in ev.filter("week > 0").select("week").distinct().collect()]
-    parts = [W.cumulative_window(ev, w).agg(F.count(F.lit(1)).alias("n_cumulative")).crossJoin(
-        W.recent_window(ev, w, 4).agg(F.count(F.lit(1)).alias("n_recent"))).select(F.lit(w).cast("long").alias("upto"), "n_cumulative", "n_recent") for w in sorted(weeks)]
+    parts = [attach_row(W.cumulative_window(ev, w).agg(F.count(F.lit(1)).alias("n_cumulative")),
+                        W.recent_window(ev, w, 4).agg(F.count(F.lit(1)).alias("n_recent"))).select(F.lit(w).cast("long").alias("upto"), "n_cumulative", "n_recent") for w in sorted(weeks)]
     return W.stack_windows(*parts)
 
 
@@ -112,7 +113,7 @@ SELECT o_orderkey, label, rk > floor(n * 0.8::DOUBLE) AS is_valid FROM r""")
 def _(spark, d):
     o = load(spark, d, "orders")
     first = o.agg(F.min("o_orderdate").alias("_t0"))
-    o = o.crossJoin(F.broadcast(first)).select("o_orderkey", (F.col("o_orderdate") < F.col("_t0") + F.expr("INTERVAL 300 DAYS")).cast("int").alias("label"),
+    o = attach_row(o, first).select("o_orderkey", (F.col("o_orderdate") < F.col("_t0") + F.expr("INTERVAL 300 DAYS")).cast("int").alias("label"),
                                                F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("_t"))
     return S.temporal_split(o, "_t", "o_orderkey", "label").select("o_orderkey", "label", "is_valid")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import lattice as A, policies as V, reports as R_
 from tidemark.operators.distribution import feature_vote
 from tidemark.operators.streams import confirm, ddm
+from tidemark.plans.ordered import with_each, with_reference
 from tidemark.workload.base import EV, R, error_events, events, query, rounded
 from tidemark.workload.stream_queries import AUC_V, DDM, F1, FLAGS, raw_flags
 
@@ -93,7 +94,7 @@ PF = PF.replace("sum((pm.version IS NULL)::INT)", "sum((auc IS NULL)::INT)")
 def policies(spark, d):
     """(policy, week, version) of every flag sequence and the two reference policies."""
     weeks = week_list(spark, d)
-    grid = method_list(spark, d).withColumnRenamed("method", "policy").crossJoin(F.broadcast(weeks))
+    grid = with_each(method_list(spark, d).withColumnRenamed("method", "policy"), weeks)
     own = V.policy_from_retrains(retrains(spark, d).withColumnRenamed("method", "policy"), grid)
     return own.unionByName(V.reference_policies(weeks))
 
@@ -228,7 +229,7 @@ def _(spark, d):
 UNION ALL SELECT 'always_partial_update', week, 'partial' FROM w UNION ALL SELECT m.method, w.week, CASE WHEN rt.week IS NULL THEN 'none' ELSE 'full' END FROM (SELECT DISTINCT method FROM fl) m CROSS JOIN w LEFT JOIN rt ON rt.method = m.method AND rt.week = w.week""")
 def _(spark, d):
     weeks = week_list(spark, d)
-    grid = method_list(spark, d).withColumnRenamed("method", "policy").crossJoin(F.broadcast(weeks))
+    grid = with_each(method_list(spark, d).withColumnRenamed("method", "policy"), weeks)
     own = A.detector_actions(retrains(spark, d).withColumnRenamed("method", "policy"), grid)
     return A.fixed_schedule(weeks, 2).unionByName(A.constant_action(weeks, "partial", "always_partial_update")).unionByName(own)
 
@@ -249,7 +250,6 @@ def tracked(spark, d):
     """(week, feature, value): relative distance of a group's weekly mean from its reference mean."""
     ev = events(spark, d).withColumn("feature", F.concat_ws("_", "event_type", (F.col("user_id") % 3).cast("string")))
     means = ev.groupBy("feature", "week").agg(F.avg("value").alias("m"))
-    from tidemark.plans.ordered import with_reference
     return with_reference(means, ["feature"], "week", {"m": "r"}).select("week", "feature", (F.abs(F.col("m") - F.col("r")) / F.col("r")).alias("value"))
 
 
