@@ -294,14 +294,18 @@ def _draw(key: str, salt: str, items: str, n: int) -> str:
     return f"({items})[floor({_uni(key, repr(salt))} * {n})::INT + 1]"
 
 
-_ATTR = "[" + ", ".join("{'o': md5(sample_id::VARCHAR || ':source" + str(i) + "'), 't': '" + t.split("{}")[0] + "' || " + _draw("sample_id::VARCHAR", f"name{i}", "[" + ", ".join(f"'{x}'" for x in names) + "]", len(names)) + " || '" + t.split("{}")[1] + "'}"
-                        for i, (t, names) in enumerate(C.SOURCES)) + "]"
-WEB = f"""wb0 AS (SELECT *, list_transform(list_sort({_ATTR})[1:(CASE WHEN {_uni('sample_id::VARCHAR', "'count'")} >= 0.5 THEN 3 ELSE 2 END)], lambda s: s.t) AS src, ({PIECES})[1:5] AS pc FROM tp),
- wb AS (SELECT sample_id, area, array_to_string(list_transform(pc, lambda s, i: src[floor((('0x' || substr(md5(sample_id::VARCHAR || ':credit:' || (i - 1)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE) * len(src))::INT + 1]
+def web_sql(key: str, source: str) -> str:
+    """CTEs ending in ``wb``: the restyled sentences of ``source`` (columns of tp and ``answer``), choices hashed on ``key``."""
+    drawn = ", ".join("{'o': md5(" + key + " || ':source" + str(i) + "'), 't': '" + t.split("{}")[0] + "' || "
+                      + _draw(key, f"name{i}", "[" + ", ".join(f"'{x}'" for x in names) + "]", len(names)) + " || '" + t.split("{}")[1] + "'}"
+                      for i, (t, names) in enumerate(C.SOURCES))
+    count = _uni(key, "'count'")
+    return f"""wb0 AS (SELECT *, list_transform(list_sort([{drawn}])[1:(CASE WHEN {count} >= 0.5 THEN 3 ELSE 2 END)], lambda s: s.t) AS src, ({PIECES})[1:5] AS pc FROM {source}),
+ wb AS (SELECT *, array_to_string(list_transform(pc, lambda s, i: src[floor((('0x' || substr(md5({key} || ':credit:' || (i - 1)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE) * len(src))::INT + 1]
    || ', ' || lower(s) || '. This represents a significant development in ' || area || '.'), ' ') AS content FROM wb0)"""
 
 
-@query("web_content", f"WITH {TOPICS}, {WEB} SELECT sample_id, content FROM wb")
+@query("web_content", f"WITH {TOPICS}, {web_sql('sample_id::VARCHAR', 'tp')} SELECT sample_id, content FROM wb")
 def _(spark, d):
     return topics(spark, d).select("sample_id", C.web_content(F.col("answer"), F.col("area"), F.col("sample_id")).alias("content"))
 
@@ -309,12 +313,25 @@ def _(spark, d):
 PROMPT = "You answer with the help of web search."
 
 
-@query("generate_samples")
+_K = "(sample_id || ':42')"
+_ASK = "[" + ", ".join(f"'{t}'" for t in C.QUERY_TEMPLATES) + "]"
+SAMPLES = f"""{TOPICS}, yr AS (SELECT *, {_draw(_K, 'year', "['2024', '2025', '2026']", 3)} AS y, replace(area, '_', ' ') AS topic FROM tp),
+ fl AS (SELECT sample_id, area, topic, replace(query, '{{year}}', y) AS query, replace(answer, '{{year}}', y) AS answer FROM yr), {web_sql(_K, 'fl')},
+ sm AS (SELECT sample_id, area, '<|system|>' || chr(10) || '{PROMPT}</s>' || chr(10) || '<|user|>' || chr(10) || replace({_draw(_K, 'ask', _ASK, len(C.QUERY_TEMPLATES))}, '{{topic}}', topic) || '</s>' || chr(10)
+   || '<|assistant|>' || chr(10) || '<tool_calls>' || chr(10) || '[{{"name":"web_search","arguments":{{"query":' || to_json(query)::VARCHAR || '}}}}]' || chr(10) || '</tool_calls></s>' || chr(10)
+   || '<|tool|>' || chr(10) || '<tool_results>' || chr(10) || '{{"result":' || to_json(content)::VARCHAR || '}}' || chr(10) || '</tool_results></s>' || chr(10) || '<|assistant|>' || chr(10)
+   || CASE WHEN floor({_uni(_K, "'style'")} * 2) = 0 THEN 'Based on my research, here is a summary of ' || topic || ':' || chr(10) || chr(10) || answer || chr(10) || chr(10) || 'Key takeaways: '
+        || array_to_string(list_transform(({PIECES})[1:3], lambda s: 'The ' || topic || ' sector has seen ' || lower(s) || ', which is noteworthy.'), ' ')
+      ELSE 'I researched ' || topic || ' for you. Here is the summary:' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '## Highlights' || chr(10) || array_to_string(list_transform(({PIECES})[1:4], lambda s: '- ' || lower(s)), chr(10)) END || '</s>' AS text FROM wb)"""
+TOKENS = "len(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12)), '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))::INT"
+
+
+@query("generate_samples", f"WITH {SAMPLES} SELECT sample_id, area, text FROM sm")
 def _(spark, d):
     return C.generate_samples(topics(spark, d), PROMPT)
 
 
-@query("validate_samples")
+@query("validate_samples", f"WITH {SAMPLES}, n AS (SELECT sample_id, {TOKENS} AS n_tokens FROM sm) SELECT sample_id, []::VARCHAR[] AS missing, n_tokens, n_tokens < 4000 AS valid FROM n")
 def _(spark, d):
     return C.validate_samples(C.generate_samples(topics(spark, d), PROMPT)).select("sample_id", "missing", "n_tokens", "valid")
 
