@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import lattice as A, policies as V, reports as R_
@@ -234,10 +236,24 @@ def _(spark, d):
     return A.fixed_schedule(weeks, 2).unionByName(A.constant_action(weeks, "partial", "always_partial_update")).unionByName(own)
 
 
-@query("random_action_control")
+def _again(sql: str) -> str:
+    """The same CTEs under other names, for the random logs."""
+    return re.sub(r"\b(ac|rs0|rs|oc0|oc|su)\b", r"\1_r", sql)
+
+
+RANDOM = f"""WITH {LT}, {ACT}, {OUT},
+ wk2 AS (SELECT DISTINCT week FROM ac), dr AS (SELECT s AS sample, week, row_number() OVER (PARTITION BY s ORDER BY md5(s || ':' || week || ':42'), week) AS pos FROM wk2, (SELECT unnest(range(50)) AS s)),
+ dp AS (SELECT policy, sample, week, CASE WHEN pos <= full_retrains THEN 'full' ELSE 'partial' END AS act FROM dr JOIN su ON pos <= full_retrains + partial_updates),
+ ac_r AS (SELECT g.policy || '#' || g.sample AS policy, wk2.week, coalesce(dp.act, 'none') AS action FROM (SELECT DISTINCT policy, sample FROM dp) g CROSS JOIN wk2 LEFT JOIN dp ON dp.policy = g.policy AND dp.sample = g.sample AND dp.week = wk2.week),
+ {_again(ACT[ACT.index(' rs0 AS'):].strip())}, {_again(OUT)}"""
+
+
+@query("random_action_control", RANDOM + f""" SELECT su.policy, {R('avg((round(su.mean_auc, 9) >= round(su_r.mean_auc, 9))::INT)', 'random_control_pct')}, {R('avg(su_r.mean_auc)', 'random_control_mean_auc')}, count(*) AS n_samples
+FROM su JOIN su_r ON split_part(su_r.policy, '#', 1) = su.policy GROUP BY su.policy""")
 def _(spark, d):
     lat = lattice(spark, d)
-    return A.random_action_control(A.summarise_rewards(A.score_actions(action_log(spark, d), lat)), lat, week_list(spark, d), 50)
+    out = A.random_action_control(A.summarise_rewards(A.score_actions(action_log(spark, d), lat)), lat, week_list(spark, d), 50)
+    return rounded(out, "random_control_pct", "random_control_mean_auc")
 
 
 # --- reports -----------------------------------------------------------------------------------------------------
