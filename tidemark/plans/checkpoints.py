@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; outside a cluster (tests) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is not None:
-        return folder
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp"))
-    return context._jsc.sc().getCheckpointDir().get()
+    """A folder of this application below the one the cluster names.
+
+    Where ``spark.checkpoint.dir`` is unset (tests, one machine) it lies below the warehouse, which every executor reaches
+    too. The folder goes when the application ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    folder = f"{root}/tidemark-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder name in the shared folder that no other table has."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -27,6 +31,14 @@ def stable(df: DataFrame) -> DataFrame:
     Later branches and retried tasks then read the same rows, and the size of the table is known exactly, so that a
     broadcast can be decided on it.
     """
-    path = f"{shared_folder(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stable(df: DataFrame) -> None:
+    """Delete the files of a table that ``stable`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
