@@ -3,7 +3,8 @@
 The ids of a run of documents form one line. Windows of at most ``length`` ids follow each other on it; a window that ends
 at a document costs nothing, at a sentence or at a grid point inside a long sentence a penalty for the truncation, and
 every window costs its padding. With c the position of a cut, cost[j] = min(cost[i] + c[i]) + length - c[j] + penalty[j]
-over the cuts i within reach, and that minimum comes from a monotone queue. Windows of a power of two need no padding.
+over the cuts i within reach, and that minimum comes from a monotone queue. Windows of a
+power of two need no padding, but a penalty keeps them few.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.batches import only, rows, slices, texts
-from tidemark.llm.word_ids import WordIds, lengths
+from tidemark.llm.word_ids import BATCH_BYTES, WordIds, lengths
 
 LENGTH = 1024
-GRID = 32
+GRID = 64
 SENTENCE_PENALTY = 2.0
 GRID_PENALTY = 12.0
+SHORT_PENALTY = 16.0
 
 
 def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +42,7 @@ def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int = GRID
 def best_cuts(points: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Ends of the windows that minimise padding plus penalties from the first point to the last."""
     n = len(points)
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
+    powers = [length >> k for k in range(1, 4) if length & (length - 1) == 0] or [length]
     at = np.searchsorted(points, points[None, :] - np.array(powers)[:, None])
     exact = np.where(points[np.minimum(at, n - 1)] == points[None, :] - np.array(powers)[:, None], at, -1)
     some = (exact >= 0).any(axis=0).tolist()
@@ -56,8 +58,8 @@ def best_cuts(points: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> np
         value += length - c
         if some[j]:
             for k in exact_of[j].tolist():
-                if k >= 0 and best[k] < value:
-                    value, i = best[k], k
+                if k >= 0 and best[k] + SHORT_PENALTY < value:
+                    value, i = best[k] + SHORT_PENALTY, k
         value += cost_of[j]
         best[j], back[j] = value, i
         key = value + c
@@ -86,14 +88,14 @@ def pieces(ids: np.ndarray, doc_ends: np.ndarray, cuts: np.ndarray) -> dict[str,
 def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): one row per piece of a document in a sequence.
 
-    Documents are packed in the order of the input's partitions, without a shuffle; each stretch of at most 16 MB of text is
+    Documents are packed in the order of the input's partitions, without a shuffle; each stretch of at most 4 MB of text is
     a line of its own, so memory doesn't grow with the input and the last window of a stretch alone may be padded more.
     A sequence's id is the partition's number and a running number. Null and empty texts are the end id alone; repeated rows
     are packed each; a document longer than a window is cut. An empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first = WordIds(tokenizer), TaskContext.get().partitionId() << 32
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH_BYTES):
             encoded = words.encode(texts(batch))
             sizes = lengths(encoded)
             before = np.cumsum(sizes)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, secret_scan, token_frames
+from tidemark.llm import langid, mixing, packing, secret_scan, token_frames, toxicity
 from tidemark.llm.batches import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,16 +25,24 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predict(load(spark, folder, "documents"))
+
+
 def op8_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     return token_frames.token_files(load(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.predict(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(load(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_packing, op8_token_frames, op9_source_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_packing, op6_language_id, op8_token_frames, op9_source_mix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

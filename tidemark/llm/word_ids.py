@@ -1,21 +1,27 @@
-"""Token ids of whole texts with the tokenizers library, encoding each distinct part of a text once per task.
+"""Token ids of whole texts with the tokenizers library, encoding each distinct word once per task.
 
 A byte-level tokenizer that keeps a leading space with its word, and one that drops white space, both read a text cut at
-single spaces between two other characters as the parts read alone. So each distinct part is encoded once, and a text's
-ids are looked up. Spaces beside other white space are no such cut: texts that hold one are cut elsewhere only.
+single spaces (and before single line ends) between two other characters as the parts read alone. They also read a run of
+letters and a run of marks behind it one after the other. So the letters are encoded once for all marks that follow them,
+many words in one call, and a text's ids are looked up. Spaces beside other white space are no such cut: texts that hold
+one are cut elsewhere only.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ENDS = (".", "!", "?", ".\"", "!\"", "?\"", "\n")
-CACHE_PARTS = 500_000
+MARKS = ".,;:!?"
+ENDS = (".", "!", "?", ".\"", "!\"", "?\"")
+CACHE_PARTS = 250_000
+AT_ONCE = 4_096
+BATCH_BYTES = 4 << 20
 
 
 @dataclass
@@ -27,15 +33,19 @@ class Encoded:
 
 
 class _Cache(dict):
+    """Number of a part; a new part gets the next number and waits to be encoded."""
+
     def __init__(self, owner: "WordIds", space: bool, strict: bool):
         super().__init__()
-        self.owner, self.space, self.strict = owner, space, strict
+        self.waiting, self.owner, self.space, self.strict = owner.waiting, owner, space, strict
 
     def __missing__(self, part: str) -> int:
-        if self.strict and (not part or part[0].isspace() or part[-1].isspace()):
+        body = part[1:] if part[:1] == "\n" else part
+        if self.strict and (not body or body[0].isspace() or body[-1].isspace()):
             at = -1  # a space beside other white space
         else:
-            at = self.owner.add(" " + part if self.space else part)
+            at = self.owner.size + len(self.waiting)
+            self.waiting.append((part, self.space))
         self[part] = at
         return at
 
@@ -53,45 +63,91 @@ class WordIds:
         if not (keeps or drops):
             raise ValueError("how this tokenizer treats spaces is not known")
         self.keeps_space, self.limit = keeps, cache_parts
+        size = self.tokenizer.get_vocab_size()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        # Marks where a word begins (keeps) or ends (drops) in the ids of many words.
+        self.edge = np.array([n.startswith("Ġ") if keeps else n.endswith("</w>") for n in names])
+        self.marks: dict[str, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
+        self.waiting: list[tuple[str, bool]] = []
         strict = self.keeps_space
         self.first, self.rest = _Cache(self, False, strict), _Cache(self, self.keeps_space, strict)
         self.odd_first, self.odd_rest = _Cache(self, False, False), _Cache(self, self.keeps_space, False)
-        self.waiting: list[str] = []
+        self.words: dict[str, bytes] = {}
         self.size = self.used = 0
         self.start = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int64)
         self.ends = np.zeros(1024, bool)
         self.flat = np.zeros(4096, np.uint32)
 
-    def add(self, part: str) -> int:
-        self.waiting.append(part)
-        return self.size + len(self.waiting) - 1
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            self.marks[text] = self._alone(text) if text else b""
+        return self.marks[text]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new runs of letters, each with a space before it."""
+        for i in range(0, len(words), AT_ONCE):
+            some = words[i:i + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            edges = np.nonzero(self.edge[ids])[0]
+            begins = edges if self.keeps_space else np.concatenate([[0], edges[:-1] + 1])
+            if len(begins) != len(some):  # a letter that the tokenizer's normal form splits
+                alone = self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False)
+                self.words.update({w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(some, alone)})
+                continue
+            data, cuts = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+            self.words.update({w: data[a:b] for w, a, b in zip(some, cuts, cuts[1:])})
+
+    def _stays_letters(self, core: str) -> bool:
+        """Whether a normal form with small letters is a run of letters still."""
+        return self.keeps_space or core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha()
 
     def _encode_waiting(self) -> None:
         if not self.waiting:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch(self.waiting, add_special_tokens=False)]
+        whole: list[tuple[int, str]] = []
+        split: list[tuple[int, str, str]] = []
+        for i, (part, space) in enumerate(self.waiting):
+            core = part.rstrip(MARKS)
+            if core.isalpha() and (space or not self.keeps_space) and self._stays_letters(core):
+                split.append((i, core.lower() if not self.keeps_space and core.isascii() else core, part[len(core):]))
+            else:
+                whole.append((i, " " + part if space and part[:1] != "\n" else part))
+        new = list({core for _, core, _ in split if core not in self.words})
+        self._learn(new)
+        found: list[bytes] = [b""] * len(self.waiting)
+        for i, core, marks in split:
+            found[i] = self.words[core] + self._mark(marks) if marks else self.words[core]
+        for i in range(0, len(whole), AT_ONCE):
+            some = whole[i:i + AT_ONCE]
+            for (at, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                found[at] = np.array(e.ids, np.uint32).tobytes()
+        self._store([part for part, _ in self.waiting], found)
+        self.waiting.clear()
+
+    def _store(self, parts: list[str], ids: list[bytes]) -> None:
         n = len(ids)
-        counts = np.fromiter(map(len, ids), np.int64, n)
+        counts = np.fromiter(map(len, ids), np.int64, n) // 4
         total = int(counts.sum())
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, total)
         for name, need in (("start", self.size + n), ("count", self.size + n), ("ends", self.size + n), ("flat", self.used + total)):
             old = getattr(self, name)
             if need > len(old):
-                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, len(old) * 3 // 2) - len(old), old.dtype)]))
         self.start[self.size:self.size + n] = self.used + np.cumsum(counts) - counts
         self.count[self.size:self.size + n] = counts
-        self.ends[self.size:self.size + n] = np.fromiter((p.endswith(ENDS) for p in self.waiting), bool, n)
-        self.flat[self.used:self.used + total] = flat
+        self.ends[self.size:self.size + n] = np.fromiter((p.endswith(ENDS) for p in parts), bool, n)
+        self.flat[self.used:self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
         self.size += n
         self.used += total
-        self.waiting = []
 
     def _places(self, text: str) -> np.ndarray:
-        parts = text.split(" ")
+        parts = text.replace("\n", " \n").split(" ")
         found = np.fromiter(map(self.rest.__getitem__, parts), np.int64, len(parts))
         if self.keeps_space:
             found[0] = self.first[parts[0]]
