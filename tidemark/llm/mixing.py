@@ -13,7 +13,7 @@ from tidemark.llm.batches import only
 from tidemark.plans.checkpoints import stable
 
 WORD = r"[^\x20\x09-\x0D]+"
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_096
 MAX_EPOCHS = 3
 HEAD = 2 ** 32
 
