@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, packing, secret_scan, token_frames, toxicity
+from tidemark.llm import langid, mixing, packing, secret_scan, sketch_dedup, token_frames, toxicity
 from tidemark.llm.batches import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
 
 
+def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch_dedup.near_duplicates(load(spark, folder, "documents"), width=3, percent=85)
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(load(spark, folder, "documents"))
 
@@ -42,7 +46,7 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_packing, op6_language_id, op8_token_frames, op9_source_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_packing, op5_minhash_dedup, op6_language_id, op8_token_frames, op9_source_mix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
