@@ -10,7 +10,6 @@ power of two need no padding, but a penalty keeps them few.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.batches import only, rows, slices, texts
-from tidemark.llm.word_ids import BATCH_BYTES, WordIds, lengths
+from tidemark.llm.word_ids import BATCH_BYTES, lengths, word_ids
 
 LENGTH = 1024
 GRID = 64
@@ -42,30 +41,33 @@ def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int = GRID
 def best_cuts(points: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Ends of the windows that minimise padding plus penalties from the first point to the last."""
     n = len(points)
-    powers = [length >> k for k in range(1, 4) if length & (length - 1) == 0] or [length]
-    at = np.searchsorted(points, points[None, :] - np.array(powers)[:, None])
-    exact = np.where(points[np.minimum(at, n - 1)] == points[None, :] - np.array(powers)[:, None], at, -1)
-    some = (exact >= 0).any(axis=0).tolist()
-    exact_of = exact.T
     place, cost_of = points.tolist(), costs.tolist()
+    shorter = []  # for windows of a half and a quarter: the point that far back, or none
+    for power in ((length >> 1, length >> 2) if length & (length - 1) == 0 else (length, length)):
+        at = np.searchsorted(points, points - power)
+        shorter.append(np.where(points[np.minimum(at, n - 1)] == points - power, at, -1).tolist())
     best, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int, int]] = deque([(float(place[0]), place[0], 0)])  # (cost + position, position, index), rising in both
-    for j in range(1, n):
-        c = place[j]
-        while queue[0][1] < c - length:
-            queue.popleft()
-        value, _, i = queue[0]
-        value += length - c
-        if some[j]:
-            for k in exact_of[j].tolist():
-                if k >= 0 and best[k] + SHORT_PENALTY < value:
-                    value, i = best[k] + SHORT_PENALTY, k
-        value += cost_of[j]
+    keys, who, head = [float(place[0])], [0], 0  # the queue: cost + position, rising, and whose
+    for j, (c, cost, half, quarter) in enumerate(zip(place, cost_of, *shorter)):
+        if not j:
+            continue
+        far = c - length
+        while place[who[head]] < far:
+            head += 1
+        i = who[head]
+        value = keys[head] - far
+        if half >= 0 and best[half] + SHORT_PENALTY < value:
+            value, i = best[half] + SHORT_PENALTY, half
+        if quarter >= 0 and best[quarter] + SHORT_PENALTY < value:
+            value, i = best[quarter] + SHORT_PENALTY, quarter
+        value += cost
         best[j], back[j] = value, i
         key = value + c
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, c, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            who.pop()
+        keys.append(key)
+        who.append(j)
     cuts, j = [], n - 1
     while j > 0:
         cuts.append(place[j])
@@ -94,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     are packed each; a document longer than a window is cut. An empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first = WordIds(tokenizer), TaskContext.get().partitionId() << 32
+        words, first = word_ids(tokenizer), TaskContext.get().partitionId() << 32
         for batch in slices(batches, limit=BATCH_BYTES):
             encoded = words.encode(texts(batch))
             sizes = lengths(encoded)

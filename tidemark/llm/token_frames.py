@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.batches import only, rows, slices, texts
-from tidemark.llm.word_ids import BATCH_BYTES, WordIds, lengths
+from tidemark.llm.word_ids import BATCH_BYTES, lengths, word_ids
 from tidemark.plans.checkpoints import new_folder, stable
 
 SKIPPABLE = 0x184D2A5E  # one of the magic numbers of skippable frames
@@ -141,7 +141,7 @@ def write_frames(docs: DataFrame, tokenizer: str, folder: str, *, doc_id: str =
         words = writer = None
         for batch in slices(batches, limit=BATCH_BYTES):
             if writer is None:
-                words = WordIds(tokenizer)
+                words = word_ids(tokenizer)
                 id_bytes = 2 if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                 shard = TaskContext.get().partitionId()
                 files, path = open_folder(folder)

@@ -1,4 +1,4 @@
-"""Token ids of whole texts with the tokenizers library, encoding each distinct word once per task.
+"""Token ids of whole texts with the tokenizers library, encoding each distinct word once as long as it is remembered.
 
 A byte-level tokenizer that keeps a leading space with its word, and one that drops white space, both read a text cut at
 single spaces (and before single line ends) between two other characters as the parts read alone. They also read a run of
@@ -13,13 +13,14 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MARKS = ".,;:!?"
 ENDS = (".", "!", "?", ".\"", "!\"", "?\"")
-CACHE_PARTS = 250_000
+CACHE_PARTS = 500_000
 AT_ONCE = 4_096
 BATCH_BYTES = 4 << 20
 
@@ -68,6 +69,7 @@ class WordIds:
         # Marks where a word begins (keeps) or ends (drops) in the ids of many words.
         self.edge = np.array([n.startswith("Ġ") if keeps else n.endswith("</w>") for n in names])
         self.marks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -75,7 +77,6 @@ class WordIds:
         strict = self.keeps_space
         self.first, self.rest = _Cache(self, False, strict), _Cache(self, self.keeps_space, strict)
         self.odd_first, self.odd_rest = _Cache(self, False, False), _Cache(self, self.keeps_space, False)
-        self.words: dict[str, bytes] = {}
         self.size = self.used = 0
         self.start = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int64)
@@ -106,24 +107,29 @@ class WordIds:
 
     def _stays_letters(self, core: str) -> bool:
         """Whether a normal form with small letters is a run of letters still."""
-        return self.keeps_space or core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha()
+        return core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha()
 
     def _encode_waiting(self) -> None:
         if not self.waiting:
             return
         whole: list[tuple[int, str]] = []
         split: list[tuple[int, str, str]] = []
+        keeps, words, new = self.keeps_space, self.words, {}
         for i, (part, space) in enumerate(self.waiting):
             core = part.rstrip(MARKS)
-            if core.isalpha() and (space or not self.keeps_space) and self._stays_letters(core):
-                split.append((i, core.lower() if not self.keeps_space and core.isascii() else core, part[len(core):]))
+            if core.isalpha() and (space or not keeps) and (keeps or self._stays_letters(core)):
+                marks = part[len(core):]
+                if not keeps and core.isascii():
+                    core = core.lower()
+                split.append((i, core, marks))
+                if core not in words:
+                    new[core] = None
             else:
                 whole.append((i, " " + part if space and part[:1] != "\n" else part))
-        new = list({core for _, core, _ in split if core not in self.words})
-        self._learn(new)
+        self._learn(list(new))
         found: list[bytes] = [b""] * len(self.waiting)
         for i, core, marks in split:
-            found[i] = self.words[core] + self._mark(marks) if marks else self.words[core]
+            found[i] = words[core] + self._mark(marks) if marks else words[core]
         for i in range(0, len(whole), AT_ONCE):
             some = whole[i:i + AT_ONCE]
             for (at, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
@@ -160,6 +166,8 @@ class WordIds:
     def encode(self, texts: list[str]) -> Encoded:
         if self.size > self.limit:
             self._reset()
+        if len(self.words) > self.limit:
+            self.words.clear()
         places = [self._places(t) if t else np.zeros(0, np.int64) for t in texts]
         self._encode_waiting()
         docs = np.fromiter(map(len, places), np.int64, len(places))
@@ -170,6 +178,12 @@ class WordIds:
         return Encoded(ids, counts, self.ends[at], docs)
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """The encoder of a worker process; what it has learned serves the tasks that follow."""
+    return WordIds(path)
+
+
 def lengths(encoded: Encoded) -> np.ndarray:
     """Ids in each text."""
     upto = np.concatenate([[0], np.cumsum(encoded.parts)])
