@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import langid, mixing, packing, secret_scan, sketch_dedup, token_frames, topk, toxicity
+from tidemark.llm import langid, mixing, packing, secret_scan, sketch_dedup, token_frames, topk, toxicity, vector_dedup
 from tidemark.llm.batches import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(load(spark, folder, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op3_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_duplicates(load(spark, folder, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
 
@@ -50,7 +54,7 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_exact_topk, op4_packing, op5_minhash_dedup, op6_language_id, op8_token_frames, op9_source_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_exact_topk, op3_vector_dedup, op4_packing, op5_minhash_dedup, op6_language_id, op8_token_frames, op9_source_mix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
