@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import langid, mixing, packing, secret_scan, sketch_dedup, token_frames, topk, toxicity, vector_dedup
+from tidemark.llm import langid, lattice_lm, mixing, packing, secret_scan, sketch_dedup, token_frames, topk, toxicity, vector_dedup
 from tidemark.llm.batches import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(load(spark, folder, "documents"))
 
 
+def op7_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_lm.predict(load(spark, folder, "documents"), public_tokenizers.path(PIECES))
+
+
 def op8_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     return token_frames.token_files(load(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
@@ -54,7 +59,7 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_exact_topk, op3_vector_dedup, op4_packing, op5_minhash_dedup, op6_language_id, op8_token_frames, op9_source_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_exact_topk, op3_vector_dedup, op4_packing, op5_minhash_dedup, op6_language_id, op7_lattice_lm, op8_token_frames, op9_source_mix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
