@@ -1,3 +1,62 @@
-"""placeholder"""
-ORACLE_SQL = None
-run = None
+"""From raw documents to packed sequences: language, near-duplicates, secrets, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Extra columns pass through; all
+stages but the last return the columns they were given.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.llm import langid, mixing, packing, secret_scan, sketch_dedup
+from tidemark.llm.batches import load
+from tidemark.plans.checkpoints import stable
+
+LEAST_LANGUAGE_SCORE = 0.5
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known: not ``und``, and with a mean marginal of a half or more."""
+    return langid.keep(docs, langid.learn(docs), LEAST_LANGUAGE_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id. Rows that repeat id and text become one."""
+    found = stable(sketch_dedup.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT))
+    left = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = stable(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    repeats = left.join(again, left["doc_id"].eqNullSafe(again["_again"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, left["doc_id"].eqNullSafe(again["_again"]), "left_anti").unionByName(repeats)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with their secrets replaced by a mark, and ``n_chars`` brought up to date."""
+    clean = secret_scan.redact(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole copy; documents of which it takes less than half go."""
+    shares = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    copies = shares.select("_id", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_copies")).filter("_copies > 0")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 ids; see ``packing.pack``."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", keep_languages), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("mix", mix_sources), ("pack", pack_sequences)]
+
+ORACLE_SQL = None  # the language model, the union sketches and the tokenizer have no SQL form; tests/llm holds a brute-force run
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

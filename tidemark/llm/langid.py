@@ -56,6 +56,20 @@ def fit(rows_: list[tuple[str, str]], *, lexicon_words: int = LEXICON_WORDS, **o
     return crf.train(sequences, tags, labels, lexicons, **options)
 
 
+def _predicted(batches: Iterator[pa.RecordBatch], model: crf.Model | None, text: str) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """Each batch with its texts' languages and scores."""
+    tagger = crf.Tagger(model) if model else None
+    for batch in slices(batches, text, crf.BATCH_BYTES):
+        if tagger is None:
+            yield batch, [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            continue
+        marginals, letters, sizes = tagger(texts(batch, text))
+        count = crf.by_text(letters.astype(float), sizes)
+        mean = crf.by_text(marginals * letters[:, None], sizes) / np.maximum(count, 1)[:, None]
+        best = mean.argmax(axis=1)
+        yield batch, [model.labels[b] if c else UNKNOWN for b, c in zip(best, count)], np.clip(np.where(count > 0, mean[np.arange(len(best)), best], 0.0), 0.0, 1.0)
+
+
 def identify(docs: DataFrame, model: crf.Model | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row, in one pass without a shuffle.
 
@@ -65,21 +79,22 @@ def identify(docs: DataFrame, model: crf.Model | None, *, doc_id: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = crf.Tagger(shared.value) if shared.value else None
-        for batch in slices(batches, limit=crf.BATCH_BYTES):
-            if tagger is None:
-                yield rows(doc_id=batch.column("doc_id"), lang_pred=[UNKNOWN] * batch.num_rows, score=[0.0] * batch.num_rows)
-                continue
-            marginals, letters, sizes = tagger(texts(batch))
-            count = crf.by_text(letters.astype(float), sizes)
-            mean = crf.by_text(marginals * letters[:, None], sizes) / np.maximum(count, 1)[:, None]
-            best = mean.argmax(axis=1)
-            yield rows(doc_id=batch.column("doc_id"), lang_pred=[shared.value.labels[b] if c else UNKNOWN for b, c in zip(best, count)],
-                       score=np.clip(np.where(count > 0, mean[np.arange(len(best)), best], 0.0), 0.0, 1.0))
+        for batch, found, score in _predicted(batches, shared.value, "text"):
+            yield rows(doc_id=batch.column("doc_id"), lang_pred=found, score=score)
     source = only(docs, doc_id=doc_id, text=text)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: crf.Model | None, least: float, *, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found, score in _predicted(batches, shared.value, text):
+            yield batch.filter(pa.array([f != UNKNOWN and s >= least for f, s in zip(found, score)], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_words(text: str, model: crf.Model) -> list[tuple[str, str, float]]:
     """(word, language, marginal) of each word of one text."""
     marginals, _, _ = crf.Tagger(model)([text])
