@@ -27,15 +27,15 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
-def sample(docs: DataFrame, label: str, per_label: int) -> list[tuple[str, object]]:
-    """(text, label) of at most ``per_label`` rows of each label: those with the smallest hash of the id.
+def sample(marked: DataFrame, docs: DataFrame, label: str, per_label: int) -> list[tuple[str, object]]:
+    """(text, label) of at most ``per_label`` rows of each label in ``marked`` (doc_id, label): those with the smallest hash of the id.
 
-    Only ids and labels are ranked, and Spark keeps ``per_label`` rows of a label per partition before it moves any.
+    Only ids and labels are ranked, and Spark keeps ``per_label`` rows of a label per partition before it moves any; no text is shuffled.
     """
     ranked = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-    few = docs.select("doc_id", label).withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= per_label)
-    chosen = F.broadcast(few.groupBy("doc_id", label).agg(F.first("_rank").alias("_rank")))  # per_label rows of each label
-    found = docs.join(chosen, ["doc_id", label]).select("text", label, "_rank").collect()
+    few = marked.select("doc_id", label).withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= per_label)
+    chosen = F.broadcast(few.groupBy("doc_id", label).agg(F.min("_rank").alias("_rank")))  # per_label rows of each label
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", label, "_rank").collect()
     return [(r["text"] or "", r[label]) for r in sorted(found, key=lambda r: (str(r[label]), r["_rank"], r["text"] or ""))]
 
 
@@ -104,7 +104,7 @@ def label_words(text: str, model: crf.Model) -> list[tuple[str, str, float]]:
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, folds: int = 5) -> crf.Model | None:
     """A model from at most ``per_language`` whole documents of each language, none of the held-out fold."""
     labelled = only(docs, doc_id=doc_id, text=text, lang=lang).filter((remainder(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return fit(sample(labelled, "lang", per_language))
+    return fit(sample(labelled, labelled, "lang", per_language))
 
 
 def predict(docs: DataFrame, **options) -> DataFrame:

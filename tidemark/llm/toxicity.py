@@ -147,8 +147,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if not (counts.get(0) and counts.get(1)):
         return None
-    joined = only(docs, doc_id=doc_id, text=text).join(marked, "doc_id")
-    return fit(sample(joined, "toxic", per_label), counts[1] / (counts[0] + counts[1]))
+    source = only(docs, doc_id=doc_id, text=text)
+    present = marked.join(source.select("doc_id"), "doc_id", "left_semi")
+    return fit(sample(present, source, "toxic", per_label), counts[1] / (counts[0] + counts[1]))
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
