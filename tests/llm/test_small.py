@@ -214,12 +214,14 @@ def test_minhash_dedup(spark, docs, width, percent):
     assert by_id(sketch_dedup.near_duplicates(table, width=width, percent=percent)) == brute_near(texts, width, percent)
 
 
-def test_remaining_pairs_in_blocks(spark):
-    sets = {bytes([i]) * 16: np.unique(np.random.default_rng(i % 3).integers(0, 1 << 60, 64).astype(np.uint64)) for i in range(30)}
-    classes = spark.createDataFrame([(f, bytearray(s[:32].tobytes())) for f, s in sets.items()], "f binary, sketch binary")
-    lists = spark.createDataFrame([(1, f, True) for f in sets], "list long, f binary, open boolean")
-    pairs = {frozenset((bytes(r["a"])[0], bytes(r["b"])[0])) for r in sketch_dedup.remaining_pairs(lists, classes, 0.5, block=7).collect()}
-    assert pairs == {frozenset((a, b)) for a in range(30) for b in range(a) if a % 3 == b % 3}
+def test_remaining_links_in_blocks(spark):
+    sets = {bytes([i]) * 16: np.unique(np.r_[np.random.default_rng(i % 3).integers(0, 1 << 60, 64), np.random.default_rng(100 + i).integers(0, 1 << 60, 4)].astype(np.uint64)) for i in range(30)}
+    table = spark.createDataFrame([(f, bytearray(s.tobytes()), len(s)) for f, s in sets.items()], "f binary, shingles binary, n_shingles long")
+    lists = spark.createDataFrame([(1, f, f if f[0] > 4 else bytes([f[0] % 3]) * 16) for f in sets], "list long, f binary, root binary")
+    for block in (7, 100):
+        edges = [(bytes(r["a"])[0], bytes(r["b"])[0]) for r in sketch_dedup.remaining_links(lists, table, table.select("f", "shingles"), 80, block=block).collect()]
+        assert all(a % 3 == b % 3 for a, b in edges) and len(edges) < 120
+        assert components(30, edges + [(3, 0), (4, 1)]) == [i % 3 for i in range(30)]
 
 
 def test_shared_least():

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.plans.checkpoints import drop_stable, stable
 
 
+def tree(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(row or column, smallest number that the links in ``close`` reach) for the numbered rows and columns with a link: a tree instead of all links."""
+    high = np.iinfo(np.int64).max
+    a, b = left.copy(), right.copy()
+    while True:
+        b2 = np.minimum(b, np.where(close, a[:, None], high).min(axis=0))
+        a2 = np.minimum(a, np.where(close, b2[None, :], high).min(axis=1))
+        if (a2 == a).all() and (b2 == b).all():
+            both = np.stack([np.concatenate([left, right]), np.concatenate([a, b])], axis=1)
+            return both[both[:, 0] != both[:, 1]]
+        a, b = a2, b2
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -8,27 +8,28 @@ shingle sets are one class from the start.
 In each list the classes are held against one leader. The smallest hashes of the union of two sketches estimate the
 similarity, pairs that may be similar are verified on their full sets. With 1 - Jaccard being a metric, a class linked to
 the leader can only link to one within twice the distance limit of it; where a list has none of those, its linked classes
-are done. What remains goes through another round, and then all its pairs are estimated in blocks. So a group of near
-copies costs one comparison for each, not one for each pair.
+are done. What remains of the lists, as far as links have not joined it yet, is compared exactly in blocks, and each block
+gives a tree of its links. So a group of near copies costs about one comparison for each and never a row for each pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.batches import only, slices
-from tidemark.llm.components import connected
+from tidemark.llm.components import connected, tree
 from tidemark.plans.checkpoints import drop_stable, stable
 
 SKETCH = 32
 MISS = 1e-7
-ROUNDS = 2
 BLOCK = 1_000
+BLOCK_SHINGLES = 1_000_000
+COLUMNS = 4_096
 CACHE_WORDS = 400_000
 ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -178,46 +179,74 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def leader_round(lists: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Holds every list's classes against its smallest unfinished one; gives what was verified and what is left of the lists."""
+    """Holds every list's classes against its smallest one; gives what was verified and what is left of the lists."""
     limit = 1 - percent / 100
-    lead = lists.filter("open").groupBy("list").agg(F.min("f").alias("leader"))
-    led = stable(lists.join(lead, "list"))
+    led = stable(lists.join(lists.groupBy("list").agg(F.min("f").alias("leader")), "list"))
     pairs = led.filter("f <> leader").select(F.col("f").alias("a"), F.col("leader").alias("b")).distinct()
     checked = stable(verified(near_pairs(pairs, classes, shared_least(1 - 2 * limit) / SKETCH), sets))
     far = 2 * limit + 1e-9
     known = checked.select(F.col("a").alias("f"), F.col("b").alias("leader"), (1 - F.col("both") / F.col("any")).alias("d"),
                            (100 * F.col("both") >= percent * F.col("any")).alias("linked"))
+    own = F.col("f") == F.col("leader")
     placed = led.join(known, ["f", "leader"], "left").select(
-        "list", "f", (F.col("open") & (F.col("f") != F.col("leader")) & ~F.coalesce("linked", F.lit(False))).alias("open"),
-        (F.col("open") & (F.col("linked") | (F.col("f") == F.col("leader")))).alias("now"), F.when(F.col("f") == F.col("leader"), 0.0).otherwise(F.coalesce("d", F.lit(far))).alias("d"))
-    rest = placed.filter("open").groupBy("list").agg(F.min("d").alias("nearest"), F.count(F.lit(1)).alias("n_open"))
-    kept = placed.join(rest, "list").filter(F.col("open") | ~F.coalesce("now", F.lit(False)) | (F.col("d") + limit + 1e-9 >= F.col("nearest")))
-    alive = kept.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("list")
-    return checked, stable(kept.join(alive, "list").select("list", "f", "open"))
+        "list", "f", (own | F.coalesce("linked", F.lit(False))).alias("done"), F.when(own, 0.0).otherwise(F.coalesce("d", F.lit(far))).alias("d"))
+    rest = placed.filter(~F.col("done")).groupBy("list").agg(F.min("d").alias("nearest"))
+    kept = placed.join(rest, "list").filter(~F.col("done") | (F.col("d") + limit + 1e-9 >= F.col("nearest")))
+    return checked, kept.select("list", "f")
+
+
+def _both(rows_: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of each set in ``rows_`` with each in ``columns``, as products of membership matrices over the shared hashes."""
+    out = np.zeros((len(rows_), len(columns)), np.float32)
+    values, at = np.unique(np.concatenate([*rows_, *columns]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows_) + len(columns)), [len(s) for s in (*rows_, *columns)])
+    inside = np.bincount(at[owner < len(rows_)], minlength=len(values)) * np.bincount(at[owner >= len(rows_)], minlength=len(values)) > 0
+    place = np.cumsum(inside) - 1
+    hit = inside[at]
+    column, owner = place[at[hit]], owner[hit]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = int(inside.sum())
+    for start in range(0, total, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        member = np.zeros((len(rows_) + len(columns), min(COLUMNS, total - start)), np.float32)
+        member[owner[a:b], column[a:b] - start] = 1
+        out += member[:len(rows_)] @ member[len(rows_):].T
+    return out
+
 
+def remaining_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links within the lists (list, f, root) between classes of different roots, as trees.
 
-def remaining_pairs(lists: DataFrame, classes: DataFrame, least: float, size: int = SKETCH, block: int = BLOCK) -> DataFrame:
-    """Pairs with an unfinished class that may be similar, of all lists; a long list is cut into blocks and each two blocks meet in a task."""
+    A long list is cut into blocks and each two blocks meet in a task. Only classes outside a meeting's commonest root are
+    compared with the others, and the sets decide; no pairs are handed on.
+    """
     def run(key, table):
-        names, sketch = table.column("f").to_pylist(), table.column("sketch").to_pylist()
-        open_, part = table.column("open").to_pylist(), table.column("part").to_pylist()
-        own, other = key[1].as_py(), key[2].as_py()
-        holders: dict[int, list[int]] = {}
-        found: dict[tuple[int, int], int] = {}
-        for i, s in enumerate(sketch):
-            for v in np.frombuffer(s, np.int64).tolist():
-                for j in holders.setdefault(v, []):
-                    if (open_[i] or open_[j]) and (own == other or part[i] != part[j]):
-                        found[(j, i)] = found.get((j, i), 0) + 1
-                holders[v].append(i)
-        pairs = [p for p, n in found.items() if n >= least * size * 0.5]
-        near = _estimate([sketch[i] for i, _ in pairs], [sketch[j] for _, j in pairs], size) >= least
-        chosen = [p for p, yes in zip(pairs, near) if yes]
-        return pa.table({"a": pa.array([names[i] for i, _ in chosen], pa.binary()), "b": pa.array([names[j] for _, j in chosen], pa.binary())})
-    blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+        names, roots = table.column("f").to_pylist(), table.column("root").to_pylist()
+        sets_ = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        part, own, other = table.column("part").to_numpy(), key[1].as_py(), key[2].as_py()
+        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        root = np.fromiter((number[r] for r in roots), np.int64, len(roots))
+        size = np.fromiter(map(len, sets_), np.float64, len(sets_))
+        main = np.bincount(root).argmax()
+        left, right = np.nonzero(part == own)[0], np.nonzero(part == other)[0]
+        meetings = [(left[root[left] != main], right)]
+        if own != other:
+            meetings.append((left[root[left] == main], right[root[right] != main]))
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in meetings:
+            if len(a) and len(b):
+                both = _both([sets_[i] for i in a], [sets_[i] for i in b]).astype(float)
+                close = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (root[a][:, None] != root[b][None, :])
+                if close.any():
+                    found.append(tree(close, a, b))
+        edges = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array([names[i] for i in edges[:, 0]], pa.binary()), "b": pa.array([names[i] for i in edges[:, 1]], pa.binary())})
+    sized = lists.join(classes.select("f", "n_shingles"), "f")
+    blocks = sized.groupBy("list").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     cut = lists.join(blocks, "list").withColumn("part", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("part", o).alias("own"), F.greatest("part", o).alias("other")))
-    spread = cut.withColumn("_m", F.explode(meets)).select("list", "f", "open", "part", "_m.own", "_m.other").join(classes.select("f", "sketch"), "f")
+    spread = cut.withColumn("_m", F.explode(meets)).select("list", "f", "root", "part", "_m.own", "_m.other").join(sets, "f")
     return spread.groupBy("list", "own", "other").applyInArrow(run, "a binary, b binary")
 
 
@@ -231,21 +260,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     source = only(docs, doc_id=doc_id, text=text)
     rows_ = stable(sketches(source, width))
     named = rows_.filter(F.col("f").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stable(named.groupBy("f").agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("f", F.col("s.doc_id").alias("doc_id"), F.col("s.sketch").alias("sketch")))
+    classes = stable(named.groupBy("f").agg(F.min(F.struct("doc_id", "sketch", "n_shingles")).alias("s")).select("f", "s.doc_id", "s.sketch", "s.n_shingles"))
     similarity = percent / 100
-    lists = inverted_lists(classes, similarity).withColumn("open", F.lit(True))
-    wanted = classes.join(lists.select("f").distinct(), "f")
-    few, sets = classes.select("f", "sketch").join(lists.select("f").distinct(), "f", "left_semi"), stable(shingle_sets(source, wanted, width))
-    few, checked = stable(few), []
-    for _ in range(ROUNDS):
-        pairs, lists = leader_round(lists, few, sets, percent)
-        checked.append(pairs)
-    checked.append(verified(remaining_pairs(lists, few, shared_least(similarity) / SKETCH).distinct(), sets))
-    links = None
-    for pairs in checked:
-        linked = pairs.filter(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
-        links = linked if links is None else links.unionByName(linked)
+    lists = inverted_lists(classes, similarity)
+    named_in = lists.select("f").distinct()
+    few = stable(classes.join(named_in, "f", "left_semi"))
+    sets = stable(shingle_sets(source, few, width))
+    checked, lists = leader_round(lists, few, sets, percent)
+    links = checked.filter(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
     roots = stable(connected(links, "a", "b"))
+    rooted = stable(lists.join(roots.withColumnRenamed("node", "f"), "f", "left").select("list", "f", F.coalesce("root", "f").alias("root")))
+    apart = rooted.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("list")
+    more = stable(remaining_links(rooted.join(apart, "list"), few, sets, percent))
+    if more.take(1):
+        roots = stable(connected(links.unionByName(more), "a", "b"))
     members = roots.join(classes.select(F.col("f").alias("node"), "doc_id"), "node")
     least = members.groupBy("root").agg(F.min("doc_id").alias("component"))
     moved = members.join(least, "root").select(F.col("node").alias("f"), "component")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.batches import only
-from tidemark.llm.components import connected
+from tidemark.llm.components import connected, tree
 from tidemark.llm.vectors import matrix, rotation, usable, width
 from tidemark.plans.checkpoints import drop_stable, stable
 
@@ -79,19 +79,6 @@ def _spread(classes: DataFrame, plan: Plan) -> DataFrame:
     return classes.mapInArrow(run, "block int, slab long, guest boolean, c long, n long, z binary, u binary")
 
 
-def _tree(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """(row or column, smallest class that the links in ``close`` reach) for those with a link."""
-    high = np.iinfo(np.int64).max
-    a, b = left.copy(), right.copy()
-    while True:
-        b2 = np.minimum(b, np.where(close, a[:, None], high).min(axis=0))
-        a2 = np.minimum(a, np.where(close, b2[None, :], high).min(axis=1))
-        if (a2 == a).all() and (b2 == b).all():
-            both = np.stack([np.concatenate([left, right]), np.concatenate([a, b])], axis=1)
-            return both[both[:, 0] != both[:, 1]]
-        a, b = a2, b2
-
-
 def _links(spread: DataFrame, plan: Plan) -> DataFrame:
     """(c, n_links, low): a class's links found in one meeting of two chunks, and rows that hang it on the smallest class it reaches there."""
     def run(key, table):
@@ -125,7 +112,7 @@ def _links(spread: DataFrame, plan: Plan) -> DataFrame:
                     close &= squares[k][rows_][:, None] + squares[k][cols][None, :] - 2 * (z[rows_, a:b] @ z[cols, a:b].T) > plan.budgets[k]
                 count[rows_] += close @ n[cols]
                 count[cols] += close.T @ n[rows_]
-                ends.append(_tree(close, c[rows_], c[cols]))
+                ends.append(tree(close, c[rows_], c[cols]))
         found = np.nonzero(count)[0]
         edges = np.unique(np.concatenate(ends), axis=0) if ends else np.zeros((0, 2), np.int64)
         return pa.table({"c": np.concatenate([c[found], edges[:, 0]]), "n_links": np.concatenate([count[found].astype(np.int64), np.zeros(len(edges), np.int64)]),
