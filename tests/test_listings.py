@@ -111,9 +111,15 @@ def test_dialogue(spark, chunks):
     assert [r["turn"] for r in capped] == [0, 1, 2] and capped[2]["text"] == call
 
 
-def test_long_conversations_split_in_parts(spark):
-    turns = spark.createDataFrame([(1, i, "user", str(i)) for i in range(25)], "conv_id long, turn long, role string, text string")
-    parts = C.render_chat(turns, part_turns=10).orderBy("part").collect()
-    assert [p["n_turns"] for p in parts] == [10, 10, 5]
-    whole = C.render_chat(turns).first()["text"]
-    assert "\n".join(p["text"] for p in parts) == whole
+def test_long_conversations_stay_whole(spark):
+    turns = spark.createDataFrame([(1, i, "user", str(i)) for i in range(25_000)], "conv_id long, turn long, role string, text string").repartition(4)
+    whole = C.render_chat(turns).first()
+    rows = C.render_turns(turns).orderBy("turn").collect()
+    assert whole["n_turns"] == 25_000 and whole["text"] == "\n".join(r["text"] for r in rows)
+
+
+def test_every_form_is_drawn(spark):
+    topics = spark.range(400).select(F.col("id").alias("sample_id"), F.lit("a_b").alias("area"), F.lit("q").alias("query"), F.lit("One. Two. Three. Four.").alias("answer"))
+    text = [r["text"] for r in C.generate_samples(topics, "p").collect()]
+    assert all(any(q.replace("{topic}", "a b") in t for t in text) for q in C.QUERY_TEMPLATES)
+    assert all(any(head.replace("{topic}", "a b") in t for t in text) for head, _, _ in C.SUMMARY_FORMS)

@@ -21,18 +21,16 @@ def con(small):
     return c
 
 
-@pytest.mark.parametrize("form", ["plain", "chunked"])
+@pytest.mark.parametrize("form", ["one", "chunked"])
 @pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, small, con, name, form):
     if form == "chunked":
-        spark.conf.set("spark.tidemark.chunkBytes", "500")
-        spark.conf.set("spark.tidemark.maxChunks", "5")
+        spark.conf.set("spark.tidemark.chunks", "5")
     try:
         df = entry.queries()[name](spark, small)
         got = pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns)
     finally:
-        spark.conf.unset("spark.tidemark.chunkBytes")
-        spark.conf.unset("spark.tidemark.maxChunks")
+        spark.conf.unset("spark.tidemark.chunks")
     rel = con.execute(entry.oracle_sql()[name])
     want = pd.DataFrame(rel.fetchall(), columns=[c[0] for c in rel.description])
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
@@ -40,7 +38,6 @@ def test_same_rows(spark, small, con, name, form):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 150
-    assert not any(n.startswith("op") and n[2:3].isdigit() or "pipeline" in n for n in entry.queries())
 
 
 def test_entry(spark):

@@ -1,13 +1,13 @@
-"""The many-chunk form must give the rows of the plain window."""
+"""Scans in many chunks must give the rows of a scan in one."""
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from tidemark.operators import sampling as S
+from tidemark.operators import distribution as D, performance as P, sampling as S
 from tidemark.plans.ordered import Pass, chunk_by_value, plain, previous, quantiles, running, running_all
-from tidemark.plans.sizing import broadcast_if_small, chunk_count, input_bytes
+from tidemark.plans.sizing import chunk_count, input_bytes
 
 
 @pytest.fixture(scope="module")
@@ -75,14 +75,54 @@ def test_bags_have_unit_mean(skewed):
 def test_sizes(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     assert 0 < input_bytes(events) < 1 << 20 and chunk_count(events) == 1
-    spark.conf.set("spark.tidemark.chunkBytes", "5000")
-    try:
-        assert chunk_count(events) > 1
-    finally:
-        spark.conf.unset("spark.tidemark.chunkBytes")
-    assert "broadcast" in broadcast_if_small(events)._jdf.queryExecution().logical().toString().lower()
-    spark.conf.set("spark.tidemark.broadcastBytes", "10")
-    try:
-        assert "broadcast" not in broadcast_if_small(events)._jdf.queryExecution().logical().toString().lower()
-    finally:
-        spark.conf.unset("spark.tidemark.broadcastBytes")
+    for key, value in (("spark.tidemark.chunkBytes", "5000"), ("spark.tidemark.chunks", "7")):
+        spark.conf.set(key, value)
+        try:
+            assert chunk_count(events) == (7 if value == "7" else -(-input_bytes(events) // 5000))
+        finally:
+            spark.conf.unset(key)
+
+
+def test_plain_window(skewed):
+    w = Window.partitionBy("g").orderBy("v", "id")
+    want = skewed.withColumn("s", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("p", F.lag("x").over(w))
+    for k in (1, 6):
+        got = running(previous(chunk_by_value(skewed, "v", k), ["g"], ["v", "id"], {"p": "x"}), ["g"], ["v", "id"], {"s": ("sum", F.col("x"))})
+        same(plain(got.df), want)
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """Null scores, values and order keys, and a window whose values are all null."""
+    rng = np.random.default_rng(9)
+    n = 2000
+    pdf = pd.DataFrame({"id": np.arange(n), "feature": "f", "week": rng.integers(0, 4, n), "score": np.round(rng.random(n), 2), "label": rng.integers(0, 2, n)})
+    df = spark.createDataFrame(pdf, "id long, feature string, week int, score double, label int")
+    hole = F.when((F.col("id") % 5 == 0) | (F.col("week") == 3), None)
+    return df.withColumn("value", hole.otherwise(F.col("score"))).withColumn("score", F.when(F.col("id") % 5 == 0, None).otherwise(F.col("score"))).cache()
+
+
+@pytest.mark.parametrize("chunks", [2, 6])
+def test_nulls_in_every_chunk_count(holes, chunks):
+    forms = {
+        "ks": lambda k: D.ks_test(holes, chunks=k),
+        "psi": lambda k: D.psi(holes, chunks=k),
+        "auc": lambda k: P.auc(holes, ["week"], chunks=k),
+        "boot": lambda k: P.bootstrap_auc(holes, ["week"], "id", n_boot=5, chunks=k).withColumn("auc", F.round("auc", 12)),
+        "lag": lambda k: plain(previous(chunk_by_value(holes, "value", k), ["week"], ["value", "id"], {"p": "id"}).df),
+    }
+    for name, form in forms.items():
+        same(form(1), form(chunks))
+    empty = {r["week"]: r for r in D.ks_test(holes, chunks=chunks).collect()}[3]
+    assert (empty["n_curr"], empty["d_critical"], empty["p_value"]) == (0, 1.0, 1.0) and empty["n_ref"] == holes.filter("week = 0 AND value IS NOT NULL").count()
+
+
+def test_null_scores_are_left_out(holes):
+    full = holes.filter("score IS NOT NULL")
+    same(P.auc(holes, ["week"]), P.auc(full, ["week"]))
+    same(P.tune_threshold(holes, ["week"]), P.tune_threshold(full, ["week"]))
+    same(P.f1_at(holes, ["week"]), P.f1_at(full, ["week"]))
+
+
+def test_poisson_table():
+    assert S.POISSON_CDF[0] == pytest.approx(np.exp(-1)) and list(S.POISSON_CDF) == sorted(S.POISSON_CDF) and 1 - S.POISSON_CDF[-1] >= 2.0 ** -53

@@ -55,7 +55,7 @@ FAMILIES = {"C": "Address/card counter ", "D": "Days since prior event ", "M": "
 
 def _base_label(name: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    out = F.when(name.startswith("id_"), F.concat(F.lit("Identity/device attribute "), F.substring(name, 4, 1000))).otherwise(name)
+    out = F.when(name.startswith("id_"), F.concat(F.lit("Identity/device attribute "), F.substr(name, F.lit(4)))).otherwise(name)
     for letter, text in FAMILIES.items():
         digits = F.regexp_extract(name, f"^{letter}(\\d+)$", 1)
         out = F.when(digits != "", F.concat(F.lit(text), digits)).otherwise(out)

@@ -22,8 +22,20 @@ SOURCES = (
     ("Analysis by {} shows", ("McKinsey", "Gartner", "Forrester")),
     ("Experts at {} have found", ("MIT", "Stanford", "Oxford", "Cambridge")),
 )
-QUERY_TEMPLATES = ("Tell me about {topic}", "Give me an overview of {topic}", "Research {topic} for me please",
-                   "I need a summary of {topic}", "Search for information on {topic}")
+# Own wording: ten ways to ask, four ways to sum up (opening, joint before the takeaways, their form).
+QUERY_TEMPLATES = (
+    "What should I know about {topic}?", "Where does {topic} stand today?", "Please look into {topic} and report back", "Find out what is new in {topic}",
+    "Can you put together a short brief on {topic}?", "Which facts about {topic} matter most?", "Help me make sense of {topic}", "Collect current findings on {topic}",
+    "How is {topic} developing at the moment?", "Write up the main points on {topic}",
+)
+SUMMARY_FORMS = (
+    ("This is what the search on {topic} turned up.\n\n", "\n\nWorth keeping in mind: ", "sentences"),
+    ("The pages on {topic} agree on the following.\n\n", "\n\nIn short\n", "bullets"),
+    ("Findings on {topic}\n\n", "\n\nPoint by point\n", "bullets"),
+    ("Several pages on {topic} give this picture.\n\n", "\n\nTo sum up: ", "sentences"),
+)
+TAKEAWAY = ("For {topic} this means: ", ".")
+CREDIT = (": ", ". It bears on {area}.")
 YEARS = ("2024", "2025", "2026")
 
 
@@ -35,7 +47,7 @@ def sentences(text: Column) -> Column:
 def key_takeaways(answer: Column, topic: Column, n: int = 3) -> Column:
     """One sentence per leading statement of the answer."""
     return F.array_join(F.transform(F.slice(sentences(answer), 1, n), lambda s: F.concat(
-        F.lit("The "), topic, F.lit(" sector has seen "), F.lower(s), F.lit(", which is noteworthy."))), " ")
+        F.replace(F.lit(TAKEAWAY[0]), F.lit("{topic}"), topic), F.lower(s), F.lit(TAKEAWAY[1]))), " ")
 
 
 def bullet_takeaways(answer: Column, n: int = 4) -> Column:
@@ -63,7 +75,7 @@ def web_content(answer: Column, area: Column, key: Column, limit: int = 5) -> Co
     styled = F.transform(F.slice(sentences(answer), 1, limit), lambda s, i: F.concat(
         F.element_at(chosen, (F.floor(F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit("credit"), i.cast("string"))), 1, 13), 16, 10).cast("double")
                                       / F.lit(float(2 ** 52)) * F.size(chosen)) + 1).cast("int")),
-        F.lit(", "), F.lower(s), F.lit(". This represents a significant development in "), area, F.lit(".")))
+        F.lit(CREDIT[0]), F.lower(s), F.replace(F.lit(CREDIT[1]), F.lit("{area}"), area)))
     return F.array_join(styled, " ")
 
 
@@ -91,9 +103,8 @@ def generate_samples(topics: DataFrame, system_prompt: str, key: str = "sample_i
     df = df.withColumn("_answer", F.replace(F.col("answer"), F.lit("{year}"), year)).withColumn("_query", F.replace(F.col("query"), F.lit("{year}"), year))
     ask = F.replace(_pick(F.array(*map(F.lit, QUERY_TEMPLATES)), k, "ask"), F.lit("{topic}"), F.col("_topic"))
     t, a = F.col("_topic"), F.col("_answer")
-    styles = F.array(
-        F.concat(F.lit("Based on my research, here is a summary of "), t, F.lit(":\n\n"), a, F.lit("\n\nKey takeaways: "), key_takeaways(a, t)),
-        F.concat(F.lit("I researched "), t, F.lit(" for you. Here is the summary:\n\n"), a, F.lit("\n\n## Highlights\n"), bullet_takeaways(a)))
+    points = {"sentences": key_takeaways(a, t), "bullets": bullet_takeaways(a)}
+    styles = F.array(*[F.concat(F.replace(F.lit(head), F.lit("{topic}"), t), a, F.lit(joint), points[form]) for head, joint, form in SUMMARY_FORMS])
     summary = _pick(styles, k, "style")
     roles = [("system", F.lit(system_prompt)), ("user", ask), ("assistant", tool_call(F.col("_query"))),
              ("tool", tool_result(web_content(a, F.col("area"), k))), ("assistant", summary)]
@@ -101,24 +112,23 @@ def generate_samples(topics: DataFrame, system_prompt: str, key: str = "sample_i
     return df.select(key, "area", text.alias("text"))
 
 
-def render_chat(turns: DataFrame, conv: str = "conv_id", order: str = "turn", part_turns: int = 10_000) -> DataFrame:
-    """Rendered text per (conversation, part), turns in order.
+def render_turns(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(conv, order, text): every rendered turn as a row of its own, so that no dialogue is ever gathered."""
+    return turns.select(conv, order, turn(F.col("role"), F.coalesce("text", F.lit(""))).alias("text"))
 
-    A part covers ``part_turns`` turn numbers, so no group is unbounded; an ordinary dialogue is one part and
-    longer ones are whole when their parts are read in order.
-    """
-    piece = F.struct(F.col(order).alias("o"), turn(F.col("role"), F.coalesce("text", F.lit(""))).alias("t"))
-    ordered = F.array_sort(F.collect_list(piece))
-    return turns.groupBy(conv, F.floor(F.col(order) / part_turns).alias("part")).agg(
-        ordered.alias("_t"), F.count(F.lit(1)).alias("n_turns")).select(
-        conv, "part", "n_turns", F.array_join(F.transform("_t", lambda x: x["t"]), "\n").alias("text"))
+
+def render_chat(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(conv, n_turns, text): the whole dialogue as one value, turns in order; ``render_turns`` gives it in rows."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
+    return render_turns(turns, conv, order).groupBy(conv).agg(ordered.alias("_t"), F.count(F.lit(1)).alias("n_turns")).select(
+        conv, "n_turns", F.array_join(F.transform("_t", lambda x: x["t"]), "\n").alias("text"))
 
 
-def structured_chat(turns: DataFrame, conv: str = "conv_id", order: str = "turn", part_turns: int = 10_000) -> DataFrame:
+def structured_chat(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> DataFrame:
     """The same as an array of (role, content)."""
     piece = F.struct(F.col(order).alias("o"), F.struct("role", F.col("text").alias("content")).alias("m"))
     ordered = F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["m"])
-    return turns.groupBy(conv, F.floor(F.col(order) / part_turns).alias("part")).agg(ordered.alias("messages"))
+    return turns.groupBy(conv).agg(ordered.alias("messages"))
 
 
 CALLS = r"(?s)<tool_calls>\s*(\[.*?\])\s*</tool_calls>"
@@ -161,8 +171,7 @@ def assemble_dialogue(turns: DataFrame, results: DataFrame | None = None, max_ro
     rounds = F.col("_upto") - F.col("_call")
     answer = (is_assistant & ((F.col("_call") == 0) | (rounds >= max_rounds))).cast("int")
     data = data.with_df(data.df.withColumn("_rounds", rounds).withColumn("_answer", answer))
-    if data.many:
-        data = data.with_df(stable(data.df))
+    data = data.with_df(stable(data.df))
     data = running(data, [conv], [order], {"_answers": ("sum", F.col("_answer"))})
     kept = data.df.filter(F.col("_answers") - F.col("_answer") == 0)
     kept = kept.withColumn("_used", (F.col("_call") == 1) & (F.col("_rounds") < max_rounds))

@@ -16,7 +16,6 @@ from tidemark.functions.numeric import EPSILON, kolmogorov_p, psi_of
 from tidemark.operators.sampling import bounded_sample, null_split
 from tidemark.plans.checkpoints import stable
 from tidemark.plans.ordered import Pass, chunk_by_value, null_safe_join, quantiles, running_all, with_reference
-from tidemark.plans.sizing import broadcast_if_small
 
 
 def ks_stat(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
@@ -98,7 +97,7 @@ def reference_edges(df: DataFrame, by: Sequence[str] = ("feature",), week: str =
 
 def _bin_counts(df: DataFrame, edges: DataFrame, by: Sequence[str], week: str, value: str, buckets: int) -> DataFrame:
     """Counts per bin as one array column; edges have one short row per feature."""
-    rows = null_safe_join(df.select(*by, week, value), broadcast_if_small(stable(edges)), by, "left")
+    rows = null_safe_join(df.select(*by, week, value), stable(edges), by, "left")
     # Plain comparisons stay in generated code; a lambda over the array would not.
     above = " + ".join(f"if({i} <= _e - 2 AND _v >= get(edges, {i}), 1, 0)" for i in range(1, buckets)) or "0"
     bin_no = F.expr(f"if(_v IS NULL, NULL, {above})")
@@ -183,7 +182,7 @@ def _joint_histogram(df: DataFrame, by: list[str], week: str, value: str, bins:
     joint = joint.select(*by, F.col(week).alias("_w"), F.least("lo", "_rlo").alias("lo"), F.greatest("hi", "_rhi").alias("hi"))
     spec = joint.groupBy(*by).agg(F.collect_list(F.struct("_w", F.struct("lo", "hi").alias("s"))).alias("_spec"))
     spec = spec.select(*by, F.map_from_entries("_spec").alias("_own"), F.array_distinct(F.transform("_spec", lambda x: x["s"])).alias("_ranges"))
-    placed = null_safe_join(df.select(*by, week, value), broadcast_if_small(stable(spec)), by)
+    placed = null_safe_join(df.select(*by, week, value), stable(spec), by)
     wanted = F.when(F.col(week) == 0, F.col("_ranges")).otherwise(F.array(F.try_element_at("_own", F.col(week))))
     placed = placed.select(*by, week, F.col(value).alias("_v"), F.explode(wanted).alias("_s")).select(*by, week, "_v", "_s.lo", "_s.hi")
     placed = placed.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(bins))

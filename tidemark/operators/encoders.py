@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.plans.checkpoints import stable
 from tidemark.plans.ordered import attach_row, chunk_by_value, null_safe_join, plain, previous, row_index
-from tidemark.plans.sizing import broadcast_if_small
 
 UNSEEN, MISSING = -1, -2
 NULL_TOKEN = "nan"  # fixed token for a missing key part
@@ -48,8 +47,7 @@ def sequence_features(df: DataFrame, entity: str, order: str, key: str, amount:
     """
     data = chunk_by_value(df, order, chunks)
     data = previous(data, [entity], [order, key], {"_pt": order, "_pa": amount})
-    if data.many:
-        data = data.with_df(stable(data.df))
+    data = data.with_df(stable(data.df))
     data = row_index(data, [entity], [order, key], "_pos")
     change = F.abs(F.try_divide(F.col(amount), F.col("_pa")) - 1)
     return plain(data.df.withColumn(names[0], F.col(order) - F.col("_pt")).withColumn(names[1], change)
@@ -110,7 +108,7 @@ def group_aggregate_encode(df: DataFrame, state: DataFrame, key: str, col: str,
     names = {a: f"_{a}_{col}_{key}" for a in ("max", "mean", "var")}
     known = state.filter(F.col("_group").isNotNull()).select(*by, F.col("_group").alias(key), *[F.col(a).alias(f"_k_{a}") for a in names])
     overall = state.filter(F.col("_group").isNull()).select(*by, *[F.col(a).alias(f"_o_{a}") for a in names])
-    both = null_safe_join(df, broadcast_if_small(known), [*by, key], "left")
+    both = null_safe_join(df, known, [*by, key], "left")
     both = null_safe_join(both, F.broadcast(overall), list(by), "left") if by else attach_row(both, overall)
     out = both.select(*df.columns, *[F.coalesce(f"_k_{a}", f"_o_{a}", F.lit(0.0)).alias(n) for a, n in names.items()])
     return out
@@ -130,7 +128,7 @@ def frequency_encode(df: DataFrame, state: DataFrame, cols: Sequence[str], by: S
     for c in cols:
         side = state.filter(F.col("column") == c).select(*by, F.col("value").alias("_v"), F.col("freq").alias(f"_freq_ref_{c}"))
         keyed = out.withColumn("_v", F.col(c).cast("string"))
-        out = null_safe_join(keyed, broadcast_if_small(side), [*by, "_v"], "left").drop("_v")
+        out = null_safe_join(keyed, side, [*by, "_v"], "left").drop("_v")
         out = out.withColumn(f"_freq_ref_{c}", F.coalesce(f"_freq_ref_{c}", F.lit(0.0)).cast("float"))
     return out
 
@@ -143,7 +141,7 @@ def unseen_flag(df: DataFrame, known: DataFrame, key: str, name: str | None = No
     """1 when the key was absent from the reference."""
     name = name or f"_unseen_{key}"
     marked = known.select(key).withColumn("_seen", F.lit(True))
-    out = null_safe_join(df, broadcast_if_small(marked), [key], "left")
+    out = null_safe_join(df, marked, [key], "left")
     return out.withColumn(name, F.col("_seen").isNull().cast("int")).drop("_seen")
 
 
@@ -255,7 +253,7 @@ def ordinal_encode(df: DataFrame, state: DataFrame, cols: Sequence[str], by: Seq
     for c in cols:
         side = state.filter(F.col("column") == c).select(*by, F.col("value").alias("_v"), F.col("code").alias("_code"))
         keyed = out.withColumn("_v", F.col(c).cast("string"))
-        out = null_safe_join(keyed, broadcast_if_small(side), [*by, "_v"], "left")
+        out = null_safe_join(keyed, side, [*by, "_v"], "left")
         out = out.withColumn(c, F.when(F.col("_v").isNull(), MISSING).otherwise(F.coalesce("_code", F.lit(UNSEEN))).cast("int")).drop("_v", "_code")
     return out
 

@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.plans.ordered import chunk_by_value, plain, row_index
-from tidemark.plans.sizing import broadcast_if_small
 
-GROUP_LIMIT = 1000  # the planner's own bound for limiting groups before the shuffle
 
 # Fixed values of the listing tables.
 APPLIED = ("submitted", "assisted", "manual")
@@ -72,12 +70,8 @@ def dedupe_listings(df: DataFrame, order: str, limit: int | None = None) -> Data
     unique = first_rows(df, ["portal", "job_id"], [order])
     if limit is None:
         return unique
-    if limit > GROUP_LIMIT:
-        ranked = row_index(chunk_by_value(unique, order), ["portal"], [order], "_n")
-        return plain(ranked.df.filter(F.col("_n") <= limit).drop("_n"))
-    # A rank filter this small is applied before the shuffle too: a task passes on at most ``limit`` rows per portal.
-    w = Window.partitionBy("portal").orderBy(order)
-    return unique.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+    ranked = row_index(chunk_by_value(unique, order), ["portal"], [order], "_n")
+    return plain(ranked.df.filter(F.col("_n") <= limit).drop("_n"))
 
 
 def posted_days(text: Column) -> Column:
@@ -97,7 +91,7 @@ def recent_listings(df: DataFrame, max_days: int, col: str = "posted") -> DataFr
 def drop_deleted(df: DataFrame, jobs: DataFrame, key: str = "id") -> DataFrame:
     """Remove listings whose key is tombstoned: one anti join."""
     dead = jobs.filter(F.col("deleted_at").isNotNull()).select(key)
-    return df.join(broadcast_if_small(dead), key, "left_anti")
+    return df.join(dead, key, "left_anti")
 
 
 JOB_FIELDS = ("title", "company", "location", "url", "scraped_at")
@@ -157,7 +151,7 @@ def upsert_listings(jobs: DataFrame, batch: DataFrame, now: Column, order: str)
 
 def soft_delete(jobs: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     """Tombstone the given ids."""
-    marks = broadcast_if_small(keys.select("id").distinct().withColumn("_hit", F.lit(True)))
+    marks = keys.select("id").distinct().withColumn("_hit", F.lit(True))
     out = jobs.join(marks, "id", "left")
     hit = F.coalesce("_hit", F.lit(False))
     return out.select(*[F.when(hit, now).otherwise(F.col(c)).alias(c) if c in ("deleted_at", "updated_at") else F.col(c) for c in jobs.columns])
@@ -165,7 +159,7 @@ def soft_delete(jobs: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
 
 def update_description(jobs: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Replace descriptions by id from (id, description), one row per id."""
-    new = broadcast_if_small(changes.select("id", F.col("description").alias("_d"), F.lit(True).alias("_hit")))
+    new = changes.select("id", F.col("description").alias("_d"), F.lit(True).alias("_hit"))
     out = jobs.join(new, "id", "left")
     cells = {"description": F.col("_d"), "updated_at": now}
     return out.select(*[F.when(F.col("_hit"), cells[c]).otherwise(F.col(c)).alias(c) if c in cells else F.col(c) for c in jobs.columns])
@@ -195,7 +189,7 @@ def to_apply(matches: DataFrame, applications: DataFrame, dry_run: bool = False)
     wanted = matches if dry_run else matches.filter("recommended")
     done = applications.filter(is_applied(F.col("status"))).select(F.col("job_pk").alias("id"), F.lit(True).alias("_done"))
     status = F.when(F.col("_done"), "skipped").otherwise("dry_run" if dry_run else "pending")
-    return wanted.join(broadcast_if_small(done), "id", "left").withColumn("status", status).drop("_done")
+    return wanted.join(done, "id", "left").withColumn("status", status).drop("_done")
 
 
 def _with_status(jobs: DataFrame, applications: DataFrame) -> DataFrame:

@@ -14,13 +14,20 @@ from tidemark.operators.sampling import POISSON_CDF
 from tidemark.plans.ordered import CHUNK, chunk_by_value, null_safe_join, running, with_reference
 
 
+def scored_rows(df: DataFrame, label: str, *scores: str) -> DataFrame:
+    """Rows with a label and all scores; a missing one says nothing about the ranking or the cut."""
+    for c in (label, *scores):
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def auc(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score", chunks: int | None = None,
         name: str = "auc") -> DataFrame:
     """Exact area under the ROC curve per group, tied scores sharing a rank; one class gives 0.5.
 
     Scores are counted per label before they are ordered, so the scan works on distinct scores.
     """
-    by = list(by)
+    by, df = list(by), scored_rows(df, label, score)
     counts = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
     data = running(chunk_by_value(counts, score, chunks, df), by, [score], {"_upto": ("sum", F.col("_neg"))})
     wins = F.col("_pos") * (F.col("_upto") - F.col("_neg") + F.col("_neg") / 2)
@@ -51,7 +58,7 @@ def bootstrap_auc(df: DataFrame, by: Sequence[str], key: str, label: str = "labe
     pairs); chunks are then combined by a prefix sum. No row is copied. A score that fills whole chunks by itself is
     spread over ``SLOTS`` groups, as the weights of tied rows only need to be added.
     """
-    by = list(by)
+    by, df = list(by), scored_rows(df, label, score)
     rows = df.select(*by, F.xxhash64(F.col(key)).alias("_key"), F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
     data = chunk_by_value(rows, "_s", chunks)
     tied = F.col("_s").isin(*data.heavy) if data.heavy else F.lit(False)
@@ -90,7 +97,7 @@ def bootstrap_auc_se(df: DataFrame, by: Sequence[str], key: str, label: str = "l
     """Standard error of the AUC per group; fewer than 50 rows gives 0."""
     reps = bootstrap_auc(df, by, key, label, score, n_boot, seed, chunks)
     se = reps.groupBy(*by).agg(F.stddev_pop("auc").alias("_se"))
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = scored_rows(df, label, score).groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     out = null_safe_join(sizes, se, list(by), "left")
     return out.select(*by, F.when(F.col("_rows") >= 50, F.coalesce("_se", F.lit(0.0))).otherwise(0.0).alias("auc_se"))
 
@@ -98,6 +105,7 @@ def bootstrap_auc_se(df: DataFrame, by: Sequence[str], key: str, label: str = "l
 def paired_gap_se(df: DataFrame, by: Sequence[str], key: str, label: str, score_a: str, score_b: str,
                   n_boot: int = 200, seed: int = 42, chunks: int | None = None) -> DataFrame:
     """Standard error of AUC(b) - AUC(a) with rows resampled together."""
+    df = scored_rows(df, label, score_a, score_b)
     long = df.select(*by, key, label, F.explode(F.array(
         F.struct(F.lit("a").alias("m"), F.col(score_a).alias("s")), F.struct(F.lit("b").alias("m"), F.col(score_b).alias("s")))).alias("_x"))
     long = long.select(*by, key, label, F.col("_x.m").alias("_model"), F.col("_x.s").alias("_score"))
@@ -132,7 +140,7 @@ def threshold_counts(df: DataFrame, by: Sequence[str], label: str = "label", sco
     Each row is counted once, in the highest grid point it reaches; the counts above a point are a suffix sum
     over at most ``points`` rows per group.
     """
-    by = list(by)
+    by, df = list(by), scored_rows(df, label, score)
     grid = [low + i * (high - low) / (points - 1) for i in range(points)]
     edges = F.array(*[F.lit(g) for g in grid])
     step = (high - low) / (points - 1)
@@ -164,7 +172,7 @@ def tune_threshold(df: DataFrame, by: Sequence[str], label: str = "label", score
 def confusion_counts(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score",
                      threshold: float | Column = 0.5) -> DataFrame:
     """Counts per (group, label, prediction)."""
-    cut = F.lit(threshold) if isinstance(threshold, float) else threshold
+    cut, df = F.lit(threshold) if isinstance(threshold, float) else threshold, scored_rows(df, label, score)
     return (df.groupBy(*by, F.col(label).cast("int").alias("label"), (F.col(score) >= cut).cast("int").alias("predicted"))
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -172,7 +180,7 @@ def confusion_counts(df: DataFrame, by: Sequence[str], label: str = "label", sco
 def f1_at(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score",
           threshold: float | Column = 0.5) -> DataFrame:
     """Precision, recall and F1 at a cut; an undefined ratio is 0."""
-    cut = F.lit(threshold) if isinstance(threshold, float) else threshold
+    cut, df = F.lit(threshold) if isinstance(threshold, float) else threshold, scored_rows(df, label, score)
     hit = F.col(score) >= cut
     out = df.groupBy(*by).agg(F.count_if(hit & (F.col(label) == 1)).alias("tp"), F.count_if(hit & (F.col(label) == 0)).alias("fp"),
                               F.count_if(~hit & (F.col(label) == 1)).alias("fn"))
@@ -198,7 +206,7 @@ def champion_challenger(df: DataFrame, key: str, by: Sequence[str] = ("week",),
     Drift: the champion fell more than ``max_degradation`` below its baseline, or the challenger's lead
     exceeds both ``min_gap`` and its own bootstrap error.
     """
-    by = list(by)
+    by, df = list(by), scored_rows(df, label, champion, challenger)
     sides = df.select(*by, key, label, F.explode(F.array(
         F.struct(F.lit("champion").alias("m"), F.col(champion).alias("s")),
         F.struct(F.lit("challenger").alias("m"), F.col(challenger).alias("s")))).alias("_x"))

@@ -66,9 +66,9 @@ def performance_matrix(scored: DataFrame, version: str = "version", week: str =
     return null_safe_join(ranked, f1, [version, week])
 
 
-def pivot_matrix(matrix: DataFrame, weeks: Sequence[int], value: str = "auc", version: str = "version", week: str = "week") -> DataFrame:
-    """One row per version, one column per week."""
-    return matrix.groupBy(version).pivot(week, list(weeks)).agg(F.first(value))
+def pivot_matrix(matrix: DataFrame, weeks: Sequence[int] | None = None, value: str = "auc", version: str = "version", week: str = "week") -> DataFrame:
+    """One row per version, one column per week: those given, or all weeks of the table."""
+    return matrix.groupBy(version).pivot(week, None if weeks is None else list(weeks)).agg(F.first(value))
 
 
 def policy_from_retrains(retrains: DataFrame, grid: DataFrame, by: Sequence[str] = ("policy",)) -> DataFrame:

@@ -118,8 +118,10 @@ def feature_method_grid(votes: DataFrame, flags: DataFrame, week: int, methods:
     return rows.groupBy("feature").agg(*[F.coalesce(F.max(F.when(F.col("method") == m, F.col("drift").cast("int"))), F.lit(0)).alias(m) for m in methods])
 
 
-def week_method_grid(matrix: DataFrame, weeks: Sequence[int]) -> DataFrame:
-    """Methods by weeks: 0 quiet, 1 raw alarm, 2 confirmed."""
+def week_method_grid(matrix: DataFrame, weeks: Sequence[int] | None = None) -> DataFrame:
+    """Methods by weeks: 0 quiet, 1 raw alarm, 2 confirmed; all weeks of the table unless some are given."""
+    if weeks is None:  # one row per week
+        weeks = sorted(r["week"] for r in matrix.select("week").distinct().collect())
     state = F.when(F.col("confirmed_flag"), 2).when(F.col("raw_flag"), 1).otherwise(0)
     return matrix.groupBy("method").agg(*[F.coalesce(F.max(F.when(F.col("week") == w, state)), F.lit(0)).alias(f"w{w}") for w in weeks])
 

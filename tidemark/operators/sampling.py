@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import exp
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -93,14 +94,24 @@ def bootstrap_bags(df: DataFrame, n_bags: int, key: str, seed: int) -> DataFrame
     """One Poisson(1) weight column per bag (``bag_0`` ...): a bootstrap without copying a row.
 
     The weight of a row is the inverse Poisson CDF at a hash-derived uniform, so it does not depend on
-    partitioning. The tail beyond 7 copies (probability 1e-5) is folded into 7.
+    partitioning.
     """
     return df.select("*", *[poisson_weight(F.col(key), b, seed).alias(f"bag_{b}") for b in range(n_bags)])
 
 
-# Poisson(1) cumulative probabilities for 0..6 copies; fixed values.
-POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-               0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+def poisson_cdf() -> tuple[float, ...]:
+    """Poisson(1) probabilities of at most 0, 1, ... copies, up to the last that a double tells from 1."""
+    out, term, k = [], exp(-1.0), 0
+    total = term
+    while 1.0 - total >= 2.0 ** -53:
+        out.append(total)
+        k += 1
+        term /= k
+        total += term
+    return tuple(out)
+
+
+POISSON_CDF = poisson_cdf()
 
 
 def poisson_weight(key: Column, bag: int | Column, seed: int) -> Column:

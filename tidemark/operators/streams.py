@@ -6,6 +6,7 @@ version starts afresh. Streams are scanned in ordered chunks, so one very long s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -40,7 +41,7 @@ def error_stream(df: DataFrame, label: str, score: str, mode: str = "balanced",
 
 def _steady(data: Chunked) -> Chunked:
     """Between two passes of a chunked scan, write the first result once instead of computing it twice."""
-    return data.with_df(stable(data.df)) if data.many else data
+    return data.with_df(stable(data.df))
 
 
 def ddm_rows(df: DataFrame, by: Sequence[str], order: str = "seq", err: str = "err", min_instances: int = 30,
@@ -232,35 +233,61 @@ def combine_flags(results: DataFrame, weeks: DataFrame, methods: Sequence[str],
     return confirm(filled, k, n, reset=reset)
 
 
-def explain_trigger(df: DataFrame, fractions: dict[str, float] | None = None) -> DataFrame:
-    """Reason text and the numbers behind it, for one row per confirmed (week, method).
-
-    Expects method, features_crossed, features_total, names (array), value, threshold, fired, window_len.
+# Own wording: what a confirmed trigger of each method says. {x} is a number of the row, {x:d} a count, {x:%} a share;
+# {names} lists the features.
+TRIGGERS = {
+    "ks_stats": "{crossed:d} of {monitored:d} features ({share:%}) moved by the KS test after false discovery control, with a gap of {min_effect} or more; {bar:%} were enough. Features: {names}",
+    "psi": "{crossed:d} of {monitored:d} features ({share:%}) have a PSI of {min_psi} or more and above what resampling gives; {bar:%} were enough. Features: {names}",
+    "kl_divergence": "{crossed:d} of {monitored:d} features ({share:%}) have a Jensen-Shannon distance of {min_distance} or more; {bar:%} were enough. Features: {names}",
+    "shap": "{crossed:d} of {monitored:d} features ({share:%}) changed their attributions; {bar:%} were enough. Features: {names}",
+    "ddm": "The balanced error rate {error_rate} went above {drift_level}, three deviations over its lowest {lowest}",
+    "eddm": "The distance between errors {distance} fell to {ratio} of its largest {largest}; below {min_ratio} is drift",
+    "hddm": "The mean error {mean_error} left the reference mean {reference_mean} by more than the bound {bound}",
+    "adwin": "Means {early_mean} and {late_mean} differ by z = {z}, above {threshold}",
+    "prequential_auc": "The AUC went from {reference_auc} to {current_auc}, a fall of {fall} with a standard error of {se}; more than {min_fall} is drift",
+    "clustering": "Rows lie {ratio} times as far from their centres as before (limit {max_ratio}); the PSI of the clusters is {cluster_psi} (limit {max_psi})",
+    "autoencoder": "The reconstruction error rose from {reference_rmse} to {current_rmse}, z = {z}, above {threshold}",
+    "champion_vs_challenger": "The challenger has an AUC of {challenger_auc}, the champion {champion_auc}: a lead of {gap} with a standard error of {se}; the champion lost {degradation}",
+}
+GATE = ". It fired in {fired:d} of the last {window_len:d} windows."
+SLOT = re.compile(r"\{(\w+)(?::([d%]))?\}")
+
+
+def slots(template: str) -> list[tuple[str, str, str]]:
+    """(text before, name, format) of each slot, and the text behind the last one with an empty name."""
+    out, at = [], 0
+    for m in SLOT.finditer(template):
+        out.append((template[at:m.start()], m[1], m[2] or "f"))
+        at = m.end()
+    return [*out, (template[at:], "", "")]
+
+
+def _only(numbers: str, names: list[str]) -> Column:
+    return F.map_filter(numbers, lambda k, v: k.isin(names))
+
+
+def explain_trigger(df: DataFrame, numbers: str = "numbers", names: str = "names") -> DataFrame:
+    """Adds ``reason``, a sentence with all its numbers, and ``metrics``, the method's numbers by name.
+
+    ``df`` has one row per confirmed (week, method) with a map of numbers, an array of feature names, ``fired`` and
+    ``window_len``. A number that is missing reads as n/a; another method has only the last sentence.
     """
-    labels = {  # fixed wording of the reports
-        "ks_stats": "KS drift (FDR-corrected, D>=min_effect)", "psi": "PSI drift (>=0.20 and above the bootstrap null)",
-        "kl_divergence": "Jensen-Shannon distance drift", "shap": "attribution drift"}
-    bars = fractions or {"ks_stats": 0.3, "psi": 0.6, "kl_divergence": 0.3, "shap": 0.3}
-    num = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
-    reason = F.lit("Drift confirmed.")
-    for m, text in labels.items():
-        share = F.format_string("%.0f%%", 100.0 * F.col("features_crossed") / F.col("features_total"))
-        reason = F.when(F.col("method") == m, F.concat(
-            F.col("features_crossed").cast("string"), F.lit("/"), F.col("features_total").cast("string"),
-            F.lit(" monitored features ("), share, F.lit(f") show {text}, at or above the {bars[m]:.0%} consensus threshold: "),
-            F.array_join("names", ", "))).otherwise(reason)
-    pairs = {
-        "ddm": ("DDM: balanced error rate ", " crossed p_min+3s_min = "),
-        "eddm": ("EDDM: inter-error distance metric ", " fell below "),
-        "hddm": ("HDDM: error mean ", " exceeded reference mean plus bound "),
-        "adwin": ("ADWIN: mean shift, z = ", " against "),
-        "prequential_auc": ("Prequential AUC fell ", ", more than "),
-        "clustering": ("Clustering: distance ratio ", " against "),
-        "autoencoder": ("Reconstruction error z-score ", " exceeded "),
-        "champion_vs_challenger": ("Challenger beat the champion by ", " AUC against ")}
-    for m, (head, mid) in pairs.items():
-        reason = F.when(F.col("method") == m, F.concat(F.lit(head), num("value"), F.lit(mid), num("threshold"))).otherwise(reason)
-    gate = F.concat(F.lit(" | persistence gate: fired in "), F.col("fired").cast("string"), F.lit(" of the last "),
-                    F.col("window_len").cast("string"), F.lit(" window(s)"))
-    return (df.withColumn("reason", F.concat(reason, gate))
-            .withColumn("metrics", F.struct("features_crossed", "features_total", "value", "threshold")))
+    def written(template: str, number) -> Column:
+        parts = []
+        for text, name, form in slots(template):
+            parts.append(F.lit(text))
+            if name == "names":
+                parts.append(F.array_join(F.coalesce(names, F.array().cast("array<string>")), ", "))
+            elif name:
+                x = number(name)
+                shown = {"f": F.format_string("%.4f", x), "d": x.cast("long").cast("string"), "%": F.format_string("%.1f%%", 100.0 * x)}[form]
+                parts.append(F.when(x.isNull(), "n/a").otherwise(shown))
+        return F.concat(*parts)
+
+    reason, kept = F.lit("Drift was confirmed"), F.create_map().cast("map<string,double>")
+    for method, template in TRIGGERS.items():
+        own = [name for _, name, _ in slots(template) if name not in ("", "names")]
+        reason = F.when(F.col("method") == method, written(template, lambda n: F.try_element_at(numbers, F.lit(n)))).otherwise(reason)
+        kept = F.when(F.col("method") == method, _only(numbers, own)).otherwise(kept)
+    gate = written(GATE, lambda n: F.col(n).cast("double"))
+    return df.withColumn("reason", F.concat(reason, gate)).withColumn("metrics", kept)

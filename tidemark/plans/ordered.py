@@ -2,8 +2,8 @@
 
 A plain window puts a whole group in one task. Here the order key is first cut into chunks at quantile
 edges; each (group, chunk) is scanned on its own, and the totals of the earlier chunks of the group are
-added afterwards. The chunk totals are one row per (group, chunk). Inputs smaller than one chunk use the
-plain window: the two forms give the same rows.
+added afterwards. The chunk totals are one row per (group, chunk). Small inputs are one chunk and go the same way.
+Null order keys form a chunk before the others.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.plans.sizing import UNKNOWN, chunk_count, input_bytes
+from tidemark.plans.sizing import chunk_count
 
 CHUNK = "_chunk"
-SAMPLE_BYTES = 4 << 30  # above this, chunk edges are read from a sample
+NULLS = -1  # the chunk of null order keys
 
 
 def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Puts the columns of a one-row aggregate beside every row."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    return df.crossJoin(F.broadcast(one))
 
 
 def with_each(df: DataFrame, small: DataFrame) -> DataFrame:
@@ -56,49 +56,44 @@ def with_reference(stats: DataFrame, by: Sequence[str], week: str, cols: dict[st
 class Chunked:
     """Rows with a ``_chunk`` column that is a monotone function of the order key."""
 
-    def __init__(self, df: DataFrame, many: bool, heavy: Sequence[float] = ()):
+    def __init__(self, df: DataFrame, heavy: Sequence[float] = ()):
         self.df = df
-        self.many = many
         self.heavy = tuple(heavy)  # keys that alone fill more than one chunk
 
     def with_df(self, df: DataFrame) -> "Chunked":
-        return Chunked(df, self.many, self.heavy)
+        return Chunked(df, self.heavy)
 
 
 def chunk_by_value(df: DataFrame, key: str, chunks: int | None = None, source: DataFrame | None = None) -> Chunked:
     """Cut at approximate quantiles of the numeric column ``key``; equal keys share a chunk.
 
     ``source`` is where the quantiles are read when ``df`` is an aggregate of it: a scan of one column instead of the
-    whole aggregation. Large inputs are sampled for it.
+    whole aggregation.
 
     The edges are computed once and then are constants of the plan, so every branch and every retried task
     sees the same chunks. Their accuracy only affects balance, never results.
     """
     count = chunk_count(df) if chunks is None else chunks
+    place, heavy = F.lit(0), []
     if count > 1:
-        probs = [i / count for i in range(1, count)]
         column = (df if source is None else source).select(F.col(key).cast("double").alias("v"))
-        if SAMPLE_BYTES < input_bytes(column) < UNKNOWN:
-            column = column.sample(0.05, seed=1)
-        found = column.approxQuantile("v", probs, 1.0 / (4 * count))
+        found = column.approxQuantile("v", [i / count for i in range(1, count)], 1.0 / (4 * count))
         edges = sorted(set(found))
         heavy = [v for v, times in Counter(found).items() if times > 1]
         if edges:
             splits = [float("-inf"), *edges, float("inf")]
             keyed = df.withColumn("_order_key", F.col(key).cast("double"))
-            cut = Bucketizer(splits=splits, inputCol="_order_key", outputCol="_bucket",
-                             handleInvalid="keep").transform(keyed)
-            return Chunked(cut.withColumn(CHUNK, F.col("_bucket").cast("int")).drop("_bucket", "_order_key"), True, heavy)
-    return Chunked(df.withColumn(CHUNK, F.lit(0)), False)
+            df = Bucketizer(splits=splits, inputCol="_order_key", outputCol="_bucket", handleInvalid="keep").transform(keyed).drop("_order_key")
+            place = F.col("_bucket").cast("int")
+    cut = df.withColumn(CHUNK, F.when(F.col(key).isNull(), NULLS).otherwise(F.coalesce(place, F.lit(0))))
+    return Chunked(cut.drop("_bucket"), heavy)
 
 
 def chunk_by_hash(df: DataFrame, digest: str, chunks: int | None = None) -> Chunked:
     """Cut by the leading hex digits of a digest column: evenly filled chunks without looking at the data."""
     count = chunk_count(df) if chunks is None else chunks
-    if count > 1:
-        head = F.conv(F.substring(F.col(digest), 1, 4), 16, 10).cast("int")
-        return Chunked(df.withColumn(CHUNK, F.floor(head * F.lit(min(count, 65536)) / F.lit(65536)).cast("int")), True)
-    return Chunked(df.withColumn(CHUNK, F.lit(0)), False)
+    head = F.conv(F.substring(F.col(digest), 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
+    return Chunked(df.withColumn(CHUNK, F.floor(head * F.lit(count)).cast("int") if count > 1 else F.lit(0)))
 
 
 KEY = "_key_"
@@ -154,36 +149,23 @@ CALLS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 MERGE_OVER = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def _frame(p: Pass, keys: Sequence[str], many: bool):
-    window = Window.partitionBy(*keys, *([CHUNK] if many else [])).orderBy(*p.order)
+def _frame(p: Pass, keys: Sequence[str]):
+    window = Window.partitionBy(*keys, CHUNK).orderBy(*p.order)
     return (window.rangeBetween if p.ties else window.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
 
 
-def _zero(kind: str, col: Column) -> Column:
-    return F.coalesce(col, F.lit(0)) if kind == "sum" else col
-
-
 def running_all(data: Chunked, passes: Sequence[Pass]) -> Chunked:
     """Several inclusive running scans over the same rows.
 
     The chunk totals of every pass come straight from the input, so no pass repeats the windows of another.
     """
-    if not data.many:
-        out = data.df
-        for p in passes:
-            window, whole = _frame(p, p.by, False), Window.partitionBy(*p.by)
-            cells = [_zero(kind, CALLS[kind](col).over(window)).alias(n) for n, (kind, col) in p.aggs.items()]
-            if p.totals:
-                cells += [_zero(kind, CALLS[kind](col).over(whole)).alias(f"{n}_total") for n, (kind, col) in p.aggs.items()]
-            out = out.select("*", *cells)
-        return data.with_df(out)
     base, keys = data.df, []
     for p in passes:
         base, names = _join_keys(base, p.by)
         keys.append(names)
     out = base
     for p, names in zip(passes, keys):
-        window = _frame(p, names, True)
+        window = _frame(p, names)
         out = out.select("*", *[CALLS[kind](col).over(window).alias(f"_l_{n}") for n, (kind, col) in p.aggs.items()])
     for p, names in zip(passes, keys):
         whole = Window.partitionBy(*names)
@@ -206,11 +188,9 @@ def running(data: Chunked, by: Sequence[str], order: Sequence[str | Column], agg
 def previous(data: Chunked, by: Sequence[str], order: Sequence[str | Column], cols: dict[str, str]) -> Chunked:
     """The value of ``cols[name]`` on the preceding row of the group (null on the first row)."""
     by = list(by)
-    base, keys = _join_keys(data.df, by) if data.many else (data.df, by)
-    window = Window.partitionBy(*keys, *([CHUNK] if data.many else [])).orderBy(*order)
+    base, keys = _join_keys(data.df, by)
+    window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     out = base.select("*", *[F.lag(c).over(window).alias(n) for n, c in cols.items()])
-    if not data.many:
-        return data.with_df(out)
     last = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     tail = (base.groupBy(*keys, CHUNK)
             .agg(*[F.max_by(F.struct(F.col(c).alias("v")), last).alias(f"_t_{n}") for n, c in cols.items()]))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES_KEY = "spark.tidemark.chunkBytes"
-MAX_CHUNKS_KEY = "spark.tidemark.maxChunks"
-BROADCAST_LIMIT_KEY = "spark.tidemark.broadcastBytes"
+CHUNKS_KEY = "spark.tidemark.chunks"  # a fixed number for every scan, for tests
 DEFAULT_CHUNK_BYTES = 64 << 20
-DEFAULT_MAX_CHUNKS = 16384
-DEFAULT_BROADCAST_LIMIT = 64 << 20
 UNKNOWN = 1 << 62
 
 
@@ -29,24 +26,13 @@ def input_bytes(df: DataFrame) -> int:
     return total
 
 
-def _setting(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(key, str(default)))
-
-
 def chunk_count(df: DataFrame) -> int:
-    """How many ordered chunks a scan over ``df`` should be cut into (1 = no cut needed)."""
+    """How many ordered chunks a scan over ``df`` is cut into, one at least. It moves work between tasks, never results."""
+    conf = df.sparkSession.conf
+    fixed = conf.get(CHUNKS_KEY, None)
+    if fixed is not None:
+        return max(1, int(fixed))
     size = input_bytes(df)
-    limit = _setting(df, MAX_CHUNKS_KEY, DEFAULT_MAX_CHUNKS)
     if size >= UNKNOWN:
-        return min(limit, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, min(limit, -(-size // _setting(df, CHUNK_BYTES_KEY, DEFAULT_CHUNK_BYTES))))
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only when the inputs of ``df`` are known to be under the limit.
-
-    Larger sides keep no hint: the planner then sorts or hashes both sides by the join key.
-    """
-    if input_bytes(df) <= _setting(df, BROADCAST_LIMIT_KEY, DEFAULT_BROADCAST_LIMIT):
-        return F.broadcast(df)
-    return df
+        return int(conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // int(conf.get(CHUNK_BYTES_KEY, str(DEFAULT_CHUNK_BYTES)))))

@@ -20,16 +20,17 @@ from tidemark.sources.tables import VersionedTable
 
 
 def weekly_bin_counts(stream: DataFrame, edges: DataFrame, ts: str = "ts", window: str = "7 days", delay: str = "1 day",
-                      buckets: int = 10) -> DataFrame:
+                      buckets: int = 10, cutoff: int = 0) -> DataFrame:
     """Tumbling counts per (window, feature) over frozen reference edges.
 
-    ``stream`` is (ts, feature, value); ``edges`` is one short array per feature. The state is ``buckets`` counters per
+    ``stream`` is (ts, feature, value); ``edges`` is one short array per feature. Windows start at ``cutoff`` (seconds since
+    1970), the end of the reference, so that they are the weeks of ``assign_week``. The state is ``buckets`` counters per
     open window and feature, whatever the traffic.
     """
     rows = stream.withWatermark(ts, delay).join(F.broadcast(edges), "feature")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     rows = rows.filter(F.col("value").isNotNull()).withColumn("_bin", F.size(F.filter(inner, lambda e: e <= F.col("value"))))
-    out = rows.groupBy(F.window(ts, window), "feature").agg(
+    out = rows.groupBy(F.window(ts, window, window, f"{cutoff} seconds"), "feature").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"),
         *[F.count_if(F.col("_bin") == i).alias(f"_b{i}") for i in range(buckets)])
     counts = F.array(*[f"_b{i}" for i in range(buckets)])

@@ -132,10 +132,9 @@ def _(spark, d):
     return S.shuffle_split(load(spark, d, "documents"), 0.9, "doc_id", 7).select("doc_id", "split")
 
 
-@query("bootstrap_bags", """
+@query("bootstrap_bags", f"""
 WITH b AS (SELECT unnest([0, 1, 2]) AS bag), u AS (SELECT b.bag, (('0x' || substr(md5(event_id || ':bag:' || b.bag || ':42'), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM events, b)
-SELECT bag, w AS copies, count(*) AS n FROM (SELECT bag, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT
-  + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.9999167588507119)::INT AS w FROM u) GROUP BY bag, w""")
+SELECT bag, w AS copies, count(*) AS n FROM (SELECT bag, {" + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in S.POISSON_CDF)} AS w FROM u) GROUP BY bag, w""")
 def _(spark, d):
     bags = S.bootstrap_bags(load(spark, d, "events").select("event_id"), 3, "event_id", 42)
     long = bags.unpivot([], ["bag_0", "bag_1", "bag_2"], "_b", "copies")

@@ -8,6 +8,7 @@ from tidemark.functions.labels import FAMILIES, LABELS, feature_label
 from tidemark.operators import encoders as E
 from tidemark.operators.windows import assign_week
 from tidemark.sources.tables import load
+from tidemark.plans.ordered import attach_row
 from tidemark.workload.base import R, query, rounded, weekly_sql
 
 
@@ -170,10 +171,18 @@ def _(spark, d):
     return load(spark, d, "orders").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("label", feature_label(F.col("name")))
 
 
-@query("block_pca")
+@query("block_pca", """
+SELECT vec_id, 0 AS nulls, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE))::FLOAT::DOUBLE, 3) + 0.0 AS total, true AS centred, true AS uncorrelated, true AS falling FROM embeddings""")
 def _(spark, d):
-    wide = load(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"V{i + 1}") for i in range(16)])
-    return E.block_pca(wide, E.fit_block_pca(wide.filter("vec_id % 3 = 0"), [f"V{i + 1}" for i in range(16)]))
+    """All dimensions as one block. Signs and near-equal axes are free, so of the projections their moments are given."""
+    e = load(spark, d, "embeddings")
+    names = [f"V{i + 1}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0])]
+    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    out = E.block_pca(wide, E.fit_block_pca(wide, names))
+    x, y = "_vcols_dec0", "_vcols_dec1"
+    moments = out.agg(((F.abs(F.avg(x)) < 1e-6) & (F.abs(F.avg(y)) < 1e-6)).alias("centred"), (F.abs(F.corr(x, y)) < 1e-6).alias("uncorrelated"),
+                      (F.var_pop(x) >= F.var_pop(y)).alias("falling"))
+    return attach_row(out.select("vec_id", F.col("_vcols_na").cast("int").alias("nulls"), (F.round(F.col("_vcols_sum").cast("double"), 3) + 0.0).alias("total")), moments)
 
 
 def card_shape(spark, d):

@@ -276,7 +276,7 @@ def topics(spark, d):
 PIECES = "list_filter(list_transform(string_split(answer, '.'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
 
 
-@query("key_takeaways", f"WITH {TOPICS} SELECT sample_id, array_to_string(list_transform(({PIECES})[1:3], lambda s: 'The ' || area || ' sector has seen ' || lower(s) || ', which is noteworthy.'), ' ') AS takeaways FROM tp")
+@query("key_takeaways", f"WITH {TOPICS} SELECT sample_id, array_to_string(list_transform(({PIECES})[1:3], lambda s: replace('{C.TAKEAWAY[0]}', '{{topic}}', area) || lower(s) || '{C.TAKEAWAY[1]}'), ' ') AS takeaways FROM tp")
 def _(spark, d):
     return topics(spark, d).select("sample_id", C.key_takeaways(F.col("answer"), F.col("area")).alias("takeaways"))
 
@@ -302,7 +302,7 @@ def web_sql(key: str, source: str) -> str:
     count = _uni(key, "'count'")
     return f"""wb0 AS (SELECT *, list_transform(list_sort([{drawn}])[1:(CASE WHEN {count} >= 0.5 THEN 3 ELSE 2 END)], lambda s: s.t) AS src, ({PIECES})[1:5] AS pc FROM {source}),
  wb AS (SELECT *, array_to_string(list_transform(pc, lambda s, i: src[floor((('0x' || substr(md5({key} || ':credit:' || (i - 1)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE) * len(src))::INT + 1]
-   || ', ' || lower(s) || '. This represents a significant development in ' || area || '.'), ' ') AS content FROM wb0)"""
+   || '{C.CREDIT[0]}' || lower(s) || replace('{C.CREDIT[1]}', '{{area}}', area)), ' ') AS content FROM wb0)"""
 
 
 @query("web_content", f"WITH {TOPICS}, {web_sql('sample_id::VARCHAR', 'tp')} SELECT sample_id, content FROM wb")
@@ -314,15 +314,24 @@ PROMPT = "You answer with the help of web search."
 
 
 _K = "(sample_id || ':42')"
+_POINTS = {
+    "sentences": f"array_to_string(list_transform(({PIECES})[1:3], lambda s: replace('{C.TAKEAWAY[0]}', '{{topic}}', topic) || lower(s) || '{C.TAKEAWAY[1]}'), ' ')",
+    "bullets": f"array_to_string(list_transform(({PIECES})[1:4], lambda s: '- ' || lower(s)), chr(10))",
+}
+
+
+def _lines(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+_FORMS = " ".join(f"WHEN {i} THEN replace({_lines(head)}, '{{topic}}', topic) || answer || {_lines(joint)} || {_POINTS[form]}" for i, (head, joint, form) in enumerate(C.SUMMARY_FORMS))
 _ASK = "[" + ", ".join(f"'{t}'" for t in C.QUERY_TEMPLATES) + "]"
 SAMPLES = f"""{TOPICS}, yr AS (SELECT *, {_draw(_K, 'year', "['2024', '2025', '2026']", 3)} AS y, replace(area, '_', ' ') AS topic FROM tp),
  fl AS (SELECT sample_id, area, topic, replace(query, '{{year}}', y) AS query, replace(answer, '{{year}}', y) AS answer FROM yr), {web_sql(_K, 'fl')},
  sm AS (SELECT sample_id, area, '<|system|>' || chr(10) || '{PROMPT}</s>' || chr(10) || '<|user|>' || chr(10) || replace({_draw(_K, 'ask', _ASK, len(C.QUERY_TEMPLATES))}, '{{topic}}', topic) || '</s>' || chr(10)
    || '<|assistant|>' || chr(10) || '<tool_calls>' || chr(10) || '[{{"name":"web_search","arguments":{{"query":' || to_json(query)::VARCHAR || '}}}}]' || chr(10) || '</tool_calls></s>' || chr(10)
    || '<|tool|>' || chr(10) || '<tool_results>' || chr(10) || '{{"result":' || to_json(content)::VARCHAR || '}}' || chr(10) || '</tool_results></s>' || chr(10) || '<|assistant|>' || chr(10)
-   || CASE WHEN floor({_uni(_K, "'style'")} * 2) = 0 THEN 'Based on my research, here is a summary of ' || topic || ':' || chr(10) || chr(10) || answer || chr(10) || chr(10) || 'Key takeaways: '
-        || array_to_string(list_transform(({PIECES})[1:3], lambda s: 'The ' || topic || ' sector has seen ' || lower(s) || ', which is noteworthy.'), ' ')
-      ELSE 'I researched ' || topic || ' for you. Here is the summary:' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '## Highlights' || chr(10) || array_to_string(list_transform(({PIECES})[1:4], lambda s: '- ' || lower(s)), chr(10)) END || '</s>' AS text FROM wb)"""
+   || CASE floor({_uni(_K, "'style'")} * {len(C.SUMMARY_FORMS)})::INT {_FORMS} END || '</s>' AS text FROM wb)"""
 TOKENS = "len(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12)), '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))::INT"
 
 
@@ -347,7 +356,12 @@ def _(spark, d):
     return C.area_distribution(topics(spark, d))
 
 
-@query("render_chat", "SELECT conv_id, 0::BIGINT AS part, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || '</s>', chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+@query("render_turns", "SELECT conv_id, turn, '<|' || role || '|>' || chr(10) || coalesce(text, '') || '</s>' AS text FROM conversations")
+def _(spark, d):
+    return C.render_turns(load(spark, d, "conversations"))
+
+
+@query("render_chat", "SELECT conv_id, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || coalesce(text, '') || '</s>', chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def _(spark, d):
     return C.render_chat(load(spark, d, "conversations"))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import lattice as A, listings as L, models as M, policies as V, sampling as S, selection as Q, structure as T
 from tidemark.operators.windows import align_schema
-from tidemark.plans.checkpoints import stable
+from tidemark.plans.checkpoints import new_folder, stable
 from tidemark.sources import tables as X
 from tidemark.workload.base import EV, LI, R, events, lineitem, query, rounded
 from tidemark.workload.distribution_queries import KS_BH, ks_sql
@@ -179,8 +178,9 @@ def _(spark, d):
 @query("embedding_clusters")
 def _(spark, d):
     e = X.load(spark, d, "embeddings")
-    cols = [f"e{i}" for i in range(16)]
-    rows = e.select((F.col("vec_id") % 4).alias("week"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
+    dims = range(e.agg(F.max(F.size("embedding"))).first()[0])
+    cols = [f"e{i}" for i in dims]
+    rows = e.select((F.col("vec_id") % 4).alias("week"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in dims])
     return T.cluster_drift(T.assign_clusters(rows, T.fit_clusters(rows.filter("week = 0"), cols)), cols, 5)
 
 
@@ -294,7 +294,7 @@ def _(spark, d):
 
 @query("get_or_train")
 def _(spark, d):
-    rows, folder = _ready(spark, d), tempfile.mkdtemp(prefix="run-versions-", dir="/tmp")
+    rows, folder = _ready(spark, d), new_folder(spark)
 
     def train(week):
         model = M.train_classifier(rows.filter(F.col("week") <= week), OC, "label", "t", "rid", max_iter=3)
@@ -323,17 +323,13 @@ def _(spark, d):
 # --- sources and sinks -------------------------------------------------------------------------------------------
 
 
-def _folder():
-    return tempfile.mkdtemp(prefix="run-sink-", dir="/tmp")
-
-
-@query("read_pair", "SELECT o_orderkey AS \"TransactionID\", o_totalprice AS amount, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_orderkey % 3000")
+@query("read_pair", "SELECT o_orderkey AS \"TransactionID\", o_totalprice AS amount, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_orderkey % (SELECT count(*) FROM customer)")
 def _(spark, d):
-    folder = _folder()
+    folder = new_folder(spark)
     o = X.load(spark, d, "orders").select(F.col("o_orderkey").alias("TransactionID"), F.col("o_totalprice").alias("amount"))
     c = X.load(spark, d, "customer").select("c_custkey", "c_mktsegment")
     X.write_csv(o, f"{folder}/train_transaction.csv")
-    X.write_csv(o.join(c, F.col("TransactionID") % 3000 == F.col("c_custkey")).select("TransactionID", "c_mktsegment"), f"{folder}/train_identity.csv")
+    X.write_csv(o.join(c, F.col("TransactionID") % c.count() == F.col("c_custkey")).select("TransactionID", "c_mktsegment"), f"{folder}/train_identity.csv")
     fact, ident = X.read_pair(spark, folder, "TransactionID long, amount double", "TransactionID long, c_mktsegment string")
     if X.read_pair(spark, folder, split="test") is not None:
         raise AssertionError("no test pair was written")
@@ -343,21 +339,21 @@ def _(spark, d):
 
 @query("report_csv", "SELECT week, method, confirmed_flag FROM (WITH " + TK + " SELECT week, method, confirmed_flag FROM mx)")
 def _(spark, d):
-    folder = _folder()
+    folder = new_folder(spark)
     X.write_csv(matrix(spark, d), f"{folder}/matrix.csv")
     return X.read_report_csv(spark, f"{folder}/matrix.csv").select(F.col("week").cast("long").alias("week"), "method", "confirmed_flag")
 
 
 @query("report_json", "WITH " + TK + " SELECT week::INT AS week, method, raw_flag, confirmed_flag, model_version FROM mx")
 def _(spark, d):
-    folder = _folder()
+    folder = new_folder(spark)
     X.write_report_json(flags(spark, d), f"{folder}/report", {"top_k": 20})
     return X.read_report_json(spark, f"{folder}/report")
 
 
 @query("application_log", f"WITH {ST} SELECT id, status FROM st, (SELECT unnest(['submitted', 'failed']) AS status)")
 def _(spark, d):
-    folder = _folder()
+    folder = new_folder(spark)
     jobs = stored(spark, d).select("id")
     for status in ("submitted", "failed"):
         X.append_application_log(jobs.withColumn("status", F.lit(status)), f"{folder}/log")
@@ -366,7 +362,7 @@ def _(spark, d):
 
 @query("job_store", f"WITH {ST} SELECT id, match_score FROM st WHERE match_score >= 50")
 def _(spark, d):
-    table = X.VersionedTable(spark, _folder())
+    table = X.VersionedTable(spark, new_folder(spark))
     table.write(stored(spark, d), ["match_score"])
     table.write(table.read().filter("match_score >= 50"), ["match_score"])
     return table.read().select("id", "match_score")
@@ -374,7 +370,7 @@ def _(spark, d):
 
 @query("import_matches", f"WITH {ST} SELECT portal, job_id, title, match_score, skill_overlap FROM sc")
 def _(spark, d):
-    folder = _folder()
+    folder = new_folder(spark)
     m = scored(spark, d)
     nested = m.select(F.struct("portal", "job_id", "title", "company", "location", "url", "description", "posted", "scraped_at").alias("job"), F.col("match_score").alias("score"), "skill_overlap", "pid")
     X.write_jsonl(nested.filter("pid % 2 = 0").drop("pid"), f"{folder}/a")
@@ -385,21 +381,21 @@ def _(spark, d):
 
 @query("export_matches", f"WITH {ST} SELECT id, match_score FROM st")
 def _(spark, d):
-    folder = _folder()
+    folder = new_folder(spark)
     X.export_matches(stored(spark, d), f"{folder}/ranked")
     return spark.read.schema("id string, match_score int").json(f"{folder}/ranked")
 
 
 @query("jsonl_corpus", "SELECT doc_id, text FROM documents")
 def _(spark, d):
-    folder = _folder()
+    folder = new_folder(spark)
     X.write_jsonl(X.load(spark, d, "documents").select("doc_id", "text"), f"{folder}/corpus")
     return spark.read.schema("doc_id long, text string").json(f"{folder}/corpus")
 
 
 @query("trainer_log", "WITH " + EV + f" SELECT week::INT AS step, week / 2.0::DOUBLE AS epoch, 'loss' AS metric, {R('avg(value)', 'value')} FROM ev WHERE week > 0 GROUP BY week UNION ALL SELECT week::INT, week / 2.0::DOUBLE, 'num_tokens', count(*)::DOUBLE FROM ev WHERE week > 0 AND week % 2 = 0 GROUP BY week")
 def _(spark, d):
-    folder = _folder()
+    folder = new_folder(spark)
     w = events(spark, d).filter("week > 0").groupBy("week").agg(F.round(F.avg("value"), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
     entry = F.struct((F.col("week") / 2).alias("epoch"), F.col("week").alias("step"), "loss", F.when(F.col("week") % 2 == 0, F.col("n")).alias("num_tokens"))
     w.agg(F.collect_list(entry).alias("log_history")).select(F.to_json(F.struct(F.lit(8).alias("global_step"), "log_history")).alias("value")).write.text(f"{folder}/state")

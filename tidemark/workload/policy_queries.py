@@ -15,20 +15,18 @@ from tidemark.workload.stream_queries import AUC_V, DDM, F1, FLAGS, raw_flags
 
 # --- score tables ------------------------------------------------------------------------------------------------
 
-LAST = 8  # windows after the reference in the event table
-
-
 def version_scores(spark, d):
-    """Every event scored by the versions trained through weeks 0..7: the older the version, the less it knows."""
+    """Every event scored by the versions trained through each week but the last: the older the version, the less it knows."""
     ev = events(spark, d).filter("week > 0").select(F.col("event_id").alias("row_id"), "week", (F.col("event_type") == "error").cast("int").alias("label"), "user_id")
-    rows = ev.withColumn("version", F.explode(F.array(*[F.lit(v).cast("long") for v in range(LAST)])))
+    last = ev.agg(F.coalesce(F.max("week"), F.lit(1)).cast("long")).first()[0]
+    rows = ev.withColumn("version", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last - 1))))
     knows = F.greatest(F.lit(0.0), F.lit(0.5) - 0.06 * (F.col("week") - F.col("version")))
     noise = (F.col("user_id") * 31 + F.col("version") * 7 + F.col("row_id")) % 97 / F.lit(97.0)
     return rows.select("row_id", "version", "week", "label", (noise * (1 - knows) + F.col("label") * knows).alias("score"), (F.lit(0.5) + 0.01 * F.col("version")).alias("threshold"))
 
 
 VS = EV + f""",
- vs0 AS (SELECT event_id AS row_id, week, (event_type = 'error')::INT AS label, user_id, v AS version, greatest(0.0::DOUBLE, 0.5::DOUBLE - 0.06::DOUBLE * (week - v)) AS k FROM ev, (SELECT unnest(range({LAST})) AS v) WHERE week > 0),
+ vs0 AS (SELECT event_id AS row_id, week, (event_type = 'error')::INT AS label, user_id, v AS version, greatest(0.0::DOUBLE, 0.5::DOUBLE - 0.06::DOUBLE * (week - v)) AS k FROM ev, (SELECT unnest(range((SELECT max(week) FROM ev))) AS v) WHERE week > 0),
  vs AS (SELECT row_id, version, week, label, ((user_id * 31 + version * 7 + row_id) % 97 / 97.0::DOUBLE) * (1 - k) + label * k AS score, 0.5::DOUBLE + 0.01::DOUBLE * version AS threshold FROM vs0),
  pm1 AS (SELECT version, week, sum(CASE WHEN label = 1 THEN rk END) AS rs, sum(label) AS p, sum(1 - label) AS q FROM (SELECT version, week, label,
    rank() OVER (PARTITION BY version, week ORDER BY score) + (count(*) OVER (PARTITION BY version, week, score) - 1) / 2.0::DOUBLE AS rk FROM vs WHERE week > version) GROUP BY ALL),
@@ -78,9 +76,9 @@ def _(spark, d):
     return rounded(V.performance_matrix(version_scores(spark, d)), "auc", "f1")
 
 
-@query("performance_pivot", f"WITH {VS} SELECT version, " + ", ".join(f"round(max(CASE WHEN week = {w} THEN auc END), 6) AS \"{w}\"" for w in range(1, LAST + 1)) + " FROM pm GROUP BY version")
+@query("performance_pivot", f"WITH {VS} SELECT * FROM (PIVOT (SELECT version, week, round(auc, 6) AS auc FROM pm) ON week USING max(auc) GROUP BY version)")
 def _(spark, d):
-    return V.pivot_matrix(rounded(V.performance_matrix(version_scores(spark, d)), "auc"), range(1, LAST + 1))
+    return V.pivot_matrix(rounded(V.performance_matrix(version_scores(spark, d)), "auc"))
 
 
 PF = f"""WITH {VS}, fl AS (SELECT event_type AS method, week, avg(value) > 50 AS raw_flag FROM ev WHERE week > 0 GROUP BY ALL),
@@ -352,9 +350,9 @@ def _(spark, d):
     return R_.feature_method_grid(votes(spark, d), shared, 5, [*METHODS, "ddm"])
 
 
-@query("week_method_grid", f"WITH {TK} SELECT method, " + ", ".join(f"max(CASE WHEN week = {w} THEN CASE WHEN confirmed_flag THEN 2 WHEN raw_flag THEN 1 ELSE 0 END END)::INT AS w{w}" for w in range(1, 9)) + " FROM mx GROUP BY method")
+@query("week_method_grid", f"WITH {TK} SELECT * FROM (PIVOT (SELECT method, 'w' || week AS w, (CASE WHEN confirmed_flag THEN 2 WHEN raw_flag THEN 1 ELSE 0 END)::INT AS cell FROM mx) ON w USING max(cell) GROUP BY method)")
 def _(spark, d):
-    return R_.week_method_grid(matrix(spark, d), range(1, 9))
+    return R_.week_method_grid(matrix(spark, d))
 
 
 @query("alarm_counts", f"WITH {TK} SELECT method, sum(confirmed_flag::INT)::BIGINT AS alarms FROM mx GROUP BY method")

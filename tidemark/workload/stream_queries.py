@@ -153,18 +153,43 @@ def _(spark, d):
     return S.combine_flags(flags, flags, ["click", "error", "view", "idle"])
 
 
+METHODS = list(S.TRIGGERS)
+NAMES = {m: [n for _, n, _ in S.slots(t) if n not in ("", "names")] for m, t in S.TRIGGERS.items()}
+
+
+def _said(template: str, number) -> str:
+    """A trigger's sentence as a DuckDB expression."""
+    parts = []
+    for text, name, form in S.slots(template):
+        parts.append("'" + text + "'")
+        if name == "names":
+            parts.append("'a, b'")
+        elif name:
+            x = number(name)
+            parts.append({"f": f"printf('%.4f', {x})", "d": f"trunc({x})::BIGINT::VARCHAR", "%": f"printf('%.1f', 100.0::DOUBLE * {x}) || '%'"}[form])
+    return " || ".join(parts)
+
+
+def _cases() -> str:
+    return " ".join(f"WHEN '{m}' THEN {_said(t, lambda n, m=m: f'(v * {NAMES[m].index(n) + 1})')}" for m, t in S.TRIGGERS.items())
+
+
 @query("explain_trigger", f"""WITH {FLAGS}, c AS (SELECT *, sum(raw_flag::INT) OVER (PARTITION BY method ORDER BY week ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS fired,
-   least(2, row_number() OVER (PARTITION BY method ORDER BY week)) AS len FROM fl), v AS (SELECT event_type AS method, week, avg(value) AS v FROM ev GROUP BY ALL)
-SELECT method, week, CASE method WHEN 'click' THEN 'DDM: balanced error rate ' || printf('%.4f', v) || ' crossed p_min+3s_min = 50.0000' ELSE '2/5 monitored features (40%) show KS drift (FDR-corrected, D>=min_effect), at or above the 30% consensus threshold: a, b' END
- || ' | persistence gate: fired in ' || fired || ' of the last ' || len || ' window(s)' AS reason FROM c JOIN v USING (method, week) WHERE fired >= 2""")
+   least(2, row_number() OVER (PARTITION BY method ORDER BY week)) AS len FROM fl), x AS (SELECT event_type AS method, week, avg(value) AS v FROM ev GROUP BY ALL),
+ r AS (SELECT c.method AS stream, c.week, v, fired, len, unnest({METHODS}) AS method FROM c JOIN x USING (method, week) WHERE fired >= 2)
+SELECT stream, week, method, (CASE method {_cases()} END) || {_said(S.GATE, lambda n: {'fired': 'fired', 'window_len': 'len'}[n])} AS reason,
+ CASE method {" ".join(f"WHEN '{m}' THEN {len(NAMES[m])}" for m in METHODS)} END::INT AS n_metrics FROM r""")
 def _(spark, d):
     from pyspark.sql import Window
-    w = Window.partitionBy("method").orderBy("week").rowsBetween(-1, 0)
-    vals = events(spark, d).filter("week > 0").groupBy(F.col("event_type").alias("method"), "week").agg(F.avg("value").alias("value"))
-    df = vals.withColumn("fired", F.sum((F.col("value") > 50).cast("int")).over(w)).withColumn("window_len", F.count(F.lit(1)).over(w)).filter("fired >= 2")
-    df = df.select(F.when(F.col("method") == "click", "ddm").otherwise("ks_stats").alias("method"), F.col("method").alias("name"), "week", "value", F.lit(50.0).alias("threshold"),
-                   "fired", "window_len", F.lit(2).alias("features_crossed"), F.lit(5).alias("features_total"), F.array(F.lit("a"), F.lit("b")).alias("names"))
-    return S.explain_trigger(df).select(F.col("name").alias("method"), "week", "reason")
+    w = Window.partitionBy("stream").orderBy("week").rowsBetween(-1, 0)
+    vals = events(spark, d).filter("week > 0").groupBy(F.col("event_type").alias("stream"), "week").agg(F.avg("value").alias("v"))
+    df = vals.withColumn("fired", F.sum((F.col("v") > 50).cast("int")).over(w)).withColumn("window_len", F.count(F.lit(1)).over(w)).filter("fired >= 2")
+    df = df.withColumn("method", F.explode(F.array(*map(F.lit, METHODS))))
+    numbers = F.create_map().cast("map<string,double>")
+    for m in METHODS:
+        numbers = F.when(F.col("method") == m, F.create_map(*[c for i, n in enumerate(NAMES[m]) for c in (F.lit(n), F.col("v") * (i + 1))])).otherwise(numbers)
+    df = df.withColumn("numbers", numbers).withColumn("names", F.array(F.lit("a"), F.lit("b")))
+    return S.explain_trigger(df).select("stream", "week", "method", "reason", F.size("metrics").alias("n_metrics"))
 
 
 # --- ranking quality ---------------------------------------------------------------------------------------------
