@@ -39,5 +39,6 @@ def rotation(df: DataFrame, dim: int, rows: int = SAMPLE_ROWS) -> tuple[np.ndarr
     sample = matrix(few, dim)
     if not len(sample):
         return np.eye(dim), sample
-    _, _, right = np.linalg.svd(sample, full_matrices=True)
-    return right.T, sample @ right.T
+    _, vectors = np.linalg.eigh(sample.T @ sample)  # the right singular vectors, without the left ones
+    turn = np.ascontiguousarray(vectors[:, ::-1])
+    return turn, sample @ turn
