@@ -17,6 +17,7 @@ HEADLINE = [
     "ks_test", "psi", "psi_null", "js_distance", "drift_votes", "ddm", "eddm", "hddm", "auc", "prequential_auc",
     "tune_threshold", "performance_matrix", "evaluate_policies", "policy_reward", "week_method_matrix", "cluster_drift_fixed_centres",
     "upsert_matches", "list_jobs", "apply_match_replies", "generate_samples", "validate_documents", "render_chat",
+    "spearman_matrix", "train_classifier", "random_action_control", "null_alarms", "stream_ddm",
 ]
 
 

@@ -217,9 +217,15 @@ def _(spark, d):
     return rounded(D.psi(feature_long(spark, d)).select("feature", "week", "psi", "drift"), "psi")
 
 
-@query("psi_null")
+@query("psi_null", f"""WITH {LONG}, {PSI}, c AS (SELECT feature, week, count(value) AS n FROM lo GROUP BY ALL)
+SELECT feature, ps.week, r.n AS n_ref, c.n AS n_curr, {R('psi', 'psi')}, {R('9.0::DOUBLE / c.n', 'chi2_expected_psi')}, psi >= 0.2 AS exceeds_threshold, true AS null_drawn, true AS consistent
+FROM ps JOIN c USING (feature, week) JOIN c r USING (feature) WHERE r.week = 0""")
 def _(spark, d):
-    return D.psi_null(feature_long(spark, d))
+    """The null quantile is a random draw: positive, near its chi-square size, and what the flags follow."""
+    out = D.psi_null(feature_long(spark, d))
+    near = (F.col("psi_null_q") > 0.3 * F.col("chi2_expected_psi")) & (F.col("psi_null_q") < 10 * F.col("chi2_expected_psi"))
+    agree = (F.col("drift") == (F.col("exceeds_threshold") & (F.col("psi") > F.col("psi_null_q"))))
+    return rounded(out.select("feature", "week", "n_ref", "n_curr", "psi", "chi2_expected_psi", "exceeds_threshold", near.alias("null_drawn"), agree.alias("consistent")), "psi", "chi2_expected_psi")
 
 
 def joint_sql(bins: int, t: str) -> str:

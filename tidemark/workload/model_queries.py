@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import lattice as A, listings as L, models as M, policies as V, sampling as S, selection as Q, structure as T
+from tidemark.operators.performance import auc
 from tidemark.operators.windows import align_schema
 from tidemark.plans.checkpoints import new_folder, stable
+from tidemark.plans.ordered import attach_row
 from tidemark.sources import tables as X
-from tidemark.workload.base import EV, LI, R, events, lineitem, query, rounded
+from tidemark.workload.base import EV, LI, R, events, lineitem, query, rounded, weekly_sql
 from tidemark.workload.distribution_queries import KS_BH, ks_sql
 from tidemark.workload.listing_queries import ST, scored, stored
 from tidemark.workload.policy_queries import TK, flags, matrix
@@ -220,36 +223,50 @@ def order_rows(spark, d):
                        ((price > 200000 + 30000 * F.col("week")) & (urgent <= 3) | (F.col("o_orderkey") % 13 == 0)).cast("int").alias("label"))
 
 
+ROWS = weekly_sql("orders", "o_orderdate", 730, 360, "oo") + """,
+ mr AS (SELECT o_orderkey AS rid, week, ((o_totalprice > 200000 + 30000 * week AND substr(o_orderpriority, 1, 1)::INT <= 3) OR o_orderkey % 13 = 0)::INT AS label FROM oo)"""
+
+
 def _ready(spark, d):
     return stable(order_rows(spark, d))
 
 
-@query("train_classifier")
+def _judged(rows, *scores, bar=0.6):
+    """Rows with what must hold of a fitted model's scores: each in [0, 1], the first better than ``bar`` by AUC."""
+    rows = stable(rows)
+    fine = [F.col(c).between(0, 1) for c in scores]
+    return attach_row(rows.withColumn("in_range", reduce(lambda a, b: a & b, fine)), auc(rows, [], score=scores[0]).select((F.col("auc") > bar).alias("learned"))).drop(*scores)
+
+
+LATER = f"WITH {ROWS} SELECT rid, week, label, true AS in_range, true AS learned FROM mr WHERE week > 0"
+
+
+@query("train_classifier", LATER)
 def _(spark, d):
     rows = _ready(spark, d)
     model = M.train_classifier(rows.filter("week = 0"), OC, "label", "t", "rid", max_iter=8)
-    return model.score(rows.filter("week > 0")).select("rid", "week", "label", "score")
+    return _judged(model.score(rows.filter("week > 0")).select("rid", "week", "label", "score"), "score")
 
 
-@query("train_mlp")
+@query("train_mlp", LATER)
 def _(spark, d):
     rows = _ready(spark, d)
     model = M.train_mlp(rows.filter("week = 0"), OC, "label", "rid", (8,), max_iter=20)
-    return model.score(rows.filter("week > 0")).select("rid", "week", "label", "score")
+    return _judged(model.score(rows.filter("week > 0")).select("rid", "week", "label", "score"), "score")
 
 
-@query("partial_update")
+@query("partial_update", f"WITH {ROWS} SELECT rid, label, true AS in_range, true AS learned FROM mr WHERE week = 2")
 def _(spark, d):
     rows = _ready(spark, d)
     parent = M.train_mlp(rows.filter("week = 0"), OC, "label", "rid", (8,), max_iter=15)
     child = M.partial_update(parent, rows.filter("week = 1"), "label")
     both = parent.score(rows.filter("week = 2"), "parent_score")
-    return child.score(both, "child_score").select("rid", "label", "parent_score", "child_score")
+    return _judged(child.score(both, "child_score").select("rid", "label", "child_score", "parent_score"), "child_score", "parent_score")
 
 
-@query("oof_scores")
+@query("oof_scores", f"WITH {ROWS} SELECT rid, label, true AS in_range, true AS learned FROM mr WHERE week = 1")
 def _(spark, d):
-    return M.oof_scores(_ready(spark, d).filter("week = 1"), OC, "label", "t", "rid", max_iter=5)[0].select("rid", "fold", "label", "oof_score")
+    return _judged(M.oof_scores(_ready(spark, d).filter("week = 1"), OC, "label", "t", "rid", max_iter=5)[0].select("rid", "label", "oof_score"), "oof_score")
 
 
 @query("top_features_by_importance")
@@ -275,21 +292,21 @@ def _versions(rows, weeks):
     return {w: M.train_classifier(rows.filter(F.col("week") <= w), OC, "label", "t", "rid", max_iter=4) for w in weeks}
 
 
-@query("score_versions")
+@query("score_versions", f"WITH {ROWS} SELECT v AS version, week, true AS better_than_chance FROM (SELECT DISTINCT week FROM mr WHERE week > 0), (SELECT unnest([0, 1])::BIGINT AS v) WHERE week > v")
 def _(spark, d):
     rows = _ready(spark, d)
     scores = M.score_versions(rows.filter("week > 0"), _versions(rows, (0, 1)), ["rid", "week", "label"])
-    return V.performance_matrix(scores)
+    return V.performance_matrix(scores).select("version", "week", (F.col("auc") > 0.5).alias("better_than_chance"))
 
 
-@query("method_scores")
+@query("method_scores", f"WITH {ROWS} SELECT method, week, count(*) AS n, true AS in_range FROM mr, (SELECT unnest(['psi', 'adwin']) AS method) WHERE week > 0 GROUP BY ALL")
 def _(spark, d):
     rows = _ready(spark, d)
     scores = M.score_versions(rows.filter("week > 0"), _versions(rows, (0, 1)), ["rid", "week", "label"])
     weeks = rows.filter("week > 0").select("week").distinct()
     force = weeks.select(F.lit("psi").alias("method"), "week", F.lit(0).cast("long").alias("version")).unionByName(
         weeks.select(F.lit("adwin").alias("method"), "week", F.when(F.col("week") > 1, 1).otherwise(0).cast("long").alias("version")))
-    return M.method_scores(scores, force).groupBy("method", "week").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
+    return M.method_scores(scores, force).groupBy("method", "week").agg(F.count(F.lit(1)).alias("n"), (F.min(F.col("score").between(0, 1).cast("int")) == 1).alias("in_range"))
 
 
 @query("get_or_train")

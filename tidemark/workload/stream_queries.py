@@ -218,14 +218,26 @@ def _(spark, d):
     return P.bootstrap_auc_se(scored_events(spark, d), ["week"], "seq", n_boot=100)
 
 
-@query("prequential_auc")
+@query("prequential_auc", f"""WITH {SCORED}, {AUC.format(s='score')}, x AS (SELECT week, p, {AUC_V} AS auc FROM au)
+SELECT a.week, {R('r.auc', 'reference_auc')}, {R('a.auc', 'current_auc')}, {R('r.auc - a.auc', 'auc_drop')}, a.p::BIGINT AS n_positives, true AS se_plausible, true AS consistent FROM x a, x r WHERE r.week = 0 AND a.week > 0""")
 def _(spark, d):
-    return P.prequential_auc(scored_events(spark, d), "seq", n_boot=100)
+    """The bootstrap error comes from hashes: within the largest variance of an AUC, A(1 - A) / min(n), and what the flag follows."""
+    out = P.prequential_auc(scored_events(spark, d), "seq", n_boot=100)
+    limit = 1.5 * F.sqrt(F.col("current_auc") * (1 - F.col("current_auc")) / F.col("n_positives")) + 1e-12
+    agree = F.col("drift_detected") == ((F.col("auc_drop") > 0.02) & (F.col("auc_drop") > 2.0 * F.col("auc_se")))
+    return rounded(out.select("week", "reference_auc", "current_auc", "auc_drop", "n_positives", ((F.col("auc_se") >= 0) & (F.col("auc_se") <= limit)).alias("se_plausible"), agree.alias("consistent")),
+                   "reference_auc", "current_auc", "auc_drop")
 
 
-@query("champion_challenger")
+@query("champion_challenger", f"""WITH {SCORED}, {AUC.format(s='score')}, {AUC.format(s='rival').replace(' au AS', ' av AS')}
+SELECT au.week, {R(AUC_V.replace('rs', 'au.rs').replace('p', 'au.p').replace('q', 'au.q'), 'champion_auc')}, {R(AUC_V.replace('rs', 'av.rs').replace('p', 'av.p').replace('q', 'av.q'), 'challenger_auc')},
+ {R('0.9::DOUBLE - ' + AUC_V.replace('rs', 'au.rs').replace('p', 'au.p').replace('q', 'au.q'), 'auc_degradation')}, true AS se_plausible, true AS consistent FROM au JOIN av USING (week) WHERE au.week > 0""")
 def _(spark, d):
-    return P.champion_challenger(scored_events(spark, d).filter("week > 0"), "seq", champion="score", challenger="rival", baseline_auc=0.9, n_boot=100)
+    out = P.champion_challenger(scored_events(spark, d).filter("week > 0"), "seq", champion="score", challenger="rival", baseline_auc=0.9, n_boot=100)
+    agree = (F.col("auc_gap") == F.col("challenger_auc") - F.col("champion_auc")) & (
+        F.col("drift_detected") == ((F.col("auc_degradation") > 0.05) | ((F.col("auc_gap") > 0.03) & (F.col("auc_gap") > F.col("auc_gap_se")))))
+    return rounded(out.select("week", "champion_auc", "challenger_auc", "auc_degradation", ((F.col("auc_gap_se") >= 0) & (F.col("auc_gap_se") < 0.2)).alias("se_plausible"), agree.alias("consistent")),
+                   "champion_auc", "challenger_auc", "auc_degradation")
 
 
 GRID = "SELECT unnest(range(91)) AS i"
