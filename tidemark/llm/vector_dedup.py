@@ -25,7 +25,7 @@ from tidemark.llm.vectors import matrix, rotation, usable, width
 from tidemark.plans.checkpoints import drop_stable, stable
 
 BLOCKS = 4
-CHUNK = 4_096
+CHUNK = 16_384
 TILE = 1_024
 UNIT = 1 << 20
 SLAB_RADII = 2
