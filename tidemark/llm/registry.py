@@ -63,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": topk.SQL, "op9_source_mix": mixing.SQL}
+    return {"op2_exact_topk": topk.SQL, "op3_vector_dedup": vector_dedup.SQL, "op5_minhash_dedup": sketch_dedup.SQL, "op9_source_mix": mixing.SQL}

@@ -281,3 +281,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     placed = classes.select("f", F.col("doc_id").alias("first")).join(moved, "f", "left").select("f", F.coalesce("component", "first").alias("component"))
     out = rows_.join(placed, "f", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+ x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+ l AS (SELECT a, b FROM p WHERE 100 * common >= 85 * (na + nb - common)),
+ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, low) AS component_id, doc_id = least(doc_id, low) AS kept FROM s LEFT JOIN c ON c.a = doc_id
+"""

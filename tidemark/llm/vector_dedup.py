@@ -153,3 +153,17 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", vector: str = "
     out = source.select(F.col("id").alias("_raw"), F.col("id").cast("long").alias("id")).join(by_id, "id", "left")
     return out.select(F.col("_raw").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, min(embedding) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+ u AS (SELECT vec_id, list_transform(v, lambda x: x::DOUBLE) AS v FROM e),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+       WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.95),
+ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ c AS (SELECT a, min(b) AS low FROM r GROUP BY a), n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, least(vec_id, low) AS component_id, vec_id = least(vec_id, low) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
