@@ -23,6 +23,7 @@ from tidemark.plans.checkpoints import stable
 BLOCK = 8_192
 QUERY_BLOCK = 1_024
 EXACT = 2.0 ** 53
+TASKS_PER_CORE = 8
 BLOCK_TYPE = "block long, longest double, ids binary, parts binary"
 
 
@@ -149,7 +150,8 @@ def top_k(table: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_id",
     floor = float("-inf") if need is None or asked.count() > reach.count() else float(need)
     keys = again.select("q_block", "q_longest").crossJoin(blocks.filter(F.col("block") != longest).select("block", "longest"))
     open_ = keys.filter(F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-3 >= floor).select("q_block", "block")
-    pairs = open_.repartition(max(1, parts * (-(-count // BLOCK))), "q_block", "block").join(again, "q_block").join(blocks, "block")
+    tasks = max(1, min(parts * -(-count // BLOCK), TASKS_PER_CORE * table.sparkSession.sparkContext.defaultParallelism))
+    pairs = open_.repartition(tasks, "q_block", "block").join(again, "q_block").join(blocks, "block")
     return _top(first.drop("rank").unionByName(_meet(pairs, dim, k, turn)), k).withColumn("rank", F.col("rank").cast("int"))
 
 
