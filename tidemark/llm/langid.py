@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm import crf
-from tidemark.llm.batches import only, rows, slices, texts
+from tidemark.llm.batches import only, released, rows, slices, texts
 
 PER_LANGUAGE = 60
 LEXICON_WORDS = 200
@@ -78,6 +78,7 @@ def identify(docs: DataFrame, model: crf.Model | None, *, doc_id: str = "doc_id"
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its slots
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found, score in _predicted(batches, shared.value, "text"):
             yield rows(doc_id=batch.column("doc_id"), lang_pred=found, score=score)
@@ -89,6 +90,7 @@ def keep(docs: DataFrame, model: crf.Model | None, least: float, *, text: str =
     """The rows, with all their columns, whose language is known with a score of at least ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found, score in _predicted(batches, shared.value, text):
             yield batch.filter(pa.array([f != UNKNOWN and s >= least for f, s in zip(found, score)], pa.bool_()))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.batches import only, slices
+from tidemark.llm.batches import only, released, slices
 from tidemark.llm.langid import remainder
 
 START = "▁"  # the vocabulary's mark before a word
@@ -173,6 +173,7 @@ def _located(docs: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame, every: bool) -> DataFrame:
     """(block, word, n): words of each block and how often its training documents have them; with ``every`` all words, else training words."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {}
 
@@ -200,6 +201,7 @@ def learn(located: DataFrame, vocabulary: str) -> Model:
     """Counts and one expectation step over the training words."""
     words = word_counts(located.filter("train"), False).groupBy("word").agg(F.sum("n").alias("n"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary)
         total, n, v = np.zeros(len(lattice.log_weight)), 0, 0
@@ -233,6 +235,7 @@ def score(docs: DataFrame, vocabulary: str, is_training: Column, *, doc_id: str
     model = learn(located, vocabulary)
     shared = spark.sparkContext.broadcast(model)  # one number per piece
 
+    @released
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, last, kept = Lattice(vocabulary, shared.value.log_weight), None, 0.0
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import only, rows, slices, texts
+from tidemark.llm.batches import only, released, rows, slices, texts
 from tidemark.llm.word_ids import BATCH_BYTES, lengths, word_ids
 
 LENGTH = 1024
@@ -95,6 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     A sequence's id is the partition's number and a running number. Null and empty texts are the end id alone; repeated rows
     are packed each; a document longer than a window is cut. An empty table gives no rows.
     """
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first = word_ids(tokenizer), TaskContext.get().partitionId() << 32
         for batch in slices(batches, limit=BATCH_BYTES):

@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import only, rows, slices, texts
+from tidemark.llm.batches import only, released, rows, slices, texts
 
 # The kinds, their patterns and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -91,6 +91,7 @@ def scan(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
     ``spans`` lists kind:start:end in code points, end exclusive. A null or empty text has no span; repeated rows each get
     their result; an empty table gives no rows.
     """
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = encoding(vocabulary)
         for batch in slices(batches):
@@ -106,6 +107,7 @@ def scan(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
 
 def redact(docs: DataFrame, vocabulary: str, *, text: str = "text", mark: str = "[secret]", max_ratio: float = MAX_RATIO) -> DataFrame:
     """The same rows and columns with every span replaced by ``mark``; null texts stay null."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = encoding(vocabulary)
         for batch in slices(batches, text):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.batches import only, slices
+from tidemark.llm.batches import only, released, slices
 from tidemark.llm.components import connected, tree
 from tidemark.plans.checkpoints import drop_stable, stable
 
@@ -89,6 +89,7 @@ def _binary(df: DataFrame) -> DataFrame:
 
 def sketches(docs: DataFrame, width: int, size: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, f, sketch): ``f`` names the shingle set (null: no shingle)."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in slices(batches):
@@ -103,6 +104,7 @@ def inverted_lists(classes: DataFrame, similarity: float, size: int = SKETCH) ->
     """(list, f): the classes that have a value among their rarest ones; lists with the same classes are given once."""
     share = shared_least(similarity, size) / size
 
+    @released
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [np.frombuffer(s, np.int64) for s in batch.column("sketch").to_pylist()]
@@ -136,6 +138,7 @@ def _estimate(left: list[bytes], right: list[bytes], size: int) -> np.ndarray:
 
 def near_pairs(pairs: DataFrame, classes: DataFrame, least: float, size: int = SKETCH) -> DataFrame:
     """The (a, b) whose union sketch says that they may be similar."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = _estimate(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), size) >= least
@@ -147,6 +150,7 @@ def near_pairs(pairs: DataFrame, classes: DataFrame, least: float, size: int = S
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(f, shingles) of the wanted classes, from the text of the document that stands for each."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(width), set()
         for batch in slices(batches):
@@ -165,6 +169,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, any): sizes of intersection and union of the full sets."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both, either = [], []

@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.batches import only, rows, slices, texts
+from tidemark.llm.batches import only, released, rows, slices, texts
 from tidemark.llm.word_ids import BATCH_BYTES, lengths, word_ids
 from tidemark.plans.checkpoints import new_folder, stable
 
@@ -137,6 +137,7 @@ def write_frames(docs: DataFrame, tokenizer: str, folder: str, *, doc_id: str =
     manifest names those of the attempts that counted. Null and empty texts are the end id alone; repeated rows are
     written each; an empty table gives an empty manifest.
     """
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = writer = None
         for batch in slices(batches, limit=BATCH_BYTES):
@@ -172,6 +173,7 @@ def read_frames(manifest: DataFrame, folder: str, *, with_ids: bool = False) ->
     ``start`` counts the ids of all documents before it: those of earlier files from the manifest (one row per file), those
     of the same file from its seek table.
     """
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = open_folder(folder)
         for batch in batches:

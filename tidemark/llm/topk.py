@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.batches import only
+from tidemark.llm.batches import only, released
 from tidemark.llm.vectors import by_id, matrix, rotation, usable, width
 from tidemark.plans.checkpoints import stable
 
@@ -29,6 +29,7 @@ BLOCK_TYPE = "block long, longest double, ids binary, parts binary"
 
 def _blocks(df: DataFrame, dim: int, size: int) -> DataFrame:
     """(block, longest, ids, parts) of at most ``size`` rows each, in the order of the input's partitions; ids rise within a block."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, count = TaskContext.get().partitionId() << 32, [], 0
 
@@ -87,6 +88,7 @@ def _meet(pairs: DataFrame, dim: int, k: int, turn: np.ndarray) -> DataFrame:
         ids = np.frombuffer(ids, np.int64)
         return ids, np.frombuffer(parts, np.int64, len(ids) * dim).reshape(-1, dim), np.frombuffer(parts, np.float64, len(ids), 8 * len(ids) * dim)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q_ids, q_parts, c_ids, c_parts in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_parts", "ids", "parts"))):

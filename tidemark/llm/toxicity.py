@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import crf
-from tidemark.llm.batches import only, rows, slices, texts
+from tidemark.llm.batches import only, released, rows, slices, texts
 from tidemark.llm.langid import remainder, sample
 
 PER_LABEL = 1000
@@ -120,6 +120,7 @@ def score(docs: DataFrame, model: crf.Model | None, *, doc_id: str = "doc_id", t
             at += len(word)
         return found
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = crf.Tagger(shared.value) if shared.value else None
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.batches import only
+from tidemark.llm.batches import only, released
 from tidemark.llm.components import connected, tree
 from tidemark.llm.vectors import matrix, rotation, usable, width
 from tidemark.plans.checkpoints import drop_stable, stable
@@ -62,6 +62,7 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
 
 def _spread(classes: DataFrame, plan: Plan) -> DataFrame:
     """(block, slab, guest, c, n, z, u): a row per class, block and slab that it stays in or visits."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
