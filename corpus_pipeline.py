@@ -13,12 +13,12 @@ from tidemark.llm import langid, mixing, packing, secret_scan, sketch_dedup
 from tidemark.llm.batches import load
 from tidemark.plans.checkpoints import stable
 
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not ``und``, and with a mean marginal of a half or more."""
+    """Documents whose language is known: not ``und``, and with a mean marginal that is no toss-up. Texts in two or three languages stay."""
     return langid.keep(docs, langid.learn(docs), LEAST_LANGUAGE_SCORE)
 
 
