@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -60,6 +61,25 @@ def test_secret_scan(spark, docs):
     assert clean[1] == EN and clean[4] is None and RANDOM not in clean[11] and clean[10] == '[secret]" [secret] [secret]'
 
 
+@pytest.mark.parametrize("before, after", [("authorization=", ""), ("database_connection_string=", ""), ("database-connection-encryption-key=", ""),
+                                           ("https://x.org/documents/shared/download/", "/attachment/content"), ("prod_database_connection_", "")])
+def test_secret_beside_readable_parts(before, after):
+    ranks, rnd = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")), np.random.default_rng(3)
+    for n in (20, 24, 32):
+        for _ in range(50):
+            value = "".join(rnd.choice(list(string.ascii_letters + string.digits), n))
+            found = secret_scan.spans_of(f"see {before}{value}{after} there", ranks)[1]
+            at = 4 + len(before)
+            assert any(s <= at and at + n <= e for s, e, _ in found), value
+
+
+@pytest.mark.parametrize("run", ["/documents/shared/download/attachment/content", "database-connection-encryption-key=production", "/items/550e8400-e29b-41d4-a716-446655440000/attachment/content",
+                                 "/archive/v10/release-notes-summary",
+                                 "/archive/2023-10-12/00012345678901234567/report"])
+def test_readable_parts_are_no_secret(run):
+    assert secret_scan.random_spans(run, [], secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))) == []
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_base_spans_like_the_patterns(seed):
     rnd = np.random.default_rng(seed)

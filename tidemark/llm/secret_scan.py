@@ -1,8 +1,10 @@
 """Secret scan: patterns of known kinds, and a token-efficiency test for random strings.
 
 A byte-pair vocabulary spends few tokens on words and many on random characters. A run of key-like characters is held
-against the vocabulary: fewer characters per token than ``max_ratio`` mark it as random. Runs that are known digests or
-identifiers (a digest of usual length, UUID, number, address, path, version or plain words) are left out first.
+against the vocabulary: fewer characters per token than ``max_ratio`` mark it as random. Where the whole run passes, its
+parts between = / - _ + are held against it as well, so a readable name or path does not hide the value beside it. Runs and
+parts that are known digests or identifiers (a digest of usual length, UUID, number, address, path, version or plain
+words) are left out first.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # leftmost and greedy: whole runs
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+MIN_LENGTH = 20  # of a run or a part of one
+PART = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")  # a UUID is one part
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # of md5, sha1, sha224, sha256, sha384, sha512 in hexadecimal
 HEXADECIMAL = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
@@ -64,6 +68,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def random_parts(run: str, ranks, max_ratio: float) -> Iterator[tuple[int, int]]:
+    """Stretches of parts that are each short of ``max_ratio``; a part that is readable or known ends a stretch.
+
+    A value in base64 has + / - _ of its own, so neighbouring parts that all look random are one stretch.
+    """
+    stretch = []
+    for m in [*PART.finditer(run), None]:
+        part = m.group() if m else ""
+        if m and not UUID.match(part) and not (HEXADECIMAL.match(part) and len(part) in DIGEST_LENGTHS) and len(part) < max_ratio * len(ranks.encode_ordinary(part)):
+            stretch.append(m)
+            continue
+        if stretch:
+            start, end = stretch[0].start(), stretch[-1].end()
+            whole = run[start:end]
+            if len(whole) >= MIN_LENGTH and not known(whole) and len(whole) < max_ratio * len(ranks.encode_ordinary(whole)):
+                yield start, end
+        stretch = []
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], ranks, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
     """Runs of key-like characters that the vocabulary can't shorten and no other kind has."""
     found = []
@@ -73,6 +96,8 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], ranks, max_ratio:
             continue
         if len(run) < max_ratio * len(ranks.encode_ordinary(run)):
             found.append((m.start(), m.end(), "random"))
+        else:
+            found += [(m.start() + start, m.start() + end, "random") for start, end in random_parts(run, ranks, max_ratio)]
     return found
 
 
