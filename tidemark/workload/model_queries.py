@@ -193,11 +193,21 @@ def _(spark, d):
     return T.reconstruction_drift(T.reconstruct(w, T.fit_reconstruction(w.filter("week = 0"), CCOLS)), CCOLS)
 
 
+def weeks_with_later(rows):
+    """All weeks but the last, in order: those that something can be held against."""
+    return sorted(r[0] for r in rows.select("week").distinct().collect())[:-1]
+
+
+def fitted_attributions(w, ref_week):
+    """Gradient-times-input attributions of every row, by a perceptron fitted on the weeks through ``ref_week``."""
+    model = M.train_mlp(w.filter(F.col("week") <= ref_week), CCOLS, "label", "rid", (8,), max_iter=15)
+    return T.mlp_attributions(w, model.model.getLayers(), model.model.weights.toArray(), model.scale, ["rid", "week"])
+
+
 @query("signal_matrix")
 def _(spark, d):
-    w = stable(wide(spark, d).select("rid", "week", *CCOLS))
-    att = lambda r: T.linear_attributions(w, {c: 1.0 for c in CCOLS}, {c: 0.0 for c in CCOLS}, ["rid", "week"])
-    return T.signal_matrix(w, CCOLS, [0, 5], att, "rid")
+    w = stable(wide(spark, d).select("rid", "week", "label", *CCOLS))
+    return T.signal_matrix(w, CCOLS, weeks_with_later(w), lambda r: fitted_attributions(w, r), "rid")
 
 
 @query("pca_snapshot")
