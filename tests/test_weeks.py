@@ -37,3 +37,30 @@ def test_attributions_are_of_the_reference_weeks_model(spark, lines):
     assert Q.weeks_with_later(w) == [0, 1]
     size = [{r["feature"]: r["a"] for r in Q.fitted_attributions(w, r).groupBy("feature").agg(F.avg(F.abs("attribution")).alias("a")).collect()} for r in (0, 1)]
     assert size[0]["quantity"] > size[0]["price"] and size[0] != size[1]
+
+
+@pytest.fixture(scope="module")
+def orders(tmp_path_factory):
+    """Orders of weeks 0 to 3."""
+    rnd, n, folder = np.random.default_rng(5), 1600, str(tmp_path_factory.mktemp("orders"))
+    pd.DataFrame({"o_orderkey": np.arange(n), "o_custkey": rnd.integers(0, 50, n), "o_orderstatus": "O", "o_totalprice": rnd.uniform(1000, 500000, n),
+                  "o_orderdate": dates(n, 730 + 3 * 360), "o_orderpriority": [f"{p}-X" for p in rnd.integers(1, 6, n)]}).to_parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+def test_versions_of_all_weeks_are_scored(spark, orders):
+    rows = entry.queries()["score_versions"](spark, orders).collect()
+    assert sorted((r["version"], r["week"]) for r in rows) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+
+
+def test_methods_have_later_versions_in_force(spark, orders):
+    ready = Q.order_rows(spark, orders)
+    assert sorted((r["week"], r["version"]) for r in Q.in_force(ready).filter("method = 'adwin'").collect()) == [(1, 0), (2, 1), (3, 2)]
+    counts = {r["week"]: r["count"] for r in ready.groupBy("week").count().collect()}
+    got = {(r["method"], r["week"]): r["n"] for r in entry.queries()["method_scores"](spark, orders).collect()}
+    assert got == {(m, w): counts[w] for m in ("psi", "adwin") for w in (1, 2, 3)}
+
+
+def test_get_or_train_trains_all_weeks(spark, orders):
+    rows = entry.queries()["get_or_train"](spark, orders).collect()
+    assert sorted(r["trained_through_week"] for r in rows) == [0, 1, 2, 3] and all(r["n_rows"] > 0 for r in rows)

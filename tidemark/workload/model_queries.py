@@ -305,18 +305,22 @@ def _versions(rows, weeks):
 @query("score_versions", f"WITH {ROWS} SELECT v AS version, week, true AS better_than_chance FROM (SELECT DISTINCT week FROM mr WHERE week > 0), (SELECT unnest([0, 1])::BIGINT AS v) WHERE week > v")
 def _(spark, d):
     rows = _ready(spark, d)
-    scores = M.score_versions(rows.filter("week > 0"), _versions(rows, (0, 1)), ["rid", "week", "label"])
+    scores = M.score_versions(rows.filter("week > 0"), _versions(rows, weeks_with_later(rows)), ["rid", "week", "label"])
     return V.performance_matrix(scores).select("version", "week", (F.col("auc") > 0.5).alias("better_than_chance"))
 
 
+def in_force(rows):
+    """(method, week, version): psi never adopts a version, adwin has the one trained through the week before."""
+    weeks = rows.filter("week > 0").select("week").distinct()
+    return weeks.select(F.lit("psi").alias("method"), "week", F.lit(0).cast("long").alias("version")).unionByName(
+        weeks.select(F.lit("adwin").alias("method"), "week", (F.col("week") - 1).cast("long").alias("version")))
+
+
 @query("method_scores", f"WITH {ROWS} SELECT method, week, count(*) AS n, true AS in_range FROM mr, (SELECT unnest(['psi', 'adwin']) AS method) WHERE week > 0 GROUP BY ALL")
 def _(spark, d):
     rows = _ready(spark, d)
-    scores = M.score_versions(rows.filter("week > 0"), _versions(rows, (0, 1)), ["rid", "week", "label"])
-    weeks = rows.filter("week > 0").select("week").distinct()
-    force = weeks.select(F.lit("psi").alias("method"), "week", F.lit(0).cast("long").alias("version")).unionByName(
-        weeks.select(F.lit("adwin").alias("method"), "week", F.when(F.col("week") > 1, 1).otherwise(0).cast("long").alias("version")))
-    return M.method_scores(scores, force).groupBy("method", "week").agg(F.count(F.lit(1)).alias("n"), (F.min(F.col("score").between(0, 1).cast("int")) == 1).alias("in_range"))
+    scores = M.score_versions(rows.filter("week > 0"), _versions(rows, weeks_with_later(rows)), ["rid", "week", "label"])
+    return M.method_scores(scores, in_force(rows)).groupBy("method", "week").agg(F.count(F.lit(1)).alias("n"), (F.min(F.col("score").between(0, 1).cast("int")) == 1).alias("in_range"))
 
 
 @query("get_or_train")
@@ -330,7 +334,7 @@ def _(spark, d):
         return M.version_row(spark, again, week, f"w{week}", rows.filter(F.col("week") == week), "label")
 
     have = train(0)
-    wanted = rows.filter("week IN (0, 1, 2)").select("week").distinct()
+    wanted = rows.select("week").distinct()
     return V.get_or_train(wanted, have, train)
 
 
