@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.operators.listings import import_matches
 from tidemark.sources import tables as X
+from tidemark.workload.base import events
 
 
 def test_pair(spark, tmp_path):
@@ -25,6 +27,17 @@ def test_report_document(spark, tmp_path):
     assert X.read_report_json(spark, str(tmp_path / "r")).filter("raw_flag").count() == 2
 
 
+def test_report_has_the_whole_record(spark, small):
+    rows = entry.queries()["report_json_records"](spark, small).collect()
+    counts = {r["week"]: r["count"] for r in events(spark, small).groupBy("week").count().collect()}
+    assert {r["week"]: r["rows"] for r in rows} == counts and [r["week"] for r in rows if r["is_baseline"]] == [0]
+    told = [r for r in rows if r["confirmed_flag"]]
+    assert told and all(r["reason"] and r["metrics"]["crossed"] >= 1 and r["metrics"]["monitored"] >= r["metrics"]["crossed"] and r["to_version"] == r["week"] and r["retrain_count"] >= 1 for r in told)
+    assert all(r["reason"] is None and r["metrics"] is None and r["to_version"] is None for r in rows if not r["confirmed_flag"])
+    flags = sorted(tuple(r) for r in entry.queries()["report_json"](spark, small).collect())
+    assert flags == sorted((r["week"], r["method"], r["raw_flag"], r["confirmed_flag"], r["model_version"]) for r in rows if r["method"])
+
+
 def test_matches_nested_and_flat(spark, tmp_path):
     flat = {"portal": "naukri", "job_id": "2", "title": "B", "company": "C", "url": "u2"}
     (tmp_path / "m.json").write_text(json.dumps([{"job": {**flat, "job_id": "1", "title": "A"}, "score": 80, "skill_overlap": ["x"]}, flat]))

@@ -55,24 +55,52 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 read_report_csv = read_csv
 
-WEEKLY_RECORD = "array<struct<week:int,is_baseline:boolean,rows:bigint,methods:array<struct<method:string,raw_flag:boolean,confirmed_flag:boolean,model_version:bigint>>>>"
+METHOD_RECORD = "method:string,raw_flag:boolean,confirmed_flag:boolean,model_version:bigint,reason:string,metrics:map<string,double>"
+RETRAIN_RECORD = "method:string,from_version:bigint,to_version:bigint,retrain_count:int"
+WEEKLY_RECORD = (f"array<struct<week:int,is_baseline:boolean,rows:bigint,methods:array<struct<{METHOD_RECORD}>>,"
+                 f"retrains:array<struct<{RETRAIN_RECORD}>>>>")
 
 
-def write_report_json(matrix: DataFrame, path: str, top: dict | None = None, mode: str = "overwrite") -> None:
-    """One nested document: weekly records with their methods. The matrix has one row per (week, method)."""
-    weeks = matrix.groupBy("week").agg(F.array_sort(F.collect_list(F.struct("method", "raw_flag", "confirmed_flag", "model_version"))).alias("methods"))
-    record = F.struct(F.col("week").cast("int").alias("week"), F.lit(False).alias("is_baseline"), F.lit(None).cast("bigint").alias("rows"), "methods")
-    one = weeks.agg(F.array_sort(F.collect_list(F.struct(F.col("week").alias("w"), record.alias("r")))).alias("_r"))
+def write_report_json(matrix: DataFrame, path: str, top: dict | None = None, mode: str = "overwrite", *, rows: DataFrame | None = None,
+                      triggers: DataFrame | None = None, retrains: DataFrame | None = None, baseline: int = 0) -> None:
+    """One nested document: weekly records with their methods. The matrix has one row per (week, method).
+
+    ``rows`` is (week, rows) of all weeks, also of those without methods such as the baseline; ``triggers`` is
+    (week, method, reason, metrics) as streams.explain_trigger gives it; ``retrains`` is (week, method, from_version,
+    to_version, retrain_count), see policies.adopt. What is not given stays null or empty.
+    """
+    spark = matrix.sparkSession
+    rows = spark.createDataFrame([], "week int, rows bigint") if rows is None else rows
+    triggers = spark.createDataFrame([], "week int, method string, reason string, metrics map<string,double>") if triggers is None else triggers
+    retrains = spark.createDataFrame([], f"week:int,{RETRAIN_RECORD}") if retrains is None else retrains
+    # Maps have no order to sort by: the name comes first and is unique within a week.
+    listed = lambda df, *cols: df.groupBy("week").agg(F.collect_list(F.struct(*cols)).alias("_l")).withColumn(
+        "_l", F.array_sort("_l", lambda x, y: F.when(x["method"] < y["method"], -1).when(x["method"] > y["method"], 1).otherwise(0)))
+    told = matrix.select("week", "method", "raw_flag", "confirmed_flag", "model_version").join(triggers.select("week", "method", "reason", "metrics"), ["week", "method"], "left")
+    methods = listed(told, "method", "raw_flag", "confirmed_flag", "model_version", "reason", "metrics").withColumnRenamed("_l", "methods")
+    done = listed(retrains, "method", "from_version", "to_version", "retrain_count").withColumnRenamed("_l", "retrains")
+    weeks = methods.join(rows.select("week", "rows"), "week", "full").join(done, "week", "full")
+    filled = [F.coalesce(c, F.array().cast(weeks.schema[c].dataType)).alias(c) for c in ("methods", "retrains")]
+    record = F.struct(F.col("week").cast("int").alias("week"), (F.col("week") == baseline).alias("is_baseline"), F.col("rows").cast("bigint").alias("rows"), *filled)
+    one = weeks.agg(F.collect_list(record).alias("_r"))
+    ordered = F.array_sort("_r", lambda x, y: x["week"] - y["week"])
     cells = [F.lit(v).alias(k) for k, v in (top or {}).items()]
-    document = F.to_json(F.struct(*cells, F.transform("_r", lambda x: x["r"]).alias("weekly_records")))
+    document = F.to_json(F.struct(*cells, ordered.alias("weekly_records")))
     one.select(document.alias("value")).write.mode(mode).text(path)
 
 
+def read_report_records(spark: SparkSession, path: str) -> DataFrame:
+    """All of a nested weekly report: a row per (week, method), and one with null methods for a week that has none."""
+    raw = spark.read.schema(f"weekly_records {WEEKLY_RECORD}").option("multiLine", True).json(path)
+    weeks = raw.select(F.explode("weekly_records").alias("w")).select("w.*").select("week", "is_baseline", "rows", "retrains", F.explode_outer("methods").alias("m"))
+    own = F.get(F.filter("retrains", lambda x: x["method"] == F.col("m.method")), F.lit(0))
+    return weeks.select("week", "is_baseline", "rows", "m.*", *[own[c].alias(c) for c in ("from_version", "to_version", "retrain_count")])
+
+
 def read_report_json(spark: SparkSession, path: str) -> DataFrame:
     """(week, method, flags, version) rows of a nested weekly report."""
-    raw = spark.read.schema(f"weekly_records {WEEKLY_RECORD}").option("multiLine", True).json(path)
-    weeks = raw.select(F.explode("weekly_records").alias("w")).filter(~F.coalesce("w.is_baseline", F.lit(False)))
-    return weeks.select(F.col("w.week").alias("week"), F.explode("w.methods").alias("m")).select("week", "m.*")
+    records = read_report_records(spark, path).filter(~F.coalesce("is_baseline", F.lit(False)) & F.col("method").isNotNull())
+    return records.select("week", "method", "raw_flag", "confirmed_flag", "model_version")
 
 
 def append_application_log(records: DataFrame, path: str) -> None:

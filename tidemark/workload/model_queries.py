@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidemark.operators import lattice as A, listings as L, models as M, policies as V, sampling as S, selection as Q, structure as T
+from tidemark.operators.distribution import VOTE_FRACTION, feature_vote
 from tidemark.operators.performance import auc
+from tidemark.operators.streams import explain_trigger
 from tidemark.operators.windows import align_schema
 from tidemark.plans.checkpoints import new_folder, stable
 from tidemark.plans.ordered import attach_row
@@ -15,7 +17,7 @@ from tidemark.sources import tables as X
 from tidemark.workload.base import EV, LI, R, events, lineitem, query, rounded, weekly_sql
 from tidemark.workload.distribution_queries import KS_BH, ks_sql
 from tidemark.workload.listing_queries import ST, scored, stored
-from tidemark.workload.policy_queries import TK, flags, matrix
+from tidemark.workload.policy_queries import BARS, METHODS, TK, flags, matrix, votes
 
 # --- selection ---------------------------------------------------------------------------------------------------
 
@@ -375,13 +377,36 @@ def _(spark, d):
     return X.read_report_csv(spark, f"{folder}/matrix.csv").select(F.col("week").cast("long").alias("week"), "method", "confirmed_flag")
 
 
+def write_record(spark, d, path):
+    """The whole weekly report of the events: flags, reasons and metrics of confirmed triggers, row counts, retrained versions."""
+    f, v = stable(flags(spark, d)), votes(spark, d)
+    recent = Window.partitionBy("method").orderBy("week").rowsBetween(-1, 0)
+    fired = f.select("week", "method", "confirmed_flag", F.sum(F.col("raw_flag").cast("int")).over(recent).alias("fired"), F.count(F.lit(1)).over(recent).alias("window_len"))
+    names = v.groupBy("week", "method").agg(F.array_sort(F.collect_list(F.when(F.col("drift"), F.col("feature")))).alias("names"))
+    said = feature_vote(v).join(fired.filter("confirmed_flag"), ["week", "method"]).join(names, ["week", "method"])
+    pick = lambda of: F.coalesce(*[F.when(F.col("method") == m, F.lit(float(of[m]))) for m in METHODS])
+    cells = {"crossed": F.col("features_crossed"), "monitored": F.col("features_total"), "share": F.col("fraction"), "bar": pick(VOTE_FRACTION)}
+    cells |= {n: pick(BARS) for n in ("min_effect", "min_psi", "min_distance")}
+    said = said.withColumn("numbers", F.create_map(*[x for n, c in cells.items() for x in (F.lit(n), c.cast("double"))]))
+    X.write_report_json(f, path, {"top_k": 20}, rows=events(spark, d).groupBy("week").agg(F.count(F.lit(1)).alias("rows")), triggers=explain_trigger(said),
+                        retrains=V.adopt(f.filter("confirmed_flag").select("method", "week", F.lit("confirmed").alias("reason"))))
+
+
 @query("report_json", "WITH " + TK + " SELECT week::INT AS week, method, raw_flag, confirmed_flag, model_version FROM mx")
 def _(spark, d):
     folder = new_folder(spark)
-    X.write_report_json(flags(spark, d), f"{folder}/report", {"top_k": 20})
+    write_record(spark, d, f"{folder}/report")
     return X.read_report_json(spark, f"{folder}/report")
 
 
+@query("report_json_records")
+def _(spark, d):
+    """Every field of the weekly report read back; report_json has the flags and versions that its SQL twin covers."""
+    folder = new_folder(spark)
+    write_record(spark, d, f"{folder}/report")
+    return X.read_report_records(spark, f"{folder}/report")
+
+
 @query("application_log", f"WITH {ST} SELECT id, status FROM st, (SELECT unnest(['submitted', 'failed']) AS status)")
 def _(spark, d):
     folder = new_folder(spark)
