@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import langid, lattice_lm, mixing, packing, secret_scan, sketch_dedup, token_frames, topk, toxicity, vector_dedup
+from tidemark.llm import (dialogue_repair, hard_negatives, langid, lattice_lm, mixing, packing, secret_scan, sketch_dedup, token_frames, topk, toxicity,
+                          url_filter, vector_dedup)
 from tidemark.llm.batches import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,7 @@ BYTE_RANKS = "byte_bpe_50k.tiktoken"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,9 +60,26 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(load(spark, folder, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The list holds the crawl's addresses on hosts with an unwanted word in their name."""
+    pages = load(spark, folder, "pages")
+    return url_filter.judge(pages, url_filter.unwanted(pages), URL_RULES)
+
+
+def op12_dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue_repair.repair(load(spark, folder, "conversations"), harm=True)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(load(spark, folder, "embeddings"), F.col("id") % 50 == 0, label=moved)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_exact_topk, op3_vector_dedup, op4_packing, op5_minhash_dedup, op6_language_id, op7_lattice_lm, op8_token_frames, op9_source_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_exact_topk, op3_vector_dedup, op4_packing, op5_minhash_dedup, op6_language_id, op7_lattice_lm, op8_token_frames, op9_source_mix,
+                                    op10_toxicity, op11_url_filter, op12_dialogue_repair, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": topk.SQL, "op3_vector_dedup": vector_dedup.SQL, "op5_minhash_dedup": sketch_dedup.SQL, "op9_source_mix": mixing.SQL}
+    return {"op2_exact_topk": topk.SQL, "op3_vector_dedup": vector_dedup.SQL, "op5_minhash_dedup": sketch_dedup.SQL, "op9_source_mix": mixing.SQL,
+            "op11_url_filter": url_filter.SQL, "op13_hard_negatives": hard_negatives.SQL}
