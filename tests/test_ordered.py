@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tidemark.operators import distribution as D, performance as P, sampling as S
-from tidemark.plans.ordered import Pass, chunk_by_value, plain, previous, quantiles, running, running_all
+from tidemark.plans.ordered import Pass, chunk_by_pair, chunk_by_value, followed, plain, previous, quantiles, running, running_all
 from tidemark.plans.sizing import chunk_count, input_bytes
 
 
@@ -61,12 +61,53 @@ def test_hash_rank_ignores_partitioning(skewed):
 
 
 def test_bounded_sample_and_split(skewed):
-    out = S.bounded_sample(skewed, 50, "id", 1, ["g"], chunks=5).groupBy("g").count().collect()
+    out = S.bounded_sample(skewed, 50, "id", 1, ["g"]).groupBy("g").count().collect()
     assert {r["count"] for r in out} == {50}
     parts = {r["part"]: r["count"] for r in S.null_split(skewed, 1 / 12, "id", 1).groupBy("part").count().collect()}
     assert parts["small"] == 250 and sum(parts.values()) == 3000
 
 
+@pytest.mark.parametrize("boundary", [65_536, 3, 1])
+def test_samples_are_the_first_ranks(skewed, monkeypatch, boundary):
+    """Whatever is left to order at the end, the sample is what ranking every row gives."""
+    monkeypatch.setattr(S, "BOUNDARY", boundary)
+    monkeypatch.setattr(S, "HEX", 1)
+    ranked = S.hash_rank(skewed, "id", 3, ["g"], chunks=1)
+    for n in (0, 1, 50, 10_000):
+        same(S.bounded_sample(skewed, n, "id", 3, ["g"]), ranked.filter(F.col("rank") <= n).drop("rank"))
+    whole = S.hash_rank(skewed, "id", 7)
+    same(S.shuffle_split(skewed, 0.9, "id", 7), whole.withColumn("split", F.when(F.col("rank") <= 2700, "train").otherwise("eval")).drop("rank"))
+
+
+def test_repeated_keys_are_one_cut(spark):
+    df = spark.createDataFrame([(i % 3 if i < 300 else None,) for i in range(400)], "id long")
+    sizes = {r["id"]: r["count"] for r in S.bounded_sample(df, 120, "id", 1).groupBy("id").count().collect()}
+    assert sum(sizes.values()) >= 120 and all(n == 100 for n in sizes.values())
+    assert S.bounded_sample(df.limit(0), 5, "id", 1).count() == 0
+
+
+@pytest.mark.parametrize("chunks", [1, 6])
+@pytest.mark.parametrize("times", ["spread", "one", "null"])
+def test_temporal_split(spark, chunks, times):
+    """Against sorting; one time may hold all rows, and null times come first."""
+    rng = np.random.default_rng(2)
+    t = {"spread": rng.integers(0, 400, 1000).astype(float), "one": np.full(1000, 5.0), "null": np.where(rng.random(1000) < .4, np.nan, rng.integers(0, 5, 1000))}[times]
+    pdf = pd.DataFrame({"id": rng.permutation(1000), "t": t, "label": rng.integers(0, 2, 1000)})
+    df = spark.createDataFrame(pdf).withColumn("t", F.nanvl("t", F.lit(None)))
+    got = S.temporal_split(df, "t", "id", "label", 0.73, chunks=chunks).toPandas().set_index("id")["is_valid"]
+    order = pdf.assign(t=pdf["t"].fillna(-np.inf)).sort_values(["t", "id"])["id"].tolist()
+    assert [i for i in order if got[i]] == order[730:]
+
+
+def test_temporal_split_falls_back(spark):
+    df = spark.range(1000).select(F.col("id").alias("rid"), (F.col("id") < 300).cast("int").alias("label"), F.col("id").cast("double").alias("t"))
+    got = S.temporal_split(df, "t", "rid", "label")
+    ranked = S.hash_rank(df, "rid", 42, ["label"])
+    same(got, ranked.withColumn("is_valid", F.col("rank") > F.when(F.col("label") == 1, 240).otherwise(560)).drop("rank"))
+    none = S.temporal_split(df.limit(0), "t", "rid", "label")
+    assert none.columns[-1] == "is_valid" and none.count() == 0
+
+
 def test_bags_have_unit_mean(skewed):
     w = S.bootstrap_bags(skewed, 2, "id", 5).agg(F.avg("bag_0"), F.var_samp("bag_0"), F.corr("bag_0", "bag_1")).first()
     assert abs(w[0] - 1) < 0.06 and abs(w[1] - 1) < 0.12 and abs(w[2]) < 0.06
@@ -91,6 +132,20 @@ def test_plain_window(skewed):
         same(plain(got.df), want)
 
 
+def test_followed_like_a_window(skewed):
+    """Lag and position in one scan, a hot time value in several chunks."""
+    rows = skewed.withColumn("v", F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") % 50 == 1, None).otherwise(F.col("v")))
+    w = Window.partitionBy("g").orderBy("v", "id")
+    want = rows.withColumn("p", F.lag("x").over(w)).withColumn("q", F.lag("v").over(w)).withColumn("n", F.row_number().over(w).cast("long"))
+    for k in (1, 9):
+        cut = chunk_by_pair(rows, "v", "id", k)
+        same(plain(followed(cut, ["g"], ["v", "id"], {"p": "x", "q": "v"}, "n").df.withColumn("n", F.col("n").cast("long"))), want)
+    sizes = {r["_chunk"]: r["count"] for r in cut.df.groupBy("_chunk").count().collect()}
+    assert len(sizes) == 10 and max(sizes.values()) < 3000 / 5  # the value 5 alone has more than a third
+    ordered = [r["_chunk"] for r in cut.df.orderBy("v", "id").collect()]
+    assert ordered == sorted(ordered)
+
+
 @pytest.fixture(scope="module")
 def holes(spark):
     """Null scores, values and order keys, and a window whose values are all null."""

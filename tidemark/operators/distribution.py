@@ -1,7 +1,8 @@
 """Distribution drift of each feature of each window against the reference.
 
-Input is the long table (group columns, week, feature, value) with week 0 the reference. All windows and
-features are one job. The reference is ordered once for all windows, never copied per window.
+Input is the long table (group columns, week, feature, value) with week 0 the reference, or a ``Profile`` of it, from which
+every statistic can be had: all windows, features and statistics are one counting of the rows and one ordered pass, in which
+a bin's count is the difference of two cumulative counts. No row is binned and the reference is never copied per window.
 """
 
 from __future__ import annotations
@@ -13,43 +14,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import EPSILON, kolmogorov_p, psi_of
-from tidemark.operators.sampling import bounded_sample, null_split
-from tidemark.plans.checkpoints import stable
-from tidemark.plans.ordered import Pass, chunk_by_value, null_safe_join, quantiles, running_all, with_reference
+from tidemark.operators.sampling import bounded_sample, digest, digest_cuts
+from tidemark.operators.profiles import Pair, Profile, value_vectors, week_profile
+from tidemark.plans.ordered import null_safe_join, quantiles
 
 
-def ks_stat(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
+def profiled(data: DataFrame | Profile, by: Sequence[str], week: str, value: str, chunks: int | None, buckets: int | None = None, bins: int | None = None) -> Profile:
+    """``data`` itself where it is a profile that holds the wanted bins."""
+    if not isinstance(data, Profile):
+        return week_profile(data, list(by), week, value, buckets, bins, chunks=chunks)
+    if (buckets is not None and data.buckets != buckets) or (bins is not None and data.bins != bins):
+        raise ValueError(f"the profile has {data.buckets} quantile and {data.bins} joint bins, not {buckets} and {bins}")
+    return data
+
+
+def ks_stat(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
             alpha: float = 0.05, chunks: int | None = None) -> DataFrame:
     """Two-sample KS of every window against week 0: statistic, p, drift, n_ref, n_curr.
 
-    The largest CDF gap is reached at a value of the window or just below one, because the window's CDF is
-    flat in between and the reference CDF is monotone. So cumulative reference counts are needed only at
-    window values: one ordered pass over (feature, value) serves all windows at once.
     A window with no reference rows, or with no value, reports (0, 1, false).
     """
-    by = list(by)
-    # A group of nulls keeps its row with a count of 0, so every window stays visible and one scan is enough.
-    counts = df.groupBy(*by, week, value).agg(F.count(value).alias("_n"))
-    is_ref = F.col(week) == 0
-    data = chunk_by_value(counts.withColumn("_is_ref", is_ref).withColumn("_ref_n", F.when(is_ref, F.col("_n")).otherwise(0)), value, chunks, df)
-    # Window rows come before reference rows of the same value: this sum is the count strictly below.
-    data = running_all(data, [
-        Pass(by, [value, "_is_ref"], {"_ref_below": ("sum", F.col("_ref_n"))}),
-        Pass(by, [value], {"_ref_upto": ("sum", F.col("_ref_n"))}, ties=True, totals=True),
-        Pass([*by, week], [value], {"_cur_upto": ("sum", F.col("_n"))}, totals=True)])
-    n_ref, n_curr = F.col("_ref_upto_total"), F.col("_cur_upto_total")
-    share = lambda a, b: F.try_divide(a.cast("double"), b)
-    at = F.abs(share(F.col("_cur_upto"), n_curr) - share(F.col("_ref_upto"), n_ref))
-    below = F.abs(share(F.col("_cur_upto") - F.col("_n"), n_curr) - share(F.col("_ref_below"), n_ref))
-    out = data.df.filter(~F.col("_is_ref")).groupBy(*by, week).agg(
-        F.max(F.when(F.col("_n") > 0, F.greatest(at, below))).alias("_d"), F.max(n_ref).alias("n_ref"), F.max(n_curr).alias("n_curr"))
+    p_ = profiled(df, by, week, value, chunks)
+    out = p_.table.withColumn("_d", F.when((F.col("n_ref") > 0) & (F.col("n_curr") > 0), F.col("d")))
     stat = F.coalesce(F.col("_d"), F.lit(0.0))
     p = F.when(F.col("_d").isNull(), 1.0).otherwise(kolmogorov_p(stat, F.col("n_ref"), F.col("n_curr")))
-    return (out.select(*by, week, stat.alias("statistic"), p.alias("p_value"), "n_ref", "n_curr")
+    return (out.select(*p_.by, p_.week, stat.alias("statistic"), p.alias("p_value"), "n_ref", "n_curr")
             .withColumn("drift", F.col("p_value") < alpha))
 
 
-def ks_test(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
+def ks_test(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
             alpha: float = 0.05, min_effect: float = 0.10, sample: int | None = None,
             sample_key: str | None = None, seed: int = 42, chunks: int | None = None) -> DataFrame:
     """KS gated on significance and on the size of the gap.
@@ -79,7 +72,7 @@ def benjamini_hochberg(df: DataFrame, by: Sequence[str] = ("week",), p: str = "p
             .withColumn("rejected", F.col("p_adjusted") < alpha).drop("_raw_q"))
 
 
-def ks_votes(df: DataFrame, week: str = "week", alpha: float = 0.05, min_effect: float = 0.10,
+def ks_votes(df: DataFrame | Profile, week: str = "week", alpha: float = 0.05, min_effect: float = 0.10,
              chunks: int | None = None) -> DataFrame:
     """KS per feature, FDR-corrected across the features of a window, then gated on effect size."""
     tested = ks_test(df, ("feature",), week, alpha=alpha, min_effect=min_effect, chunks=chunks)
@@ -90,47 +83,20 @@ def ks_votes(df: DataFrame, week: str = "week", alpha: float = 0.05, min_effect:
 def reference_edges(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
                     buckets: int = 10, chunks: int | None = None) -> DataFrame:
     """Distinct reference quantile edges per feature (the outer two stand for minus and plus infinity)."""
-    probs = [i / buckets for i in range(buckets + 1)]
-    raw = quantiles(df.filter(F.col(week) == 0), by, value, probs, "edges", chunks)
+    raw = quantiles(df.filter(F.col(week) == 0), by, value, [i / buckets for i in range(buckets + 1)], "edges", chunks)
     return raw.withColumn("edges", F.array_distinct("edges"))
 
 
-def _bin_counts(df: DataFrame, edges: DataFrame, by: Sequence[str], week: str, value: str, buckets: int) -> DataFrame:
-    """Counts per bin as one array column; edges have one short row per feature."""
-    rows = null_safe_join(df.select(*by, week, value), stable(edges), by, "left")
-    # Plain comparisons stay in generated code; a lambda over the array would not.
-    above = " + ".join(f"if({i} <= _e - 2 AND _v >= get(edges, {i}), 1, 0)" for i in range(1, buckets)) or "0"
-    bin_no = F.expr(f"if(_v IS NULL, NULL, {above})")
-    rows = rows.withColumn("_e", F.size("edges")).withColumn("_v", F.col(value))
-    counted = rows.select(*by, week, "_e", bin_no.alias("_bin")).groupBy(*by, week).agg(
-        F.count("_bin").alias("n"), F.max("_e").alias("n_edges"),
-        F.expr("array(" + ", ".join(f"count_if(_bin = {i})" for i in range(buckets)) + ")").alias("_cells"))
-    used = F.greatest(F.col("n_edges") - 1, F.lit(0))
-    return counted.select(*by, week, "n", "n_edges", F.slice("_cells", F.lit(1), used).alias("counts"))
-
-
-def psi_cells(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
-              buckets: int = 10, chunks: int | None = None) -> DataFrame:
-    """Reference and window bin counts side by side, one row per (feature, window)."""
-    by = list(by)
-    edges = reference_edges(df, by, week, value, buckets, chunks)
-    counts = _bin_counts(df, edges, by, week, value, buckets)
-    out = with_reference(counts, by, week, {"n": "n_ref", "counts": "ref_counts"})
-    return out.withColumnsRenamed({"n": "n_curr", "counts": "curr_counts"})
-
-
-def psi(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
+def psi(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
         buckets: int = 10, threshold: float = 0.2, chunks: int | None = None) -> DataFrame:
     """PSI per (feature, window); fewer than 10 rows on a side or a constant reference gives 0."""
-    cells = psi_cells(df, by, week, value, buckets, chunks)
+    p = profiled(df, by, week, value, chunks, buckets=buckets)
     usable = (F.col("n_ref") >= 10) & (F.col("n_curr") >= 10) & (F.col("n_edges") >= 2)
     val = F.when(usable, psi_of(F.col("ref_counts"), F.col("curr_counts"), F.col("n_ref"), F.col("n_curr"))).otherwise(0.0)
-    return (cells.select(*by, week, F.coalesce("n_ref", F.lit(0)).alias("n_ref"),
-                         F.coalesce("n_curr", F.lit(0)).alias("n_curr"), val.alias("psi"))
-            .withColumn("drift", F.col("psi") >= threshold))
+    return p.table.select(*p.by, p.week, "n_ref", "n_curr", val.alias("psi")).withColumn("drift", F.col("psi") >= threshold)
 
 
-def psi_null(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
+def psi_null(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
              buckets: int = 10, threshold: float = 0.2, n_boot: int = 100, quantile: float = 0.99,
              seed: int = 42, chunks: int | None = None) -> DataFrame:
     """PSI against its null at this window's size: drift needs the band and the null quantile.
@@ -139,11 +105,11 @@ def psi_null(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week"
     one draw per bin whatever the table size. The draws are made inside the tasks, per (feature, window).
     The replicate edges are the reference's, as each replicate is compared with the same reference.
     """
-    by = list(by)
-    cells = psi_cells(df, by, week, value, buckets, chunks)
+    profile = profiled(df, by, week, value, chunks, buckets=buckets)
+    by, week, cells = profile.by, profile.week, profile.table
     usable = (F.col("n_ref") >= 10) & (F.col("n_curr") >= 10) & (F.col("n_edges") >= 2)
     key = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in [*by, week]], F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
-    base = cells.select(*by, week, F.coalesce("n_ref", F.lit(0)).alias("n_ref"), F.coalesce("n_curr", F.lit(0)).alias("n_curr"),
+    base = cells.select(*by, week, "n_ref", "n_curr",
                         F.when(usable, F.col("ref_counts")).alias("_ref"),
                         F.when(usable, psi_of(F.col("ref_counts"), F.col("curr_counts"), F.col("n_ref"), F.col("n_curr")))
                         .otherwise(0.0).alias("psi"), key.alias("_seed"))
@@ -170,37 +136,6 @@ def psi_null(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week"
             .withColumn("drift", F.col("exceeds_threshold") & F.col("exceeds_null")))
 
 
-def _joint_histogram(df: DataFrame, by: list[str], week: str, value: str, bins: int) -> DataFrame:
-    """Equal-width counts over the joint range of the reference and each window.
-
-    Windows inside the reference range share one set of edges, so a reference row is binned once per distinct range,
-    not once per window, and is counted in the map task: the shuffle carries features x windows x bins rows. The bin
-    is guessed by division and then settled by comparing with the explicit edges lo + i * step.
-    """
-    spans = df.groupBy(*by, week).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    joint = with_reference(spans, by, week, {"lo": "_rlo", "hi": "_rhi"})
-    joint = joint.select(*by, F.col(week).alias("_w"), F.least("lo", "_rlo").alias("lo"), F.greatest("hi", "_rhi").alias("hi"))
-    spec = joint.groupBy(*by).agg(F.collect_list(F.struct("_w", F.struct("lo", "hi").alias("s"))).alias("_spec"))
-    spec = spec.select(*by, F.map_from_entries("_spec").alias("_own"), F.array_distinct(F.transform("_spec", lambda x: x["s"])).alias("_ranges"))
-    placed = null_safe_join(df.select(*by, week, value), stable(spec), by)
-    wanted = F.when(F.col(week) == 0, F.col("_ranges")).otherwise(F.array(F.try_element_at("_own", F.col(week))))
-    placed = placed.select(*by, week, F.col(value).alias("_v"), F.explode(wanted).alias("_s")).select(*by, week, "_v", "_s.lo", "_s.hi")
-    placed = placed.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(bins))
-    placed = placed.withColumn("_g", F.expr("coalesce(int(floor(try_divide(_v - lo, step))), if(_v IS NULL, NULL, 0))"))
-    settled = f"""CASE WHEN _v IS NULL THEN NULL WHEN _v >= hi THEN {bins - 1}
-        ELSE greatest(0, least({bins - 1}, _g - if(_v < lo + _g * step, 1, 0) + if(_v >= lo + (_g + 1) * step, 1, 0))) END"""
-    counts = placed.groupBy(*by, week, "lo", "hi", F.expr(settled).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    # The conditional sums are given as text: so many column objects would cost more than the query.
-    cells = ", ".join(f"coalesce(sum(_c) FILTER (WHERE _bin = {i}), 0)" for i in range(bins))
-    sides = counts.groupBy(*by, week, "lo", "hi").agg(
-        F.expr(f"array({cells})").alias("curr_counts"), F.coalesce(F.sum(F.when(F.col("_bin").isNotNull(), F.col("_c"))), F.lit(0)).alias("n_curr"))
-    same = Window.partitionBy(*by, "lo", "hi")
-    ref = F.max(F.when(F.col(week) == 0, F.struct("n_curr", "curr_counts"))).over(same)
-    out = sides.withColumn("_ref", ref).filter(F.col(week) > 0)
-    return out.select(*by, week, "lo", "hi", ((F.col("hi") - F.col("lo")) / F.lit(bins)).alias("step"), "n_curr", "curr_counts",
-                      F.coalesce("_ref.n_curr", F.lit(0)).alias("n_ref"), F.col("_ref.curr_counts").alias("ref_counts"))
-
-
 def _total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -209,13 +144,13 @@ def _usable() -> Column:
     return (F.col("n_ref") >= 10) & (F.col("n_curr") >= 10) & (F.col("hi") > F.col("lo"))
 
 
-def js_distance(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
-                bins: int = 20, threshold: float = 0.10) -> DataFrame:
+def js_distance(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
+                bins: int = 20, threshold: float = 0.10, chunks: int | None = None) -> DataFrame:
     """Jensen-Shannon distance in [0, 1]; fewer than 10 rows on a side or a constant pair gives 0."""
-    by = list(by)
-    h = _joint_histogram(df, by, week, value, bins)
-    p = F.transform("curr_counts", lambda c: c / F.col("n_curr"))
-    q = F.transform("ref_counts", lambda c: c / F.col("n_ref"))
+    profile = profiled(df, by, week, value, chunks, bins=bins)
+    by, week, h = profile.by, profile.week, profile.table
+    p = F.transform("joint_curr", lambda c: F.try_divide(c, F.col("n_curr")))
+    q = F.transform("joint_ref", lambda c: F.try_divide(c, F.col("n_ref")))
     h = h.withColumn("_p", p).withColumn("_q", q)
 
     def half(a: str, b: str) -> Column:
@@ -226,16 +161,16 @@ def js_distance(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "we
             .withColumn("drift", F.col("js_distance") >= threshold))
 
 
-def kl_divergence(df: DataFrame, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
-                  bins: int = 10, threshold: float = 0.5) -> DataFrame:
+def kl_divergence(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
+                  bins: int = 10, threshold: float = 0.5, chunks: int | None = None) -> DataFrame:
     """KL of the window's binned density against the reference's, in nats, empty densities lifted to EPSILON."""
-    by = list(by)
-    h = _joint_histogram(df, by, week, value, bins)
+    profile = profiled(df, by, week, value, chunks, bins=bins)
+    by, week, h = profile.by, profile.week, profile.table
 
     def density(col: str, n: str) -> Column:
         return F.transform(col, lambda c: F.when(c <= 0, F.lit(EPSILON)).otherwise(c / (F.col(n) * F.col("step"))))
 
-    h = h.withColumn("_p", F.when(_usable(), density("curr_counts", "n_curr"))).withColumn("_q", F.when(_usable(), density("ref_counts", "n_ref")))
+    h = h.withColumn("_p", F.when(_usable(), density("joint_curr", "n_curr"))).withColumn("_q", F.when(_usable(), density("joint_ref", "n_ref")))
     h = h.withColumn("_sp", _total(F.col("_p"))).withColumn("_sq", _total(F.col("_q")))
     kl = _total(F.zip_with("_p", "_q", lambda x, y: (x / F.col("_sp")) * F.ln((x / F.col("_sp")) / (y / F.col("_sq")))))
     return (h.select(*by, week, F.when(_usable(), kl).otherwise(0.0).alias("kl_div"))
@@ -260,22 +195,31 @@ def null_alarm_rates(df: DataFrame, key: str, fraction: float = 1 / 12, seed: in
     """Alarm shares when nothing changed: each trial splits the same rows at random in two.
 
     ``df`` is (key, feature, value) long. Returns one row per (trial, feature) with the four alarms; a feature
-    constant in both parts is left out. Every trial of every feature is in one job.
+    constant in both parts is left out. A trial is one digest per key, cut where the small part ends; a row is counted once with its
+    membership in every trial's small part, so the rows are not copied per trial.
     """
-    wide = df.select(key).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    split = null_split(wide, fraction, [key, "trial"], seed, ["trial"], chunks=chunks)
-    rows = df.join(split, key).withColumn("week", F.when(F.col("part") == "small", 1).otherwise(0)).drop("part")
-    spread = (rows.groupBy("trial", "feature").agg(
-        F.stddev_pop(F.when(F.col("week") == 0, F.col("value"))).alias("_a"),
-        F.stddev_pop(F.when(F.col("week") == 1, F.col("value"))).alias("_b"))
-        .filter((F.col("_a") >= 1e-12) | (F.col("_b") >= 1e-12)).select("trial", "feature"))
-    rows = rows.join(F.broadcast(spread), ["trial", "feature"], "left_semi")
+    floor = 50
+    keys = df.select(key).distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    wanted = F.greatest(F.floor(F.col("_total") * F.lit(fraction)), F.lit(floor))
+    cuts = {r["trial"]: r["_cut"] for r in digest_cuts(keys, [key, "trial"], seed, ["trial"], wanted).collect()}  # one row per trial
+    kind = df.schema[key].dataType
+
+    def small(t: int) -> Column:
+        if cuts.get(t) is None:
+            return F.lit(False)
+        at = F.struct(digest([key, F.lit(t)], seed).alias("d"), F.col(key).alias("k"))
+        return at <= F.struct(F.lit(cuts[t]["_digest"]).alias("d"), F.lit(cuts[t]["_key"][0]).cast(kind).alias("k"))
+    marked = df.select("feature", "value", *[small(t).alias(f"_in{t}") for t in range(trials)])
+    features = sorted(tuple(r) for r in df.select("feature").distinct().collect())
+    vectors = value_vectors(marked, ["feature"], "value", [F.lit(True), *[F.col(f"_in{t}") for t in range(trials)]])
+    one = lambda t: tuple(int(i == t + 1) for i in range(trials + 1))
+    pairs = [Pair((t, 1), tuple(a - b for a, b in zip(one(-1), one(t))), one(t)) for t in range(trials)]
+    whole = Profile(vectors, ["feature"], features, pairs, [("trial", "int"), ("week", "long")], 10, None, chunks)
+    varies = whole.table.filter((F.col("ref_lo") < F.col("ref_hi")) | (F.col("curr_lo") < F.col("curr_hi"))).select("trial", "feature")
     by = ["trial", "feature"]
-    ks = ks_test(rows, by, chunks=chunks).select(*by, F.col("statistic").alias("ks_statistic"),
-                                                 F.col("significant").alias("ks_p_only"), F.col("drift").alias("ks_with_effect"))
-    fixed = psi_null(rows, by, n_boot=n_boot, seed=seed, chunks=chunks).select(
-        *by, F.col("psi"), F.col("exceeds_threshold").alias("psi_fixed"), F.col("drift").alias("psi_calibrated"))
-    return ks.join(fixed, by)
+    ks = ks_test(whole).select(*by, F.col("statistic").alias("ks_statistic"), F.col("significant").alias("ks_p_only"), F.col("drift").alias("ks_with_effect"))
+    fixed = psi_null(whole, n_boot=n_boot, seed=seed).select(*by, F.col("psi"), F.col("exceeds_threshold").alias("psi_fixed"), F.col("drift").alias("psi_calibrated"))
+    return ks.join(fixed, by).join(varies, by, "left_semi")
 
 
 def alarm_summary(alarms: DataFrame, nominal: float = 0.05) -> DataFrame:
@@ -290,15 +234,16 @@ def alarm_summary(alarms: DataFrame, nominal: float = 0.05) -> DataFrame:
         .withColumn("passed", F.col("ks_with_effect_size") <= nominal))
 
 
-def calibrate_consensus(alarms: DataFrame, quantile: float = 0.99) -> DataFrame:
+RULES = {"ks": "ks_with_effect", "psi": "psi_calibrated"}
+
+
+def calibrate_consensus(alarms: DataFrame, quantile: float = 0.99, rules: Sequence[str] = ("ks", "psi")) -> DataFrame:
     """Suggested consensus bar: the null quantile of the crossed share, rounded up to 0.05, at most 0.95.
 
     ``degenerate`` marks the case in which no feature crossed in any trial (then there is no suggestion).
     """
-    per = alarms.groupBy("trial").agg(F.avg(F.col("ks_with_effect").cast("double")).alias("ks"),
-                                      F.avg(F.col("psi_calibrated").cast("double")).alias("psi"))
-    both = per.select("trial", F.explode(F.array(F.struct(F.lit("ks").alias("rule"), F.col("ks").alias("x")),
-                                                 F.struct(F.lit("psi").alias("rule"), F.col("psi").alias("x")))).alias("s"))
+    per = alarms.groupBy("trial").agg(*[F.avg(F.col(RULES[r]).cast("double")).alias(r) for r in rules])
+    both = per.select("trial", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in rules])).alias("s"))
     stats = both.agg(F.avg("s.x").alias("mean"), F.max("s.x").alias("max"),
                      F.percentile("s.x", F.lit(quantile)).alias("tail"), F.count_distinct("trial").alias("n_trials"))
     bar = F.least(F.lit(0.95), F.ceil(F.col("tail") * 20) / 20)

@@ -14,7 +14,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.plans.checkpoints import stable
-from tidemark.plans.ordered import attach_row, chunk_by_value, null_safe_join, plain, previous, row_index
+from tidemark.plans.ordered import attach_row, chunk_by_pair, chunk_by_value, followed, null_safe_join, plain, row_index
 
 UNSEEN, MISSING = -1, -2
 NULL_TOKEN = "nan"  # fixed token for a missing key part
@@ -43,12 +43,9 @@ def sequence_features(df: DataFrame, entity: str, order: str, key: str, amount:
     """Causal features over the full history: time since the entity's previous row, relative amount change,
     0-based position. ``order`` is numeric seconds; equal times are ordered by ``key``.
 
-    An entity holding a large share of the rows is scanned in time chunks.
+    An entity holding a large share of the rows is scanned in chunks of (order, key), so one time may fill several.
     """
-    data = chunk_by_value(df, order, chunks)
-    data = previous(data, [entity], [order, key], {"_pt": order, "_pa": amount})
-    data = data.with_df(stable(data.df))
-    data = row_index(data, [entity], [order, key], "_pos")
+    data = followed(chunk_by_pair(df, order, key, chunks), [entity], [order, key], {"_pt": order, "_pa": amount}, "_pos")
     change = F.abs(F.try_divide(F.col(amount), F.col("_pa")) - 1)
     return plain(data.df.withColumn(names[0], F.col(order) - F.col("_pt")).withColumn(names[1], change)
             .withColumn(names[2], F.col("_pos") - 1).drop("_pt", "_pa", "_pos"))

@@ -1,19 +1,24 @@
-"""Sampling and splitting by the rank of a seeded hash: reproducible in any engine and partitioning."""
+"""Sampling and splitting by the rank of a seeded hash: reproducible in any engine and partitioning.
+
+Where only the first so many ranks are wanted, the digest at that position is found by counting and the rows are compared
+with it; nothing is ranked.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from math import exp
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.plans.ordered import Chunked, attach_row, chunk_by_hash, chunk_by_value, null_safe_join, plain, row_index
+from tidemark.plans.checkpoints import stable
+from tidemark.plans.ordered import Chunked, chunk_by_hash, chunk_by_pair, null_safe_join, plain, row_index
 
 
-def digest(key: str | Sequence[str], seed: int) -> Column:
+def digest(key: str | Sequence[str | Column], seed: int) -> Column:
     """md5 of the key fields and the seed joined by ':'."""
     keys = [key] if isinstance(key, str) else list(key)
-    return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return F.md5(F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed))))
 
 
 def uniform(key: Column, *salt: object) -> Column:
@@ -34,31 +39,65 @@ def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[s
     return plain(_ranked(df, key, seed, by, chunks).df.withColumnRenamed("_rank", name).drop("_digest"))
 
 
-def bounded_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int,
-                   by: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
-    """``n`` rows per group without replacement (all rows when the group is smaller)."""
-    return plain(_ranked(df, key, seed, by, chunks).df.filter(F.col("_rank") <= n).drop("_rank", "_digest"))
+HEX = 3  # digits of a digest that a round of counting refines by
+BOUNDARY = 65_536  # distinct keys of a group that may share the last counted cell
+MOST_HEX = 15
+
+
+def digest_cuts(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str], wanted: Column) -> DataFrame:
+    """(by, _total, _cut): per group the ``wanted``-th smallest (digest, key), null where none is wanted.
+
+    ``wanted`` is an expression over ``_total``, the group's size. Rows are counted by the leading digits of their digest, the
+    cell that holds the wanted position is refined by more digits until few keys share it, and only those are ordered. So
+    what is shuffled is counts, at most 4096 a group and round. A key that many rows repeat is one cut.
+    """
+    keys, by = [key] if isinstance(key, str) else list(key), list(by)
+    rows = df.select(*by, digest(keys, seed).alias("_digest"), F.struct(*keys).alias("_key"))
+    keyed = rows.select(*by, F.struct("_digest", "_key").alias("_at"), "_digest")
+    running = Window.partitionBy(*by).orderBy("_cell")
+    hit = (F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want"))
+    cell = F.max(F.when(hit, F.struct("_cell", (F.col("_upto") - F.col("_n")).alias("below"), "_n")))
+    counts = rows.groupBy(*by, F.substring("_digest", 1, HEX).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.select("*", F.sum("_n").over(running).alias("_upto"), F.sum("_n").over(Window.partitionBy(*by)).alias("_total"))
+    known = placed.withColumn("_want", F.least(wanted, F.col("_total")).cast("long")).groupBy(*by).agg(F.max("_total").alias("_total"), F.max("_want").alias("_want"), cell.alias("_hit"))
+    known, size = stable(known), HEX
+    while size < MOST_HEX and (known.agg(F.max("_hit._n")).first()[0] or 0) > BOUNDARY:
+        inside = null_safe_join(rows, known, by).filter(F.col("_hit").isNotNull() & (F.substring("_digest", 1, size) == F.col("_hit._cell")))
+        size += HEX
+        counts = inside.groupBy(*by, F.substring("_digest", 1, size).alias("_cell"), "_total", "_want", F.col("_hit.below").alias("_below")).agg(F.count(F.lit(1)).alias("_n"))
+        placed = counts.withColumn("_upto", F.col("_below") + F.sum("_n").over(running))
+        finer = placed.groupBy(*by).agg(cell.alias("_finer"))
+        known = stable(null_safe_join(known, finer, by, "left").select(*by, "_total", "_want", F.col("_finer").alias("_hit")))
+    last = null_safe_join(keyed, known, by).filter(F.col("_hit").isNotNull() & (F.substring("_digest", 1, size) == F.col("_hit._cell")))
+    few = last.groupBy(*by, "_at", "_want", F.col("_hit.below").alias("_below")).agg(F.count(F.lit(1)).alias("_n"))
+    few = few.withColumn("_upto", F.col("_below") + F.sum("_n").over(Window.partitionBy(*by).orderBy("_at")))
+    cuts = few.filter(F.col("_upto") >= F.col("_want")).groupBy(*by).agg(F.min("_at").alias("_cut"))
+    return stable(null_safe_join(known.select(*by, "_total"), cuts, by, "left"))
+
+
+def _within(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str], wanted: Column) -> DataFrame:
+    """``df`` with ``_in``: whether the row's digest is among the ``wanted`` smallest of its group. The rows are not shuffled
+    where the cuts, a row a group, are small enough to be broadcast."""
+    keys = [key] if isinstance(key, str) else list(key)
+    at = F.struct(digest(keys, seed).alias("_digest"), F.struct(*keys).alias("_key"))
+    marked = null_safe_join(df, digest_cuts(df, keys, seed, by, wanted), list(by), "left")
+    return marked.withColumn("_in", F.coalesce(at <= F.col("_cut"), F.lit(False))).drop("_cut", "_total")
+
+
+def bounded_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """``n`` rows per group without replacement (all rows when the group is smaller). ``key`` names a row."""
+    return _within(df, key, seed, by, F.lit(n)).filter("_in").drop("_in")
 
 
-def null_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed: int,
-               by: Sequence[str] = (), floor: int = 50, chunks: int | None = None) -> DataFrame:
+def null_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed: int, by: Sequence[str] = (), floor: int = 50) -> DataFrame:
     """Random two-way split: ``part`` is 'small' for max(int(n * fraction), floor) rows, else 'big'."""
-    ranked = plain(_ranked(df, key, seed, by, chunks).df)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.greatest(F.floor(F.col("_n") * F.lit(fraction)), F.lit(floor))
-    return (null_safe_join(ranked, sizes, list(by), "inner")
-            .withColumn("part", F.when(F.col("_rank") <= cut, "small").otherwise("big"))
-            .drop("_rank", "_digest", "_n"))
+    cut = F.greatest(F.floor(F.col("_total") * F.lit(fraction)), F.lit(floor))
+    return _within(df, key, seed, by, cut).withColumn("part", F.when(F.col("_in"), "small").otherwise("big")).drop("_in")
 
 
-def shuffle_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed: int,
-                  chunks: int | None = None) -> DataFrame:
+def shuffle_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed: int) -> DataFrame:
     """Train/eval by shuffled position: the first int(n * fraction) ranks train."""
-    ranked = plain(_ranked(df, key, seed, (), chunks).df)
-    sizes = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (attach_row(ranked, sizes)
-            .withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(fraction)), "train").otherwise("eval"))
-            .drop("_rank", "_digest", "_n"))
+    return _within(df, key, seed, (), F.floor(F.col("_total") * F.lit(fraction))).withColumn("split", F.when(F.col("_in"), "train").otherwise("eval")).drop("_in")
 
 
 def stratified_folds(df: DataFrame, label: str, k: int, key: str | Sequence[str], seed: int,
@@ -68,26 +107,48 @@ def stratified_folds(df: DataFrame, label: str, k: int, key: str | Sequence[str]
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_digest")
 
 
+AROUND = 0.002  # share of the rows beside the wanted position that is ordered first
+
+
+def order_cut(df: DataFrame, order: str, key: str, fraction: float, chunks: int | None = None) -> tuple[float, object] | None:
+    """The int(n * fraction)-th smallest (order, key), null orders before all others; None where that is before the first row.
+
+    Approximate quantiles give two values around the position; only rows between them are ordered, all of them where the position
+    turns out to be outside.
+    """
+    at = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
+    narrow = df.select(at.alias("_o"), F.col(key).alias("_k"))
+    near = F.percentile_approx("_o", F.array(*[F.lit(min(1.0, max(0.0, fraction + d))) for d in (-AROUND, AROUND)]), 10_000)
+    n, ends = narrow.agg(F.count(F.lit(1)), near).first()
+    wanted = int(n * fraction)
+    if wanted < 1:
+        return None
+    low, high = ends
+    below, upto = narrow.agg(F.count_if(F.col("_o") < low), F.count_if(F.col("_o") <= high)).first()
+    if below < wanted <= upto:
+        narrow = narrow.filter(F.col("_o").between(low, high))
+    else:
+        below = 0
+    data = row_index(chunk_by_pair(narrow, "_o", "_k", chunks), [], ["_o", "_k"], "_pos")
+    return tuple(data.df.filter(F.col("_pos") == wanted - below).select("_o", "_k").first())
+
+
 def temporal_split(df: DataFrame, order: str, key: str, label: str, fraction: float = 0.8,
                    seed: int = 42, chunks: int | None = None) -> DataFrame:
     """The first int(n * fraction) rows by (order, key) train, the rest validate.
 
-    When either side has a single label the split falls back to a stratified hash split with the same share.
-    ``order`` must be numeric. Both rules are evaluated in one plan.
+    When either side has a single label the split falls back to a stratified hash split with the same share, which is only
+    worked out then. ``order`` must be numeric; either way the split is a comparison with a cut, no row is moved.
     """
-    data = row_index(chunk_by_value(df, order, chunks), [], [order, key], "_pos")
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    timed = attach_row(plain(data.df), total).withColumn(
-        "_late", F.col("_pos") > F.floor(F.col("_n") * F.lit(fraction))).drop("_pos", "_n")
-    kinds = timed.agg(F.count_distinct(F.when(~F.col("_late"), F.col(label))).alias("_early_kinds"),
-                      F.count_distinct(F.when(F.col("_late"), F.col(label))).alias("_late_kinds"))
-    ranked = plain(_ranked(timed, key, seed, [label], chunks).df)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    both = attach_row(null_safe_join(ranked, sizes, [label], "inner"), kinds)
-    usable = (F.col("_early_kinds") >= 2) & (F.col("_late_kinds") >= 2)
-    strat_late = F.col("_rank") > F.floor(F.col("_n") * F.lit(fraction))
-    return (both.withColumn("is_valid", F.when(usable, F.col("_late")).otherwise(strat_late))
-            .drop("_rank", "_digest", "_n", "_late", "_early_kinds", "_late_kinds"))
+    cut = order_cut(df, order, key, fraction, chunks)
+    if cut is not None:
+        at = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
+        late = F.coalesce((at > cut[0]) | ((at == cut[0]) & (F.col(key) > F.lit(cut[1]))), F.lit(False))
+        sides = [f(F.when(side, F.col(label))) for side in (~late, late) for f in (F.min, F.max)]
+        a, b, c, d = df.agg(*sides).first()
+        if a is not None and c is not None and a != b and c != d:
+            return df.withColumn("is_valid", late)
+    return _within(df, key, seed, [label], F.floor(F.col("_total") * F.lit(fraction))).withColumn("is_valid", ~F.col("_in")).drop("_in")
 
 
 def bootstrap_bags(df: DataFrame, n_bags: int, key: str, seed: int) -> DataFrame:

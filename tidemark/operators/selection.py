@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.operators.ranks import rank_products
 from tidemark.operators.sampling import bootstrap_bags
 from tidemark.plans.ordered import attach_row
 
@@ -78,12 +78,11 @@ def composite_score(summary: DataFrame) -> DataFrame:
     return summary.withColumn("score", 0.7 * F.col("selection_frequency") + 0.3 * scaled)
 
 
-def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature_a, feature_b, rho): absolute rank correlation, undefined as 0. Ranks come from one distributed sort."""
-    ready = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_c{i}") for i, c in enumerate(cols)])
-    vectors = VectorAssembler(inputCols=[f"_c{i}" for i in range(len(cols))], outputCol="v").transform(ready)
-    m = Correlation.corr(vectors.select("v"), "v", "spearman").first()[0].toArray()
-    rows = [(a, b, 0.0 if m[i][j] != m[i][j] else abs(float(m[i][j]))) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+def spearman_matrix(df: DataFrame, cols: Sequence[str], key: str | None = None) -> DataFrame:
+    """(feature_a, feature_b, rho): absolute rank correlation, undefined as 0; see ``rank_products``."""
+    m = rank_products(df, cols, key)
+    spread = np.sqrt(np.diag(m)) if len(cols) else np.zeros(0)
+    rows = [(a, b, abs(float(m[i, j] / (spread[i] * spread[j]))) if spread[i] * spread[j] > 0 else 0.0) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, rho double")
 
 

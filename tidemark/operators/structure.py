@@ -1,4 +1,4 @@
-"""Structural drift: attributions, clusters, reconstruction error, and the combined signal table."""
+"""Structural drift: attributions, clusters and reconstruction error."""
 
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import EPSILON
-from tidemark.operators.distribution import benjamini_hochberg, feature_signal_summary, js_distance, ks_stat, ks_test, psi_null
-from tidemark.operators.windows import to_long
+from tidemark.operators.distribution import benjamini_hochberg, ks_stat
 from tidemark.plans.ordered import with_reference
 
 SPREAD_FLOOR = 1e-8
@@ -137,21 +136,24 @@ def mlp_attributions(df: DataFrame, layers: Sequence[int], weights: Sequence[flo
 
 
 def attribution_drift(attributions: DataFrame, week: str = "week", alpha: float = 0.05, min_effect: float = 0.10,
-                      chunks: int | None = None) -> DataFrame:
-    """KS of each feature's attributions against week 0, FDR-corrected, gated on effect size; mean |a| before and after."""
-    tested = ks_stat(attributions, ["feature"], week, "attribution", alpha, chunks).drop("drift")
-    judged = benjamini_hochberg(tested, [week], alpha=alpha)
-    size = attributions.groupBy("feature", week).agg(F.avg(F.abs("attribution")).alias("_m"))
-    size = with_reference(size.withColumnRenamed("_m", "curr_importance"), ["feature"], week, {"curr_importance": "ref_importance"})
-    out = judged.join(size, ["feature", week])
+                      chunks: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """KS of each feature's attributions against week 0, FDR-corrected, gated on effect size; mean |a| before and after.
+
+    ``by`` are columns that keep several models apart.
+    """
+    tested = ks_stat(attributions, ["feature", *by], week, "attribution", alpha, chunks).drop("drift")
+    judged = benjamini_hochberg(tested, [*by, week], alpha=alpha)
+    size = attributions.groupBy("feature", *by, week).agg(F.avg(F.abs("attribution")).alias("_m"))
+    size = with_reference(size.withColumnRenamed("_m", "curr_importance"), ["feature", *by], week, {"curr_importance": "ref_importance"})
+    out = judged.join(size, ["feature", *by, week])
     return (out.withColumn("importance_shift", F.col("curr_importance") - F.col("ref_importance"))
             .withColumn("drift", F.col("rejected") & (F.col("statistic") >= min_effect)))
 
 
-def attribution_summary(drift: DataFrame, week: str = "week") -> DataFrame:
+def attribution_summary(drift: DataFrame, week: str = "week", by: Sequence[str] = ()) -> DataFrame:
     """Share of drifting features and mean |shift| per window."""
-    return drift.groupBy(week).agg(F.avg(F.col("drift").cast("double")).alias("attribution_drift_fraction"),
-                                   F.avg(F.abs("importance_shift")).alias("attribution_mean_shift"), F.count_if("drift").alias("drifted_features"))
+    return drift.groupBy(*by, week).agg(F.avg(F.col("drift").cast("double")).alias("attribution_drift_fraction"),
+                                        F.avg(F.abs("importance_shift")).alias("attribution_mean_shift"), F.count_if("drift").alias("drifted_features"))
 
 
 # --- clusters ----------------------------------------------------------------------------------------------------
@@ -252,44 +254,6 @@ def reconstruction_drift(errors: DataFrame, cols: Sequence[str], week: str = "we
             .select(week, "ref_rmse_mean", F.col("_m").alias("curr_rmse_mean"), "mse_z_score", "ks_stat", "p_value", "drift_detected", "warning_detected", "top_contributing_features"))
 
 
-# --- signals -----------------------------------------------------------------------------------------------------
-
-SIGNALS = ("ks_drift_fraction", "ks_mean_statistic", "psi_drift_fraction", "psi_mean_ratio", "js_mean_distance", "attribution_drift_fraction",
-           "attribution_mean_shift", "cluster_distance_ratio", "cluster_psi", "autoencoder_z_score", "weeks_since_reference")
-
-
-def signal_rows(matrix: DataFrame, cols: Sequence[str], ref_week: int, attributions: DataFrame, key: str, week: str = "week",
-                n_boot: int = 15, k: int = 5, seed: int = 42, chunks: int | None = None) -> DataFrame:
-    """The eleven signals of every window after ``ref_week`` against everything through it."""
-    shifted = matrix.withColumn(week, F.greatest(F.lit(0), F.col(week) - ref_week))
-    long = to_long(shifted, [key, week], cols)
-    ks = benjamini_hochberg(ks_test(long, chunks=chunks), [week])
-    ks = ks.select("feature", week, F.col("statistic").alias("ks_statistic"), (F.col("rejected") & (F.col("statistic") >= 0.10)).alias("ks_drift"))
-    null = psi_null(long, n_boot=n_boot, seed=seed, chunks=chunks).select("feature", week, "psi_ratio", F.col("drift").alias("psi_drift"))
-    js = js_distance(long).select("feature", week, "js_distance")
-    summary = feature_signal_summary(ks.join(null, ["feature", week]).join(js, ["feature", week]), [week])
-    ref = shifted.filter(F.col(week) == 0)
-    near = cluster_drift(assign_clusters(shifted, fit_clusters(ref, cols, k, seed)), cols, k).select(week, F.col("distance_ratio").alias("cluster_distance_ratio"), "cluster_psi")
-    rec = reconstruction_drift(reconstruct(shifted, fit_reconstruction(ref, cols)), cols, chunks=chunks).select(
-        week, F.least(F.lit(10.0), F.greatest(F.lit(-10.0), F.col("mse_z_score"))).alias("autoencoder_z_score"))
-    att = attributions.withColumn(week, F.greatest(F.lit(0), F.col(week) - ref_week))
-    att = attribution_summary(attribution_drift(att, chunks=chunks)).drop("drifted_features")
-    out = summary.join(att, week).join(near, week).join(rec, week).withColumn("weeks_since_reference", F.col(week).cast("double"))
-    return out.select(F.lit(ref_week).alias("ref_week"), (F.col(week) + ref_week).alias(week), *SIGNALS)
-
-
-def signal_matrix(matrix: DataFrame, cols: Sequence[str], ref_weeks: Sequence[int], attribute, key: str, **kw) -> DataFrame:
-    """Signals for every (reference week, later week); ``attribute(ref_week)`` gives long attributions of that model.
-
-    One job per reference week, as each has its own fitted model; the number of weeks bounds the loop.
-    """
-    out = None
-    for r in ref_weeks:
-        rows = signal_rows(matrix, cols, r, attribute(r), key, **kw)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def pca_snapshot(sample: DataFrame, state: Clusters) -> DataFrame:
     """Two-dimensional coordinates and cluster label of a bounded sample per window (see sampling.bounded_sample)."""
     cols = state.scale.cols

@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -96,6 +97,38 @@ def chunk_by_hash(df: DataFrame, digest: str, chunks: int | None = None) -> Chun
     return Chunked(df.withColumn(CHUNK, F.floor(head * F.lit(count)).cast("int") if count > 1 else F.lit(0)))
 
 
+EDGE_ROWS = 200  # sampled per chunk to find edges
+
+
+def chunk_by_pair(df: DataFrame, first: str, second: str, chunks: int | None = None) -> Chunked:
+    """Cut at sampled pairs of the numeric column ``first`` and of ``second``, so one value of ``first`` may fill several chunks.
+
+    The sample, ``EDGE_ROWS`` pairs a chunk, only affects balance; its edges are constants of the plan. Null ``first`` is the chunk
+    before the others.
+    """
+    count = chunk_count(df) if chunks is None else chunks
+    place = F.lit(0)
+    if count > 1:
+        pairs = df.select(F.col(first).cast("double").alias("a"), F.col(second).alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+        n = pairs.count()
+        found = sorted(tuple(r) for r in pairs.sample(min(1.0, 2.0 * EDGE_ROWS * count / max(n, 1)), 7).limit(4 * EDGE_ROWS * count).collect())
+        edges = sorted({found[i * len(found) // count] for i in range(1, count)}) if found else []
+        if edges:
+            seconds: dict[float, list] = {}
+            for a, b in edges:
+                seconds.setdefault(a, []).append(b)
+            values = sorted(seconds)
+            before = [0, *accumulate(len(seconds[a]) for a in values)]
+            key = F.col(first).cast("double")
+            # The number of edge values below or equal, and among edges that share the row's value those with a smaller or equal partner.
+            at = F.size(F.filter(F.array(*[F.lit(a) for a in values]), lambda v: v <= key))
+            partner = F.try_element_at(F.array(*[F.array(*[F.lit(b) for b in seconds[a]]) for a in values]), at)
+            level = F.try_element_at(F.array(*[F.lit(a) for a in values]), at) == key
+            tied = F.when(level, F.size(F.filter(partner, lambda b: b <= F.col(second))) - F.size(partner)).otherwise(0)
+            place = F.when(at == 0, 0).otherwise(F.get(F.array(*[F.lit(b) for b in before]), at) + F.coalesce(tied, F.lit(0)))
+    return Chunked(df.withColumn(CHUNK, F.when(F.col(first).isNull(), NULLS).otherwise(place.cast("int"))))
+
+
 KEY = "_key_"
 
 
@@ -201,6 +234,23 @@ def previous(data: Chunked, by: Sequence[str], order: Sequence[str | Column], co
         F.when(F.col("_row") == 1, F.col(f"_c_{n}.v")).otherwise(F.col(n)).alias(n) for n in cols]))
 
 
+def followed(data: Chunked, by: Sequence[str], order: Sequence[str], lags: dict[str, str], index: str) -> Chunked:
+    """The value of ``lags[name]`` on the preceding row of the group, and the 1-based position ``index``, in one scan.
+
+    What a chunk hands on, its last row and its size, is one short row per (group, chunk), counted in the map tasks. The scan and the
+    join with it share one partitioning, so the rows are shuffled once.
+    """
+    base, keys = _join_keys(data.df, by)
+    window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    out = base.select("*", *[F.lag(c).over(window).alias(n) for n, c in lags.items()], F.row_number().over(window).alias("_row"))
+    tail = base.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in lags.items()]), F.struct(*order)).alias("_end"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK)
+    tail = tail.select(*keys, CHUNK, F.lag("_end").over(earlier).alias("_carry"), F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = out.join(tail, [*keys, CHUNK], "left")
+    return data.with_df(joined.select(*base.columns, *[F.when(F.col("_row") == 1, F.col(f"_carry.{n}")).otherwise(F.col(n)).alias(n) for n in lags],
+                                      (F.col("_row") + F.col("_before")).alias(index)))
+
+
 def row_index(data: Chunked, by: Sequence[str], order: Sequence[str | Column], name: str) -> Chunked:
     """1-based position within ``by``."""
     return running(data, by, order, {name: ("count", F.lit(1))})

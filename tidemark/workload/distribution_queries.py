@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import distribution as D, sampling as S, windows as W
+from tidemark.operators.profiles import week_profile
+from tidemark.operators.signals import pair_statistics
 from tidemark.plans.ordered import attach_row
 from tidemark.sources.tables import load
 from tidemark.workload.base import DAY_US, EV, LONG, ORD, R, events, feature_long, orders, query, rounded
@@ -260,17 +262,18 @@ def _(spark, d):
     return rounded(D.kl_divergence(feature_long(spark, d)), "kl_div")
 
 
+CHI_TAIL = 21.666  # 0.99 quantile of chi-square with 9 degrees: divided by the window's rows, the size of PSI under no change
 VOTES = f"""WITH {LONG}, {ks_sql('lo')} {KS_BH}, {PSI}, {JS},
- vt AS (SELECT week, feature, 'ks_stats' AS method, p_adjusted < 0.05 AND statistic >= 0.10 AS drift FROM bh UNION ALL SELECT week, feature, 'psi', psi >= 0.2 FROM ps
+ vt AS (SELECT week, feature, 'ks_stats' AS method, p_adjusted < 0.05 AND statistic >= 0.10 AS drift FROM bh UNION ALL SELECT week, feature, 'psi', psi >= 0.2 AND psi > {CHI_TAIL} / (SELECT count(value) FROM lo l WHERE l.feature = ps.feature AND l.week = ps.week) FROM ps
    UNION ALL SELECT week, feature, 'kl_divergence', js_distance >= 0.10 FROM js)"""
 
 
 def vote_rows(spark, d):
-    """(week, feature, method, drift) of the three per-feature votes."""
-    long = feature_long(spark, d)
-    return (D.ks_votes(long).select("week", "feature", F.lit("ks_stats").alias("method"), "drift")
-            .unionByName(D.psi(long).select("week", "feature", F.lit("psi").alias("method"), "drift"))
-            .unionByName(D.js_distance(long).select("week", "feature", F.lit("kl_divergence").alias("method"), "drift")))
+    """(week, feature, method, drift) of the three per-feature votes, from one scan; PSI votes where it passes both its band and its null."""
+    p = week_profile(feature_long(spark, d))
+    return (D.ks_votes(p).select("week", "feature", F.lit("ks_stats").alias("method"), "drift")
+            .unionByName(D.psi_null(p).select("week", "feature", F.lit("psi").alias("method"), "drift"))
+            .unionByName(D.js_distance(p).select("week", "feature", F.lit("kl_divergence").alias("method"), "drift")))
 
 
 @query("drift_votes", VOTES + f"""
@@ -280,16 +283,14 @@ def _(spark, d):
     return rounded(D.feature_vote(vote_rows(spark, d)), "fraction")
 
 
-@query("null_alarms", f"""WITH {EV}, tr AS (SELECT unnest([0, 1, 2]) AS trial),
+def nulls_sql(trials: int) -> str:
+    """CTEs ending in ``na``: one row per (trial, feature), by splitting the reference events as often as there are trials."""
+    return f"""{EV}, tr AS (SELECT unnest(range({trials})) AS trial),
  s0 AS (SELECT event_id, trial, row_number() OVER (PARTITION BY trial ORDER BY md5(event_id || ':' || trial || ':7'), event_id, trial) AS rk, count(*) OVER (PARTITION BY trial) AS n FROM ev, tr WHERE week = 0),
  lo AS (SELECT trial || '/' || f.feature AS feature, CASE WHEN rk <= greatest(floor(n * (1 / 12.0::DOUBLE)), 50) THEN 1 ELSE 0 END AS week, CASE f.feature WHEN 'value' THEN e.value ELSE e.user_id::DOUBLE END AS value
-   FROM s0 JOIN ev e USING (event_id), (SELECT unnest(['value', 'user_id']) AS feature) f), {ks_sql('lo')}, {PSI}
-SELECT split_part(feature, '/', 1)::INT AS trial, split_part(feature, '/', 2) AS feature, {R('statistic', 'ks_statistic')}, p_value < 0.05 AS ks_p_only, p_value < 0.05 AND statistic >= 0.10 AS ks_with_effect,
-  {R('psi', 'psi')}, psi >= 0.2 AS psi_fixed FROM ks JOIN ps USING (feature)""")
-def _(spark, d):
-    ev = events(spark, d).filter("week = 0")
-    long = W.to_long(ev.select("event_id", "value", "user_id"), ["event_id"], ["value", "user_id"])
-    return rounded(D.null_alarm_rates(long, "event_id", trials=3).drop("psi_calibrated"), "ks_statistic", "psi")
+   FROM s0 JOIN ev e USING (event_id), (SELECT unnest(['value', 'user_id']) AS feature) f), {ks_sql('lo')}, {PSI},
+ na AS (SELECT split_part(feature, '/', 1)::INT AS trial, split_part(feature, '/', 2) AS feature, statistic, p_value < 0.05 AS ks_p_only, p_value < 0.05 AND statistic >= 0.10 AS ks_with_effect, psi, psi >= 0.2 AS psi_fixed
+   FROM ks JOIN ps USING (feature))"""
 
 
 def _null(spark, d, trials):
@@ -297,14 +298,42 @@ def _null(spark, d, trials):
     return D.null_alarm_rates(W.to_long(ev, ["event_id"], ["value", "user_id"]), "event_id", trials=trials)
 
 
-@query("null_alarm_summary")
+@query("null_alarms", f"WITH {nulls_sql(3)} SELECT trial, feature, {R('statistic', 'ks_statistic')}, ks_p_only, ks_with_effect, {R('psi', 'psi')}, psi_fixed FROM na")
+def _(spark, d):
+    return rounded(_null(spark, d, 3).drop("psi_calibrated"), "ks_statistic", "psi")
+
+
+@query("null_alarm_summary", f"""WITH {nulls_sql(5)} SELECT trial, count(*) AS n_testable, {R('avg(ks_p_only::INT)', 'ks_pvalue_only')}, {R('avg(ks_with_effect::INT)', 'ks_with_effect_size')},
+ {R('avg(psi_fixed::INT)', 'psi_fixed_threshold')}, coalesce(string_agg(CASE WHEN ks_with_effect THEN feature END, ',' ORDER BY round(statistic, 3) DESC, feature DESC), '') AS offenders, avg(ks_with_effect::INT) <= 0.05 AS passed FROM na GROUP BY trial""")
+def _(spark, d):
+    """Without the calibrated PSI share, which is drawn at random."""
+    out = D.alarm_summary(_null(spark, d, 5)).drop("psi_calibrated_null")
+    named = out.withColumn("offenders", F.array_join(F.transform("offenders", lambda o: o["feature"]), ","))
+    return rounded(named, "ks_pvalue_only", "ks_with_effect_size", "psi_fixed_threshold")
+
+
+@query("calibrate_consensus", f"""WITH {nulls_sql(10)}, x AS (SELECT trial, avg(ks_with_effect::INT) AS x FROM na GROUP BY trial), s AS (SELECT avg(x) AS m, max(x) AS h, quantile_cont(x, 0.99) AS t, count(*) AS n FROM x)
+SELECT {R('m', 'mean')}, {R('h', 'max')}, {R('t', 'tail')}, n AS n_trials, h = 0 AS degenerate, CASE WHEN h > 0 THEN least(0.95::DOUBLE, ceil(t * 20) / 20) END AS suggested FROM s""")
 def _(spark, d):
-    return D.alarm_summary(_null(spark, d, 5))
+    """By the KS rule; the PSI rule's null is drawn at random."""
+    return rounded(D.calibrate_consensus(_null(spark, d, 10), rules=("ks",)), "mean", "max", "tail")
+
 
+PAIRS = LONG.replace(" lo AS (", " lo0 AS (") + f""", rw AS (SELECT unnest(range((SELECT max(week) FROM lo0))) AS r),
+ lo AS (SELECT r || '/' || feature AS feature, CASE WHEN week <= r THEN 0 ELSE r * 1000 + week END AS week, value FROM lo0, rw), {ks_sql('lo')} {KS_BH}, {PSI}, {JS}"""
 
-@query("calibrate_consensus")
+
+@query("signal_pairs", f"""WITH {PAIRS} SELECT (bh.week // 1000)::BIGINT AS ref_week, (bh.week % 1000)::BIGINT AS week, {R('avg((p_adjusted < 0.05 AND statistic >= 0.10)::INT)', 'ks_drift_fraction')}, {R('avg(statistic)', 'ks_mean_statistic')},
+ {R('avg(psi)', 'psi_mean')}, {R('avg(js_distance)', 'js_mean_distance')}, {R('bh.week % 1000 - bh.week // 1000', 'weeks_since_reference')}
+FROM bh JOIN ps ON ps.feature = bh.feature AND ps.week = bh.week JOIN js ON js.feature = bh.feature AND js.week = bh.week GROUP BY bh.week""")
 def _(spark, d):
-    return D.calibrate_consensus(_null(spark, d, 10))
+    """The signals of the signal matrix that nothing random enters, for every reference week and later week."""
+    long = feature_long(spark, d)
+    weeks = sorted(r[0] for r in long.select("week").distinct().collect())
+    each = pair_statistics(week_profile(long, ref_weeks=weeks[:-1]))
+    out = each.groupBy("ref_week", "week").agg(F.avg(F.col("ks_drift").cast("double")).alias("ks_drift_fraction"), F.avg("ks_statistic").alias("ks_mean_statistic"),
+                                               F.avg("psi").alias("psi_mean"), F.avg("js_distance").alias("js_mean_distance"))
+    return rounded(out.withColumn("weeks_since_reference", (F.col("week") - F.col("ref_week")).cast("double")), "ks_drift_fraction", "ks_mean_statistic", "psi_mean", "js_mean_distance")
 
 
 @query("feature_signal_summary", VOTES + f""", m AS (SELECT week, avg((p_adjusted < 0.05 AND statistic >= 0.10)::INT) AS a, avg(statistic) AS b FROM bh GROUP BY week),
@@ -312,7 +341,7 @@ def _(spark, d):
 SELECT 0::BIGINT AS ref_week, week, {R('m.a', 'ks_drift_fraction')}, {R('m.b', 'ks_mean_statistic')}, {R('p.a', 'psi_drift_fraction')}, {R('p.b', 'psi_mean_ratio')}, {R('j.a', 'js_mean_distance')}
 FROM m JOIN p USING (week) JOIN j USING (week)""")
 def _(spark, d):
-    long = feature_long(spark, d)
+    long = week_profile(feature_long(spark, d))
     ks = D.ks_votes(long).select("feature", "week", F.col("statistic").alias("ks_statistic"), F.col("drift").alias("ks_drift"))
     ps = D.psi(long).select("feature", "week", (F.col("psi") * 10).alias("psi_ratio"), F.col("drift").alias("psi_drift"))
     js = D.js_distance(long).select("feature", "week", "js_distance")

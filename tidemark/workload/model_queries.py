@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators import lattice as A, listings as L, models as M, policies as V, sampling as S, selection as Q, structure as T
+from tidemark.operators import lattice as A, listings as L, models as M, policies as V, sampling as S, selection as Q, signals as G, structure as T
 from tidemark.operators.distribution import VOTE_FRACTION, feature_vote
 from tidemark.operators.performance import auc
 from tidemark.operators.streams import explain_trigger
@@ -209,7 +209,7 @@ def fitted_attributions(w, ref_week):
 @query("signal_matrix")
 def _(spark, d):
     w = stable(wide(spark, d).select("rid", "week", "label", *CCOLS))
-    return T.signal_matrix(w, CCOLS, weeks_with_later(w), lambda r: fitted_attributions(w, r), "rid")
+    return G.signal_matrix(w, CCOLS, weeks_with_later(w), lambda r: fitted_attributions(w, r), "rid")
 
 
 @query("pca_snapshot")
@@ -304,7 +304,7 @@ def _versions(rows, weeks):
     return {w: M.train_classifier(rows.filter(F.col("week") <= w), OC, "label", "t", "rid", max_iter=4) for w in weeks}
 
 
-@query("score_versions", f"WITH {ROWS} SELECT v AS version, week, true AS better_than_chance FROM (SELECT DISTINCT week FROM mr WHERE week > 0), (SELECT unnest([0, 1])::BIGINT AS v) WHERE week > v")
+@query("score_versions", f"WITH {ROWS} SELECT v AS version, week, true AS better_than_chance FROM (SELECT DISTINCT week FROM mr WHERE week > 0), (SELECT unnest(range((SELECT max(week) FROM mr)))::BIGINT AS v) WHERE week > v")
 def _(spark, d):
     rows = _ready(spark, d)
     scores = M.score_versions(rows.filter("week > 0"), _versions(rows, weeks_with_later(rows)), ["rid", "week", "label"])

@@ -76,9 +76,12 @@ def _(spark, d):
     return rounded(V.performance_matrix(version_scores(spark, d)), "auc", "f1")
 
 
-@query("performance_pivot", f"WITH {VS} SELECT * FROM (PIVOT (SELECT version, week, round(auc, 6) AS auc FROM pm) ON week USING max(auc) GROUP BY version)")
+@query("performance_pivot", f"WITH {VS}, v AS (SELECT DISTINCT version FROM pm), w AS (SELECT DISTINCT week FROM pm) SELECT version, week, {R('auc', 'auc')} FROM v CROSS JOIN w LEFT JOIN pm USING (version, week)")
 def _(spark, d):
-    return V.pivot_matrix(rounded(V.performance_matrix(version_scores(spark, d)), "auc"))
+    """The pivoted table as rows (version, week, auc), null where a version has no cell."""
+    wide = V.pivot_matrix(V.performance_matrix(version_scores(spark, d)))
+    cells = wide.unpivot(["version"], [c for c in wide.columns if c != "version"], "week", "auc")
+    return rounded(cells.withColumn("week", F.col("week").cast("long")), "auc")
 
 
 PF = f"""WITH {VS}, fl AS (SELECT event_type AS method, week, avg(value) > 50 AS raw_flag FROM ev WHERE week > 0 GROUP BY ALL),
@@ -350,9 +353,12 @@ def _(spark, d):
     return R_.feature_method_grid(votes(spark, d), shared, 5, [*METHODS, "ddm"])
 
 
-@query("week_method_grid", f"WITH {TK} SELECT * FROM (PIVOT (SELECT method, 'w' || week AS w, (CASE WHEN confirmed_flag THEN 2 WHEN raw_flag THEN 1 ELSE 0 END)::INT AS cell FROM mx) ON w USING max(cell) GROUP BY method)")
+@query("week_method_grid", f"WITH {TK}, m AS (SELECT DISTINCT method FROM mx), w AS (SELECT DISTINCT week FROM mx) SELECT method, week, (CASE WHEN confirmed_flag THEN 2 WHEN raw_flag THEN 1 ELSE 0 END)::INT AS cell FROM m CROSS JOIN w LEFT JOIN mx USING (method, week)")
 def _(spark, d):
-    return R_.week_method_grid(matrix(spark, d))
+    """The grid as rows (method, week, cell)."""
+    grid = R_.week_method_grid(matrix(spark, d))
+    cells = grid.unpivot(["method"], [c for c in grid.columns if c != "method"], "week", "cell")
+    return cells.select("method", F.substring("week", 2, 9).cast("long").alias("week"), "cell")
 
 
 @query("alarm_counts", f"WITH {TK} SELECT method, sum(confirmed_flag::INT)::BIGINT AS alarms FROM mx GROUP BY method")
