@@ -25,8 +25,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # leftmost and greedy: whole runs
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-MIN_LENGTH = 20  # of a run or a part of one
+MIN_LENGTH = 16  # of a run or a part of one; shorter random values can't be told from short words by their tokens
+LETTERS_LENGTH = 24  # of a run of small letters or of capitals only, as long words are
 PART = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")  # a UUID is one part
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # of md5, sha1, sha224, sha256, sha384, sha512 in hexadecimal
 HEXADECIMAL = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -36,6 +36,12 @@ MAX_RATIO = 2.0
 MIN_CLASSES = 2  # of lower case, upper case and digits
 
 
+@lru_cache(maxsize=8)
+def runs(min_length: int) -> re.Pattern:
+    """Whole runs of key-like characters, ``min_length`` or longer."""
+    return re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min_length},}}")
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str):
     """The tiktoken vocabulary in a file of ranks."""
@@ -50,11 +56,13 @@ def encoding(path: str):
 
 
 def known(run: str) -> bool:
-    """Digests and identifiers: random to the eye, but no secrets."""
+    """Digests and identifiers: random to the eye, but no secrets. So are numbers and words: one class of characters, save many letters in a row."""
     if HEXADECIMAL.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run) or NUMBER.match(run):
         return True
     inner = run[1:]  # a capital at the start is a word's
-    return sum((inner.lower() != inner, inner.upper() != inner, any("0" <= c <= "9" for c in inner))) < MIN_CLASSES
+    if sum((inner.lower() != inner, inner.upper() != inner, any("0" <= c <= "9" for c in inner))) >= MIN_CLASSES:
+        return False
+    return len(run) < LETTERS_LENGTH or not run.isalpha()
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -68,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def random_parts(run: str, ranks, max_ratio: float) -> Iterator[tuple[int, int]]:
+def random_parts(run: str, ranks, max_ratio: float, min_length: int = MIN_LENGTH) -> Iterator[tuple[int, int]]:
     """Stretches of parts that are each short of ``max_ratio``; a part that is readable or known ends a stretch.
 
     A value in base64 has + / - _ of its own, so neighbouring parts that all look random are one stretch.
@@ -76,51 +84,86 @@ def random_parts(run: str, ranks, max_ratio: float) -> Iterator[tuple[int, int]]
     stretch = []
     for m in [*PART.finditer(run), None]:
         part = m.group() if m else ""
-        if m and not UUID.match(part) and not (HEXADECIMAL.match(part) and len(part) in DIGEST_LENGTHS) and len(part) < max_ratio * len(ranks.encode_ordinary(part)):
+        if m and not UUID.match(part) and not (HEXADECIMAL.match(part) and len(part) in DIGEST_LENGTHS) and _dear(part, ranks, max_ratio):
             stretch.append(m)
             continue
         if stretch:
             start, end = stretch[0].start(), stretch[-1].end()
             whole = run[start:end]
-            if len(whole) >= MIN_LENGTH and not known(whole) and len(whole) < max_ratio * len(ranks.encode_ordinary(whole)):
+            if len(whole) >= min_length and not known(whole) and _dear(whole, ranks, max_ratio):
                 yield start, end
         stretch = []
 
 
-def random_spans(text: str, taken: list[tuple[int, int, str]], ranks, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
-    """Runs of key-like characters that the vocabulary can't shorten and no other kind has."""
+def _dear(run: str, ranks, max_ratio: float) -> bool:
+    """Whether the vocabulary needs many tokens for it."""
+    return len(run) < max_ratio * len(ranks.encode_ordinary(run))
+
+
+def _random_run(run: str, ranks, max_ratio: float, min_length: int) -> list[tuple[int, int]]:
+    if len(run) < min_length or known(run):
+        return []
+    return [(0, len(run))] if _dear(run, ranks, max_ratio) else list(random_parts(run, ranks, max_ratio, min_length))
+
+
+def _gaps(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of [start, end) beside the spans ``taken``."""
+    out = []
+    for s, e in sorted(taken):
+        if s > start:
+            out.append((start, min(s, end)))
+        start = max(start, e)
+    return [(a, b) for a, b in [*out, (start, end)] if a < b]
+
+
+def random_spans(text: str, taken: list[tuple[int, int, str]], ranks, max_ratio: float = MAX_RATIO, min_length: int = MIN_LENGTH) -> list[tuple[int, int, str]]:
+    """Runs of key-like characters that the vocabulary can't shorten and no other kind has.
+
+    Where a hexadecimal or access span is only a piece of a random stretch of letters and digits, the rest of that stretch is marked,
+    however short; what else a run has beside such spans is tested like a run.
+    """
     found = []
-    for m in RUN.finditer(text):
-        run = m.group()
-        if known(run) or any(s < m.end() and m.start() < e for s, e, _ in taken):
-            continue
-        if len(run) < max_ratio * len(ranks.encode_ordinary(run)):
-            found.append((m.start(), m.end(), "random"))
-        else:
-            found += [(m.start() + start, m.start() + end, "random") for start, end in random_parts(run, ranks, max_ratio)]
+    for m in runs(min_length).finditer(text):
+        start, end = m.span()
+        own = [(s, e, k) for s, e, k in taken if s < end and start < e]
+        done = [(s, e) for s, e, _ in own]
+        for s, e, k in own:
+            if k == "assign":
+                continue
+            a, b = max(s, start), min(e, end)
+            while a > start and text[a - 1].isalnum():
+                a -= 1
+            while b < end and text[b].isalnum():
+                b += 1
+            if (a, b) != (s, e) and b - a >= min_length and not known(text[a:b]) and _dear(text[a:b], ranks, max_ratio):
+                rest = _gaps(a, b, done)
+                found += [(x, y, "random") for x, y in rest]
+                done += rest
+        for a, b in _gaps(start, end, done) if done else [(start, end)]:
+            found += [(a + x, a + y, "random") for x, y in _random_run(text[a:b], ranks, max_ratio, min_length)]
     return found
 
 
-def spans_of(text: str, ranks, max_ratio: float = MAX_RATIO) -> tuple[list, list]:
+def spans_of(text: str, ranks, max_ratio: float = MAX_RATIO, min_length: int = MIN_LENGTH) -> tuple[list, list]:
     base = sorted(base_spans(text), key=lambda s: (s[0], KINDS[s[2]]))
-    return base, sorted(base + random_spans(text, base, ranks, max_ratio), key=lambda s: (s[0], KINDS[s[2]]))
+    return base, sorted(base + random_spans(text, base, ranks, max_ratio, min_length), key=lambda s: (s[0], KINDS[s[2]]))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def scan(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", max_ratio: float = MAX_RATIO, min_length: int = MIN_LENGTH) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) of every row, in one pass without a shuffle.
 
-    ``spans`` lists kind:start:end in code points, end exclusive. A null or empty text has no span; repeated rows each get
+    ``spans`` lists kind:start:end in code points, end exclusive. Random values shorter than ``min_length`` are not looked for. A null or empty text has no span; repeated rows each get
     their result; an empty table gives no rows.
     """
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = encoding(vocabulary)
         for batch in slices(batches):
-            found = [spans_of(t, ranks, max_ratio) for t in texts(batch)]
+            found = [spans_of(t, ranks, max_ratio, min_length) for t in texts(batch)]
             count = {k: [sum(s[2] == k for s in spans) for _, spans in found] for k in KINDS}
             yield rows(doc_id=batch.column("doc_id"), n_assign=count["assign"], n_access=count["access"], n_hex=count["hex"], n_random=count["random"],
                        base_sha256=[hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found],
@@ -130,7 +173,7 @@ def scan(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
     return source.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, vocabulary: str, *, text: str = "text", mark: str = "[secret]", max_ratio: float = MAX_RATIO) -> DataFrame:
+def redact(docs: DataFrame, vocabulary: str, *, text: str = "text", mark: str = "[secret]", max_ratio: float = MAX_RATIO, min_length: int = MIN_LENGTH) -> DataFrame:
     """The same rows and columns with every span replaced by ``mark``; null texts stay null."""
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +183,7 @@ def redact(docs: DataFrame, vocabulary: str, *, text: str = "text", mark: str =
             for t in batch.column(text).to_pylist():
                 if t:
                     parts, at = [], 0
-                    for start, end, _ in spans_of(t, ranks, max_ratio)[1]:
+                    for start, end, _ in spans_of(t, ranks, max_ratio, min_length)[1]:
                         if end <= at:
                             continue
                         parts += [t[at:max(at, start)], mark if start >= at else ""]
