@@ -20,7 +20,7 @@ import numpy as np
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MARKS = ".,;:!?"
 ENDS = (".", "!", "?", ".\"", "!\"", "?\"")
-CACHE_PARTS = 500_000
+CACHE_PARTS = 600_000  # remembered parts, and as many words; then they become the older half, which is forgotten next time
 AT_ONCE = 4_096
 BATCH_BYTES = 4 << 20
 
@@ -70,9 +70,14 @@ class WordIds:
         self.edge = np.array([n.startswith("Ġ") if keeps else n.endswith("</w>") for n in names])
         self.marks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self._reset()
-
-    def _reset(self) -> None:
+        self.older_words: dict[str, bytes] = {}
+        self.older: tuple[dict, dict, dict, dict, np.ndarray, np.ndarray, np.ndarray] | None = None
+        self._begin()
+
+    def _begin(self) -> None:
+        """New tables of parts; those so far are asked before a part is encoded again."""
+        if hasattr(self, "rest"):
+            self.older = (dict(self.rest), dict(self.odd_rest), dict(self.first), dict(self.odd_first), self.start[:self.size].copy(), self.count[:self.size].copy(), self.flat[:self.used].copy())
         self.waiting: list[tuple[str, bool]] = []
         strict = self.keeps_space
         self.first, self.rest = _Cache(self, False, strict), _Cache(self, self.keeps_space, strict)
@@ -83,6 +88,16 @@ class WordIds:
         self.ends = np.zeros(1024, bool)
         self.flat = np.zeros(4096, np.uint32)
 
+    def _remembered(self, part: str, space: bool) -> bytes | None:
+        """Ids of a part of the older half."""
+        if self.older is None:
+            return None
+        rest, odd_rest, first, odd_first, start, count, flat = self.older
+        strict, odd = (rest, odd_rest) if space or not self.keeps_space else (first, odd_first)
+        at = strict.get(part, -1)
+        at = odd.get(part, -1) if at < 0 else at
+        return None if at < 0 else flat[start[at]:start[at] + count[at]].tobytes()
+
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
@@ -115,7 +130,10 @@ class WordIds:
         whole: list[tuple[int, str]] = []
         split: list[tuple[int, str, str]] = []
         keeps, words, new = self.keeps_space, self.words, {}
+        found = [self._remembered(part, space) for part, space in self.waiting]
         for i, (part, space) in enumerate(self.waiting):
+            if found[i] is not None:
+                continue
             core = part.rstrip(MARKS)
             if core.isalpha() and (space or not keeps) and (keeps or self._stays_letters(core)):
                 marks = part[len(core):]
@@ -123,11 +141,13 @@ class WordIds:
                     core = core.lower()
                 split.append((i, core, marks))
                 if core not in words:
-                    new[core] = None
+                    if core in self.older_words:
+                        words[core] = self.older_words[core]
+                    else:
+                        new[core] = None
             else:
                 whole.append((i, " " + part if space and part[:1] != "\n" else part))
         self._learn(list(new))
-        found: list[bytes] = [b""] * len(self.waiting)
         for i, core, marks in split:
             found[i] = words[core] + self._mark(marks) if marks else words[core]
         for i in range(0, len(whole), AT_ONCE):
@@ -165,9 +185,9 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> Encoded:
         if self.size > self.limit:
-            self._reset()
+            self._begin()
         if len(self.words) > self.limit:
-            self.words.clear()
+            self.older_words, self.words = self.words, {}
         places = [self._places(t) if t else np.zeros(0, np.int64) for t in texts]
         self._encode_waiting()
         docs = np.fromiter(map(len, places), np.int64, len(places))
