@@ -19,7 +19,7 @@ from tidemark.plans.checkpoints import stable
 
 def test_registry():
     names = list(entry.queries())
-    assert [sum(re.match(rf"op{n}_", q) is not None for q in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(re.match(rf"op{n}_", q) is not None for q in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "secrets", "mix", "pack"]
 
 
@@ -60,11 +60,14 @@ def test_pipeline_like_a_plain_run(spark, small):
 
     model = langid.learn(spark.read.parquet(f"{small}/documents.parquet"))
     ids = sorted(before)
-    marginals, letters, sizes = crf.Tagger(model)([before[i][0] for i in ids])
-    ends, known = np.cumsum(sizes), set()
-    for i, n, e in zip(ids, sizes, ends):
-        own = marginals[e - n:e][letters[e - n:e]]
-        if len(own) and own.mean(axis=0).max() >= corpus_pipeline.LEAST_LANGUAGE_SCORE:
+    known = set()
+    for i in ids:
+        own = [w for w in before[i][0].split() if any(map(str.isalpha, w))]
+        met = []
+        for w in own:
+            grams = crf.featurize([crf.bare(w)], model.lexicons, model.bits).grams
+            met.append(model.seen[grams].mean())
+        if own and (sum(met) + 3) / (len(met) + 3) >= corpus_pipeline.LEAST_KNOWN:
             known.add(i)
     assert {r["doc_id"] for r in kept["language"]} == known
 
@@ -92,3 +95,32 @@ def test_pipeline_like_a_plain_run(spark, small):
     assert sum(r["length"] for r in rows) == sum(len(encoded[i]) * copies[i] for i in encoded)
     for r in rows:
         assert r["ids_crc32"] == zlib.crc32(np.array(encoded[r["doc_id"]][r["start"]:r["start"] + r["length"]], "<u4").tobytes())
+
+
+FOREIGN = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Все люди рождаются свободными и равными в своем достоинстве и правах."]
+
+
+def test_language_gate(spark, small):
+    """Texts in an unlearned language, random letters and letterless ones go; known and mixed ones and single words stay."""
+    learned = spark.read.parquet(f"{small}/documents.parquet")
+    rnd = np.random.default_rng(2)
+    by = {r["lang"]: r["text"] for r in learned.filter("n_chars between 300 and 900 and lang is not null").collect()}
+    noise = " ".join("".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(40))
+    stay = [*by.values(), " ".join(by.values()), "\n".join(t for pair in zip(*(t.split(". ") for t in list(by.values())[:2])) for t in pair), "the"]
+    go = [*FOREIGN, noise, "123 456 !!", "", None]
+    rows = [(10 ** 6 + i, t) for i, t in enumerate(stay + go)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    model = langid.learn(learned)
+    kept = {r["doc_id"] - 10 ** 6 for r in langid.keep(more, model, corpus_pipeline.LEAST_KNOWN).collect()}
+    assert kept == set(range(len(stay)))
+    assert langid.keep(more, None, corpus_pipeline.LEAST_KNOWN).count() == 0
+
+
+def test_one_id_with_two_texts(spark, small):
+    """A text without any copy stays though another one under its id is a near copy."""
+    base = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"thing{i}" for i in range(40))
+    rows = [(1, base), (2, base + " more"), (2, other), (3, other), (3, other), (4, None), (None, base), (5, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, small)
+    assert kept.columns == ["doc_id", "text"] and sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, base), (2, other), (4, None), (None, base)], key=repr)

@@ -110,9 +110,18 @@ class Model:
     start: np.ndarray
     trans: np.ndarray
     extra: dict = field(default_factory=dict)
+    seen: np.ndarray | None = None  # slots of the n-grams that training met
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        return _emissions(featurize(words, self.lexicons, self.bits), self.weights, 1 << self.bits)
+        return self.judged(words)[0]
+
+    def judged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions, and the share of each word's n-grams that training met, whatever their label."""
+        f = featurize(words, self.lexicons, self.bits)
+        share = np.ones(len(words))
+        if self.seen is not None and len(f.grams):
+            share = np.add.reduceat(self.seen[f.grams].astype(float), np.cumsum(f.gram_counts) - f.gram_counts) / f.gram_counts
+        return _emissions(f, self.weights, 1 << self.bits), share
 
 
 def _emissions(f: Features, weights: np.ndarray, slots: int) -> np.ndarray:
@@ -164,7 +173,9 @@ def train(texts: list[list[str]], tags: list[np.ndarray], labels: list, lexicons
             first[i] = 0.9 * first[i] + 0.1 * slope
             second[i] = 0.99 * second[i] + 0.01 * slope ** 2
             parts[i] = parts[i] + rate * (first[i] / (1 - 0.9 ** step)) / (np.sqrt(second[i] / (1 - 0.99 ** step)) + 1e-8)
-    return Model(labels, bits, lexicons, *parts)
+    met = np.zeros(slots, bool)
+    met[f.grams] = True
+    return Model(labels, bits, lexicons, *parts, seen=met)
 
 
 def bare(word: str) -> str:
@@ -193,6 +204,7 @@ class Tagger:
         self.places, self.waiting, self.size = _Places(self), [], 0
         self.emit = np.zeros((1024, len(self.model.labels)))
         self.letters = np.zeros(1024, bool)
+        self.met = np.zeros(1024)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(marginals, which words have letters, words in each text); words are cut at white space."""
@@ -208,13 +220,16 @@ class Tagger:
                 room = max(end, 2 * len(self.emit)) - len(self.emit)
                 self.emit = np.vstack([self.emit, np.zeros((room, self.emit.shape[1]))])
                 self.letters = np.concatenate([self.letters, np.zeros(room, bool)])
+                self.met = np.concatenate([self.met, np.zeros(room)])
             for i in range(0, len(self.waiting), WORDS_AT_ONCE):
                 some = [bare(w) for w in self.waiting[i:i + WORDS_AT_ONCE]]
-                self.emit[self.size + i:self.size + i + len(some)] = self.model.emissions(some)
+                own = slice(self.size + i, self.size + i + len(some))
+                self.emit[own], self.met[own] = self.model.judged(some)
             self.letters[self.size:end] = [w.isalpha() or any(map(str.isalpha, w)) for w in self.waiting]
             self.size, self.waiting = end, []
         sizes = np.fromiter(map(len, at), np.int64, len(at))
         words = np.concatenate(at) if at else np.zeros(0, np.int64)
+        self.shares = self.met[words]  # of the n-grams of each word, those that training met
         return forward_backward(self.emit[words], sizes[sizes > 0], self.model.start, self.model.trans), self.letters[words], sizes
 
 

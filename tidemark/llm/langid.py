@@ -56,18 +56,23 @@ def fit(rows_: list[tuple[str, str]], *, lexicon_words: int = LEXICON_WORDS, **o
     return crf.train(sequences, tags, labels, lexicons, **options)
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], model: crf.Model | None, text: str) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-    """Each batch with its texts' languages and scores."""
+PRIOR_WORDS = 3  # counted as known in every text, so that a word or two is no evidence
+
+
+def _predicted(batches: Iterator[pa.RecordBatch], model: crf.Model | None, text: str) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+    """Each batch with its texts' languages and scores, and the share of their letter groups that training met."""
     tagger = crf.Tagger(model) if model else None
     for batch in slices(batches, text, crf.BATCH_BYTES):
         if tagger is None:
-            yield batch, [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            yield batch, [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             continue
         marginals, letters, sizes = tagger(texts(batch, text))
         count = crf.by_text(letters.astype(float), sizes)
         mean = crf.by_text(marginals * letters[:, None], sizes) / np.maximum(count, 1)[:, None]
+        met = (crf.by_text(tagger.shares * letters, sizes) + PRIOR_WORDS) / (count + PRIOR_WORDS)
         best = mean.argmax(axis=1)
-        yield batch, [model.labels[b] if c else UNKNOWN for b, c in zip(best, count)], np.clip(np.where(count > 0, mean[np.arange(len(best)), best], 0.0), 0.0, 1.0)
+        score = np.clip(np.where(count > 0, mean[np.arange(len(best)), best], 0.0), 0.0, 1.0)
+        yield batch, [model.labels[b] if c else UNKNOWN for b, c in zip(best, count)], score, met
 
 
 def identify(docs: DataFrame, model: crf.Model | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,20 +85,24 @@ def identify(docs: DataFrame, model: crf.Model | None, *, doc_id: str = "doc_id"
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found, score in _predicted(batches, shared.value, "text"):
+        for batch, found, score, _ in _predicted(batches, shared.value, "text"):
             yield rows(doc_id=batch.column("doc_id"), lang_pred=found, score=score)
     source = only(docs, doc_id=doc_id, text=text)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: crf.Model | None, least: float, *, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is known with a score of at least ``least``."""
+def keep(docs: DataFrame, model: crf.Model | None, least_known: float, *, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that have letters of which at least ``least_known`` of the groups occur in the learned texts.
+
+    A marginal only says which of the learned languages is likeliest, and is one over their number at least; that a text is in none of them
+    shows in letter groups which the model has never met.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found, score in _predicted(batches, shared.value, text):
-            yield batch.filter(pa.array([f != UNKNOWN and s >= least for f, s in zip(found, score)], pa.bool_()))
+        for batch, found, _, met in _predicted(batches, shared.value, text):
+            yield batch.filter(pa.array([f != UNKNOWN and m >= least_known for f, m in zip(found, met)], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)
 
 
