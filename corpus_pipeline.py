@@ -13,32 +13,43 @@ from tidemark.llm import langid, mixing, packing, secret_scan, sketch_dedup
 from tidemark.llm.batches import load
 from tidemark.plans.checkpoints import stable
 
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_KNOWN = 0.75  # of a text's letter groups, those that the language model has met
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not ``und``, and with a mean marginal that is no toss-up. Texts in two or three languages stay."""
-    return langid.keep(docs, langid.learn(docs), LEAST_LANGUAGE_SCORE)
+    """Documents in a language that the model has learned: not ``und``, and made of letter groups that it has met in some language.
+
+    So texts in two or three known languages stay, those in an unlearned one and random letters go, however many languages there are.
+    """
+    return langid.keep(docs, langid.learn(docs), LEAST_KNOWN)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows that repeat id and text become one."""
-    found = stable(sketch_dedup.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT))
-    left = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = stable(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
-    repeats = left.join(again, left["doc_id"].eqNullSafe(again["_again"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, left["doc_id"].eqNullSafe(again["_again"]), "left_anti").unionByName(repeats)
+    """One document of each group of near-duplicates: the one with the smallest id. Rows that repeat id and text become one.
+
+    A row goes by its id and text together, so of two texts under one id each is judged for itself; rows without an id all stay.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    named = docs.withColumn("_key", key)
+    found = stable(sketch_dedup.near_duplicates(named, doc_id="_key", width=SHINGLE_WORDS, percent=SIMILAR_PERCENT).withColumnRenamed("doc_id", "_key"))
+    left = named.join(found.filter(~F.col("kept")).select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    again = stable(found.groupBy("_key").count().filter("count > 1 AND _key IS NOT NULL").select(F.col("_key.doc_id").alias("_again")).distinct())
+    repeats = left.join(again, left["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, left["doc_id"] == again["_again"], "left_anti").unionByName(repeats)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with their secrets replaced by a mark, and ``n_chars`` brought up to date."""
+    """The same documents with their secrets replaced by a mark, and ``n_chars`` brought up to date. Repeated rows are changed alike; a null text stays."""
     clean = secret_scan.redact(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole copy; documents of which it takes less than half go."""
+    """Each document as often as the mix takes its words, to the nearest whole copy; documents of which it takes less than half go.
+
+    Rows that share an id count as one document: all of them come as often as the mix takes their words together.
+    """
     shares = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     copies = shares.select("_id", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_copies")).filter("_copies > 0")
     taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
