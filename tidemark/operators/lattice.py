@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.operators.performance import auc, f1_at
+from tidemark.operators.models import partial_update, train_mlp
+from tidemark.operators.performance import auc, f1_at, tune_threshold
+from tidemark.plans.checkpoints import stable
 from tidemark.plans.ordered import null_safe_join, with_each
+from tidemark.plans.pool import run_pool
 
 # Fixed values of the adaptation setting.
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -17,6 +21,33 @@ REWARD_SCALE = 100.0
 STATE = ("full_week", "partial_week", "alpha", "week")
 
 
+def train_lattice(rows: DataFrame, cols: Sequence[str], label: str, key: str, week: str = "week", hidden: Sequence[int] = (256, 128, 64), max_iter: int = 60,
+                  window: int = PARTIAL_WINDOW, pool: int | None = None) -> DataFrame:
+    """(full_week, partial_week, week, key, label, score, threshold) of every adaptation state on every later week.
+
+    A full model is trained through each week but the last; a partial update continues it on the ``window`` weeks up to a later week, never
+    on weeks that the full model has seen. Each model has its own threshold, the best on its last own week. Models are fitted a few at a time
+    (``run_pool``): first the full ones, then all updates; the states' scores are written once. Weeks x weeks models are the bound.
+    """
+    spark = rows.sparkSession
+    weeks = sorted(r[0] for r in rows.select(week).distinct().collect())
+    fulls = weeks[:-1]
+    through = dict(zip(fulls, run_pool(spark, lambda f: train_mlp(rows.filter(F.col(week) <= f), cols, label, key, hidden, max_iter=max_iter), fulls, pool)))
+    states = [(f, None) for f in fulls] + [(f, p) for f in fulls for p in fulls if p > f]
+
+    def scored(state: tuple[int, int | None]) -> DataFrame:
+        f, p = state
+        model = through[f] if p is None else partial_update(through[f], rows.filter(F.col(week).between(max(f + 1, p - window + 1), p)), label)
+        own = model.score(rows.filter(F.col(week) == (f if p is None else p))).select(F.col(label).cast("int").alias("label"), "score")
+        best = tune_threshold(own, []).first()
+        bar = float(best["threshold"]) if best is not None and best["threshold"] is not None else 0.5
+        later = model.score(rows.filter(F.col(week) > (f if p is None else p)))
+        return stable(later.select(F.lit(f).cast("long").alias("full_week"), F.lit(p).cast("long").alias("partial_week"), F.col(week).cast("long").alias("week"), key,
+                                   F.col(label).cast("int").alias("label"), "score", F.lit(bar).alias("threshold")))
+    # The baseline of a blend is the first full model on the same week, which its own later weeks all hold.
+    return reduce(DataFrame.unionByName, run_pool(spark, scored, states, pool))
+
+
 def blend_scores(scored: DataFrame, key: str = "row_id", alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """(full_week, partial_week, week, key, label, score) -> one row per alpha with alpha*score + (1-alpha)*baseline.
 

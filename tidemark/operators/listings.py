@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -321,13 +322,14 @@ def profile_from_reply(df: DataFrame, raw: str = "raw_text", reply: str = "reply
 
 
 class _FirstMatch(HTMLParser):
-    """Text of the first element that matches one of (tag, class or id)."""
+    """Text of the first element that matches one of (tag, class or id). A closing tag also closes what was left open inside."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    MUTED = {"script", "style"}
 
     def __init__(self, selectors: Sequence[tuple[str, str, str]]):
         super().__init__(convert_charrefs=True)
-        self.selectors, self.depth, self.done, self.parts, self.muted = selectors, 0, False, [], 0
+        self.selectors, self.open, self.done, self.parts = selectors, [], False, []
 
     def _hit(self, tag: str, attrs: dict) -> bool:
         for want_tag, kind, want in self.selectors:
@@ -337,20 +339,17 @@ class _FirstMatch(HTMLParser):
         return False
 
     def handle_starttag(self, tag, attrs):
-        if self.done or tag in self.VOID:
-            return
-        if self.depth or self._hit(tag, dict(attrs)):
-            self.depth += 1
-            self.muted += tag in ("script", "style")
+        if not self.done and tag not in self.VOID and (self.open or self._hit(tag, dict(attrs))):
+            self.open.append(tag)
 
     def handle_endtag(self, tag):
-        if self.depth and tag not in self.VOID:
-            self.depth -= 1
-            self.muted -= tag in ("script", "style") and self.muted > 0
-            self.done = self.done or self.depth == 0
+        if not self.done and tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            self.done = not self.open
 
     def handle_data(self, data):
-        if self.depth and not self.done and not self.muted:
+        if self.open and not self.done and not self.MUTED.intersection(self.open):
             self.parts.append(data)
 
 
@@ -366,9 +365,12 @@ DESCRIPTION_SELECTORS = {
 def page_descriptions(pages: DataFrame, selectors: dict | None = None, max_chars: int | None = None) -> DataFrame:
     """(id, portal, html) -> (id, text): text of the first element matching the portal's selectors, trimmed.
 
-    Whole pages are parsed, batch by batch inside the tasks; ``max_chars`` shortens the result when asked.
+    Pages that hold none of the wanted tags, classes or ids have no text and are not parsed; the others are read whole, batch by batch
+    inside the tasks. ``max_chars`` shortens the result when asked.
     """
     table = selectors or DESCRIPTION_SELECTORS
+    wanted = [(F.col("portal") == portal) & F.contains(F.lower("html"), F.lit((want or f"<{tag}").lower())) for portal, found in table.items() for tag, _, want in found]
+    html = F.when(reduce(lambda x, y: x | y, wanted), F.col("html")) if wanted else F.lit(None).cast("string")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +386,7 @@ def page_descriptions(pages: DataFrame, selectors: dict | None = None, max_chars
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
     id_type = dict(pages.dtypes)["id"]
-    return pages.select("id", "portal", "html").mapInArrow(parse, f"id {id_type}, text string")
+    return pages.select("id", "portal", html.alias("html")).mapInArrow(parse, f"id {id_type}, text string")
 
 
 def fill_descriptions(jobs: DataFrame, pages: DataFrame, selectors: dict | None = None, max_chars: int | None = None) -> DataFrame:

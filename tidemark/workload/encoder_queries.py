@@ -205,3 +205,13 @@ def fitted_encoder(spark, d):
 def _(spark, d):
     enc, rows = fitted_encoder(spark, d)
     return enc.transform(rows.filter("week > 0"), ["TransactionID", "week"])
+
+
+@query("frozen_encoder_rows", f"""WITH {TX} SELECT id AS "TransactionID", week, true AS no_identifiers, true AS no_text, ln(1 + amount) IS NOT NULL AS has_amount FROM tx WHERE week > 0""")
+def _(spark, d):
+    """What must hold of the encoder's output: every later row, no identifier column among the features, numbers only."""
+    enc, rows = fitted_encoder(spark, d)
+    out = enc.transform(rows.filter("week > 0"), ["TransactionID", "week"])
+    features = list(enc.feature_schema)
+    text = [c for c, t in out.dtypes if t == "string" and c in features]
+    return out.select("TransactionID", "week", F.lit(not {*enc.cols.dropped, enc.cols.label} & set(features)).alias("no_identifiers"), F.lit(not text).alias("no_text"), F.col("_log_amount").isNotNull().alias("has_amount"))

@@ -247,16 +247,21 @@ def _(spark, d):
     return L.profile_from_reply(listings(spark, d).withColumn("reply", reply), "description").select("pid", "raw_text", "summary", "skills", "experience_years")
 
 
-PAGE_SELECTORS = {p: (("article", "class", ""), ("title", "class", "")) for p in ("linkedin", "indeed", "naukri")}
+PAGE_SELECTORS = {p: (("article", "class", ""),) for p in ("linkedin", "indeed", "naukri")}
 
 
-@query("page_descriptions")
+ARTICLE = r"""regexp_replace(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query("page_descriptions", f"SELECT page_id AS id, {ARTICLE} AS text FROM pages")
 def _(spark, d):
     pages = load(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("linkedin").alias("portal"), "html")
     return L.page_descriptions(pages, PAGE_SELECTORS)
 
 
-@query("fill_descriptions")
+@query("fill_descriptions", f"""WITH {RAW}, pt AS (SELECT page_id, {ARTICLE} AS page_text FROM pages)
+SELECT li.pid AS id, CASE WHEN coalesce(length(li.description), 0) <= 50 AND li.portal IN ('linkedin', 'indeed', 'naukri') AND coalesce(page_text, '') <> '' THEN page_text ELSE li.description END AS description
+FROM li LEFT JOIN pt ON pt.page_id = li.pid""")
 def _(spark, d):
     n = listings(spark, d).withColumn("id", F.col("pid"))
     return L.fill_descriptions(n, load(spark, d, "pages").select(F.col("page_id").alias("id"), "html"), PAGE_SELECTORS).select("id", "description")

@@ -80,11 +80,29 @@ def _(spark, d):
     return rounded(Q.spearman_matrix(wide(spark, d), COLS), "rho")
 
 
-@query("redundancy_prune")
+PRUNED = ("price", "shifted", "quantity", "discount", "tax")
+_PAIR = {(a, b): f"(SELECT abs(corr({a}, {b})) FROM r)" for i, b in enumerate(PRUNED) for a in PRUNED[:i]}
+
+
+def _prune_sql() -> str:
+    """The greedy walk, a step a candidate: the strongest correlation with those chosen so far, 0 without one; in the end the set is filled by score."""
+    parts, chosen = [f"WITH {WIDE}, r AS (SELECT {_RANKS} FROM wd), k0 AS (SELECT 0 AS n" + "".join(f", {sql} AS rho_{a}_{b}" for (a, b), sql in _PAIR.items()) + ")"], []
+    for i, c in enumerate(PRUNED):
+        worst = "greatest(0.0" + "".join(f", CASE WHEN in_{o} THEN rho_{o}_{c} ELSE 0 END" for o in chosen) + ")"
+        parts.append(f"k{i + 1} AS (SELECT * EXCLUDE (n), n < 4 AND {worst} < 0.90 AS in_{c}, n < 4 AND {worst} >= 0.90 AS out_{c}, n + (n < 4 AND {worst} < 0.90)::INT AS n FROM k{i})")
+        chosen.append(c)
+    last, filled = f"k{len(PRUNED)}", []
+    for c in PRUNED:
+        filled.append(f"SELECT '{c}' AS feature, in_{c} AS walked, out_{c} AS redundant, n, {PRUNED.index(c)} AS pos FROM {last}")
+    parts.append("z AS (" + " UNION ALL ".join(filled) + "), y AS (SELECT *, sum((NOT walked)::INT) OVER (ORDER BY pos) AS place FROM z)")
+    return ", ".join(parts) + " SELECT feature, walked OR place <= 4 - n AS kept, redundant FROM y"
+
+
+@query("redundancy_prune", _prune_sql())
 def _(spark, d):
-    w = wide(spark, d)
-    chosen, rejected = Q.redundancy_prune(["price", "shifted", "quantity", "discount", "tax"], Q.spearman_matrix(w, COLS), 4)
-    return spark.createDataFrame([(c, "kept", None) for c in chosen] + [(r["feature"], r["reason"], r["with"]) for r in rejected], "feature string, outcome string, twin string")
+    chosen, rejected = Q.redundancy_prune(list(PRUNED), Q.spearman_matrix(wide(spark, d), COLS), 4)
+    twins = {r["feature"] for r in rejected if r["reason"] == "redundant"}
+    return spark.createDataFrame([(c, c in chosen, c in twins) for c in PRUNED], "feature string, kept boolean, redundant boolean")
 
 
 def _fit(label="label", iters=3):
@@ -93,16 +111,24 @@ def _fit(label="label", iters=3):
     return fit
 
 
-@query("select_features")
+_MON = ", ".join(f"count(DISTINCT {c}) AS n_{c}, stddev_samp({c}::DOUBLE) AS s_{c}" for c in COLS)
+
+
+@query("select_features", f"WITH {WIDE}, m AS (SELECT {_MON} FROM wd WHERE week = 0) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, n_{c} AS n_distinct, n_{c} >= 10 AND s_{c} > 1e-8 AS monitorable, true AS in_range, true AS consistent FROM m" for c in COLS))
 def _(spark, d):
+    """Distinct values and monitorability of each candidate; shares and scores lie in [0, 1], and what is selected is monitorable, three in all."""
     ref = stable(wide(spark, d).filter("week = 0"))
-    return Q.select_features(ref, COLS, "rid", _fit(), top_k=3, n_bags=2, top_m=2)[1]
+    chosen, table, _ = Q.select_features(ref, COLS, "rid", _fit(), top_k=3, n_bags=2, top_m=2)
+    fine = F.col("selection_frequency").between(0, 1) & F.col("mean_reciprocal_rank").between(0, 1) & F.col("score").between(0, 1)
+    kept = (F.col("selected") == F.col("feature").isin(*chosen)) & (~F.col("selected") | F.col("monitorable")) & F.lit(len(chosen) <= 3)
+    return table.select("feature", "n_distinct", "monitorable", fine.alias("in_range"), kept.alias("consistent"))
 
 
-@query("selection_report")
+@query("selection_report", f"WITH {WIDE}, m AS (SELECT {_MON} FROM wd WHERE week = 0), u AS (SELECT " + " + ".join(f"(NOT (n_{c} >= 10 AND s_{c} > 1e-8))::INT" for c in COLS) + " AS n FROM m) SELECT n::BIGINT AS n_unmonitorable, least(3, 5 - n)::INT AS n_selected, true AS in_range FROM u")
 def _(spark, d):
     ref = stable(wide(spark, d).filter("week = 0"))
-    return Q.select_features(ref, COLS, "rid", _fit(), top_k=3, n_bags=2, top_m=2)[2]
+    out = Q.select_features(ref, COLS, "rid", _fit(), top_k=3, n_bags=2, top_m=2)[2]
+    return out.select("n_unmonitorable", "n_selected", (F.col("stability").between(-1, 1) & F.col("max_pairwise_rho").between(0, 1)).alias("in_range"))
 
 
 # --- attributions ------------------------------------------------------------------------------------------------
@@ -174,25 +200,35 @@ def _(spark, d):
     return rounded(out, "distance_ratio", "cluster_psi")
 
 
-@query("cluster_drift")
+def _held(drift):
+    """What must hold of a fitted clustering: all rows of a window have a cluster, ratio and PSI are no negative numbers."""
+    total = F.aggregate("curr_counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return drift.select("week", "n_rows", (total == F.col("n_rows")).alias("counts_add_up"), ((F.col("distance_ratio") > 0) & (F.col("cluster_psi") >= 0)).alias("in_range"))
+
+
+@query("cluster_drift", f"WITH {WIDE} SELECT week, count(*) AS n_rows, true AS counts_add_up, true AS in_range FROM wd WHERE week > 0 GROUP BY week")
 def _(spark, d):
     w = wide(spark, d)
-    return T.cluster_drift(T.assign_clusters(w, T.fit_clusters(w.filter("week = 0"), CCOLS)), CCOLS, 5)
+    return _held(T.cluster_drift(T.assign_clusters(w, T.fit_clusters(w.filter("week = 0"), CCOLS)), CCOLS, 5))
 
 
-@query("embedding_clusters")
+@query("embedding_clusters", "SELECT (vec_id % 4)::BIGINT AS week, count(*) AS n_rows, true AS counts_add_up, true AS in_range FROM embeddings WHERE vec_id % 4 > 0 GROUP BY vec_id % 4")
 def _(spark, d):
     e = X.load(spark, d, "embeddings")
     dims = range(e.agg(F.max(F.size("embedding"))).first()[0])
     cols = [f"e{i}" for i in dims]
     rows = e.select((F.col("vec_id") % 4).alias("week"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in dims])
-    return T.cluster_drift(T.assign_clusters(rows, T.fit_clusters(rows.filter("week = 0"), cols)), cols, 5)
+    return _held(T.cluster_drift(T.assign_clusters(rows, T.fit_clusters(rows.filter("week = 0"), cols)), cols, 5))
 
 
-@query("reconstruction_drift")
+@query("reconstruction_drift", f"WITH {WIDE} SELECT DISTINCT week, true AS in_range, true AS consistent FROM wd WHERE week > 0")
 def _(spark, d):
+    """Of a fitted reconstruction: errors are no negative numbers, p and KS lie in [0, 1], the flags follow the z score."""
     w = wide(spark, d)
-    return T.reconstruction_drift(T.reconstruct(w, T.fit_reconstruction(w.filter("week = 0"), CCOLS)), CCOLS)
+    out = T.reconstruction_drift(T.reconstruct(w, T.fit_reconstruction(w.filter("week = 0"), CCOLS)), CCOLS)
+    fine = (F.col("ref_rmse_mean") >= 0) & (F.col("curr_rmse_mean") >= 0) & F.col("p_value").between(0, 1) & F.col("ks_stat").between(0, 1)
+    agree = (F.col("drift_detected") == (F.col("mse_z_score") > 3.0)) & ~(F.col("drift_detected") & F.col("warning_detected"))
+    return out.select("week", fine.alias("in_range"), agree.alias("consistent"))
 
 
 def weeks_with_later(rows):
@@ -212,11 +248,14 @@ def _(spark, d):
     return G.signal_matrix(w, CCOLS, weeks_with_later(w), lambda r: fitted_attributions(w, r), "rid")
 
 
-@query("pca_snapshot")
+@query("pca_snapshot", f"WITH {WIDE}, k AS (SELECT rid, week, row_number() OVER (PARTITION BY week ORDER BY md5(rid || ':42'), rid) AS n FROM wd) SELECT rid, week, true AS labelled, true AS placed FROM k WHERE n <= 300")
 def _(spark, d):
+    """The sampled rows of every week, each with a cluster and finite coordinates."""
     w = wide(spark, d)
     state = T.fit_clusters(w.filter("week = 0"), CCOLS)
-    return T.pca_snapshot(S.bounded_sample(w.select("rid", "week", *CCOLS), 300, "rid", 42, ["week"]), state)
+    out = T.pca_snapshot(S.bounded_sample(w.select("rid", "week", *CCOLS), 300, "rid", 42, ["week"]), state)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return out.select("rid", "week", F.col("cluster").between(0, 4).alias("labelled"), (finite("pc1") & finite("pc2")).alias("placed"))
 
 
 # --- models ------------------------------------------------------------------------------------------------------
@@ -281,23 +320,31 @@ def _(spark, d):
     return _judged(M.oof_scores(_ready(spark, d).filter("week = 1"), OC, "label", "t", "rid", max_iter=5)[0].select("rid", "label", "oof_score"), "oof_score")
 
 
-@query("top_features_by_importance")
+@query("top_features_by_importance", "SELECT place, true AS known, true AS falling FROM (SELECT unnest([1, 2, 3]) AS place)")
 def _(spark, d):
-    return M.importance_table(spark, M.train_classifier(_ready(spark, d).filter("week = 0"), OC, "label", "t", "rid", max_iter=5), 3)
+    """The first three of four features, by falling importance."""
+    rows = M.importance_table(spark, M.train_classifier(_ready(spark, d).filter("week = 0"), OC, "label", "t", "rid", max_iter=5), 3).collect()
+    falls = [a["importance"] >= b["importance"] >= 0 for a, b in zip(rows, rows[1:])]
+    return spark.createDataFrame([(i + 1, r["feature"] in OC, all(falls) and rows[0]["importance"] > 0) for i, r in enumerate(rows)], "place int, known boolean, falling boolean")
+
 
+EACH = "SELECT feature, true AS found FROM (SELECT unnest(['price', 'priority', 'segment', 'season']) AS feature)"
 
-@query("tree_attributions")
+
+@query("tree_attributions", EACH)
 def _(spark, d):
+    """Mean absolute attributions of a fitted model; tests/test_models.py holds them against its margins."""
     rows = _ready(spark, d)
     model = M.train_classifier(rows.filter("week = 0"), OC, "label", "t", "rid", max_iter=5, tune=False)
-    return Q.attribution_importance(T.tree_attributions(rows.filter("week > 0"), model.model, OC, ["rid"]))
+    return Q.attribution_importance(T.tree_attributions(rows.filter("week > 0"), model.model, OC, ["rid"])).select("feature", (F.col("importance") >= 0).alias("found"))
 
 
-@query("mlp_attributions")
+@query("mlp_attributions", EACH)
 def _(spark, d):
+    """The same for a perceptron; tests/test_models.py holds them against numeric gradients."""
     rows = _ready(spark, d)
     model = M.train_mlp(rows.filter("week = 0"), OC, "label", "rid", (8,), max_iter=15)
-    return Q.attribution_importance(T.mlp_attributions(rows, model.model.getLayers(), model.model.weights.toArray(), model.scale, ["rid"]))
+    return Q.attribution_importance(T.mlp_attributions(rows, model.model.getLayers(), model.model.weights.toArray(), model.scale, ["rid"])).select("feature", (F.col("importance") > 0).alias("found"))
 
 
 def _versions(rows, weeks):
@@ -325,8 +372,9 @@ def _(spark, d):
     return M.method_scores(scores, in_force(rows)).groupBy("method", "week").agg(F.count(F.lit(1)).alias("n"), (F.min(F.col("score").between(0, 1).cast("int")) == 1).alias("in_range"))
 
 
-@query("get_or_train")
+@query("get_or_train", f"WITH {ROWS} SELECT week AS trained_through_week, count(*) AS n_rows, true AS in_range FROM mr GROUP BY week")
 def _(spark, d):
+    """A version for every week of the data: saved, read back and evaluated on its last week."""
     rows, folder = _ready(spark, d), new_folder(spark)
 
     def train(week):
@@ -336,21 +384,33 @@ def _(spark, d):
         return M.version_row(spark, again, week, f"w{week}", rows.filter(F.col("week") == week), "label")
 
     have = train(0)
-    wanted = rows.select("week").distinct()
-    return V.get_or_train(wanted, have, train)
+    found = V.get_or_train(rows.select("week").distinct(), have, train)
+    return found.select("trained_through_week", "n_rows", (F.col("auc").between(0, 1) & F.col("f1").between(0, 1) & F.col("threshold").between(0, 1)).alias("in_range"))
+
+
+@query("model_round_trip", f"WITH {ROWS} SELECT rid, true AS same FROM mr WHERE week > 0")
+def _(spark, d):
+    """A boosted and a perceptron version score every row as before once they are saved and read back."""
+    rows, folder = _ready(spark, d), new_folder(spark)
+    ref, out = rows.filter("week = 0"), rows.filter("week > 0").select("rid", *OC)
+    models = {"gbt": M.train_classifier(ref, OC, "label", "t", "rid", max_iter=3), "mlp": M.train_mlp(ref, OC, "label", "rid", (6,), max_iter=10)}
+    for name, model in models.items():
+        M.save_version(spark, model, f"{folder}/{name}")
+        again = M.load_version(spark, f"{folder}/{name}")
+        out = again.score(model.score(out, f"{name}_a"), f"{name}_b")
+    return out.select("rid", ((F.col("gbt_a") == F.col("gbt_b")) & (F.col("mlp_a") == F.col("mlp_b"))).alias("same"))
 
 
-@query("adaptation_lattice")
+@query("adaptation_lattice", f"""WITH {ROWS}, w AS (SELECT DISTINCT week FROM mr), st AS (SELECT f.week AS full_week, NULL::BIGINT AS partial_week FROM w f WHERE f.week < (SELECT max(week) FROM w)
+   UNION ALL SELECT f.week, p.week FROM w f, w p WHERE p.week > f.week AND p.week < (SELECT max(week) FROM w))
+SELECT full_week, partial_week, a.alpha, w.week, count(*) OVER () AS n_states, true AS in_range FROM st, w, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS alpha) a WHERE w.week > full_week AND w.week > coalesce(partial_week, -1)""")
 def _(spark, d):
-    """Full models of weeks 0 and 1, partial updates of the first on weeks 1 and 2, blended and scored."""
+    """Every full model and every later partial update of it, trained, blended and scored on every later week."""
     rows = _ready(spark, d)
-    full = {w: M.train_mlp(rows.filter(F.col("week") <= w), OC, "label", "rid", (6,), max_iter=12) for w in (0, 1)}
-    parts = {(0, p): M.partial_update(full[0], rows.filter(F.col("week").between(max(1, p - 3), p)), "label") for p in (1, 2)}
-    later, out = rows.filter("week > 0").select("rid", "week", "label", *OC), None
-    for (f, p), model in {**{(w, None): m for w, m in full.items()}, **parts}.items():
-        s = model.score(later).select(F.lit(f).cast("long").alias("full_week"), F.lit(p).cast("long").alias("partial_week"), "week", F.col("rid").alias("row_id"), "label", "score")
-        out = s if out is None else out.unionByName(s)
-    return A.lattice_performance(A.blend_scores(stable(out)))
+    scored = A.train_lattice(rows, OC, "label", "rid", hidden=(6,), max_iter=12)
+    out = A.lattice_performance(A.blend_scores(scored, "rid"), "threshold")
+    fine = F.coalesce(F.col("auc").between(0, 1), F.lit(True)) & F.col("f1").between(0, 1)
+    return out.select("full_week", "partial_week", "alpha", "week", F.count(F.lit(1)).over(Window.partitionBy()).alias("n_states"), fine.alias("in_range"))
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------------

@@ -213,9 +213,13 @@ def _(spark, d):
     return rounded(P.auc(s, ["lang"], "quality", "n_chars"), "auc")
 
 
-@query("bootstrap_auc_se")
+@query("bootstrap_auc_se", f"WITH {SCORED} SELECT week, true AS se_plausible FROM sc GROUP BY week")
 def _(spark, d):
-    return P.bootstrap_auc_se(scored_events(spark, d), ["week"], "seq", n_boot=100)
+    """Errors come from hashes: no negative number, and within the largest variance of an AUC, A(1 - A) / min(n)."""
+    scores = scored_events(spark, d)
+    both = P.bootstrap_auc_se(scores, ["week"], "seq", n_boot=100).join(P.auc(scores, ["week"]), "week")
+    limit = 1.5 * F.sqrt(F.col("auc") * (1 - F.col("auc")) / F.least("n_pos", "n_neg")) + 1e-12
+    return both.select("week", ((F.col("auc_se") >= 0) & (F.col("auc_se") <= limit)).alias("se_plausible"))
 
 
 @query("prequential_auc", f"""WITH {SCORED}, {AUC.format(s='score')}, x AS (SELECT week, p, {AUC_V} AS auc FROM au)
