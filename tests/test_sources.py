@@ -46,15 +46,22 @@ def test_matches_nested_and_flat(spark, tmp_path):
     assert rows["2"]["match_score"] == 0 and rows["2"]["gaps"] == [] and rows["2"]["recommended"] is False
 
 
-def test_versions_keep_open_readers(spark, tmp_path):
-    t = X.VersionedTable(spark, str(tmp_path / "t"))
+def test_bucketed_table(spark, tmp_path):
+    t = X.BucketedTable(spark, str(tmp_path / "t"), "a", 8)
     with pytest.raises(FileNotFoundError):
         t.read()
-    assert t.read("a int").count() == 0
-    t.write(spark.range(3).toDF("a"))
-    old = t.read()
-    t.write(t.read().filter("a > 0"))
-    assert old.count() == 3 and t.read().count() == 2
+    assert t.read("a long").count() == 0
+    t.merge(spark.range(3).toDF("a"), lambda old, new: old.unionByName(new), "a long")
+    t.write(spark.range(100).toDF("a"), ["a"])
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    t.merge(spark.range(7, 8).toDF("a"), lambda old, new: old.join(new, "a", "left_anti"))
+    assert sorted(r["a"] for r in t.read().collect()) == [i for i in range(100) if i != 7]
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert sum(files.get(p) == m for p, m in after.items()) == 7  # only one bucket was written
+    t.merge(spark.range(0).toDF("a"), lambda old, new: old.limit(0))
+    assert t.read().count() == 99
+    t.merge(t.read(), lambda old, new: old.filter("a = 3"))
+    assert [r["a"] for r in t.read().collect()] == [3]  # buckets that lose all rows go
 
 
 def test_trainer_log(spark, tmp_path):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import distribution as D, encoders as E, streams as S
-from tidemark.sources.tables import VersionedTable
+from tidemark.sources.tables import BucketedTable, last_batch
 from tidemark.streaming import monitors as W
 
 
@@ -42,6 +42,34 @@ def test_detectors_match_batch(spark, tmp_path):
         assert {r["seq"] for r in got.filter((F.col("detector") == name) & F.col("drift")).collect()} == want and want
 
 
+def test_rows_behind_the_last_batch_are_left_out(spark, tmp_path):
+    """A later batch with earlier positions changes no tracker, and its late rows are counted."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([(rng.random(600) < r).astype(int) for r in (0.05, 0.5)])
+    rows = pd.DataFrame({"method": "m", "version": 1, "seq": np.arange(len(x)), "err": x})
+    late = pd.DataFrame({"method": "m", "version": 1, "seq": [3, 599, 600], "err": [1, 1, x[600]]})
+    schema = "method string, version long, seq long, err int"
+    for i, part in enumerate((rows[:600], pd.concat([late, rows[601:]]))):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p{i}"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = run(spark, W.stream_detectors(src), "late", tmp=tmp_path / "ck")
+    assert [(r["seq"], r["value"], r["threshold"]) for r in got.filter("detector = 'late'").collect()] == [(3, 2.0, 599.0)]
+    for name, f in (("ddm", S.ddm_rows), ("eddm", S.eddm_rows), ("hddm", S.hddm_rows)):
+        want = {r["seq"] for r in f(spark.createDataFrame(rows), ["method", "version"]).filter("drift OR warning").collect()}
+        assert {r["seq"] for r in got.filter(F.col("detector") == name).collect()} == want
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    edges = spark.createDataFrame([("f", [0.0, 1.0, 2.0])], "feature string, edges array<double>")
+    times = [["2024-01-01", "2024-01-20"], ["2024-01-21"], ["2024-01-02", "2024-01-03", "2024-02-20"]]
+    for i, part in enumerate(times):
+        spark.createDataFrame([(pd.Timestamp(t).to_pydatetime(), "f", 0.5) for t in part], "ts timestamp, feature string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p{i}"))
+    src = spark.readStream.schema("ts timestamp, feature string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = W.weekly_bin_counts(src, edges).writeStream.outputMode("append").format("memory").queryName("lately").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert W.late_rows(q) >= 1 and spark.table("lately").agg(F.sum("n")).first()[0] == 3  # of the windows that are closed
+
+
 def test_confirmation_state(spark, tmp_path):
     pdf = pd.DataFrame({"method": "m", "week": np.arange(1, 7), "raw_flag": [True, True, True, True, False, True]})
     src = in_parts(spark, pdf, "method string, week long, raw_flag boolean", tmp_path / "in", 3)
@@ -74,7 +102,7 @@ def test_encoder_replay(spark, tmp_path):
 
 def test_listing_upsert(spark, tmp_path):
     from tests.test_listings import BATCH, JOB, match
-    table = VersionedTable(spark, str(tmp_path / "jobs"))
+    table = BucketedTable(spark, str(tmp_path / "jobs"))
     table.write(spark.createDataFrame([], JOB))
     for i, rows in enumerate([[match("1", 1, "short")], [match("1", 2, "a longer text"), match("2", 3)]]):
         spark.createDataFrame(rows, BATCH).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p{i}"))
@@ -83,3 +111,24 @@ def test_listing_upsert(spark, tmp_path):
     q.awaitTermination(180)
     assert q.exception() is None
     assert {r["id"]: (r["description"], r["title"]) for r in table.read().collect()} == {"1": ("a longer text", "t2"), "2": ("new", "t3")}
+    assert last_batch(spark, str(tmp_path / "ck") + "-merged") == 1
+
+
+def test_a_batch_handed_over_again_changes_nothing(spark, tmp_path, monkeypatch):
+    from tests.test_listings import BATCH, JOB, match
+    table, stamps = BucketedTable(spark, str(tmp_path / "jobs")), iter("ab")
+    src = spark.createDataFrame([match("1", 1)], BATCH)
+    applied = []
+
+    class Writer:
+        def foreachBatch(self, f):
+            applied.append(f)
+            return self
+
+        def option(self, *_):
+            return self
+    monkeypatch.setattr(type(src), "writeStream", property(lambda _: Writer()))
+    W.stream_upsert(src, table, JOB, lambda: F.lit(next(stamps)), "o", str(tmp_path / "ck"))
+    for _ in range(2):
+        applied[0](src, 0)
+    assert [r["updated_at"] for r in table.read().collect()] == ["a"]

@@ -87,6 +87,13 @@ def reference_edges(df: DataFrame, by: Sequence[str] = ("feature",), week: str =
     return raw.withColumn("edges", F.array_distinct("edges"))
 
 
+def psi_cells(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
+              buckets: int = 10, chunks: int | None = None) -> DataFrame:
+    """Reference and window bin counts side by side, one row per (feature, window)."""
+    p = profiled(df, by, week, value, chunks, buckets=buckets)
+    return p.table.select(*p.by, p.week, "n_ref", "n_curr", "n_edges", "ref_counts", "curr_counts")
+
+
 def psi(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
         buckets: int = 10, threshold: float = 0.2, chunks: int | None = None) -> DataFrame:
     """PSI per (feature, window); fewer than 10 rows on a side or a constant reference gives 0."""

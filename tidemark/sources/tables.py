@@ -1,13 +1,13 @@
-"""Readers and writers: CSV pairs, report JSON/CSV, JSONL logs, match files, versioned tables."""
+"""Readers and writers: CSV pairs, report JSON/CSV, JSONL logs, match files, keyed tables."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.plans.checkpoints import drop_stable, stable
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
 
@@ -127,47 +127,70 @@ def export_matches(ranked: DataFrame, path: str, mode: str = "overwrite") -> Non
     ranked.orderBy(F.desc("match_score"), "id").write.mode(mode).json(path)
 
 
-def read_trainer_log(spark: SparkSession, path: str) -> DataFrame:
-    """log_history entries of a trainer state file as (step, epoch, metric, value)."""
-    raw = spark.read.option("multiLine", True).json(path)
-    fields = [f.name for f in raw.schema["log_history"].dataType.elementType.fields]
-    rows = raw.select(F.explode("log_history").alias("h")).select(*[F.col(f"h.{f}").alias(f) for f in fields])
-    metrics = [f for f in fields if f not in ("step", "epoch")]
-    wide = rows.select(F.col("step").cast("int").alias("step"), F.col("epoch").cast("double").alias("epoch"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    return wide.unpivot(["step", "epoch"], metrics, "metric", "value").filter(F.col("value").isNotNull())
+METRICS = ("loss", "grad_norm", "learning_rate", "entropy", "num_tokens", "mean_token_accuracy", "eval_loss", "eval_runtime", "eval_samples_per_second", "eval_steps_per_second", "eval_entropy", "eval_num_tokens", "eval_mean_token_accuracy", "train_loss", "train_runtime")
+
+
+def read_trainer_log(spark: SparkSession, path: str, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """log_history entries of a trainer state file as (step, epoch, metric, value), for the named metrics; the file is read once."""
+    fields = ", ".join(["step: double", "epoch: double", *[f"`{m}`: double" for m in metrics]])
+    raw = spark.read.schema(f"log_history array<struct<{fields}>>").option("multiLine", True).json(path)
+    rows = raw.select(F.explode("log_history").alias("h")).select("h.*").withColumn("step", F.col("step").cast("int"))
+    return rows.unpivot(["step", "epoch"], list(metrics), "metric", "value").filter(F.col("value").isNotNull())
+
 
+BUCKET = "_bucket"
 
-class VersionedTable:
-    """A parquet folder per version and a one-line pointer to the current one.
 
-    A reader keeps the version it opened; a writer adds a folder and then replaces the pointer. One writer at a time.
+class BucketedTable:
+    """A keyed table as plain Parquet, partitioned by a hash bucket of the key.
+
+    A merge reads and replaces only the buckets that its batch touches, by Spark's dynamic partition overwrite; the rest of the table is
+    neither read nor written. One writer at a time. A reader that has started may have to start again when its bucket is replaced.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", buckets: int = 16):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
 
-    def _pointers(self):
-        return self.spark.read.json(f"{self.path}/_versions")
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
 
-    def current(self) -> str | None:
-        try:
-            rows = self._pointers().orderBy(F.desc("n")).limit(1).collect()
-        except AnalysisException:
-            return None
-        return rows[0]["folder"] if rows else None
+    def _stored(self, schema: T.StructType | str | None = None) -> DataFrame:
+        known = None if schema is None else self._placed(self.spark.createDataFrame([], schema))
+        if not exists(self.spark, self.path):
+            if known is None:
+                raise FileNotFoundError(self.path)
+            return known
+        return (self.spark.read if known is None else self.spark.read.schema(known.schema)).parquet(self.path)
 
     def read(self, schema: T.StructType | str | None = None) -> DataFrame:
-        folder = self.current()
-        if folder is None:
-            if schema is None:
-                raise FileNotFoundError(self.path)
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/{folder}")
+        """All rows; a table that is absent or was never filled is empty where a schema is given."""
+        return self._stored(schema).drop(BUCKET)
 
     def write(self, df: DataFrame, sort: Sequence[str] = ()) -> None:
-        """``sort`` orders rows inside each file, so that min/max statistics prune later reads."""
-        folder = f"v-{uuid.uuid4().hex}"
-        out = df.sortWithinPartitions(*sort) if sort else df
-        out.write.parquet(f"{self.path}/{folder}")
-        n = 0 if self.current() is None else self._pointers().agg(F.max("n")).first()[0] + 1
-        self.spark.createDataFrame([(n, folder)], "n long, folder string").coalesce(1).write.mode("append").json(f"{self.path}/_versions")
+        """The whole table anew. ``sort`` orders rows inside each file, so that min/max statistics prune later reads."""
+        self._put(self._placed(df), "static", sort)
+
+    def _put(self, placed: DataFrame, how: str, sort: Sequence[str]) -> None:
+        out = placed.repartition(self.buckets, BUCKET).sortWithinPartitions(BUCKET, *sort)
+        out.write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy(BUCKET).parquet(self.path)
+
+    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType | str | None = None, sort: Sequence[str] = ()) -> None:
+        """Puts ``combine(rows of the touched buckets, batch)`` in the place of those buckets; ``combine`` keeps every row's key."""
+        touched = [r[0] for r in self._placed(batch).select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+        if touched:
+            old = self._stored(schema).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+            new = stable(self._placed(combine(old, batch)))
+            self._put(new, "dynamic", sort)
+            for bucket in {*touched} - {r[0] for r in new.select(BUCKET).distinct().collect()}:  # a bucket without rows isn't written
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{BUCKET}={bucket}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            drop_stable(new)
+
+
+def last_batch(spark: SparkSession, path: str) -> int:
+    """The last micro-batch that ``mark_batch`` noted; -1 before the first."""
+    return spark.read.schema("batch long").json(path).agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0] if exists(spark, path) else -1
+
+
+def mark_batch(spark: SparkSession, path: str, batch: int) -> None:
+    spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").json(path)

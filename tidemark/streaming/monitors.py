@@ -5,18 +5,20 @@ The watermark delay is this library's choice (one day by default); rows later th
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.numeric import psi_of
 from tidemark.operators.encoders import frequency_encode, ordinal_encode
 from tidemark.operators.listings import upsert_matches
-from tidemark.sources.tables import VersionedTable
+from tidemark.sources.tables import BucketedTable, last_batch, mark_batch
 
 
 def weekly_bin_counts(stream: DataFrame, edges: DataFrame, ts: str = "ts", window: str = "7 days", delay: str = "1 day",
@@ -37,6 +39,11 @@ def weekly_bin_counts(stream: DataFrame, edges: DataFrame, ts: str = "ts", windo
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "feature", "n", "mean", "low", "high", counts.alias("counts"))
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows the query has left out so far as older than its watermark."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+
 def psi_from_counts(windows: DataFrame, reference: DataFrame) -> DataFrame:
     """PSI of closed windows against (feature, ref_counts, n_ref)."""
     both = windows.join(F.broadcast(reference), "feature")
@@ -47,6 +54,7 @@ def psi_from_counts(windows: DataFrame, reference: DataFrame) -> DataFrame:
 
 STATE = "n bigint, total double, p_min double, s_min double, ps_min double, k bigint, s1 double, s2 double, top double, last_error bigint, n_best bigint, total_best double"
 START = (0, 0.0, 0.0, 0.0, math.inf, 0, 0.0, 0.0, 0.0, 0, 0, 0.0)
+LAST = "last_seq bigint"  # of the rows taken so far
 DETECTIONS = "method string, version bigint, seq bigint, detector string, drift boolean, warning boolean, value double, threshold double"
 
 
@@ -110,7 +118,9 @@ def stream_detectors(stream: DataFrame, **over: float) -> DataFrame:
     """DDM, EDDM and HDDM as keyed state over (method, version, seq, err).
 
     A new model version is a new key, so its trackers start afresh. Rows of a micro-batch are taken in ``seq`` order and
-    advanced as arrays; only rows that raise a warning or an alarm are emitted. The state is twelve numbers per key.
+    advanced as arrays; only rows that raise a warning or an alarm are emitted. The state is thirteen numbers per key.
+    The trackers can't go back, so rows that come in a later batch than rows with a greater ``seq`` are left out; a row of the detector
+    ``late`` tells how many (``value``) and behind which ``seq`` (``threshold``).
     A key's share of one micro-batch is sorted in memory: bound it with the source's ``maxFilesPerTrigger`` or the like;
     for a backlog use the batch operators, which split a stream over many tasks.
     """
@@ -118,16 +128,23 @@ def stream_detectors(stream: DataFrame, **over: float) -> DataFrame:
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
+        held, last = (tuple(state.get)[:-1], int(state.get[-1])) if state.exists else (START, None)
+        if last is not None and (late := data["seq"] <= last).any():
+            yield pd.DataFrame({"method": [key[0]], "version": [key[1]], "seq": [int(data["seq"][late].min())], "detector": ["late"], "drift": [False], "warning": [True],
+                                "value": [float(late.sum())], "threshold": [float(last)]})
+            data = data[~late]
+        if not len(data):
+            return
         seq, x = data["seq"].to_numpy(), np.clip(data["err"].to_numpy(dtype=float), 0.0, 1.0)
-        new, found = advance(tuple(state.get) if state.exists else START, x, cfg)
-        state.update(new)
+        new, found = advance(held, x, cfg)
+        state.update((*new, int(seq[-1])))
         for name, where, drift, warn, value, cut in found:
             show = drift | warn
             if show.any():
                 yield pd.DataFrame({"method": key[0], "version": key[1], "seq": seq[where[show]], "detector": name, "drift": drift[show],
                                     "warning": warn[show], "value": value[show], "threshold": cut[show]})
 
-    return stream.groupBy("method", "version").applyInPandasWithState(update, DETECTIONS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("method", "version").applyInPandasWithState(update, DETECTIONS, f"{STATE}, {LAST}", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_confirm(flags: DataFrame, k: int = 2, n: int = 2, reset: bool = True) -> DataFrame:
@@ -156,15 +173,21 @@ def stream_encode(stream: DataFrame, freq: DataFrame, freq_cols: Sequence[str],
     return ordinal_encode(frequency_encode(stream, freq, freq_cols), codes, code_cols)
 
 
-def stream_upsert(stream: DataFrame, table: VersionedTable, schema: str, now: Callable[[], Column], order: str, checkpoint: str,
+def stream_upsert(stream: DataFrame, table: BucketedTable, schema: str, now: Callable[[], Column], order: str, checkpoint: str,
                   event_time: str | None = None, delay: str = "1 day"):
-    """Upsert each micro-batch of matches into the versioned table; repeated rows within the delay are dropped."""
+    """Upsert each micro-batch of matches into the keyed table; repeated rows within the delay are dropped.
+
+    Only the buckets that a batch touches are read and replaced. A batch that Spark hands over again after it was merged is left out: its
+    number is noted beside the checkpoint once the merge is through.
+    """
     rows = stream if event_time is None else stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["id", order])
+    notes = f"{checkpoint}-merged"
 
-    def apply(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            table.write(upsert_matches(table.read(schema), batch, now(), order), ["match_score"])
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number > last_batch(spark, notes):
+            if not batch.isEmpty():
+                table.merge(batch, lambda old, new: upsert_matches(old, new, now(), order), schema, ["match_score"])
+            mark_batch(spark, notes, number)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-
-

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import distribution as D, encoders as E
 from tidemark.plans.checkpoints import new_folder
-from tidemark.sources.tables import VersionedTable, load
+from tidemark.sources.tables import BucketedTable, load
 from tidemark.streaming import monitors as W
-from tidemark.workload.base import SQL, error_events, query
+from tidemark.workload.base import ERR, SQL, error_events, query
 from tidemark.workload.encoder_queries import transactions
 from tidemark.workload.listing_queries import now, scored, stored
-from tidemark.workload.stream_queries import DDM, raw_flags
+from tidemark.workload.stream_queries import DDM, EDDM, HDDM, raw_flags
 
 
 def as_stream(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -39,11 +39,26 @@ def _alarms(with_sql: str, rows: str, detector: str) -> str:
     return with_sql + f" SELECT stream AS method, seq, '{detector}' AS detector FROM {rows} WHERE drift"
 
 
+def detections(spark, d):
+    errors = error_events(spark, d).select(F.col("stream").alias("method"), F.lit(0).cast("long").alias("version"), F.col("seq").cast("long").alias("seq"), "err")
+    return drained(W.stream_detectors(as_stream(spark, errors)))
+
+
 @query("stream_ddm", _alarms(DDM, "d6", "ddm"))
 def _(spark, d):
-    errors = error_events(spark, d).select(F.col("stream").alias("method"), F.lit(0).cast("long").alias("version"), F.col("seq").cast("long").alias("seq"), "err")
-    found = drained(W.stream_detectors(as_stream(spark, errors)))
-    return found.filter("detector = 'ddm' AND drift").select("method", "seq", "detector")
+    return detections(spark, d).filter("detector = 'ddm' AND drift").select("method", "seq", "detector")
+
+
+ALL_THREE = DDM + "," + ",".join(x.removeprefix(f"WITH {ERR},") for x in (EDDM, HDDM)) + """
+SELECT stream AS method, seq, 'ddm' AS detector, drift, warning FROM d6 WHERE drift OR warning
+UNION ALL SELECT stream, seq, 'eddm', drift, warning FROM e6 WHERE drift OR warning
+UNION ALL SELECT stream, seq, 'hddm', drift, w AND NOT drift FROM h6 WHERE drift OR w"""
+
+
+@query("stream_detectors", ALL_THREE)
+def _(spark, d):
+    """All warnings and alarms of the three detectors."""
+    return detections(spark, d).select("method", "seq", "detector", "drift", "warning")
 
 
 @query("stream_encode", SQL["frequency_encode"])
@@ -57,7 +72,7 @@ def _(spark, d):
 
 @query("stream_upsert", SQL["upsert_matches"])
 def _(spark, d):
-    table = VersionedTable(spark, new_folder(spark))
+    table = BucketedTable(spark, new_folder(spark))
     first = stored(spark, d)
     table.write(first, ["match_score"])
     W.stream_upsert(as_stream(spark, scored(spark, d)), table, first.schema, now, "pid", new_folder(spark)).trigger(availableNow=True).start().awaitTermination()
