@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidemark.operators.listings import import_matches
 from tidemark.sources import tables as X
+from tidemark.workload import model_queries as Q
 from tidemark.workload.base import events
 
 
@@ -18,6 +19,10 @@ def test_pair(spark, tmp_path):
     assert fact.first()["amt"] == 2.5 and ident.first()["DeviceType"] == "phone" and X.read_pair(spark, str(tmp_path), split="test") is None
 
 
+def test_record_fields():
+    assert X._fields(X.STATUS_RECORD) == ["value", "threshold", "drifted_features", "details"] and X._fields(X.METHOD_RECORD)[-1] == "status"
+
+
 def test_report_document(spark, tmp_path):
     m = spark.createDataFrame([(w, x, w > 1, False, 0) for w in (1, 2) for x in ("ks_stats", "psi")], "week int, method string, raw_flag boolean, confirmed_flag boolean, model_version long")
     X.write_report_json(m, str(tmp_path / "r"), {"top_k": 5})
@@ -27,13 +32,20 @@ def test_report_document(spark, tmp_path):
     assert X.read_report_json(spark, str(tmp_path / "r")).filter("raw_flag").count() == 2
 
 
-def test_report_has_the_whole_record(spark, small):
-    rows = entry.queries()["report_json_records"](spark, small).collect()
+def test_report_has_the_whole_record(spark, small, tmp_path):
+    Q.write_record(spark, small, str(tmp_path / "r"))
+    rows = X.read_report_records(spark, str(tmp_path / "r")).collect()
     counts = {r["week"]: r["count"] for r in events(spark, small).groupBy("week").count().collect()}
     assert {r["week"]: r["rows"] for r in rows} == counts and [r["week"] for r in rows if r["is_baseline"]] == [0]
     told = [r for r in rows if r["confirmed_flag"]]
     assert told and all(r["reason"] and r["metrics"]["crossed"] >= 1 and r["metrics"]["monitored"] >= r["metrics"]["crossed"] and r["to_version"] == r["week"] and r["retrain_count"] >= 1 for r in told)
     assert all(r["reason"] is None and r["metrics"] is None and r["to_version"] is None for r in rows if not r["confirmed_flag"])
+    for r in (r for r in rows if r["method"]):
+        assert r["drifted_features"] == sorted(r["drifted_features"]) and set(r["drifted_features"]) <= set(r["details"]) == set(r["top_features"])
+        assert (len(r["drifted_features"]) / len(r["details"])) == pytest.approx(r["value"]) and (r["value"] >= r["threshold"]) == r["raw_flag"] == r["confirmation_state"][-1]
+    features = X.read_report_features(spark, str(tmp_path / "r")).collect()
+    assert {(r["week"], r["feature"]) for r in features} == {(r["week"], f) for r in rows for f in r["top_features"]} and all(set(r["metrics"]) == set(r["flags"]) for r in features)
+    assert [r["feature"] for r in sorted((r for r in features if r["week"] == 1), key=lambda r: r["rank"])] == next(r["top_features"] for r in rows if r["week"] == 1)
     flags = sorted(tuple(r) for r in entry.queries()["report_json"](spark, small).collect())
     assert flags == sorted((r["week"], r["method"], r["raw_flag"], r["confirmed_flag"], r["model_version"]) for r in rows if r["method"])
 

@@ -55,33 +55,63 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 read_report_csv = read_csv
 
-METHOD_RECORD = "method:string,raw_flag:boolean,confirmed_flag:boolean,model_version:bigint,reason:string,metrics:map<string,double>"
+# One schema for the writer and the reader of the weekly report.
+STATUS_RECORD = "value:double,threshold:double,drifted_features:array<string>,details:map<string,double>"
+METHOD_RECORD = ("method:string,raw_flag:boolean,confirmed_flag:boolean,model_version:bigint,confirmation_state:array<boolean>,reason:string,metrics:map<string,double>,"
+                 f"status:struct<{STATUS_RECORD}>")
 RETRAIN_RECORD = "method:string,from_version:bigint,to_version:bigint,retrain_count:int"
-WEEKLY_RECORD = (f"array<struct<week:int,is_baseline:boolean,rows:bigint,methods:array<struct<{METHOD_RECORD}>>,"
-                 f"retrains:array<struct<{RETRAIN_RECORD}>>>>")
-
-
-def write_report_json(matrix: DataFrame, path: str, top: dict | None = None, mode: str = "overwrite", *, rows: DataFrame | None = None,
-                      triggers: DataFrame | None = None, retrains: DataFrame | None = None, baseline: int = 0) -> None:
-    """One nested document: weekly records with their methods. The matrix has one row per (week, method).
+FEATURE_RECORD = "feature:string,rank:int,metrics:map<string,double>,flags:map<string,boolean>"
+WEEKLY_RECORD = (f"array<struct<week:int,is_baseline:boolean,rows:bigint,overall_drift_flag:boolean,top_features:array<string>,methods:array<struct<{METHOD_RECORD}>>,"
+                 f"feature_metrics:array<struct<{FEATURE_RECORD}>>,retrains:array<struct<{RETRAIN_RECORD}>>>>")
+
+
+def _fields(record: str) -> list[str]:
+    """Names of the fields of a record, at its top level."""
+    depth, names, name, reading = 0, [], "", True
+    for ch in record + ",":
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and depth == 0:
+            names, name, reading = [*names, name], "", True
+        elif ch == ":" and depth == 0:
+            reading = False
+        elif reading:
+            name += ch
+    return names
+
+
+def _listed(df: DataFrame, record: str, name: str, order: str) -> DataFrame:
+    """(week, name): the rows of each week as an array of ``record``, ordered by a field; a field that ``df`` lacks is null."""
+    types = {f.name: f.dataType for f in T._parse_datatype_string(record).fields}
+    cells = [(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in _fields(record)]
+    # Maps have no order to sort by: one field decides.
+    ordered = F.array_sort("_l", lambda x, y: F.when(x[order] < y[order], -1).when(x[order] > y[order], 1).otherwise(0))
+    return df.groupBy("week").agg(F.collect_list(F.struct(*cells)).alias("_l")).select("week", ordered.alias(name))
+
+
+def write_report_json(matrix: DataFrame, path: str, top: dict | None = None, mode: str = "overwrite", *, rows: DataFrame | None = None, triggers: DataFrame | None = None,
+                      retrains: DataFrame | None = None, status: DataFrame | None = None, features: DataFrame | None = None, baseline: int = 0) -> None:
+    """One nested document: weekly records with their methods and features. The matrix has one row per (week, method).
 
     ``rows`` is (week, rows) of all weeks, also of those without methods such as the baseline; ``triggers`` is
     (week, method, reason, metrics) as streams.explain_trigger gives it; ``retrains`` is (week, method, from_version,
-    to_version, retrain_count), see policies.adopt. What is not given stays null or empty.
+    to_version, retrain_count), see policies.adopt; ``status`` is (week, method, value, threshold, drifted_features, details), the numbers a
+    method's flag rests on, by feature where it has them; ``features`` is (week, feature, rank, metrics, flags) of the monitored features, best
+    first. A matrix column ``confirmation_state`` holds the flags that the confirmation looked at. What is not given stays null or empty.
     """
-    spark = matrix.sparkSession
-    rows = spark.createDataFrame([], "week int, rows bigint") if rows is None else rows
-    triggers = spark.createDataFrame([], "week int, method string, reason string, metrics map<string,double>") if triggers is None else triggers
-    retrains = spark.createDataFrame([], f"week:int,{RETRAIN_RECORD}") if retrains is None else retrains
-    # Maps have no order to sort by: the name comes first and is unique within a week.
-    listed = lambda df, *cols: df.groupBy("week").agg(F.collect_list(F.struct(*cols)).alias("_l")).withColumn(
-        "_l", F.array_sort("_l", lambda x, y: F.when(x["method"] < y["method"], -1).when(x["method"] > y["method"], 1).otherwise(0)))
-    told = matrix.select("week", "method", "raw_flag", "confirmed_flag", "model_version").join(triggers.select("week", "method", "reason", "metrics"), ["week", "method"], "left")
-    methods = listed(told, "method", "raw_flag", "confirmed_flag", "model_version", "reason", "metrics").withColumnRenamed("_l", "methods")
-    done = listed(retrains, "method", "from_version", "to_version", "retrain_count").withColumnRenamed("_l", "retrains")
-    weeks = methods.join(rows.select("week", "rows"), "week", "full").join(done, "week", "full")
-    filled = [F.coalesce(c, F.array().cast(weeks.schema[c].dataType)).alias(c) for c in ("methods", "retrains")]
-    record = F.struct(F.col("week").cast("int").alias("week"), (F.col("week") == baseline).alias("is_baseline"), F.col("rows").cast("bigint").alias("rows"), *filled)
+    told = matrix
+    if triggers is not None:
+        told = told.join(triggers.select("week", "method", "reason", "metrics"), ["week", "method"], "left")
+    if status is not None:
+        held = status.select("week", "method", F.struct(*_fields(STATUS_RECORD)).alias("status"))
+        told = told.join(held, ["week", "method"], "left")
+    weeks = _listed(told, METHOD_RECORD, "methods", "method").join(matrix.groupBy("week").agg(F.bool_or("confirmed_flag").alias("overall_drift_flag")), "week")
+    for table, record, name, order in ((retrains, RETRAIN_RECORD, "retrains", "method"), (features, FEATURE_RECORD, "feature_metrics", "rank")):
+        weeks = weeks.join(_listed(table, record, name, order), "week", "full") if table is not None else weeks.withColumn(name, F.lit(None).cast(f"array<struct<{record}>>"))
+    weeks = weeks.join(rows.select("week", "rows"), "week", "full") if rows is not None else weeks.withColumn("rows", F.lit(None).cast("bigint"))
+    names = F.transform("feature_metrics", lambda f: f["feature"])
+    lists = [F.coalesce(c, F.array().cast(weeks.schema[c].dataType)).alias(c) for c in ("methods", "feature_metrics", "retrains")]
+    record = F.struct(F.col("week").cast("int").alias("week"), (F.col("week") == baseline).alias("is_baseline"), F.col("rows").cast("bigint").alias("rows"), "overall_drift_flag",
+                      F.coalesce(names, F.array().cast("array<string>")).alias("top_features"), *lists)
     one = weeks.agg(F.collect_list(record).alias("_r"))
     ordered = F.array_sort("_r", lambda x, y: x["week"] - y["week"])
     cells = [F.lit(v).alias(k) for k, v in (top or {}).items()]
@@ -89,12 +119,22 @@ def write_report_json(matrix: DataFrame, path: str, top: dict | None = None, mod
     one.select(document.alias("value")).write.mode(mode).text(path)
 
 
-def read_report_records(spark: SparkSession, path: str) -> DataFrame:
-    """All of a nested weekly report: a row per (week, method), and one with null methods for a week that has none."""
+def _weeks(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(f"weekly_records {WEEKLY_RECORD}").option("multiLine", True).json(path)
-    weeks = raw.select(F.explode("weekly_records").alias("w")).select("w.*").select("week", "is_baseline", "rows", "retrains", F.explode_outer("methods").alias("m"))
+    return raw.select(F.explode("weekly_records").alias("w")).select("w.*")
+
+
+def read_report_records(spark: SparkSession, path: str) -> DataFrame:
+    """All of a nested weekly report but its features: a row per (week, method), and one with null methods for a week that has none."""
+    weeks = _weeks(spark, path).select("week", "is_baseline", "rows", "overall_drift_flag", "top_features", "retrains", F.explode_outer("methods").alias("m"))
     own = F.get(F.filter("retrains", lambda x: x["method"] == F.col("m.method")), F.lit(0))
-    return weeks.select("week", "is_baseline", "rows", "m.*", *[own[c].alias(c) for c in ("from_version", "to_version", "retrain_count")])
+    plain = weeks.select("week", "is_baseline", "rows", "overall_drift_flag", "top_features", "m.*", *[own[c].alias(c) for c in ("from_version", "to_version", "retrain_count")])
+    return plain.select(*[c for c in plain.columns if c != "status"], *[F.col(f"status.{c}").alias(c) for c in _fields(STATUS_RECORD)])
+
+
+def read_report_features(spark: SparkSession, path: str) -> DataFrame:
+    """(week, feature, rank, metrics, flags) of a nested weekly report."""
+    return _weeks(spark, path).select("week", F.explode("feature_metrics").alias("f")).select("week", "f.*")
 
 
 def read_report_json(spark: SparkSession, path: str) -> DataFrame:

@@ -438,18 +438,26 @@ def _(spark, d):
 
 
 def write_record(spark, d, path):
-    """The whole weekly report of the events: flags, reasons and metrics of confirmed triggers, row counts, retrained versions."""
-    f, v = stable(flags(spark, d)), votes(spark, d)
+    """The whole weekly report of the events: flags, confirmation, status, reasons and metrics of triggers, features, row counts, retrained versions."""
+    f, v = stable(flags(spark, d)), stable(votes(spark, d))
     recent = Window.partitionBy("method").orderBy("week").rowsBetween(-1, 0)
     fired = f.select("week", "method", "confirmed_flag", F.sum(F.col("raw_flag").cast("int")).over(recent).alias("fired"), F.count(F.lit(1)).over(recent).alias("window_len"))
     names = v.groupBy("week", "method").agg(F.array_sort(F.collect_list(F.when(F.col("drift"), F.col("feature")))).alias("names"))
-    said = feature_vote(v).join(fired.filter("confirmed_flag"), ["week", "method"]).join(names, ["week", "method"])
+    share = feature_vote(v)
+    said = share.join(fired.filter("confirmed_flag"), ["week", "method"]).join(names, ["week", "method"])
     pick = lambda of: F.coalesce(*[F.when(F.col("method") == m, F.lit(float(of[m]))) for m in METHODS])
     cells = {"crossed": F.col("features_crossed"), "monitored": F.col("features_total"), "share": F.col("fraction"), "bar": pick(VOTE_FRACTION)}
     cells |= {n: pick(BARS) for n in ("min_effect", "min_psi", "min_distance")}
     said = said.withColumn("numbers", F.create_map(*[x for n, c in cells.items() for x in (F.lit(n), c.cast("double"))]))
-    X.write_report_json(f, path, {"top_k": 20}, rows=events(spark, d).groupBy("week").agg(F.count(F.lit(1)).alias("rows")), triggers=explain_trigger(said),
-                        retrains=V.adopt(f.filter("confirmed_flag").select("method", "week", F.lit("confirmed").alias("reason"))))
+    details = v.groupBy("week", "method").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "value")))).alias("details"))
+    status = share.join(names, ["week", "method"]).join(details, ["week", "method"]).select(
+        "week", "method", F.col("fraction").alias("value"), pick(VOTE_FRACTION).alias("threshold"), F.col("names").alias("drifted_features"), "details")
+    by_feature = v.groupBy("week", "feature").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "value")))).alias("metrics"),
+                                                  F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "drift")))).alias("flags"))
+    ranked = by_feature.withColumn("rank", F.row_number().over(Window.partitionBy("week").orderBy("feature")))
+    state = f.withColumn("confirmation_state", F.collect_list("raw_flag").over(recent))
+    X.write_report_json(state, path, {"top_k": 20}, rows=events(spark, d).groupBy("week").agg(F.count(F.lit(1)).alias("rows")), triggers=explain_trigger(said),
+                        retrains=V.adopt(f.filter("confirmed_flag").select("method", "week", F.lit("confirmed").alias("reason"))), status=status, features=ranked)
 
 
 @query("report_json", "WITH " + TK + " SELECT week::INT AS week, method, raw_flag, confirmed_flag, model_version FROM mx")
@@ -459,12 +467,37 @@ def _(spark, d):
     return X.read_report_json(spark, f"{folder}/report")
 
 
-@query("report_json_records")
+RECORDS = TK + """, rw AS (SELECT week, count(*) AS rows FROM ev GROUP BY week),
+ tf AS (SELECT string_agg(feature, ',' ORDER BY feature) AS top FROM (SELECT DISTINCT feature FROM vt)),
+ rc AS (SELECT mx.*, max(confirmed_flag::INT) OVER (PARTITION BY week) = 1 AS overall, coalesce((lag(raw_flag) OVER m)::INT::VARCHAR, '') || raw_flag::INT::VARCHAR AS recent,
+   CASE WHEN confirmed_flag THEN (sum(confirmed_flag::INT) OVER m) END AS nth FROM mx WINDOW m AS (PARTITION BY method ORDER BY week)),
+ dt AS (SELECT week, method, sum(value) AS total FROM vt GROUP BY ALL)"""
+
+
+@query("report_json_records", f"""WITH {RECORDS} SELECT rw.week::INT AS week, rw.week = 0 AS is_baseline, rows, overall AS overall_drift_flag, CASE WHEN method IS NULL THEN '' ELSE top END AS top_features, method, raw_flag, confirmed_flag,
+ model_version, coalesce(recent, '') AS recent, features_crossed_fraction AS value, CASE WHEN method = 'psi' THEN 0.6 WHEN method IS NOT NULL THEN 0.3 END::DOUBLE AS threshold, coalesce(drifted_feature_names, '') AS drifted,
+ {R('dt.total', 'details')}, coalesce(confirmed_flag, false) AS explained, nth::INT AS retrain_count, CASE WHEN nth IS NOT NULL THEN rw.week END AS to_version
+FROM rw LEFT JOIN rc USING (week) LEFT JOIN dt USING (week, method), tf""")
+def _(spark, d):
+    """Every field of the weekly report but its features, read back."""
+    folder = new_folder(spark)
+    write_record(spark, d, f"{folder}/report")
+    out = X.read_report_records(spark, f"{folder}/report")
+    total = F.aggregate(F.map_values("details"), F.lit(0.0), lambda a, x: a + x)
+    recent = F.array_join(F.transform("confirmation_state", lambda x: x.cast("int").cast("string")), "")
+    flat = out.select("week", "is_baseline", "rows", "overall_drift_flag", F.array_join("top_features", ",").alias("top_features"), "method", "raw_flag", "confirmed_flag", "model_version",
+                      F.coalesce(recent, F.lit("")).alias("recent"), "value", "threshold", F.coalesce(F.array_join("drifted_features", ";"), F.lit("")).alias("drifted"), total.alias("details"),
+                      (F.col("reason").isNotNull() & (F.size("metrics") > 0)).alias("explained"), "retrain_count", "to_version")
+    return rounded(flat.withColumn("explained", F.coalesce("explained", F.lit(False))), "value", "details")
+
+
+@query("report_json_features", f"WITH {TK} SELECT week::INT AS week, feature, method, {R('value', 'value')}, drift FROM vt")
 def _(spark, d):
-    """Every field of the weekly report read back; report_json has the flags and versions that its SQL twin covers."""
+    """The metrics and flags of every monitored feature, read back from the weekly report."""
     folder = new_folder(spark)
     write_record(spark, d, f"{folder}/report")
-    return X.read_report_records(spark, f"{folder}/report")
+    out = X.read_report_features(spark, f"{folder}/report").select("week", "feature", "flags", F.explode("metrics").alias("method", "value"))
+    return rounded(out.select("week", "feature", "method", "value", F.col("flags")[F.col("method")].alias("drift")), "value")
 
 
 @query("application_log", f"WITH {ST} SELECT id, status FROM st, (SELECT unnest(['submitted', 'failed']) AS status)")
