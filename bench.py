@@ -18,6 +18,7 @@ HEADLINE = [
     "tune_threshold", "performance_matrix", "evaluate_policies", "policy_reward", "week_method_matrix", "cluster_drift_fixed_centres",
     "upsert_matches", "list_jobs", "apply_match_replies", "generate_samples", "validate_documents", "render_chat",
     "spearman_matrix", "train_classifier", "random_action_control", "null_alarms", "stream_ddm",
+    "signal_pairs", "select_features", "temporal_split",
 ]
 
 

@@ -101,7 +101,7 @@ def score_actions(actions: DataFrame, lattice: DataFrame, by: Sequence[str] = ("
     states = replay_actions(actions, by)
     following = F.lead("week").over(Window.partitionBy(*by).orderBy("week"))
     states = states.withColumn("next_week", following).filter(F.col("next_week").isNotNull())
-    cells = lattice.filter(F.col("auc").isNotNull())
+    cells = stable(lattice.filter(F.col("auc").isNotNull()).select(*STATE, "auc", "f1"))  # weeks x weeks x alphas rows, worked out once for three lookups
 
     def look(name: str, alpha: str = "alpha"):
         return F.broadcast(cells.select(F.col("full_week").alias(f"{name}f"), F.col("partial_week").alias(f"{name}p"), F.col("alpha").alias(f"{name}a"),
