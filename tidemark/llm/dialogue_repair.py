@@ -445,3 +445,53 @@ def repair(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", rol
     traced = known.join(_starts(known), "chunk").select("chunk", "letters", "end", "state", "first", "last")
     found = _sums(_pieces(table.drop("letters").join(traced, "chunk")))
     return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.col("sha").alias("repaired_sha256"))
+
+
+def _added(value: str, cost: str, letter: str, line: str | None) -> str:
+    """SQL for a step before ``value``: cost in six digits, audit, a mark, the repaired lines. Values are compared as they are."""
+    mark = f"strpos({value}, chr(1))"
+    text = f"substr({value}, {mark} + 1)"
+    lines = text if line is None else f"{line} || CASE WHEN {text} = '' THEN '' ELSE chr(10) || {text} END"
+    return f"lpad((substr({value}, 1, 6)::INT + {cost})::VARCHAR, 6, '0') || '{letter}' || substr({value}, 7, {mark} - 7) || chr(1) || {lines}"
+
+
+def _sql() -> str:
+    name = {USER: "user", ASSISTANT: "assistant"}
+    own = "(r.role || ':' || r.text)"
+
+    def after_row(i: int) -> str:
+        free = NEXT[i]
+        kept = [f"CASE WHEN NOT must AND substr(r.role, 1, 1) = '{letter}' THEN {_added(f'b{to}', 'CASE WHEN cut THEN 3 ELSE 0 END', 'K', own)} END"
+                for letter, to in ((name[free][0], free), *([("s", SYSTEM)] if i == NONE else []))]
+        moved = _added(f"b{free}", "CASE WHEN cut THEN 6 ELSE 3 END", "R", f"'{name[free]}:' || r.text")
+        return f"least({_added(f'b{i}', '4', 'D', None)}, {', '.join(kept)}, CASE WHEN NOT must THEN {moved} END) AS x{i}"
+
+    def inserted(i: int) -> str:
+        one, two = NEXT[i], NEXT[NEXT[i]]
+        first = _added(f"x{one}", "3", "I", f"'{name[one]}:'")
+        second = _added(f"x{two}", "6", "II", f"'{name[one]}:' || chr(10) || '{name[two]}:'")
+        return f"least(x{i}, {first}" + (f", {second}" if two != i else "") + f") AS b{i}"
+    ends = {NONE: "'000000' || chr(1)", SYSTEM: "'000006II' || chr(1) || 'user:' || chr(10) || 'assistant:'", USER: "'000003I' || chr(1) || 'assistant:'", ASSISTANT: "'000000' || chr(1)"}
+    return f"""
+WITH RECURSIVE bits(i, k, v) AS (SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+ tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+ ky AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+ cr AS (SELECT ky.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c // 256, t[(xor(c, b) % 256 + 1)::INT])), 4294967295) % 20 AS h FROM ky, tab),
+ hu AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM cr WHERE h <> 0),
+ nu AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || ':' || text), copy) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hu),
+ fa AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS total, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+   lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) || substr(role, 1, 1) AS pair FROM nu),
+ r AS (SELECT *, blank OR again AS must, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM fa),
+ w(conv_id, n, b0, b1, b2, b3) AS (SELECT conv_id, max(n) + 1, {ends[0]}, {ends[1]}, {ends[2]}, {ends[3]} FROM r GROUP BY conv_id
+   UNION ALL SELECT conv_id, n, {", ".join(inserted(i) for i in range(4))}
+     FROM (SELECT w.conv_id, r.n, {", ".join(after_row(i) for i in range(4))} FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n - 1)),
+ st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(blank::INT)::BIGINT AS blank, sum((again AND NOT blank)::INT)::BIGINT AS duplicate, sum(cut::INT)::BIGINT AS truncated,
+   sum(coalesce(pair NOT IN ('su', 'ua', 'au'), false)::INT)::BIGINT AS illegal FROM r GROUP BY conv_id),
+ al AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT al.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ coalesce(substr(b0, 1, 6)::BIGINT, 0) AS cost, coalesce(substr(b0, 7, strpos(b0, chr(1)) - 7), '') AS audit, sha256(coalesce(substr(b0, strpos(b0, chr(1)) + 1), '')) AS repaired_sha256
+FROM al LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM al.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM al.conv_id AND w.n = 1
+"""
+
+
+SQL = _sql()

@@ -82,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_exact_topk": topk.SQL, "op3_vector_dedup": vector_dedup.SQL, "op5_minhash_dedup": sketch_dedup.SQL, "op9_source_mix": mixing.SQL,
-            "op11_url_filter": url_filter.SQL, "op13_hard_negatives": hard_negatives.SQL}
+            "op11_url_filter": url_filter.SQL, "op12_dialogue_repair": dialogue_repair.SQL, "op13_hard_negatives": hard_negatives.SQL}
