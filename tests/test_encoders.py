@@ -123,3 +123,16 @@ def test_align_and_downcast(spark):
     assert dict(downcast(df).dtypes)["c"] == "tinyint"
     edge = spark.createDataFrame([(127,), (0,)], "c long")
     assert dict(downcast(edge).dtypes)["c"] == "smallint"
+
+
+def test_large_states_are_joined_alike(spark, monkeypatch):
+    """A state past the bound of a broadcast gives the same codes and shares."""
+    rows = spark.createDataFrame([(i, f"v{i % 7}" if i % 5 else None, f"w{i % 3}") for i in range(200)], "id long, a string, b string")
+    ref = rows.filter("id < 90")
+    freq, codes = E.fit_frequency(ref, ["a", "b"]), E.fit_ordinal(ref, ["a", "b"], "id", "id")
+    out = []
+    for bound in (E.SIDE_ROWS, 5, 0):
+        monkeypatch.setattr(E, "SIDE_ROWS", bound)
+        both = E.ordinal_encode(E.frequency_encode(rows, freq, ["a", "b"]), codes, ["a", "b"])
+        out.append(sorted(map(tuple, both.collect())))
+    assert out[0] == out[1] == out[2]

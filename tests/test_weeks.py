@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.operators.windows import assign_week, cumulative_window, recent_window, window_counts
 from tidemark.workload import model_queries as Q
 
 
@@ -64,3 +65,23 @@ def test_methods_have_later_versions_in_force(spark, orders):
 def test_get_or_train_trains_all_weeks(spark, orders):
     rows = entry.queries()["get_or_train"](spark, orders).collect()
     assert sorted(r["trained_through_week"] for r in rows) == [0, 1, 2, 3] and all(r["n_rows"] > 0 for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_weeks_of_one_pass(spark, seed):
+    """Against numbering the windows by hand, with gaps, edges of windows and times before 1970."""
+    rnd = np.random.default_rng(seed)
+    micros = np.unique(np.concatenate([rnd.integers(-10 ** 12, 10 ** 13, 40), rnd.integers(-10 ** 12, -10 ** 12 + 10 ** 11, 20)]))
+    start, ref, width = micros.min(), 5 * 86_400 * 10 ** 6, 3 * 86_400 * 10 ** 6
+    micros = np.concatenate([micros, start + ref + width * np.array([0, 4]), start + ref + width * np.array([2, 7]) - 1])
+    raw = (micros - start - ref) // width
+    number = {w: i + 1 for i, w in enumerate(sorted(set(raw[raw >= 0])))}
+    df = spark.createDataFrame([(int(m),) for m in micros] + [(None,)], "m long").withColumn("ts", F.timestamp_micros("m"))
+    got = {r["m"]: r["week"] for r in assign_week(df, "ts", 5, 3).collect()}
+    assert all(got[int(m)] == (number[w] if w >= 0 else 0) for m, w in zip(micros, raw)) and got[None] is None
+
+
+def test_window_sizes_like_filters(spark):
+    df = spark.createDataFrame([(w,) for w in [0, 0, 1, 1, 1, 3, 4, 4, 6]], "week long")
+    got = {r["upto"]: (r["n_cumulative"], r["n_recent"]) for r in window_counts(df, 2).collect()}
+    assert got == {w: (cumulative_window(df, w).count(), recent_window(df, w, 2).count()) for w in (1, 3, 4, 6)}

@@ -119,11 +119,21 @@ def fit_frequency(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     return null_safe_join(counts, F.broadcast(total), list(by)).select(*by, "column", "value", (F.col("_c") / F.col("_n")).alias("freq"))
 
 
+SIDE_ROWS = 100_000  # of a column's state that is sent to every task; a larger one goes by a join on its values
+
+
+def _sides(state: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """The state of each column, marked for broadcast where its counted rows are few; so columns with few values move no rows, however many they are."""
+    sizes = {r["column"]: r["count"] for r in state.groupBy("column").count().collect()}
+    own = {c: state.filter(F.col("column") == c) for c in cols}
+    return {c: F.broadcast(side) if sizes.get(c, 0) <= SIDE_ROWS else side for c, side in own.items()}
+
+
 def frequency_encode(df: DataFrame, state: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Adds ``_freq_ref_<col>``; an unseen value is 0."""
-    out = df
-    for c in cols:
-        side = state.filter(F.col("column") == c).select(*by, F.col("value").alias("_v"), F.col("freq").alias(f"_freq_ref_{c}"))
+    state, out = stable(state), df
+    for c, side in _sides(state, cols).items():
+        side = side.select(*by, F.col("value").alias("_v"), F.col("freq").alias(f"_freq_ref_{c}"))
         keyed = out.withColumn("_v", F.col(c).cast("string"))
         out = null_safe_join(keyed, side, [*by, "_v"], "left").drop("_v")
         out = out.withColumn(f"_freq_ref_{c}", F.coalesce(f"_freq_ref_{c}", F.lit(0.0)).cast("float"))
@@ -246,9 +256,9 @@ def fit_ordinal(df: DataFrame, cols: Sequence[str], order: str, key: str, by: Se
 
 def ordinal_encode(df: DataFrame, state: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Codes replace the values; unseen is -1 and missing is -2."""
-    out = df
-    for c in cols:
-        side = state.filter(F.col("column") == c).select(*by, F.col("value").alias("_v"), F.col("code").alias("_code"))
+    state, out = stable(state), df
+    for c, side in _sides(state, cols).items():
+        side = side.select(*by, F.col("value").alias("_v"), F.col("code").alias("_code"))
         keyed = out.withColumn("_v", F.col(c).cast("string"))
         out = null_safe_join(keyed, side, [*by, "_v"], "left")
         out = out.withColumn(c, F.when(F.col("_v").isNull(), MISSING).otherwise(F.coalesce("_code", F.lit(UNSEEN))).cast("int")).drop("_v", "_code")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 DAY = 86_400
 
@@ -63,16 +63,20 @@ def time_bounds(df: DataFrame, ts: str, ref_days: float, window_days: float) ->
 def assign_week(df: DataFrame, ts: str, ref_days: float, window_days: float, name: str = "week") -> DataFrame:
     """0 for the reference, then 1, 2, ... over the non-empty half-open windows.
 
-    The start and the list of non-empty windows (one number per window) are found first, by two passes over the time
-    column; the assignment itself is then a projection, which no later branch of a plan has to repeat as a join.
+    The start and the list of non-empty windows (one number per window) are found first, by one pass over the time
+    column; the assignment itself is then a projection, which no later branch of a plan has to repeat as a join. The pass
+    keeps the first and the last time of every stretch of a window's width: two windows at most overlap it, and their rows
+    hold one of the two.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    start = df.agg(F.min(micros)).first()[0]
-    if start is None:
+    width, ref = int(window_days * DAY * 1_000_000), int(ref_days * DAY * 1_000_000)
+    ends = df.select(micros.alias("t")).filter("t IS NOT NULL").groupBy(F.floor(F.col("t") / F.lit(width))).agg(F.min("t"), F.max("t")).collect()
+    if not ends:
         return df.withColumn(name, F.lit(0).cast("long"))
-    since = micros - F.lit(start + int(ref_days * DAY * 1_000_000))
-    raw = F.floor(since / F.lit(int(window_days * DAY * 1_000_000))).cast("long")
-    found = sorted(r[0] for r in df.filter(since >= 0).select(raw.alias("w")).distinct().collect())
+    start = min(r[1] for r in ends) + ref
+    since = micros - F.lit(start)
+    raw = F.floor(since / F.lit(width)).cast("long")
+    found = sorted({(t - start) // width for r in ends for t in r[1:] if t >= start})
     number = F.lit(None).cast("long")
     if found == list(range(len(found))):
         number = raw + 1
@@ -91,6 +95,15 @@ def recent_window(df: DataFrame, week: int, n: int, name: str = "week") -> DataF
     return df.filter(F.col(name).between(max(1, week - n + 1), week))
 
 
+def window_counts(df: DataFrame, n: int, name: str = "week") -> DataFrame:
+    """(upto, n_cumulative, n_recent) for every monitored week: the sizes of its cumulative and its recent window, from one count per week."""
+    weeks = df.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy().orderBy(name)  # one row per week
+    later = F.when(F.col(name) > 0, F.col("_n")).otherwise(0)
+    sums = weeks.select(F.col(name).cast("long").alias("upto"), F.sum("_n").over(order).alias("n_cumulative"), F.sum(later).over(order.rangeBetween(1 - n, 0)).alias("n_recent"))
+    return sums.filter("upto > 0")
+
+
 def stack_windows(*frames: DataFrame) -> DataFrame:
     """Vertical union by column name."""
     out = frames[0]

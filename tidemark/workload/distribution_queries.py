@@ -67,11 +67,7 @@ WITH {EV}, mx AS (SELECT max(week) AS w FROM ev), g AS (SELECT unnest(range(1, (
 SELECT g.upto::BIGINT AS upto, sum((ev.week <= g.upto)::INT)::BIGINT AS n_cumulative, sum((ev.week BETWEEN greatest(1, g.upto - 3) AND g.upto)::INT)::BIGINT AS n_recent
 FROM g, ev GROUP BY g.upto""")
 def _(spark, d):
-    ev = events(spark, d).select("week")
-    weeks = [r[0] for r in ev.filter("week > 0").select("week").distinct().collect()]
-    parts = [attach_row(W.cumulative_window(ev, w).agg(F.count(F.lit(1)).alias("n_cumulative")),
-                        W.recent_window(ev, w, 4).agg(F.count(F.lit(1)).alias("n_recent"))).select(F.lit(w).cast("long").alias("upto"), "n_cumulative", "n_recent") for w in sorted(weeks)]
-    return W.stack_windows(*parts)
+    return W.window_counts(events(spark, d).select("week"), 4)
 
 
 @query("align_schema", """
