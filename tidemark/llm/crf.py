@@ -15,7 +15,7 @@ import numpy as np
 PREFIXES = 6
 SUFFIXES = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 WORDS_AT_ONCE = 20_000
 EDGES = ".,;:!?\"'()[]{}«»|"
 

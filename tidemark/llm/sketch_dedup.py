@@ -255,8 +255,8 @@ def remaining_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, perce
     return spread.groupBy("list", "own", "other").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, with_set: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; ``with_set`` adds ``f``, the name of its shingle set (see ``sketches``).
 
     Linked are documents with 100 * intersection >= ``percent`` * union of their shingle sets (above 50). ``component_id`` is the
     smallest id that links reach, ``kept`` marks its bearer. Null, empty and wordless texts and null ids link with nothing and are kept.
@@ -284,8 +284,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     moved = members.join(least, "root").select(F.col("node").alias("f"), "component")
     drop_stable(sets)
     placed = classes.select("f", F.col("doc_id").alias("first")).join(moved, "f", "left").select("f", F.coalesce("component", "first").alias("component"))
-    out = rows_.join(placed, "f", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = rows_.join(placed, "f", "left").select("doc_id", "n_shingles", component.alias("component_id"), *["f"] * with_set)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *["f"] * with_set)
 
 
 SQL = r"""

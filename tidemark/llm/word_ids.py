@@ -20,7 +20,8 @@ import numpy as np
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MARKS = ".,;:!?"
 ENDS = (".", "!", "?", ".\"", "!\"", "?\"")
-CACHE_PARTS = 600_000  # remembered parts, and as many words; then they become the older half, which is forgotten next time
+CACHE_PARTS = 400_000  # remembered parts; then they become the older half, which is forgotten next time
+CACHE_WORDS = 200_000  # remembered runs of letters
 AT_ONCE = 4_096
 BATCH_BYTES = 4 << 20
 
@@ -70,7 +71,6 @@ class WordIds:
         self.edge = np.array([n.startswith("Ġ") if keeps else n.endswith("</w>") for n in names])
         self.marks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
         self.older: tuple[dict, dict, dict, dict, np.ndarray, np.ndarray, np.ndarray] | None = None
         self._begin()
 
@@ -141,10 +141,7 @@ class WordIds:
                     core = core.lower()
                 split.append((i, core, marks))
                 if core not in words:
-                    if core in self.older_words:
-                        words[core] = self.older_words[core]
-                    else:
-                        new[core] = None
+                    new[core] = None
             else:
                 whole.append((i, " " + part if space and part[:1] != "\n" else part))
         self._learn(list(new))
@@ -186,8 +183,8 @@ class WordIds:
     def encode(self, texts: list[str]) -> Encoded:
         if self.size > self.limit:
             self._begin()
-        if len(self.words) > self.limit:
-            self.older_words, self.words = self.words, {}
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
         places = [self._places(t) if t else np.zeros(0, np.int64) for t in texts]
         self._encode_waiting()
         docs = np.fromiter(map(len, places), np.int64, len(places))
