@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import langid, mixing, packing, secret_scan, sketch_dedup
-from tidemark.llm.batches import load
+from tidemark.llm.batches import load, only
 from tidemark.plans.checkpoints import stable
 
 LEAST_KNOWN = 0.75  # of a text's letter groups, those that the language model has met
@@ -28,15 +28,16 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Rows that repeat id and text become one.
 
-    A row goes by its id and text together, so of two texts under one id each is judged for itself; rows without an id all stay.
+    Where an id bears several texts each is judged by its own shingles, so one without a copy stays; rows without an id all stay.
     """
-    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
-    named = docs.withColumn("_key", key)
-    found = stable(sketch_dedup.near_duplicates(named, doc_id="_key", width=SHINGLE_WORDS, percent=SIMILAR_PERCENT).withColumnRenamed("doc_id", "_key"))
-    left = named.join(found.filter(~F.col("kept")).select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
-    again = stable(found.groupBy("_key").count().filter("count > 1 AND _key IS NOT NULL").select(F.col("_key.doc_id").alias("_again")).distinct())
-    repeats = left.join(again, left["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, left["doc_id"] == again["_again"], "left_anti").unionByName(repeats)
+    found = stable(sketch_dedup.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT, with_set=True))
+    gone = found.filter(~F.col("kept"))
+    again = stable(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again")))
+    once = docs.join(again, docs["doc_id"] == again["_again"], "left_anti").join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    each = docs.join(again, docs["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    sets = sketch_dedup.sketches(only(each, doc_id="_key", text="text"), SHINGLE_WORDS).select(F.col("doc_id").alias("_key"), "f")
+    copies = sets.join(gone.select("doc_id", "f"), (F.col("_key.doc_id") == gone["doc_id"]) & (sets["f"] == gone["f"])).select("_key").distinct()
+    return once.unionByName(each.join(copies, "_key", "left_anti").select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
