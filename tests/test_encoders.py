@@ -136,3 +136,18 @@ def test_large_states_are_joined_alike(spark, monkeypatch):
         both = E.ordinal_encode(E.frequency_encode(rows, freq, ["a", "b"]), codes, ["a", "b"])
         out.append(sorted(map(tuple, both.collect())))
     assert out[0] == out[1] == out[2]
+
+
+@pytest.mark.parametrize("keep", [256, 3])
+def test_modal_shares_like_counting(spark, keep):
+    """Near-constant, skewed, flat and empty columns; small summaries throw values away and are counted again."""
+    rnd = np.random.default_rng(4)
+    pdf = pd.DataFrame({"same": "x", "most": np.where(rnd.random(3000) < .985, "a", "b"), "skew": rnd.zipf(1.5, 3000).astype(str), "flat": np.arange(3000).astype(str), "half": np.where(rnd.random(3000) < .5, None, "y")})
+    df = spark.createDataFrame(pdf, "same string, most string, skew string, flat string, half string").withColumn("none", F.lit(None).cast("string")).repartition(5)
+    got = {r["column"]: r["modal_share"] for r in E.modal_shares(df, df.columns, keep).collect()}
+    want = {c: pdf[c].dropna().value_counts(normalize=True).iloc[0] for c in pdf}
+    assert got == pytest.approx(want)
+    assert E.redundant_columns(df, df.columns, 0.98, keep) == [c for c in pdf if want[c] >= 0.98]
+    for r in E.heavy_values(df, df.columns, keep).collect():
+        true = (pdf[r["column"]] == r["value"]).sum() if r["value"] is not None else 0
+        assert r["low"] <= true <= r["low"] + r["error"] and r["error"] <= r["n"] / keep + 1 and r["n"] == pdf[r["column"]].notna().sum()

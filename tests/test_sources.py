@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators.listings import import_matches
+from tidemark.plans.checkpoints import shared_root
 from tidemark.sources import tables as X
 from tidemark.workload import model_queries as Q
 from tidemark.workload.base import events
@@ -87,3 +88,13 @@ def test_export_is_ranked(spark, tmp_path):
     X.export_matches(df, str(tmp_path / "e"))
     lines = [json.loads(x) for p in sorted((tmp_path / "e").glob("part*")) for x in p.read_text().splitlines()]
     assert [x["match_score"] for x in lines] == sorted((x["match_score"] for x in lines), reverse=True)
+
+
+@pytest.mark.parametrize("master, named, warehouse, want", [("local[8]", None, "/a/w", "/a/w/_shared"), ("spark://h:7077", "s3a://b/c", "/a/w", "s3a://b/c"), ("spark://h:7077", None, "hdfs://n/w", "hdfs://n/w/_shared"),
+                                                             ("spark://h:7077", None, "/a/w", None), ("yarn", None, "file:/a/w", None)])
+def test_no_local_folder_on_a_cluster(master, named, warehouse, want):
+    if want is None:
+        with pytest.raises(ValueError):
+            shared_root(master, named, warehouse)
+    else:
+        assert shared_root(master, named, warehouse) == want

@@ -7,11 +7,12 @@ a table is broadcast only when its size is known to be under the limit.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.plans.checkpoints import stable
 from tidemark.plans.ordered import attach_row, chunk_by_pair, chunk_by_value, followed, null_safe_join, plain, row_index
@@ -229,16 +230,80 @@ def block_pca(df: DataFrame, state: BlockProjection, prefix: str = "_vcols", dro
     return out.drop(*present) if drop else out
 
 
-def modal_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, modal_share) among non-null values; value counts are combined before the shuffle."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
-    counts = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
-    return counts.groupBy("column").agg((F.max("_c") / F.sum("_c")).alias("modal_share"))
+HEAVY = 256  # values that a summary of a column keeps
 
 
-def redundant_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.98) -> list[str]:
-    """Near-constant columns of the reference (a list no longer than the schema)."""
-    drop = {r["column"] for r in modal_shares(df, cols).filter(F.col("modal_share") >= threshold).collect()}
+def heavy_values(df: DataFrame, cols: Sequence[str], keep: int = HEAVY) -> DataFrame:
+    """(column, value, low, error, n): values of each column that may be frequent, from one pass that moves no rows.
+
+    A task keeps counts of at most 4 * ``keep`` values a column; when there are more, the count of the ``keep``-th largest is taken off all and what
+    is left of none goes. So a value occurs at least ``low`` and at most ``low + error`` times, one that is missing at most ``error`` times, and
+    ``error`` is at most n / ``keep``, n being the column's non-null rows.
+    """
+    names = list(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[dict] = [{} for _ in names]
+        rows, error = [0] * len(names), [0] * len(names)
+        for batch in batches:
+            for i in range(len(names)):
+                own = batch.column(i).drop_null()
+                rows[i] += len(own)
+                found = own.value_counts()
+                for value, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                    counts[i][value] = counts[i].get(value, 0) + n
+                if len(counts[i]) > 4 * keep:
+                    cut = sorted(counts[i].values(), reverse=True)[keep - 1]
+                    counts[i] = {v: n - cut for v, n in counts[i].items() if n > cut}
+                    error[i] += cut
+        for i, own in enumerate(counts):
+            lines = [*own.items(), (None, 0)]  # the last one brings the error and the rows where no value is left
+            yield pa.RecordBatch.from_pydict({"col": pa.array([i] * len(lines), pa.int32()), "value": pa.array([v for v, _ in lines], pa.string()), "low": pa.array([n for _, n in lines], pa.int64()),
+                                              "error": pa.array([0] * len(own) + [error[i]], pa.int64()), "n": pa.array([0] * len(own) + [rows[i]], pa.int64())})
+    parts = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(run, "col int, value string, low long, error long, n long")
+    totals = Window.partitionBy("col")
+    summed = parts.groupBy("col", "value").agg(F.sum("low").alias("low"), F.sum("error").alias("_e"), F.sum("n").alias("_n"))
+    named = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("col") + 1)
+    return summed.select(named.alias("column"), "value", "low", F.sum("_e").over(totals).alias("error"), F.sum("_n").over(totals).alias("n")).filter("n > 0")
+
+
+def _counted(df: DataFrame, values: DataFrame) -> DataFrame:
+    """(column, value, count) of the few (column, value) rows in ``values``, exactly; rows meet them in the map tasks."""
+    names = [r["column"] for r in values.select("column").distinct().collect()]
+    if not names:
+        return values.sparkSession.createDataFrame([], "column string, value string, count long")
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in names]).unpivot([], names, "column", "value")
+    return long.join(F.broadcast(values.select("column", "value")), ["column", "value"]).groupBy("column", "value").count()
+
+
+def modal_shares(df: DataFrame, cols: Sequence[str], keep: int = HEAVY) -> DataFrame:
+    """(column, modal_share) among non-null values.
+
+    Candidates come from ``heavy_values`` and are counted again. Only columns without any frequent value, where a missing one might be the
+    commonest, are counted value by value.
+    """
+    heavy = stable(heavy_values(df, cols, keep))
+    top = Window.partitionBy("column")
+    marked = stable(heavy.withColumn("_top", F.max("low").over(top)))
+    sure = marked.filter((F.col("_top") > 0) & (F.col("_top") >= F.col("error")))
+    exact = _counted(df, sure.filter((F.col("value").isNotNull()) & (F.col("low") + F.col("error") >= F.col("_top"))))
+    shares = exact.groupBy("column").agg(F.max("count").alias("_c")).join(sure.groupBy("column").agg(F.max("n").alias("n")), "column").select("column", (F.col("_c") / F.col("n")).alias("modal_share"))
+    flat = [r["column"] for r in marked.filter(~((F.col("_top") > 0) & (F.col("_top") >= F.col("error")))).select("column").distinct().collect()]
+    if not flat:
+        return shares
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in flat]).unpivot([], flat, "column", "value").filter(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    return shares.unionByName(counts.groupBy("column").agg((F.max("_c") / F.sum("_c")).alias("modal_share")))
+
+
+def redundant_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.98, keep: int = HEAVY) -> list[str]:
+    """Near-constant columns of the reference (a list no longer than the schema). Columns that can't reach the threshold are not counted again."""
+    if threshold <= 2 / keep:
+        drop = {r["column"] for r in modal_shares(df, cols, keep).filter(F.col("modal_share") >= threshold).collect()}
+        return [c for c in cols if c in drop]
+    may = stable(heavy_values(df, cols, keep).filter(F.col("value").isNotNull() & (F.col("low") + F.col("error") >= F.lit(threshold) * F.col("n"))))
+    found = _counted(df, may).join(may.select("column", "value", "n"), ["column", "value"]).filter(F.col("count") >= F.lit(threshold) * F.col("n"))
+    drop = {r["column"] for r in found.select("column").distinct().collect()}
     return [c for c in cols if c in drop]
 
 

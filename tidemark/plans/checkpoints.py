@@ -7,13 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below the one the cluster names.
+def shared_root(master: str, named: str | None, warehouse: str) -> str:
+    """The folder the cluster names, else one below the warehouse; a warehouse on the driver's own disk will do on one machine only."""
+    if named:
+        return named
+    local = warehouse.startswith("file:") or "://" not in warehouse
+    if local and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_shared"
+
 
-    Where ``spark.checkpoint.dir`` is unset (tests, one machine) it lies below the warehouse, which every executor reaches
-    too. The folder goes when the application ends.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below the one the cluster names in ``spark.checkpoint.dir``; see ``shared_root`` where that is unset (tests, one
+    machine). The folder goes when the application ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    root = shared_root(spark.sparkContext.master, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir"))
     folder = f"{root}/tidemark-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
