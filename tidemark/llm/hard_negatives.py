@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.batches import only, released
+from tidemark.llm.batches import released
 from tidemark.llm.vectors import SAMPLE_ROWS, matrix, usable, width
 from tidemark.plans.checkpoints import stable
 
