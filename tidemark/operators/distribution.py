@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.numeric import EPSILON, kolmogorov_p, psi_of
 from tidemark.operators.sampling import bounded_sample, digest, digest_cuts
 from tidemark.operators.profiles import Pair, Profile, value_vectors, week_profile
-from tidemark.plans.ordered import null_safe_join, quantiles
+from tidemark.plans.ordered import quantiles
 
 
 def profiled(data: DataFrame | Profile, by: Sequence[str], week: str, value: str, chunks: int | None, buckets: int | None = None, bins: int | None = None) -> Profile:
