@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import EPSILON, kolmogorov_p, psi_of
+from tidemark.operators.gaps import largest_gaps
 from tidemark.operators.sampling import bounded_sample, digest, digest_cuts
 from tidemark.operators.profiles import Pair, Profile, value_vectors, week_profile
 from tidemark.plans.ordered import quantiles
@@ -32,13 +33,14 @@ def ks_stat(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str
             alpha: float = 0.05, chunks: int | None = None) -> DataFrame:
     """Two-sample KS of every window against week 0: statistic, p, drift, n_ref, n_curr.
 
-    A window with no reference rows, or with no value, reports (0, 1, false).
+    A window with no reference rows, or with no value, reports (0, 1, false). Without a profile the rows are counted in bins and
+    only those are ordered that may hold the gap; see ``largest_gaps``.
     """
-    p_ = profiled(df, by, week, value, chunks)
-    out = p_.table.withColumn("_d", F.when((F.col("n_ref") > 0) & (F.col("n_curr") > 0), F.col("d")))
+    by, week, table = (df.by, df.week, df.table) if isinstance(df, Profile) else (by, week, largest_gaps(df, by, week, value))
+    out = table.withColumn("_d", F.when((F.col("n_ref") > 0) & (F.col("n_curr") > 0), F.col("d")))
     stat = F.coalesce(F.col("_d"), F.lit(0.0))
     p = F.when(F.col("_d").isNull(), 1.0).otherwise(kolmogorov_p(stat, F.col("n_ref"), F.col("n_curr")))
-    return (out.select(*p_.by, p_.week, stat.alias("statistic"), p.alias("p_value"), "n_ref", "n_curr")
+    return (out.select(*by, week, stat.alias("statistic"), p.alias("p_value"), "n_ref", "n_curr")
             .withColumn("drift", F.col("p_value") < alpha))
 
 

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.performance import evaluate, tune_threshold
-from tidemark.operators.sampling import hash_rank, stratified_folds, temporal_split
+from tidemark.operators.sampling import even_classes, stratified_folds, temporal_split
 from tidemark.operators.structure import Scale, fit_scale
 from tidemark.plans.ordered import attach_row, null_safe_join
 from tidemark.sources.tables import exists
@@ -86,11 +86,9 @@ def train_classifier(df: DataFrame, cols: Sequence[str], label: str, order: str,
 
 
 def train_mlp(df: DataFrame, cols: Sequence[str], label: str, key: str, hidden: Sequence[int] = (256, 128, 64), seed: int = 42, max_iter: int = 60) -> Classifier:
-    """Perceptron on standardised inputs. It takes no weights, so the classes are balanced by hash-ranked sampling."""
+    """Perceptron on standardised inputs. It takes no weights, so the classes are balanced by sampling (``even_classes``)."""
     scale = fit_scale(df, cols)
-    small = df.agg(F.least(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).alias("_m"))
-    even = attach_row(hash_rank(df, key, seed, [label], "_rank"), small).filter((F.col("_rank") <= F.col("_m")) | (F.col("_m") == 0))
-    ready = standardised(even, scale).select("features", F.col(label).cast("double").alias("_y"))
+    ready = standardised(even_classes(df, label, key, seed), scale).select("features", F.col(label).cast("double").alias("_y"))
     model = MultilayerPerceptronClassifier(layers=[len(cols), *hidden, 2], labelCol="_y", seed=seed, maxIter=max_iter, blockSize=128).fit(ready)
     return Classifier(model, list(cols), scale=scale)
 

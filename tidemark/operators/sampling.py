@@ -89,6 +89,12 @@ def bounded_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int, b
     return _within(df, key, seed, by, F.lit(n)).filter("_in").drop("_in")
 
 
+def even_classes(df: DataFrame, label: str, key: str | Sequence[str], seed: int) -> DataFrame:
+    """As many rows of label 1 as of label 0, by smallest digests; all rows when one of them has none. No row is moved."""
+    n = df.agg(F.least(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0))).first()[0]
+    return _within(df, key, seed, [label], F.lit(n)).filter("_in").drop("_in") if n else df
+
+
 def null_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed: int, by: Sequence[str] = (), floor: int = 50) -> DataFrame:
     """Random two-way split: ``part`` is 'small' for max(int(n * fraction), floor) rows, else 'big'."""
     cut = F.greatest(F.floor(F.col("_total") * F.lit(fraction)), F.lit(floor))

@@ -21,7 +21,7 @@ from tidemark.operators.profiles import Profile, week_profile
 from tidemark.operators.sampling import bounded_sample
 from tidemark.operators.structure import SPREAD_FLOOR, attribution_drift, attribution_summary
 from tidemark.operators.windows import to_long
-from tidemark.plans.checkpoints import stable
+from tidemark.plans.checkpoints import drop_stable, stable
 from tidemark.plans.pool import run_pool
 
 SIGNALS = ("ks_drift_fraction", "ks_mean_statistic", "psi_drift_fraction", "psi_mean_ratio", "js_mean_distance", "attribution_drift_fraction",
@@ -179,7 +179,8 @@ def signal_matrix(matrix: DataFrame, cols: Sequence[str], ref_weeks: Sequence[in
     """(ref_week, week, the eleven signals) of every reference week and later week of ``matrix`` (key, week, cols).
 
     ``attribute(ref_week)`` gives the long attributions (week, feature, attribution) of the model that was fitted through that week; these models
-    are the only thing done once per reference week, a few at a time. Numbers of week pairs x features reach the driver.
+    are the only thing done once per reference week, a few at a time; their attributions are stored, judged and dropped one after another.
+    Numbers of week pairs x features reach the driver.
     """
     weeks = sorted(r[0] for r in matrix.select("week").distinct().collect())
     ref_weeks = [r for r in ref_weeks if r in weeks]
@@ -192,11 +193,13 @@ def signal_matrix(matrix: DataFrame, cols: Sequence[str], ref_weeks: Sequence[in
     fit_centres(rows, refs, found[0] if found else (np.empty(0), np.empty((0, len(cols)))), k, seed)
     near = structure_signals(rows, refs, weeks, k)
     since = lambda r: F.greatest(F.lit(0), F.col("week") - r).cast("long").alias("week")
-    parts = run_pool(matrix.sparkSession, lambda r: stable(attribute(r).select(F.lit(r).cast("long").alias("ref_week"), since(r), "feature", "attribution")), ref_weeks, pool)
-    told = parts[0]
-    for part in parts[1:]:
-        told = told.unionByName(part)
-    shift = attribution_summary(attribution_drift(told, by=["ref_week"]), by=["ref_week"]).drop("drifted_features").withColumn("week", F.col("week") + F.col("ref_week"))
+    shift = None
+    for r, rows_of in zip(ref_weeks, run_pool(matrix.sparkSession, attribute, ref_weeks, pool)):
+        told = stable(rows_of.select(F.lit(r).cast("long").alias("ref_week"), since(r), "feature", "attribution"))  # as large as the matrix: one at a time
+        part = stable(attribution_summary(attribution_drift(told, by=["ref_week"]), by=["ref_week"]).drop("drifted_features"))
+        drop_stable(told)
+        shift = part if shift is None else shift.unionByName(part)
+    shift = shift.withColumn("week", F.col("week") + F.col("ref_week"))
     pair = ["ref_week", "week"]
     out = summary.join(shift, pair).join(near, pair).withColumn("weeks_since_reference", (F.col("week") - F.col("ref_week")).cast("double"))
     return out.select(*pair, *SIGNALS)
