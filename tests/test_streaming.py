@@ -132,3 +132,15 @@ def test_a_batch_handed_over_again_changes_nothing(spark, tmp_path, monkeypatch)
     for _ in range(2):
         applied[0](src, 0)
     assert [r["updated_at"] for r in table.read().collect()] == ["a"]
+
+
+@pytest.mark.parametrize("piece", [16, 1000, 10 ** 6])
+def test_rows_come_in_order_a_piece_at_a_time(piece):
+    rng, n = np.random.default_rng(6), 40_000
+    seq, err = rng.integers(0, n, n), rng.random(n)
+    got = list(W.in_order((pd.DataFrame({"seq": seq[i:i + 700], "err": err[i:i + 700]}) for i in range(0, n, 700)), piece))
+    order = np.argsort(seq, kind="stable")
+    assert (np.concatenate([s for s, _ in got]) == seq[order]).all() and (np.concatenate([e for _, e in got]) == err[order]).all()
+    assert max(len(s) for s, _ in got) <= max(2 * piece, n // (16 * piece) * 20)
+    with pytest.raises(ValueError):
+        list(W.in_order([pd.DataFrame({"seq": [1.0, None], "err": [0, 1]})]))

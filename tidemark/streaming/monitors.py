@@ -114,35 +114,78 @@ DEFAULTS = {"min_instances": 30, "warning_level": 2.0, "drift_level": 3.0, "beta
             "drift_confidence": 0.001, "warning_confidence": 0.005}
 
 
+PIECE = 65_536  # rows that the trackers take at a time
+
+
+def in_order(frames: Iterator[pd.DataFrame], piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(seq, err) of all rows by ``seq``, rows of one ``seq`` as they came, about ``piece`` rows at a time.
+
+    Held are two numbers a row, in sorted runs; a piece is gathered from the runs when it is due.
+    """
+    runs, some, n = [], [], 0
+
+    def close() -> None:
+        nonlocal n
+        seq, err = (np.concatenate(x) for x in zip(*some))
+        order = np.argsort(seq, kind="stable")
+        runs.append((seq[order], err[order]))
+        some.clear()
+        n = 0
+    for frame in frames:
+        if not len(frame):
+            continue
+        if frame["seq"].isna().any():
+            raise ValueError("a row has no seq")
+        some.append((frame["seq"].to_numpy(dtype=np.int64), frame["err"].to_numpy(dtype=float)))
+        n += len(frame)
+        if n >= 16 * piece:
+            close()
+    if some:
+        close()
+    at = [0] * len(runs)
+    while any(a < len(seq) for a, (seq, _) in zip(at, runs)):
+        share = max(1, piece // len(runs))
+        # No run has more than its share up to the least of these, and one has all of it.
+        cut = min(seq[min(a + share, len(seq)) - 1] for a, (seq, _) in zip(at, runs) if a < len(seq))
+        ends = [int(np.searchsorted(seq, cut, "right")) for seq, _ in runs]
+        seq, err = (np.concatenate([run[i][a:b] for run, a, b in zip(runs, at, ends)]) for i in (0, 1))
+        order, at = np.argsort(seq, kind="stable"), ends
+        yield seq[order], err[order]
+
+
 def stream_detectors(stream: DataFrame, **over: float) -> DataFrame:
     """DDM, EDDM and HDDM as keyed state over (method, version, seq, err).
 
     A new model version is a new key, so its trackers start afresh. Rows of a micro-batch are taken in ``seq`` order and
-    advanced as arrays; only rows that raise a warning or an alarm are emitted. The state is thirteen numbers per key.
+    advanced as arrays, a piece at a time; only rows that raise a warning or an alarm are emitted. The state is thirteen numbers per key.
     The trackers can't go back, so rows that come in a later batch than rows with a greater ``seq`` are left out; a row of the detector
     ``late`` tells how many (``value``) and behind which ``seq`` (``threshold``).
-    A key's share of one micro-batch is sorted in memory: bound it with the source's ``maxFilesPerTrigger`` or the like;
-    for a backlog use the batch operators, which split a stream over many tasks.
+    Of a key's share of one micro-batch two numbers a row are held in memory (``in_order``), whatever the trackers make of them; bound it further with
+    the source's ``maxFilesPerTrigger`` or the like, or use the batch operators for a backlog, which split a stream over many tasks.
     """
     cfg = {**DEFAULTS, **over}
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
         held, last = (tuple(state.get)[:-1], int(state.get[-1])) if state.exists else (START, None)
-        if last is not None and (late := data["seq"] <= last).any():
-            yield pd.DataFrame({"method": [key[0]], "version": [key[1]], "seq": [int(data["seq"][late].min())], "detector": ["late"], "drift": [False], "warning": [True],
-                                "value": [float(late.sum())], "threshold": [float(last)]})
-            data = data[~late]
-        if not len(data):
-            return
-        seq, x = data["seq"].to_numpy(), np.clip(data["err"].to_numpy(dtype=float), 0.0, 1.0)
-        new, found = advance(held, x, cfg)
-        state.update((*new, int(seq[-1])))
-        for name, where, drift, warn, value, cut in found:
-            show = drift | warn
-            if show.any():
-                yield pd.DataFrame({"method": key[0], "version": key[1], "seq": seq[where[show]], "detector": name, "drift": drift[show],
-                                    "warning": warn[show], "value": value[show], "threshold": cut[show]})
+        before, first_late, late = last, None, 0
+        for seq, err in in_order(frames):
+            if before is not None and (n := int(np.searchsorted(seq, before, "right"))):
+                first_late, late = int(seq[0]) if first_late is None else first_late, late + n
+                seq, err = seq[n:], err[n:]
+            for i in range(0, len(seq), PIECE):
+                some = seq[i:i + PIECE]
+                held, found = advance(held, np.clip(err[i:i + PIECE], 0.0, 1.0), cfg)
+                last = int(some[-1])
+                for name, where, drift, warn, value, cut in found:
+                    show = drift | warn
+                    if show.any():
+                        yield pd.DataFrame({"method": key[0], "version": key[1], "seq": some[where[show]], "detector": name, "drift": drift[show],
+                                            "warning": warn[show], "value": value[show], "threshold": cut[show]})
+        if late:
+            yield pd.DataFrame({"method": [key[0]], "version": [key[1]], "seq": [first_late], "detector": ["late"], "drift": [False], "warning": [True],
+                                "value": [float(late)], "threshold": [float(before)]})
+        if last is not None and last != before:
+            state.update((*held, last))
 
     return stream.groupBy("method", "version").applyInPandasWithState(update, DETECTIONS, f"{STATE}, {LAST}", "append", GroupStateTimeout.NoTimeout)
 
