@@ -1,11 +1,15 @@
 """Rank products and correlations against pandas, with ties that reach over tasks."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranks, selection
+from tidemark.plans.checkpoints import stable
 
 
 def table(n, seed):
@@ -61,3 +65,19 @@ def test_nothing_to_rank(spark):
 def test_ties_over_three_tasks():
     s = [ranks.Stretch(0, 3, 1.0, 1, 5.0, 2), ranks.Stretch(1, 4, 5.0, 4, 5.0, 4), ranks.Stretch(4, 2, 5.0, 1, 6.0, 1)]
     assert ranks.place(s) == {0: (0.0, 1.0, 5.0), 1: (3.0, 5.0, 0.0), 4: (7.0, 5.0, 9.0)}
+
+
+def test_a_long_tie_is_handed_on_as_it_comes(spark, monkeypatch):
+    monkeypatch.setattr(ranks.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    value = np.r_[np.zeros(300_000), 1.0, np.full(70_000, 2.0)]
+    cells = pa.table({"row": np.arange(len(value)), "col": np.zeros(len(value), np.int32), "value": value}).to_batches(max_chunksize=1000)
+    got = list(ranks._local_ranks(iter(cells)))
+    assert sum(b.num_rows for b in got) == len(value) and max(b.num_rows for b in got) <= ranks.HELD + 1000
+
+
+def test_long_ties_like_pandas(spark):
+    rnd, n = np.random.default_rng(8), 400_000
+    pdf = pd.DataFrame({"hot": np.where(rnd.random(n) < .6, 0.0, rnd.normal(size=n)), "two": rnd.integers(0, 2, n).astype(float), "flat": 1.0})
+    got = ranks.rank_products(stable(spark.createDataFrame(pdf)), list(pdf.columns))
+    r = (pdf.rank().to_numpy() - (n + 1) / 2) / n
+    assert np.allclose(got, r.T @ r)

@@ -19,17 +19,27 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.plans.checkpoints import drop_stable, stable
 
 FIRST, LAST = 1, 2  # of a task's ties of a column; their true extent shows only beside the neighbours
+LONG = 4  # a tie that is handed on before its end; its rank is the number of cells of the column before it in the task
+HELD = 65_536  # cells of an open tie that a task holds
+CELLS = 1_000_000  # of a task
 LOCAL = "row long, col int, part int, value double, rank double, edge int"
 
 
 def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Average ranks within a task's sorted stretch of each column; its first and last ties are marked."""
+    """Average ranks within a task's sorted stretch of each column; its first and last ties are marked.
+
+    A tie of more than ``HELD`` cells is handed on as it comes, with its place instead of its rank; how long it is, and whether it is the first or
+    the last, shows when its cells are counted.
+    """
     part = TaskContext.get().partitionId()
-    col, value, ids, done = None, None, [], 0  # the open tie, and the cells of its column before it
+    col, value, ids, done, sent = None, None, [], 0, 0  # the open tie, the cells of its column before it, and those of it already handed on
 
     def close(edge: int) -> pa.RecordBatch:
         rows = np.concatenate(ids)
         n = len(rows)
+        if sent:
+            return pa.RecordBatch.from_pydict({"row": rows, "col": np.full(n, col, np.int32), "part": np.full(n, part, np.int32), "value": np.full(n, value),
+                                               "rank": np.full(n, float(done)), "edge": np.full(n, LONG, np.int32)})
         return pa.RecordBatch.from_pydict({"row": rows, "col": np.full(n, col, np.int32), "part": np.full(n, part, np.int32), "value": np.full(n, value),
                                            "rank": np.full(n, done + (n + 1) / 2), "edge": np.full(n, edge | (FIRST if done == 0 else 0), np.int32)})
 
@@ -41,14 +51,20 @@ def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = (values[1:] == values[:-1]) | (np.isnan(values[1:]) & np.isnan(values[:-1]))
         new[1:] = (cols[1:] != cols[:-1]) | ~same
         start = 0
-        if ids and cols[0] == col and (values[0] == value or (np.isnan(value) and np.isnan(values[0]))):  # the open tie goes on
+        if (ids or sent) and cols[0] == col and (values[0] == value or (np.isnan(value) and np.isnan(values[0]))):  # the open tie goes on
             start = int(np.argmax(new[1:]) + 1) if new[1:].any() else len(rows)
             ids.append(rows[:start])
+            if sent + sum(map(len, ids)) > HELD:
+                sent += sum(map(len, ids))
+                yield close(LONG)
+                ids = []
             if start == len(rows):
                 continue
-        if ids:
-            yield close(0 if cols[start] == col else LAST)
-            done = done + sum(map(len, ids)) if cols[start] == col else 0
+        if ids or sent:
+            if ids:
+                yield close(0 if cols[start] == col else LAST)
+            done = done + sent + sum(map(len, ids)) if cols[start] == col else 0
+            sent = 0
         starts = np.concatenate([[start], start + 1 + np.nonzero(new[start + 1:])[0]])
         sizes = np.diff(np.append(starts, len(rows)))
         whole = len(starts) - 1  # all ties but the last, which stays open
@@ -109,21 +125,36 @@ def rank_products(df: DataFrame, cols: Sequence[str], key: str | None = None) ->
     """Products of centred average ranks summed over all rows, divided by the square of their number, as a matrix columns by columns.
 
     Missing values count as 0. ``key`` is a whole number that names a row; without it rows are numbered where they are read, so ``df``
-    should be a scan or a stored table then. One row per (task, column) and the matrix reach the driver.
+    should be a scan or a stored table then. One row per (task, column) and per (task, long tie) and the matrix reach the driver.
     """
     k = len(cols)
     row = F.monotonically_increasing_id() if key is None else F.col(key).cast("long")
     rows = df.select(row.alias("row"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]).alias("_cells"))
     cells = rows.select("row", F.posexplode("_cells").alias("col", "value"))
-    local = stable(cells.repartitionByRange("col", "value", "row").sortWithinPartitions("col", "value", "row").mapInArrow(_local_ranks, LOCAL))
+    # A task's share has a fixed size, so that neither its sort nor its ties grow with the table.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * k // CELLS))
+    local = stable(cells.repartitionByRange(tasks, "col", "value", "row").sortWithinPartitions("col", "value", "row").mapInArrow(_local_ranks, LOCAL))
     first, last = F.col("edge").bitwiseAND(FIRST) > 0, F.col("edge").bitwiseAND(LAST) > 0
     ends = local.groupBy("col", "part").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(first, F.col("value"))).alias("first"), F.count_if(first).alias("n_first"),
                                             F.max(F.when(last, F.col("value"))).alias("last"), F.count_if(last).alias("n_last")).orderBy("col", "part").collect()
-    stretches = [[Stretch(*r[1:]) for r in ends if r["col"] == c] for c in range(k)]
+    ties = (local.filter(F.col("edge").bitwiseAND(LONG) > 0).groupBy("col", "part", "rank", "value").agg(F.count(F.lit(1)).alias("n"))
+            .select("col", "part", F.col("rank").cast("long").alias("start"), "value", "n").collect())
+    found = {(r["col"], r["part"]): Stretch(*r[1:]) for r in ends}
+    for c, part, start, value, n in ties:
+        stretch = found[c, part]
+        if start == 0:
+            stretch.first, stretch.n_first = value, n
+        if start + n == stretch.n:
+            stretch.last, stretch.n_last = value, n
+    stretches = [[x for (own, _), x in found.items() if own == c] for c in range(k)]
     total = sum(s.n for s in stretches[0]) if k else 0
     if not total:
         return np.zeros((k, k))
     placed = {(c, part): x for c in range(k) for part, x in place(stretches[c]).items()}
+    long_ranks = {}
+    for c, part, start, _, n in ties:
+        before, at_first, at_last = placed[c, part]
+        long_ranks[c, part, start] = at_first if start == 0 else at_last if start + n == found[c, part].n else before + start + (n + 1) / 2
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rest = np.zeros((k, k)), np.empty(0)
@@ -132,12 +163,16 @@ def rank_products(df: DataFrame, cols: Sequence[str], key: str | None = None) ->
             pairs, at = np.unique(np.stack([col, part]), axis=1, return_inverse=True)
             offset, at_first, at_last = np.array([placed[tuple(map(int, p))] for p in pairs.T]).reshape(-1, 3).T[:, at.ravel()]
             ranks = np.where(edge & FIRST, at_first, np.where(edge & LAST, at_last, offset + rank))
+            long = edge & LONG > 0
+            if long.any():
+                which, back = np.unique(np.stack([col[long], part[long], rank[long].astype(np.int64)]), axis=1, return_inverse=True)
+                ranks[long] = np.array([long_ranks[tuple(map(int, t))] for t in which.T])[back.ravel()]
             flat = np.concatenate([rest, (ranks - (total + 1) / 2) / total])
             whole = len(flat) // k * k
             x, rest = flat[:whole].reshape(-1, k), flat[whole:]
             out += x.T @ x
         yield pa.RecordBatch.from_pydict({"cell": np.arange(k * k, dtype=np.int32), "x": out.ravel()})
-    meeting = local.select("row", "col", "part", "rank", "edge").repartition("row").sortWithinPartitions("row", "col").drop("row")
-    found = meeting.mapInArrow(products, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).orderBy("cell").collect()
+    meeting = local.select("row", "col", "part", "rank", "edge").repartition(tasks, "row").sortWithinPartitions("row", "col").drop("row")
+    sums = meeting.mapInArrow(products, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).orderBy("cell").collect()
     drop_stable(local)
-    return np.array([r["x"] for r in found]).reshape(k, k)
+    return np.array([r["x"] for r in sums]).reshape(k, k)
