@@ -24,6 +24,7 @@ CACHE_PARTS = 400_000  # remembered parts; then they become the older half, whic
 CACHE_WORDS = 200_000  # remembered runs of letters
 AT_ONCE = 4_096
 BATCH_BYTES = 4 << 20
+LEARN_CHARS = 1 << 20  # of text whose new parts are encoded together
 
 
 @dataclass
@@ -58,8 +59,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as file:
-            described = json.dumps(json.load(file)["pre_tokenizer"], sort_keys=True)
+        described = json.dumps(json.loads(self.tokenizer.pre_tokenizer.__getstate__()), sort_keys=True)  # not the whole file, which is large once it is read
         keeps = '"add_prefix_space": false' in described and '"use_regex": true' in described
         drops = '"behavior": "Removed"' in described and r"[^\\s\\p{L}\\p{N}]+" in described
         if not (keeps or drops):
@@ -185,7 +185,13 @@ class WordIds:
             self._begin()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        places = [self._places(t) if t else np.zeros(0, np.int64) for t in texts]
+        places, unread = [], 0
+        for t in texts:
+            places.append(self._places(t) if t else np.zeros(0, np.int64))
+            unread += len(t)
+            if unread > LEARN_CHARS:  # new parts wait as objects of some hundred bytes
+                self._encode_waiting()
+                unread = 0
         self._encode_waiting()
         docs = np.fromiter(map(len, places), np.int64, len(places))
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
