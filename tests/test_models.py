@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import models as M, selection as Q, structure as T
 from tidemark.operators.performance import auc
+from tidemark.operators.sampling import bootstrap_bags
 
 COLS = ["a", "b", "c"]
 
@@ -108,3 +109,14 @@ def test_stability_bounds(spark):
     assert Q.nogueira_stability(Q.rank_gains(same, 1)).first()["stability"] == pytest.approx(1.0)
     flat = Q.rank_gains(spark.createDataFrame([(0, "x", 1.0), (0, "y", 1.0), (0, "z", 0.0)], "bag int, feature string, gain double"), 2)
     assert {r["feature"]: r["rank"] for r in flat.collect()} == {"x": 1.5, "y": 1.5, "z": 3.0}
+
+
+def test_boosting_reads_stored_rows(spark, monkeypatch):
+    """Weights drawn by digests are worked out once, not in every pass of the fit."""
+    from pyspark.ml.classification import GBTClassifier
+    plans, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or fit(self, df, *a))
+    df = spark.range(400).selectExpr("id", "cast(id as string) AS rid", "double(id % 17) AS x", "int(id % 17 > 8) AS label", "double(id) AS t")
+    bags = bootstrap_bags(df, 1, "rid", 42)
+    model = M.train_classifier(bags, ["x"], "label", "t", "rid", max_iter=2, max_depth=2, weight="bag_0", tune=False)
+    assert model.importances() == [1.0] and "md5" not in plans[0] and "parquet" in plans[0]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.operators.performance import evaluate, tune_threshold
 from tidemark.operators.sampling import even_classes, stratified_folds, temporal_split
 from tidemark.operators.structure import Scale, fit_scale
+from tidemark.plans.checkpoints import drop_stable, stable
 from tidemark.plans.ordered import attach_row, null_safe_join
 from tidemark.sources.tables import exists
 
@@ -72,16 +73,19 @@ def train_classifier(df: DataFrame, cols: Sequence[str], label: str, order: str,
                      max_depth: int = 4, weight: str | None = None, tune: bool = True) -> Classifier:
     """Boosted trees, class-balanced, early-stopped and thresholded on the last fifth by time."""
     split = temporal_split(df, order, key, label, 0.8, seed)
-    ready = features(balance_weights(split, label), cols).withColumn("_y", F.col(label).cast("double"))
+    ready = balance_weights(split, label).withColumn("_y", F.col(label).cast("double"))
     if weight is not None:
         ready = ready.withColumn("_weight", F.col("_weight") * F.col(weight)).filter(F.col("_weight") > 0)
-    ready = ready.select("features", "_y", "_weight", "is_valid")
+    # Boosting reads its rows many times; weights drawn by digests and the split are worked out once.
+    held = stable(ready.select(*[F.col(c).cast("double").alias(c) for c in cols], "_y", "_weight", "is_valid"))
+    ready = features(held, cols).select("features", "_y", "_weight", "is_valid")
     model = GBTClassifier(featuresCol="features", labelCol="_y", weightCol="_weight", validationIndicatorCol="is_valid", seed=seed,
                           maxIter=max_iter, maxDepth=max_depth, stepSize=0.1, subsamplingRate=0.7, featureSubsetStrategy="all").fit(ready)
     out = Classifier(model, list(cols))
     if tune:
         scored = model.transform(ready.filter("is_valid")).select(F.col("_y").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
         out.threshold = tune_threshold(scored, []).first()["threshold"]
+    drop_stable(held)
     return out
 
 
