@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import string
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -126,6 +127,18 @@ def test_word_ids_are_the_tokenizers(name):
             assert e.ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_word_ids_hold_few_parts(name):
+    encoded = word_ids.WordIds(public_tokenizers.path(name), cache_parts=2_000)
+    encoded.encode(["the cat sat"])
+    tracemalloc.start()
+    for k in range(30):
+        encoded.encode([f"the cat {k} " + " ".join("".join(chr(97 + int(d)) for d in str(10 ** 6 + 2_000 * k + i)) for i in range(2_000))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2 << 20 and {"cat"} <= set(encoded.rest), held
+
+
 def expected_ids(name, end):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
     plain.encode_special_tokens = True

@@ -15,7 +15,7 @@ import numpy as np
 PREFIXES = 6
 SUFFIXES = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 WORDS_AT_ONCE = 20_000
 EDGES = ".,;:!?\"'()[]{}«»|"
 
@@ -196,7 +196,7 @@ class _Places(dict):
 class Tagger:
     """Marginals for whole texts; a distinct word's weights are computed once per task and kept up to ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit = model, limit
         self._reset()
 

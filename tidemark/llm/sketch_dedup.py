@@ -30,7 +30,7 @@ MISS = 1e-7
 BLOCK = 1_000
 BLOCK_SHINGLES = 1_000_000
 COLUMNS = 4_096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
