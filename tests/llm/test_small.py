@@ -358,6 +358,25 @@ def test_lattice_lm(spark, docs):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and -1e6 < a[5] < 0
 
 
+def test_lattice_looks_no_further_than_pieces_go():
+    class Counted(str):
+        cuts = 0
+
+        def __radd__(self, other):
+            return Counted(other + str(self))
+
+        def __getitem__(self, at):
+            Counted.cuts += isinstance(at, slice)
+            return str(self)[at]
+
+    lattice = lattice_lm.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    word = "qxzvjk" * 200
+    arcs, n = lattice.arcs([Counted(word)]), len(word) + 1
+    text = lattice_lm.START + word
+    want = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + lattice.longest) + 1) if text[i:j] in lattice.number]
+    assert list(zip(arcs[1].tolist(), arcs[2].tolist())) == want and Counted.cuts < 4 * n, Counted.cuts
+
+
 def test_lattice_sums_all_segmentations():
     lattice = lattice_lm.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
 

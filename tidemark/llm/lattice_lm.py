@@ -32,6 +32,7 @@ ZIPF_SHIFT = 10.0
 WORDS_AT_ONCE = 20_000
 BLOCK_BYTES = 32 << 20
 LOWEST = -1e30
+NO_PIECE = -2
 
 
 @lru_cache(maxsize=2)
@@ -51,26 +52,36 @@ def pieces(path: str) -> tuple[dict[str, int], np.ndarray, list[int], int]:
         return number, np.log(weight / weight.sum()), bytes_, max(map(len, number))
 
 
+@lru_cache(maxsize=2)
+def beginnings(path: str) -> dict[str, int]:
+    """The number of each piece, and -1 for what begins one but is none itself."""
+    number = pieces(path)[0]
+    return {piece[:k]: -1 for piece in number for k in range(1, len(piece))} | number
+
+
 class Lattice:
     def __init__(self, path: str, log_weight: np.ndarray | None = None):
         self.number, prior, self.bytes_, self.longest = pieces(path)
+        self.begun = beginnings(path)
         self.log_weight = prior if log_weight is None else log_weight
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word, from, to, piece, log weight) of every arc; a character without a piece is an arc of its bytes (piece -1)."""
-        get, longest = self.number.get, self.longest
+        get, longest = self.begun.get, self.longest
         which, begin, end, piece = [], [], [], []
         bare: list[tuple[int, int, str]] = []
         for w, word in enumerate(words):
             text = START + word
             n = len(text)
             for i in range(n):
-                single = get(text[i])
-                if single is None:
+                single = get(text[i], NO_PIECE)
+                if single < 0:
                     bare.append((w, i, text[i]))
                 for j in range(i + 1, min(n, i + longest) + 1):
-                    p = single if j == i + 1 else get(text[i:j])
-                    if p is not None:
+                    p = single if j == i + 1 else get(text[i:j], NO_PIECE)
+                    if p == NO_PIECE:  # nor does any piece begin so
+                        break
+                    if p >= 0:
                         which.append(w)
                         begin.append(i)
                         end.append(j)
