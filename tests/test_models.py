@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import models as M, selection as Q, structure as T
+from tidemark.operators import lattice as A, models as M, selection as Q, structure as T
 from tidemark.operators.performance import auc
 from tidemark.operators.sampling import bootstrap_bags
 
@@ -120,3 +120,17 @@ def test_boosting_reads_stored_rows(spark, monkeypatch):
     bags = bootstrap_bags(df, 1, "rid", 42)
     model = M.train_classifier(bags, ["x"], "label", "t", "rid", max_iter=2, max_depth=2, weight="bag_0", tune=False)
     assert model.importances() == [1.0] and "md5" not in plans[0] and "parquet" in plans[0]
+
+
+def test_blends_repeat_no_row(spark):
+    """The baseline goes with the scores, so blends need no join, and no row is repeated for its alphas."""
+    df = spark.range(900).selectExpr("id AS rid", "id % 3 AS week", "double(id % 17) AS x", "double(id % 5) AS z", "int(id % 17 + id % 5 > 10) AS label")
+    scored = A.train_lattice(df, ["x", "z"], "label", "rid", hidden=(3,), max_iter=4).cache()
+    blends = A.blend_scores(scored, "rid", nested=True)
+    plan = blends._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and blends.count() == scored.count() == 1200
+    looked_up = A.blend_scores(scored.drop("baseline"), "rid").collect()
+    flat = {(r["full_week"], r["partial_week"], r["rid"], r["week"], a): s for r in blends.collect() for a, s in zip(A.ALPHAS, r["scores"])}
+    assert flat == {(r["full_week"], r["partial_week"], r["rid"], r["week"], r["alpha"]): r["score"] for r in looked_up}
+    cells = A.lattice_performance(blends, "threshold").collect()
+    assert len(cells) == 4 * len(A.ALPHAS) and all(0 <= c["auc"] <= 1 and 0 <= c["f1"] <= 1 for c in cells)

@@ -115,6 +115,22 @@ def test_auc_counts_pairs(spark, chunks):
     assert P.auc(spark.createDataFrame(pdf[pdf.label == 0]), []).first()["auc"] == 0.5
 
 
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_auc_of_every_place(spark, chunks, monkeypatch):
+    """Ties, repeated scores, nulls, a short array, a row without a label and a group with one class, each place like ``auc`` alone."""
+    monkeypatch.setattr(P, "PIECE_SCORES", 500)
+    pdf = scored(spark, "degraded", 1200)
+    rows = [(i % 3 or None, None if i == 7 else int(r.label) if i % 3 else 0, [None if i % 11 == 0 else float(r.score), round(float(r.score), 1), 0.25][:2 if i % 5 == 0 else 3])
+            for i, r in enumerate(pdf.itertuples())]
+    df = spark.createDataFrame(rows, "week int, label int, scores array<double>")
+    got = {(r["week"], r["which"]): r[2:] for r in P.auc_each(df, ["week"], chunks=chunks).collect()}
+    want = {(r["week"], j): r[1:] for j in range(3) for r in P.auc(df.selectExpr("week", "label", f"get(scores, {j}) AS score"), ["week"]).collect()}
+    assert len(got) == 9 and got.keys() == want.keys()
+    assert all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2], abs=1e-12) for k in want)
+    f1 = {(r["week"], r["which"]): r["f1"] for r in P.f1_each(df, ["week"], "label", "scores", 3, 0.3).collect()}
+    assert f1 == {(r["week"], j): r["f1"] for j in range(3) for r in P.f1_at(df.selectExpr("week", "label", f"get(scores, {j}) AS score"), ["week"], threshold=0.3).collect()}
+
+
 def test_bootstrap_error(spark):
     pdf = scored(spark, "degraded", 2500)
     one = P.bootstrap_auc_se(spark.createDataFrame(pdf), [], "seq", n_boot=80, chunks=1).first()["auc_se"]

@@ -408,7 +408,7 @@ def _(spark, d):
     """Every full model and every later partial update of it, trained, blended and scored on every later week."""
     rows = _ready(spark, d)
     scored = A.train_lattice(rows, OC, "label", "rid", hidden=(6,), max_iter=12)
-    out = A.lattice_performance(A.blend_scores(scored, "rid"), "threshold")
+    out = A.lattice_performance(A.blend_scores(scored, "rid", nested=True), "threshold")
     fine = F.coalesce(F.col("auc").between(0, 1), F.lit(True)) & F.col("f1").between(0, 1)
     return out.select("full_week", "partial_week", "alpha", "week", F.count(F.lit(1)).over(Window.partitionBy()).alias("n_states"), fine.alias("in_range"))
 

@@ -171,7 +171,7 @@ LT = EV + f""",
 
 
 def lattice(spark, d):
-    return rounded(A.lattice_performance(A.blend_scores(state_scores(spark, d))), "auc", "f1")
+    return rounded(A.lattice_performance(A.blend_scores(state_scores(spark, d), nested=True)), "auc", "f1")
 
 
 @query("blend_scores", f"WITH {LT} SELECT full_week, partial_week, week, alpha, count(*) AS n, {R('avg(score)', 'mean_score')} FROM lb GROUP BY ALL")
