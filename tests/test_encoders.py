@@ -151,3 +151,16 @@ def test_modal_shares_like_counting(spark, keep):
     for r in E.heavy_values(df, df.columns, keep).collect():
         true = (pdf[r["column"]] == r["value"]).sum() if r["value"] is not None else 0
         assert r["low"] <= true <= r["low"] + r["error"] and r["error"] <= r["n"] / keep + 1 and r["n"] == pdf[r["column"]].notna().sum()
+
+
+def test_prepared_rows_are_ordered_once(spark, small, monkeypatch):
+    """Fit and replay read stored rows; neither joins and orders the whole history again."""
+    from tidemark.workload import encoder_queries as Q
+    seen = []
+    monkeypatch.setattr(E.FrozenEncoder, "fit", lambda self, ref: seen.append(ref) or self)
+    _, rows = Q.fitted_encoder(spark, small)
+    for df in (*seen, rows):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan
+    want = E.FrozenEncoder().prepare(Q.card_shape(spark, small))
+    assert rows.columns == want.columns and rows.exceptAll(want).count() == 0 and rows.count() == want.count()

@@ -8,6 +8,7 @@ from tidemark.functions.labels import FAMILIES, LABELS, feature_label
 from tidemark.operators import encoders as E
 from tidemark.operators.windows import assign_week
 from tidemark.sources.tables import load
+from tidemark.plans.checkpoints import stable
 from tidemark.plans.ordered import attach_row
 from tidemark.workload.base import R, query, rounded, weekly_sql
 
@@ -197,7 +198,7 @@ def card_shape(spark, d):
 def fitted_encoder(spark, d):
     """(encoder fitted on the reference, prepared rows)."""
     enc = E.FrozenEncoder(E.EncoderColumns(dropped=["_days", "TransactionDT", "TransactionID", "_uid1", "_uid2", "week"]))
-    rows = enc.prepare(card_shape(spark, d))
+    rows = stable(enc.prepare(card_shape(spark, d)))  # ordered once: every stage of the fit and the replay read it
     return enc.fit(rows.filter("week = 0")), rows
 
 
