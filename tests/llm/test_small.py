@@ -7,6 +7,7 @@ import string
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -307,6 +308,58 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_duplicates(table).count() == len(VECTORS)
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.3, 2.0])
+def test_meeting_of_two_packs(monkeypatch, noise):
+    monkeypatch.setattr(vector_dedup, "TILE", (48, 56))
+    monkeypatch.setattr(vector_dedup, "PAIRS", 100)
+    rnd, dim = np.random.default_rng(8), 12
+    v = (rnd.normal(size=(6, dim))[rnd.integers(0, 6, 330)] + noise * rnd.normal(size=(330, dim))).astype(np.float32)
+    u, ids, n = vector_dedup.unit_rows(v.astype(float)), rnd.permutation(330), rnd.integers(1, 4, 330)
+    turn = np.linalg.eigh(u.T @ u)[1][:, ::-1].copy()
+    plan = vector_dedup.Plan(turn, u @ turn, 0.95, 4, "<f4", 330)
+    side = lambda a, b, left: vector_dedup.Side(plan, ids[a:b].tobytes(), n[a:b].tobytes(), v[a:b].tobytes(), left)
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    for a, b in ((0, 150), (150, 330)):
+        for c, d in ((0, 150), (150, 330)):
+            left, right, edges = vector_dedup._meet(plan, side(a, b, True), side(c, d, False), a == c)
+            if a == c:
+                assert (left + right == close[a:b, c:d] @ n[c:d]).all()
+            else:
+                assert (left == close[a:b, c:d] @ n[c:d]).all() and (right == close[a:b, c:d].T @ n[a:b]).all()
+            pairs = [(x, y) for x, y in np.argwhere(close) if a <= x < b and c <= y < d]
+            at = {int(i): k for k, i in enumerate(ids)}
+            assert components(330, [(at[int(x)], at[int(y)]) for x, y in edges]) == components(330, [(int(x), int(y)) for x, y in pairs])
+
+
+def test_vector_dedup_writes_no_more_than_it_reads_a_few_times(spark, monkeypatch):
+    """Flat directions, near copies, many exact copies and a dense group; packs so small that many meet. Before, every row was stored once for each block and slab."""
+    rnd, dim = np.random.default_rng(3), 32
+    base = rnd.normal(size=(1500, dim))
+    near = base[:300] + 0.05 * rnd.normal(size=(300, dim))
+    dense = base[0] + 0.02 * rnd.normal(size=(400, dim))
+    made = np.concatenate([base, near, dense, np.repeat(base[7:8], 200, axis=0)]).astype(np.float32)[rnd.permutation(2400)]
+    unit = made.astype(float) / np.linalg.norm(made.astype(float), axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    root, before = np.arange(len(made)), None
+    while not np.array_equal(root, before):
+        root, before = np.where(close, root[None, :], len(made)).min(axis=1), root
+    for name, value in (("PACK_BYTES", 128 * dim * 4), ("LEAST_PACK", 64)):
+        monkeypatch.setattr(vector_dedup, name, value, raising=False)
+    written, store = [], vector_dedup.stable
+
+    def spy(df):
+        out = store(df)
+        written.append(sum(Path(f.removeprefix("file://").removeprefix("file:")).stat().st_size for f in out.inputFiles()))
+        return out
+    monkeypatch.setattr(vector_dedup, "stable", spy)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "vec_id long, embedding array<float>").repartition(3)
+    rows = {r["vec_id"]: r for r in vector_dedup.near_duplicates(table).collect()}
+    assert sum(written) < 3 * made.nbytes
+    for i in range(len(made)):
+        assert (rows[i]["n_links"], rows[i]["component_id"], rows[i]["kept"]) == (int(close[i].sum()) - 1, root[i], root[i] == i)
+
+
 @pytest.mark.parametrize("scale", [64.0, 2.0 ** 28])
 def test_topk(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "BLOCK", 16)
