@@ -30,13 +30,13 @@ def profiled(data: DataFrame | Profile, by: Sequence[str], week: str, value: str
 
 
 def ks_stat(df: DataFrame | Profile, by: Sequence[str] = ("feature",), week: str = "week", value: str = "value",
-            alpha: float = 0.05, chunks: int | None = None) -> DataFrame:
+            alpha: float = 0.05, chunks: int | None = None, cols: Sequence[str] = ()) -> DataFrame:
     """Two-sample KS of every window against week 0: statistic, p, drift, n_ref, n_curr.
 
     A window with no reference rows, or with no value, reports (0, 1, false). Without a profile the rows are counted in bins and
-    only those are ordered that may hold the gap; see ``largest_gaps``.
+    only those are ordered that may hold the gap; see ``largest_gaps``, also for ``cols``.
     """
-    by, week, table = (df.by, df.week, df.table) if isinstance(df, Profile) else (by, week, largest_gaps(df, by, week, value))
+    by, week, table = (df.by, df.week, df.table) if isinstance(df, Profile) else (by, week, largest_gaps(df, by, week, value, cols))
     out = table.withColumn("_d", F.when((F.col("n_ref") > 0) & (F.col("n_curr") > 0), F.col("d")))
     stat = F.coalesce(F.col("_d"), F.lit(0.0))
     p = F.when(F.col("_d").isNull(), 1.0).otherwise(kolmogorov_p(stat, F.col("n_ref"), F.col("n_curr")))

@@ -89,10 +89,11 @@ def train_classifier(df: DataFrame, cols: Sequence[str], label: str, order: str,
     return out
 
 
-def train_mlp(df: DataFrame, cols: Sequence[str], label: str, key: str, hidden: Sequence[int] = (256, 128, 64), seed: int = 42, max_iter: int = 60) -> Classifier:
-    """Perceptron on standardised inputs. It takes no weights, so the classes are balanced by sampling (``even_classes``)."""
+def train_mlp(df: DataFrame, cols: Sequence[str], label: str, key: str, hidden: Sequence[int] = (256, 128, 64), seed: int = 42, max_iter: int = 60,
+              head: str | None = None) -> Classifier:
+    """Perceptron on standardised inputs. It takes no weights, so the classes are balanced by sampling (``even_classes``, also for ``head``)."""
     scale = fit_scale(df, cols)
-    ready = standardised(even_classes(df, label, key, seed), scale).select("features", F.col(label).cast("double").alias("_y"))
+    ready = standardised(even_classes(df, label, key, seed, head), scale).select("features", F.col(label).cast("double").alias("_y"))
     model = MultilayerPerceptronClassifier(layers=[len(cols), *hidden, 2], labelCol="_y", seed=seed, maxIter=max_iter, blockSize=128).fit(ready)
     return Classifier(model, list(cols), scale=scale)
 

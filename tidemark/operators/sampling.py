@@ -21,6 +21,14 @@ def digest(key: str | Sequence[str | Column], seed: int) -> Column:
     return F.md5(F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed))))
 
 
+HEAD = 15  # leading hex digits of a digest that a whole number holds
+
+
+def digest_head(key: str | Sequence[str | Column], seed: int) -> Column:
+    """The first ``HEAD`` digits of the digest as a number, in the same order; stored once, it spares later passes the digests."""
+    return F.conv(F.substring(digest(key, seed), 1, HEAD), 16, 10).cast("long")
+
+
 def uniform(key: Column, *salt: object) -> Column:
     """A hash-derived number in [0, 1) from the first 52 bits of an md5."""
     text = F.concat_ws(":", key.cast("string"), *[s.cast("string") if isinstance(s, Column) else F.lit(str(s)) for s in salt])
@@ -41,58 +49,67 @@ def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[s
 
 HEX = 3  # digits of a digest that a round of counting refines by
 BOUNDARY = 65_536  # distinct keys of a group that may share the last counted cell
-MOST_HEX = 15
+MOST_HEX = HEAD
 
 
-def digest_cuts(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str], wanted: Column) -> DataFrame:
+def digest_cuts(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str], wanted: Column, head: str | None = None) -> DataFrame:
     """(by, _total, _cut): per group the ``wanted``-th smallest (digest, key), null where none is wanted.
 
     ``wanted`` is an expression over ``_total``, the group's size. Rows are counted by the leading digits of their digest, the
     cell that holds the wanted position is refined by more digits until few keys share it, and only those are ordered. So
-    what is shuffled is counts, at most 4096 a group and round. A key that many rows repeat is one cut.
+    what is shuffled is counts, at most 4096 a group and round. A key that many rows repeat is one cut. ``head`` names a column that
+    holds ``digest_head`` of the same key and seed; whole digests are then made for the last few rows only.
     """
     keys, by = [key] if isinstance(key, str) else list(key), list(by)
-    rows = df.select(*by, digest(keys, seed).alias("_digest"), F.struct(*keys).alias("_key"))
-    keyed = rows.select(*by, F.struct("_digest", "_key").alias("_at"), "_digest")
+    rows = df.select(*by, (digest(keys, seed) if head is None else F.col(head)).alias("_digest"), F.struct(*keys).alias("_key"))
+
+    def leading(size: int) -> Column:
+        return F.substring("_digest", 1, size) if head is None else F.lower(F.lpad(F.hex(F.shiftright("_digest", 4 * (HEAD - size))), size, "0"))
     running = Window.partitionBy(*by).orderBy("_cell")
     hit = (F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want"))
     cell = F.max(F.when(hit, F.struct("_cell", (F.col("_upto") - F.col("_n")).alias("below"), "_n")))
-    counts = rows.groupBy(*by, F.substring("_digest", 1, HEX).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(*by, leading(HEX).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     placed = counts.select("*", F.sum("_n").over(running).alias("_upto"), F.sum("_n").over(Window.partitionBy(*by)).alias("_total"))
     known = placed.withColumn("_want", F.least(wanted, F.col("_total")).cast("long")).groupBy(*by).agg(F.max("_total").alias("_total"), F.max("_want").alias("_want"), cell.alias("_hit"))
     known, size = stable(known), HEX
     while size < MOST_HEX and (known.agg(F.max("_hit._n")).first()[0] or 0) > BOUNDARY:
-        inside = null_safe_join(rows, known, by).filter(F.col("_hit").isNotNull() & (F.substring("_digest", 1, size) == F.col("_hit._cell")))
+        inside = null_safe_join(rows, known, by).filter(F.col("_hit").isNotNull() & (leading(size) == F.col("_hit._cell")))
         size += HEX
-        counts = inside.groupBy(*by, F.substring("_digest", 1, size).alias("_cell"), "_total", "_want", F.col("_hit.below").alias("_below")).agg(F.count(F.lit(1)).alias("_n"))
+        counts = inside.groupBy(*by, leading(size).alias("_cell"), "_total", "_want", F.col("_hit.below").alias("_below")).agg(F.count(F.lit(1)).alias("_n"))
         placed = counts.withColumn("_upto", F.col("_below") + F.sum("_n").over(running))
         finer = placed.groupBy(*by).agg(cell.alias("_finer"))
         known = stable(null_safe_join(known, finer, by, "left").select(*by, "_total", "_want", F.col("_finer").alias("_hit")))
-    last = null_safe_join(keyed, known, by).filter(F.col("_hit").isNotNull() & (F.substring("_digest", 1, size) == F.col("_hit._cell")))
+    last = null_safe_join(rows, known, by).filter(F.col("_hit").isNotNull() & (leading(size) == F.col("_hit._cell")))
+    whole = F.col("_digest") if head is None else digest([F.col(f"_key.{k}") for k in keys], seed)
+    last = last.select("*", F.struct(whole.alias("_digest"), "_key").alias("_at"))
     few = last.groupBy(*by, "_at", "_want", F.col("_hit.below").alias("_below")).agg(F.count(F.lit(1)).alias("_n"))
     few = few.withColumn("_upto", F.col("_below") + F.sum("_n").over(Window.partitionBy(*by).orderBy("_at")))
     cuts = few.filter(F.col("_upto") >= F.col("_want")).groupBy(*by).agg(F.min("_at").alias("_cut"))
     return stable(null_safe_join(known.select(*by, "_total"), cuts, by, "left"))
 
 
-def _within(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str], wanted: Column) -> DataFrame:
+def _within(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[str], wanted: Column, head: str | None = None) -> DataFrame:
     """``df`` with ``_in``: whether the row's digest is among the ``wanted`` smallest of its group. The rows are not shuffled
     where the cuts, a row a group, are small enough to be broadcast."""
     keys = [key] if isinstance(key, str) else list(key)
     at = F.struct(digest(keys, seed).alias("_digest"), F.struct(*keys).alias("_key"))
-    marked = null_safe_join(df, digest_cuts(df, keys, seed, by, wanted), list(by), "left")
-    return marked.withColumn("_in", F.coalesce(at <= F.col("_cut"), F.lit(False))).drop("_cut", "_total")
+    cuts, inside = digest_cuts(df, keys, seed, by, wanted, head), at <= F.col("_cut")
+    if head is not None:
+        cuts = cuts.withColumn("_head", F.conv(F.substring("_cut._digest", 1, HEAD), 16, 10).cast("long"))
+        inside = (F.col(head) < F.col("_head")) | (F.col(head) == F.col("_head")) & inside
+    marked = null_safe_join(df, cuts, list(by), "left")
+    return marked.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("_cut", "_total", "_head")
 
 
-def bounded_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """``n`` rows per group without replacement (all rows when the group is smaller). ``key`` names a row."""
-    return _within(df, key, seed, by, F.lit(n)).filter("_in").drop("_in")
+def bounded_sample(df: DataFrame, n: int, key: str | Sequence[str], seed: int, by: Sequence[str] = (), head: str | None = None) -> DataFrame:
+    """``n`` rows per group without replacement (all rows when the group is smaller). ``key`` names a row; see ``digest_cuts`` for ``head``."""
+    return _within(df, key, seed, by, F.lit(n), head).filter("_in").drop("_in")
 
 
-def even_classes(df: DataFrame, label: str, key: str | Sequence[str], seed: int) -> DataFrame:
+def even_classes(df: DataFrame, label: str, key: str | Sequence[str], seed: int, head: str | None = None) -> DataFrame:
     """As many rows of label 1 as of label 0, by smallest digests; all rows when one of them has none. No row is moved."""
     n = df.agg(F.least(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0))).first()[0]
-    return _within(df, key, seed, [label], F.lit(n)).filter("_in").drop("_in") if n else df
+    return _within(df, key, seed, [label], F.lit(n), head).filter("_in").drop("_in") if n else df
 
 
 def null_split(df: DataFrame, fraction: float, key: str | Sequence[str], seed: int, by: Sequence[str] = (), floor: int = 50) -> DataFrame:

@@ -109,9 +109,15 @@ def _spread_seeds(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 def _nearest(z: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the nearest centre and the distance to it, the first of equals."""
-    d = ((z[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-    near = d.argmin(axis=1)
-    return near, np.sqrt(d[np.arange(len(z)), near])
+    columns, near, least = np.ascontiguousarray(z.T), np.zeros(len(z), np.int64), np.full(len(z), np.inf)
+    for i, centre in enumerate(centres):
+        d = np.zeros(len(z))
+        for x, c in zip(columns, centre):
+            gap = x - c
+            d += gap * gap
+        closer = d < least if i else slice(None)
+        near[closer], least[closer] = i, d[closer]
+    return near, np.sqrt(least)
 
 
 def fit_centres(rows: DataFrame, refs: list[Reference], sample: tuple[np.ndarray, np.ndarray], k: int = 5, seed: int = 42, rounds: int = 20, tolerance: float = 1e-4) -> None:
@@ -130,7 +136,7 @@ def fit_centres(rows: DataFrame, refs: list[Reference], sample: tuple[np.ndarray
                 z = r.scaled(x[own <= r.week])
                 if len(z):
                     near, _ = _nearest(z, r.centres)
-                    cells[i] += (near[:, None] == np.arange(k)).astype(float).T @ np.concatenate([np.ones((len(z), 1)), z], axis=1)
+                    cells[i] += np.stack([np.bincount(near, column, k) for column in (None, *z.T)], axis=1)
         sums, still = _added(rows, (len(now), k, x.shape[1] + 1), update), []
         for i, r, s in zip(moving, now, sums):
             moved = np.where(s[:, :1] > 0, s[:, 1:] / np.maximum(s[:, :1], 1.0), r.centres)
@@ -175,12 +181,12 @@ def pair_statistics(profile: Profile, n_boot: int = 15, seed: int = 42) -> DataF
 
 
 def signal_matrix(matrix: DataFrame, cols: Sequence[str], ref_weeks: Sequence[int], attribute: Callable[[int], DataFrame], key: str, n_boot: int = 15, k: int = 5,
-                  seed: int = 42, pool: int | None = None) -> DataFrame:
+                  seed: int = 42, pool: int | None = None, head: str | None = None) -> DataFrame:
     """(ref_week, week, the eleven signals) of every reference week and later week of ``matrix`` (key, week, cols).
 
-    ``attribute(ref_week)`` gives the long attributions (week, feature, attribution) of the model that was fitted through that week; these models
-    are the only thing done once per reference week, a few at a time; their attributions are stored, judged and dropped one after another.
-    Numbers of week pairs x features reach the driver.
+    ``attribute(ref_week)`` gives the attributions of the model that was fitted through that week, long (week, feature, attribution) or side by side
+    (week, cols); these models are the only thing done once per reference week, a few at a time; their attributions are stored, judged and dropped
+    one after another. Numbers of week pairs x features reach the driver. ``head`` is that of ``digest_cuts``.
     """
     weeks = sorted(r[0] for r in matrix.select("week").distinct().collect())
     ref_weeks = [r for r in ref_weeks if r in weeks]
@@ -188,15 +194,17 @@ def signal_matrix(matrix: DataFrame, cols: Sequence[str], ref_weeks: Sequence[in
     summary = feature_signal_summary(pair_statistics(profile, n_boot, seed), ["ref_week", "week"])
     rows = vectors_of(matrix, cols)
     refs = references(rows, ref_weeks, weeks, len(cols))
-    seeds = vectors_of(bounded_sample(matrix, SEED_ROWS, key, seed), cols).toArrow().sort_by("week")
+    seeds = vectors_of(bounded_sample(matrix, SEED_ROWS, key, seed, head=head), cols).toArrow().sort_by("week")
     found = list(_blocks(iter(seeds.combine_chunks().to_batches())))
     fit_centres(rows, refs, found[0] if found else (np.empty(0), np.empty((0, len(cols)))), k, seed)
     near = structure_signals(rows, refs, weeks, k)
     since = lambda r: F.greatest(F.lit(0), F.col("week") - r).cast("long").alias("week")
     shift = None
     for r, rows_of in zip(ref_weeks, run_pool(matrix.sparkSession, attribute, ref_weeks, pool)):
-        told = stable(rows_of.select(F.lit(r).cast("long").alias("ref_week"), since(r), "feature", "attribution"))  # as large as the matrix: one at a time
-        part = stable(attribution_summary(attribution_drift(told, by=["ref_week"]), by=["ref_week"]).drop("drifted_features"))
+        beside = () if "attribution" in rows_of.columns else tuple(cols)
+        told = stable(rows_of.select(since(r), *(beside or ("feature", "attribution"))))  # as large as the matrix: one at a time
+        summed = attribution_summary(attribution_drift(told, cols=beside)).withColumn("ref_week", F.lit(r).cast("long"))
+        part = stable(summed.select("ref_week", "week", "attribution_drift_fraction", "attribution_mean_shift"))
         drop_stable(told)
         shift = part if shift is None else shift.unionByName(part)
     shift = shift.withColumn("week", F.col("week") + F.col("ref_week"))

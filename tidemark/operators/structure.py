@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -104,11 +105,11 @@ def tree_attributions(df: DataFrame, model, cols: Sequence[str], keys: Sequence[
     return base.mapInPandas(walk, schema).unpivot(list(keys), list(cols), "feature", "attribution")
 
 
-def mlp_attributions(df: DataFrame, layers: Sequence[int], weights: Sequence[float], scale: Scale, keys: Sequence[str]) -> DataFrame:
+def mlp_attributions(df: DataFrame, layers: Sequence[int], weights: Sequence[float], scale: Scale, keys: Sequence[str], long: bool = True) -> DataFrame:
     """Gradient of the class-1 logit margin times the scaled input, per feature.
 
     ``weights`` is the flat parameter vector of a multilayer perceptron with sigmoid hidden layers: per layer the
-    column-major matrix, then the intercepts.
+    column-major matrix, then the intercepts. Without ``long`` the features stay side by side, a column each.
     """
     mats, flat, at = [], np.asarray(weights, dtype=float), 0
     for n_in, n_out in zip(layers[:-1], layers[1:]):
@@ -120,30 +121,34 @@ def mlp_attributions(df: DataFrame, layers: Sequence[int], weights: Sequence[flo
     types = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"`{c}` double" for c in cols])
 
-    def grads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = (pdf[cols].to_numpy(dtype=float) - mean) / std
+    def grads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = (np.stack([batch.column(c).to_numpy() for c in cols], axis=1) - mean) / std
             hidden = [x]
             for w, b in mats[:-1]:
                 hidden.append(1.0 / (1.0 + np.exp(-(hidden[-1] @ w.T + b))))
             g = np.tile(mats[-1][0][1] - mats[-1][0][0], (len(x), 1))
             for (w, _), h in zip(reversed(mats[:-1]), reversed(hidden[1:])):
                 g = (g * h * (1 - h)) @ w
-            yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame(g * x, columns=cols)], axis=1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *[pa.array(a, from_pandas=True) for a in (g * x).T]], names=[*keys, *cols])
 
     base = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    return base.mapInPandas(grads, schema).unpivot(list(keys), cols, "feature", "attribution")
+    out = base.mapInArrow(grads, schema)
+    return out.unpivot(list(keys), cols, "feature", "attribution") if long else out
 
 
 def attribution_drift(attributions: DataFrame, week: str = "week", alpha: float = 0.05, min_effect: float = 0.10,
-                      chunks: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+                      chunks: int | None = None, by: Sequence[str] = (), cols: Sequence[str] = ()) -> DataFrame:
     """KS of each feature's attributions against week 0, FDR-corrected, gated on effect size; mean |a| before and after.
 
-    ``by`` are columns that keep several models apart.
+    ``by`` are columns that keep several models apart. With ``cols`` the attributions of one model stand side by side in these columns.
     """
-    tested = ks_stat(attributions, ["feature", *by], week, "attribution", alpha, chunks).drop("drift")
+    tested = ks_stat(attributions, ["feature", *by], week, "attribution", alpha, chunks, cols).drop("drift")
     judged = benjamini_hochberg(tested, [*by, week], alpha=alpha)
-    size = attributions.groupBy("feature", *by, week).agg(F.avg(F.abs("attribution")).alias("_m"))
+    if cols:
+        size = attributions.groupBy(week).agg(*[F.avg(F.abs(c)).alias(c) for c in cols]).unpivot([week], list(cols), "feature", "_m")
+    else:
+        size = attributions.groupBy("feature", *by, week).agg(F.avg(F.abs("attribution")).alias("_m"))
     size = with_reference(size.withColumnRenamed("_m", "curr_importance"), ["feature", *by], week, {"curr_importance": "ref_importance"})
     out = judged.join(size, ["feature", *by, week])
     return (out.withColumn("importance_shift", F.col("curr_importance") - F.col("ref_importance"))

@@ -236,16 +236,16 @@ def weeks_with_later(rows):
     return sorted(r[0] for r in rows.select("week").distinct().collect())[:-1]
 
 
-def fitted_attributions(w, ref_week):
-    """Gradient-times-input attributions of every row, by a perceptron fitted on the weeks through ``ref_week``."""
-    model = M.train_mlp(w.filter(F.col("week") <= ref_week), CCOLS, "label", "rid", (8,), max_iter=15)
-    return T.mlp_attributions(w, model.model.getLayers(), model.model.weights.toArray(), model.scale, ["rid", "week"])
+def fitted_attributions(w, ref_week, long=True):
+    """Gradient-times-input attributions of every row, by a perceptron fitted on the weeks through ``ref_week``; without ``long`` side by side."""
+    model = M.train_mlp(w.filter(F.col("week") <= ref_week), CCOLS, "label", "rid", (8,), max_iter=15, head="head" if "head" in w.columns else None)
+    return T.mlp_attributions(w, model.model.getLayers(), model.model.weights.toArray(), model.scale, ["rid", "week"] if long else ["week"], long)
 
 
 @query("signal_matrix")
 def _(spark, d):
-    w = stable(wide(spark, d).select("rid", "week", "label", *CCOLS))
-    return G.signal_matrix(w, CCOLS, weeks_with_later(w), lambda r: fitted_attributions(w, r), "rid")
+    w = stable(wide(spark, d).select("rid", "week", "label", *CCOLS, S.digest_head("rid", 42).alias("head")))
+    return G.signal_matrix(w, CCOLS, weeks_with_later(w), lambda r: fitted_attributions(w, r, long=False), "rid", head="head")
 
 
 @query("pca_snapshot", f"WITH {WIDE}, k AS (SELECT rid, week, row_number() OVER (PARTITION BY week ORDER BY md5(rid || ':42'), rid) AS n FROM wd) SELECT rid, week, true AS labelled, true AS placed FROM k WHERE n <= 300")
