@@ -31,9 +31,12 @@ Z_LIMIT = 10.0
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Weeks in order and the rows, each column in one piece: the rows through a week are the first ones, without a copy."""
     for batch in batches:
         if batch.num_rows:
-            yield batch.column("week").to_numpy(), batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            weeks, x = batch.column("week").to_numpy(), batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            order = np.argsort(weeks, kind="stable")
+            yield weeks[order], np.asfortranarray(x[order])
 
 
 def _added(rows: DataFrame, shape: tuple[int, ...], update: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
@@ -114,9 +117,10 @@ def _nearest(z: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
         d = np.zeros(len(z))
         for x, c in zip(columns, centre):
             gap = x - c
-            d += gap * gap
-        closer = d < least if i else slice(None)
-        near[closer], least[closer] = i, d[closer]
+            gap *= gap
+            d += gap
+        near = np.where(d < least, i, near)
+        least = np.minimum(d, least)  # what is no number stays none
     return near, np.sqrt(least)
 
 
@@ -133,7 +137,7 @@ def fit_centres(rows: DataFrame, refs: list[Reference], sample: tuple[np.ndarray
 
         def update(cells: np.ndarray, own: np.ndarray, x: np.ndarray) -> None:
             for i, r in enumerate(now):
-                z = r.scaled(x[own <= r.week])
+                z = r.scaled(x[:np.searchsorted(own, r.week, side="right")])
                 if len(z):
                     near, _ = _nearest(z, r.centres)
                     cells[i] += np.stack([np.bincount(near, column, k) for column in (None, *z.T)], axis=1)
@@ -156,8 +160,8 @@ def structure_signals(rows: DataFrame, refs: list[Reference], weeks: Sequence[in
             near, distance = _nearest(z, r.centres)
             rmse = np.sqrt(((z - z @ r.projector) ** 2).mean(axis=1))
             each = np.concatenate([np.stack([np.ones(len(z)), distance, rmse, rmse ** 2], axis=1), (near[:, None] == np.arange(k)).astype(float)], axis=1)
-            for w in np.unique(own):
-                cells[i, at[int(w)]] += each[own == w].sum(axis=0)
+            seen, starts = np.unique(own, return_index=True)
+            cells[i, [at[int(w)] for w in seen]] += np.add.reduceat(each, starts, axis=0)
     sums, out = _added(rows, (len(refs), len(weeks), 4 + k), update), []
     for i, r in enumerate(refs):
         held = sums[i, [at[w] for w in weeks if w <= r.week]].sum(axis=0)
